@@ -1,20 +1,39 @@
 """Text cleaning as native Column expressions."""
 
+import re
+
 from pyspark.sql import functions as F
 
 from threadloom import fixed_values as fixed
 
-_DISALLOWED = f"[^{fixed.KEPT_CHARACTERS}\\s]+"
+
+def characters_outside(kept):
+    """Regex class of everything but whitespace and the ASCII class ``kept``.
+
+    A class that lists ranges runs about ten times faster in Java than the negated class.
+    """
+    allowed = re.compile(f"[{kept}\\s]", re.ASCII)
+    codes = [code for code in range(128) if not allowed.match(chr(code))]
+    return "[" + "".join(f"\\x{{{code:x}}}" for code in codes) + r"\x{80}-\x{10FFFF}]"
+
+
+_DISALLOWED = characters_outside(fixed.KEPT_CHARACTERS) + "+"
 _HAS_KEPT = f"[{fixed.KEPT_CHARACTERS}]"
 _BLANK_ENDS = f"^[{fixed.BLANK_CHARACTERS}]+|[{fixed.BLANK_CHARACTERS}]+$"
+# One range around all emoji: a quick test before the long class.
+_NEAR_EMOJI = r"[\x{200D}-\x{E007F}]"
 
 
 def strip_emoji(text):
-    return F.regexp_replace(text, fixed.EMOJI, "")
+    """Remove emoji. Plain ASCII, told by its byte count, is passed through."""
+    suspect = (F.octet_length(text) > F.length(text)) & text.rlike(_NEAR_EMOJI)
+    return F.when(suspect, F.regexp_replace(text, fixed.EMOJI, "")).otherwise(text)
 
 
 def mask_urls(text):
-    return F.regexp_replace(text, fixed.URL, fixed.URL_MARK)
+    """Replace URLs by a mark. Only texts holding a piece every URL has are searched."""
+    suspect = F.contains(text, F.lit("://")) | F.contains(text, F.lit("www."))
+    return F.when(suspect, F.regexp_replace(text, fixed.URL, fixed.URL_MARK)).otherwise(text)
 
 
 def strip_special(text):

@@ -17,7 +17,10 @@ from threadloom.functions.identity import POINT_BITS
 from threadloom.operators import packing
 from threadloom.schemas import ITEM_REPLY
 
-RAW_ANSWER = "callId string, raw string, latencyMs bigint, status string, error string"
+RAW_ANSWER = (
+    "callId string, kind string, ids array<string>, raw string, latencyMs bigint, "
+    "status string, error string"
+)
 
 
 def offline_provider(kind, prompt, ids, max_tokens):
@@ -47,11 +50,12 @@ def call_concurrency(num_keys=1, max_concurrent=5):
     return max(num_keys, min(max_concurrent, 3))
 
 
-def answer_calls(calls, provider, concurrency=3, attempts=3, first_wait=1.0):
+def answer_calls(calls, provider, concurrency=None, attempts=3, first_wait=1.0):
     """One provider call per row of ``calls``; failures become rows with a status.
 
-    ``concurrency`` bounds the calls in flight: it is the number of tasks. Store the result
-    before using it twice, or the calls are made again.
+    The ids travel along, so nothing has to be joined back. ``concurrency`` bounds the calls
+    in flight, see ``call_concurrency``; without it the cluster's tasks are the bound. Store
+    the result before using it twice, or the calls are made again.
     """
     exhausted = f"Inference failed after {attempts} retries"
 
@@ -60,7 +64,9 @@ def answer_calls(calls, provider, concurrency=3, attempts=3, first_wait=1.0):
         raw, status, error = None, "ok", None
         try:
             raw = call_with_retry(
-                lambda: provider(kind, prompt, list(ids), int(max_tokens)), attempts, first_wait
+                lambda: provider(kind, prompt, list(ids), int(max_tokens)) or "",
+                attempts,
+                first_wait,
             )
         except TimeoutError:
             status = "timeout"
@@ -70,61 +76,53 @@ def answer_calls(calls, provider, concurrency=3, attempts=3, first_wait=1.0):
 
     def run(batches):
         for batch in batches:
-            rows = [
-                (call_id, *answer(kind, prompt, ids, tokens))
-                for call_id, kind, prompt, ids, tokens in zip(
-                    batch.callId, batch.kind, batch.prompt, batch.ids, batch.maxTokens
-                )
+            answers = [
+                answer(*call) for call in zip(batch.kind, batch.prompt, batch.ids, batch.maxTokens)
             ]
-            yield pd.DataFrame(rows, columns=["callId", "raw", "latencyMs", "status", "error"])
+            results = pd.DataFrame(answers, columns=["raw", "latencyMs", "status", "error"])
+            yield pd.concat([batch[["callId", "kind", "ids"]], results], axis=1)
 
-    return (
-        calls.select("callId", "kind", "prompt", F.col("items.id").alias("ids"), "maxTokens")
-        .repartition(concurrency, "callId")
-        .mapInPandas(run, RAW_ANSWER)
-    )
+    asked = calls.select("callId", "kind", F.col("items.id").alias("ids"), "prompt", "maxTokens")
+    if concurrency:
+        asked = asked.repartition(concurrency, "callId")
+    return asked.mapInPandas(run, RAW_ANSWER)
 
 
-def parse_answers(calls, answers):
-    """Replies per item position of every answered call."""
-    joined = calls.select(
-        "callId", "kind", F.transform("items", lambda i: F.struct(i["pos"], i["id"])).alias("items")
-    ).join(answers.select("callId", "raw"), "callId")
-    read = joined.filter(F.col("raw").isNotNull()).withColumns(
+def parse_answers(answers, *carried):
+    """Reply of every item of every call that has a raw answer: (callId, pos, id, reply)."""
+    read = answers.filter(F.col("raw").isNotNull()).withColumns(
         {
             "found": parsing.numbered_replies(F.col("raw")),
             "lines": parsing.answer_lines(F.col("raw")),
         }
     )
-    return read.select(
-        "callId",
-        F.explode(
-            F.transform(
-                "items",
-                lambda item: F.struct(
-                    item["pos"].alias("pos"),
-                    parsing.reply_at(
-                        F.col("raw"), F.col("found"), F.col("lines"), item["pos"], F.col("kind")
-                    ).alias("reply"),
-                ),
-            )
-        ).alias("at"),
-    ).select("callId", "at.pos", "at.reply")
+    replies = F.transform(
+        "ids",
+        lambda item, place: F.struct(
+            (place + 1).alias("pos"),
+            item.alias("id"),
+            parsing.reply_at(
+                F.col("raw"), F.col("found"), F.col("lines"), place + 1, F.col("kind")
+            ).alias("reply"),
+        ),
+    )
+    return read.select("callId", *carried, F.explode(replies).alias("at")).select(
+        "callId", *carried, "at.*"
+    )
 
 
 def attach_replies(items, parsed):
-    """Every item of the calls with its reply, or the fixed text where none was found."""
-    return items.join(parsed, ["callId", "pos"], "left").withColumn(
+    """Every item with the reply of its id, or the fixed text where there is none."""
+    return items.join(parsed.select("id", "reply"), "id", "left").withColumn(
         "reply", F.coalesce("reply", F.lit(fixed.REPLY_NOT_FOUND))
     )
 
 
-def error_replies(items, failed):
+def error_replies(answers):
     """One row per item of every failed call, with the text shown in place of a reply."""
-    rows = items.join(failed.filter("status <> 'ok'"), "callId")
     timed_out = F.col("status") == "timeout"
-    return rows.select(
-        "id",
+    return answers.filter("status <> 'ok'").select(
+        F.explode("ids").alias("id"),
         F.when(timed_out, fixed.TIMED_OUT)
         .otherwise(parsing.error_text(F.col("error")))
         .alias("generated_reply"),
@@ -135,33 +133,28 @@ def error_replies(items, failed):
     )
 
 
-def collect_replies(packed, answers, parsed):
+def collect_replies(answers):
     """Replies of all calls, answered or failed: (id, generated_reply, latency_ms, status).
 
     The latency of a call is shared by its items with integer division.
     """
-    sizes = packed.groupBy("callId").agg(F.count("*").alias("size"))
-    answered = answers.filter("status = 'ok'").join(sizes, "callId").select(
-        "callId",
-        F.floor(F.col("latencyMs") / F.greatest("size", F.lit(1))).alias("latency_ms"),
-    )
-    ok = attach_replies(packed.select("callId", "pos", "id"), parsed).join(answered, "callId")
-    return ok.select(
+    share = F.floor(F.col("latencyMs") / F.greatest(F.size("ids"), F.lit(1)))
+    answered = answers.filter("status = 'ok'").withColumn("latency_ms", share)
+    read = parse_answers(answered, "latency_ms").select(
         "id", F.col("reply").alias("generated_reply"), "latency_ms", F.lit("ok").alias("status")
-    ).unionByName(error_replies(packed.select("callId", "id"), answers))
+    )
+    return read.unionByName(error_replies(answers))
 
 
 def generate_replies(items, provider=offline_provider, store=None, floor=None, **limits):
     """Pack, prompt, call, parse and re-attach: one reply row per item.
 
-    ``store`` writes a frame once and returns it read back; it is applied to the packed items
-    and the raw answers so that neither the packing nor the calls run twice.
+    ``store`` writes a frame once and returns it read back, so that the calls are not made
+    twice; without it the caller must use the result only once.
     """
-    store = store or (lambda frame, label: frame)
-    packed = store(packing.pack_calls(items, **({"floor": floor} if floor else {})), "packed")
-    calls = packing.build_calls(packed)
-    answers = store(answer_calls(calls, provider, **limits), "answers")
-    return collect_replies(packed, answers, parse_answers(calls, answers))
+    packed = packing.pack_calls(items, **({"floor": floor} if floor else {}))
+    answers = answer_calls(packing.build_calls(packed), provider, **limits)
+    return collect_replies(store(answers, "answers") if store else answers)
 
 
 def mock_replies(items):

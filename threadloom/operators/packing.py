@@ -16,30 +16,32 @@ from threadloom.functions.text import post_prefix
 from threadloom.operators.skew import LARGE_GROUP_FLOOR, chunk_rows, with_group_positions
 
 
+def post_key(text):
+    """Stands for the post's 200-character prefix, so shuffles carry a short key."""
+    return F.sha2(post_prefix(text), 256)
+
+
 def as_items(comments):
-    """Cleaned comments in the shape the calls take."""
+    """Cleaned comments in the shape the calls take. A stored ``postKey`` is kept."""
     return comments.select(
         F.col("commentId").alias("id"),
         F.col("postText").alias("post_text"),
         F.col("commentText").alias("comment_text"),
         F.col("imageCaption").alias("image_caption"),
+        *[name for name in comments.columns if name == "postKey"],
     )
 
 
 def with_post_key(items):
-    """``postKey`` stands for the 200-character prefix, so shuffles carry a short key."""
-    return items.withColumns(
-        {
-            "postKey": F.sha2(post_prefix(F.col("post_text")), 256),
-            "itemKey": F.md5("id"),
-        }
-    )
+    """Adds ``postKey`` unless it was stored with the items: then counting the groups reads
+    that one column and no texts."""
+    if "postKey" in items.columns:
+        return items
+    return items.withColumn("postKey", post_key(F.col("post_text")))
 
 
 def group_by_post_prefix(items):
-    return items.groupBy(F.sha2(post_prefix(F.col("post_text")), 256).alias("postKey")).agg(
-        F.count("*").alias("items")
-    )
+    return with_post_key(items).groupBy("postKey").agg(F.count("*").alias("items"))
 
 
 def pack_calls(
@@ -53,7 +55,7 @@ def pack_calls(
     A pool holds single posts only, spread by hash, so no pool outgrows a task. Both branches
     share one shuffle of the numbered items.
     """
-    keyed = with_post_key(items)
+    keyed = with_post_key(items).withColumn("itemKey", F.md5("id"))
     buckets = F.ceil(keyed.agg(F.count("*")).scalar() / per_request)
     chunked = chunk_rows(keyed, "postKey", "itemKey", "id", per_call, floor).withColumn(
         "bucket", hash_point(F.col("postKey")) % buckets
@@ -82,7 +84,8 @@ def pack_calls(
         )
     )
     columns = [
-        "callId", "kind", "bucket", "pos", "id", "post_text", "comment_text", "image_caption",
+        "callId", "kind", "bucket", "postKey", "pos", "id", "post_text", "comment_text",
+        "image_caption",
     ]
     return same.select(columns).unionByName(mixed.select(columns))
 

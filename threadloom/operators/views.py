@@ -111,8 +111,8 @@ def lookup(table, key, value):
 
 
 def lookup_all(table, key, wanted):
-    """Rows of many keys at once, each listed once."""
-    return table.join(wanted.select(key), key, "left_semi")
+    """Rows of many keys at once; a key wanted very often is one row before the join."""
+    return table.join(wanted.select(key).distinct(), key, "left_semi")
 
 
 def valid_usernames(users):

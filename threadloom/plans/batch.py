@@ -2,13 +2,14 @@
 
 import time
 
+from pyspark.sql import Observation
+from pyspark.sql import functions as F
+
 from threadloom import schemas
 from threadloom.operators import comments as prep
 from threadloom.operators import enrich, inference, packing, state
 from threadloom.sinks import writers
 from threadloom.sources import readers
-from pyspark.sql import functions as F
-from pyspark.sql import Observation
 
 
 def preprocess_comments(comments, now_ms):
@@ -85,7 +86,10 @@ def run_job(
             readers.read_nested_posts(spark, input_path, multiline), f"{work_path}/raw", job_id
         )
         posts = spark.read.schema(schemas.NESTED_POST).parquet(raw)
-        cleaned, total = counted(preprocess_batch(posts, now_ms), "cleaned")
+        prepared = preprocess_batch(posts, now_ms).withColumn(
+            "postKey", packing.post_key(F.col("postText"))
+        )
+        cleaned, total = counted(prepared, "cleaned")
         report("inferring", total)
         replies, processed = counted(
             inference.generate_replies(

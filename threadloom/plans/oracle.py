@@ -200,11 +200,11 @@ pooled as (
   from numbered where groupRows = 1),
 packed as (
   select postKey || '-' || ((position - 1) // {fixed.COMMENTS_PER_CALL}) as callId,
-    'same_post' as kind, bucket, (position - 1) % {fixed.COMMENTS_PER_CALL} + 1 as pos,
+    'same_post' as kind, bucket, postKey, (position - 1) % {fixed.COMMENTS_PER_CALL} + 1 as pos,
     id, post_text, comment_text, image_caption
   from numbered where groupRows > 1
   union all
-  select 'mixed-' || bucket || '-' || (place // {fixed.COMMENTS_PER_CALL}), 'mixed_post', bucket,
+  select 'mixed-' || bucket || '-' || (place // {fixed.COMMENTS_PER_CALL}), 'mixed_post', bucket, postKey,
     place % {fixed.COMMENTS_PER_CALL} + 1, id, post_text, comment_text, image_caption
   from pooled),
 calls as (

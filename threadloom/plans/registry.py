@@ -47,9 +47,13 @@ def _filled(spark, sf):
     return prep.fill_defaults(bridge.comments(spark, sf), NOW_MS).drop("conv_id", "turn")
 
 
+def _items(spark, sf):
+    """Items stored with their post key, as a job stores them."""
+    return materialize(packing.with_post_key(bridge.items(spark, sf)), "items")
+
+
 def _packed(spark, sf):
-    items = materialize(bridge.items(spark, sf), "items")
-    return materialize(packing.pack_calls(items), "packed")
+    return materialize(packing.pack_calls(_items(spark, sf)), "packed")
 
 
 def _document_summary(posts):
@@ -158,8 +162,8 @@ def _enriched(spark, sf):
 @query
 def scan_results_tolerant(spark, sf):
     path = scratch_dir(spark, "results")
-    results = _enriched(spark, sf)
-    writers.write_json(results, path)
+    writers.write_json(_enriched(spark, sf), path)
+    results = readers.read_results(spark, path)
     # blank and cut-off lines for every result, in files next to the good ones
     cut_off = F.concat(F.lit('{"commentId":"'), "commentId")
     broken = results.select(F.explode(F.array(F.lit(""), F.lit("  "), cut_off)).alias("value"))
@@ -786,7 +790,7 @@ def _model_answers(calls):
         .when(shape == 6, F.lit("  \n  "))
         .otherwise(F.concat(F.lit("  sure, here you go: "), replies[0], F.lit("\n")))
     )
-    return calls.withColumn("raw", raw)
+    return calls.withColumns({"raw": raw, "ids": F.col("items.id")})
 
 
 @query
@@ -799,15 +803,14 @@ def parse_numbered_replies(spark, sf):
 
 @query
 def parse_fallback(spark, sf):
-    calls = materialize(_model_answers(_calls(spark, sf)), "answers")
-    return inference.parse_answers(calls, calls)
+    return inference.parse_answers(_model_answers(_calls(spark, sf))).drop("id")
 
 
 @query
 def attach_parsed_replies(spark, sf):
     packed = _packed(spark, sf)
     parsed = packed.filter(identity.hash_bucket(F.col("id"), 6) != 0).select(
-        "callId", "pos", parsing.offline_reply(F.col("id")).alias("reply")
+        "id", parsing.offline_reply(F.col("id")).alias("reply")
     )
     return inference.attach_replies(packed.select("callId", "pos", "id"), parsed)
 
@@ -817,6 +820,8 @@ def _call_results(calls):
     fate = identity.hash_bucket(F.col("callId"), 5)
     return _model_answers(calls).select(
         "callId",
+        "kind",
+        "ids",
         F.when(fate > 1, F.col("raw")).alias("raw"),
         (identity.hash_bucket(F.col("callId"), 900) + 100).alias("latencyMs"),
         F.when(fate == 0, "error").when(fate == 1, "timeout").otherwise("ok").alias("status"),
@@ -827,23 +832,17 @@ def _call_results(calls):
 
 @query
 def error_replies(spark, sf):
-    packed = _packed(spark, sf)
-    failed = _call_results(packing.build_calls(packed))
-    return inference.error_replies(packed.select("callId", "id"), failed)
+    return inference.error_replies(_call_results(_calls(spark, sf)))
 
 
 @query
 def union_ok_and_error(spark, sf):
-    packed = _packed(spark, sf)
-    calls = packing.build_calls(packed)
-    answers = materialize(_call_results(calls), "answers")
-    return inference.collect_replies(packed, answers, inference.parse_answers(calls, answers))
+    return inference.collect_replies(materialize(_call_results(_calls(spark, sf)), "answers"))
 
 
 @query
 def generate_replies(spark, sf):
-    items = materialize(bridge.items(spark, sf), "items")
-    return inference.generate_replies(items, store=materialize).drop("latency_ms")
+    return inference.generate_replies(_items(spark, sf), store=materialize).drop("latency_ms")
 
 
 def _unreliable_provider(kind, prompt, ids, max_tokens):
@@ -856,9 +855,8 @@ def _unreliable_provider(kind, prompt, ids, max_tokens):
 
 @query
 def retry_to_error_rows(spark, sf):
-    items = materialize(bridge.items(spark, sf), "items")
     return inference.generate_replies(
-        items, _unreliable_provider, store=materialize, attempts=3, first_wait=0.0
+        _items(spark, sf), _unreliable_provider, store=materialize, attempts=3, first_wait=0.0
     ).select("id", "generated_reply", "status")
 
 

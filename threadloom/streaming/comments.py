@@ -59,15 +59,16 @@ def answer_batch(
         frame.write.mode("overwrite").parquet(path)
         return spark.read.schema(frame.schema).parquet(path)
 
-    prepared = store(batch, "prepared")
+    prepared = store(
+        batch.withColumn("postKey", packing.post_key(F.col("postText"))), "prepared"
+    )
     if prepared.isEmpty():
         return
-    cleaned_path = write_batch_json(prepared, f"{out}/cleaned", batch_id)
-    cleaned = spark.read.schema(schemas.CLEANED_STREAM).json(cleaned_path)
+    write_batch_json(prepared.drop("postKey"), f"{out}/cleaned", batch_id)
     replies = inference.generate_replies(
-        packing.as_items(cleaned), provider, store=store, floor=floor, **limits
+        packing.as_items(prepared), provider, store=store, floor=floor, **limits
     )
-    shaped = enrich.as_stream_replies(replies, cleaned, provider_version, now_ms)
+    shaped = enrich.as_stream_replies(replies, prepared, provider_version, now_ms)
     reply_path = write_batch_json(shaped, f"{out}/replies", batch_id)
     stored = spark.read.schema(schemas.STREAM_REPLY).json(reply_path)
     messages = enrich.encode_reply_messages(stored)
