@@ -65,9 +65,9 @@ def test_errors_stop_the_stream_and_the_batch_is_repeated(spark, tmp_path):
 
     checkpoint = str(tmp_path / "checkpoint")
     with pytest.raises(Exception, match="sink is down"):
-        live.start(events(), None, checkpoint, body).awaitTermination()
+        live.start(events(), checkpoint, body).awaitTermination()
     seen = []
-    live.start(events(), None, checkpoint, lambda part, i: seen.append(part.count())).awaitTermination()
+    live.start(events(), checkpoint, lambda part, i: seen.append(part.count())).awaitTermination()
     assert seen == [1]
 
 

@@ -54,28 +54,47 @@ def validate(comments, required=REQUIRED_BATCH):
     return comments.filter(is_valid(required))
 
 
-def has_text():
-    return text.survives_cleaning(F.col("commentText")) & text.survives_cleaning(
-        F.col("postText")
-    )
+CLEANERS = {
+    "postText": text.clean_body,
+    "commentText": text.clean_body,
+    "title": text.clean_title,
+    "postTitle": text.clean_title,
+    "username": text.clean_name,
+    "subreddit": text.clean_label,
+}
+
+
+def has_text(fields=("commentText", "postText")):
+    """Whether every given field has something left after cleaning."""
+    condition = F.lit(True)
+    for name in fields:
+        condition = condition & text.survives_cleaning(F.col(name))
+    return condition
 
 
 def drop_empty_after_clean(comments):
     return comments.filter(has_text())
 
 
+def clean_fields(frame, *names):
+    return frame.withColumns({name: CLEANERS[name](F.col(name)) for name in names})
+
+
 def clean_text(comments):
     """Clean all text fields present and drop rows left without a post or comment text."""
-    cleaners = {
-        "postText": text.clean_body,
-        "commentText": text.clean_body,
-        "postTitle": text.clean_title,
-        "username": text.clean_name,
-        "subreddit": text.clean_label,
-    }
-    return drop_empty_after_clean(comments).withColumns(
-        {name: clean(F.col(name)) for name, clean in cleaners.items() if name in comments.columns}
-    )
+    present = [name for name in CLEANERS if name in comments.columns]
+    return clean_fields(drop_empty_after_clean(comments), *present)
+
+
+def explode_clean_comments(posts):
+    """Explode, validate and clean nested posts, giving what ``clean_text`` gives.
+
+    Posts are checked and cleaned before the explode: once per post, not once per comment.
+    """
+    ready = posts.filter(is_valid(("postId", "postText")) & has_text(("postText",)))
+    flat = explode_comments(clean_fields(ready, "postText", "title", "subreddit"))
+    valid = flat.filter(is_valid(("commentId", "commentText")) & has_text(("commentText",)))
+    return clean_fields(valid, "commentText", "username")
 
 
 def fill_defaults(comments, now_ms):

@@ -6,9 +6,14 @@ from threadloom.operators.skew import first_per_key
 
 
 def new_rows(incoming, target, key, order):
-    """Rows an insert-or-ignore adds: the first per key, unless the target has the key."""
+    """Rows an insert-or-ignore adds: the first per key, unless the target has the key.
+
+    The target is first narrowed to the incoming keys. With few incoming rows Spark then
+    broadcasts those and only scans the target's key column, instead of shuffling all of it.
+    """
     first = first_per_key(incoming, [key], order)
-    return first.join(target.select(key), key, "left_anti")
+    known = target.select(key).join(first.select(key), key, "left_semi")
+    return first.join(known, key, "left_anti")
 
 
 def insert_or_ignore(incoming, target, key, order):

@@ -12,35 +12,30 @@ from threadloom.sinks import writers
 from threadloom.sources import readers
 
 
-def preprocess_comments(comments, now_ms):
-    """Flat comments to the 14 cleaned batch columns."""
+def _finish(cleaned, now_ms):
     return (
-        comments.transform(prep.validate, prep.REQUIRED_BATCH)
-        .transform(prep.clean_text)
-        .transform(prep.fill_defaults, now_ms)
+        cleaned.transform(prep.fill_defaults, now_ms)
         .transform(prep.dedupe_comments)
         .transform(prep.image_features)
         .transform(prep.text_features, now_ms)
-        .transform(prep.project_batch)
     )
 
 
+def preprocess_comments(comments, now_ms):
+    """Flat comments to the 14 cleaned batch columns."""
+    cleaned = prep.clean_text(prep.validate(comments, prep.REQUIRED_BATCH))
+    return prep.project_batch(_finish(cleaned, now_ms))
+
+
 def preprocess_batch(posts, now_ms):
-    return preprocess_comments(prep.explode_comments(posts), now_ms)
+    """Nested posts to the 14 cleaned batch columns."""
+    return prep.project_batch(_finish(prep.explode_clean_comments(posts), now_ms))
 
 
 def preprocess_events(events, now_ms):
     """Comment events to the 14 cleaned streaming columns, on a static frame."""
-    return (
-        events.transform(prep.validate, prep.REQUIRED_STREAM)
-        .transform(prep.clean_text)
-        .transform(prep.fill_defaults, now_ms)
-        .transform(prep.dedupe_comments)
-        .transform(prep.image_features)
-        .transform(prep.text_features, now_ms)
-        .transform(prep.reply_flag)
-        .transform(prep.project_stream)
-    )
+    cleaned = prep.clean_text(prep.validate(events, prep.REQUIRED_STREAM))
+    return prep.project_stream(prep.reply_flag(_finish(cleaned, now_ms)))
 
 
 def run_job(

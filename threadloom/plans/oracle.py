@@ -406,6 +406,8 @@ _SELECTS = {
         "timestamp parentCommentId upvotes").split()])
     + """, 1) || '' as body from comment_events""",
     "insert_or_ignore": "select * from replies",
+    "stream_reply_ingest": "select * from replies",
+    "stream_post_ingest": "select * from posts_table",
     "latest_status_by_key": "select * from jobs",
     "job_failure_event": """
       select jobId, 'failed' as status, inputPath, outputPath, 0 as totalRecords,

@@ -4,6 +4,8 @@ Each takes (spark, sf_dir) and returns a DataFrame. Frames that feed several pas
 written once with ``materialize``, as a job would do.
 """
 
+import hashlib
+
 from pyspark.sql import functions as F
 
 from threadloom import schemas
@@ -19,12 +21,14 @@ from threadloom.operators import (
     state,
     views,
 )
+from threadloom.operators.inference import offline_provider
 from threadloom.plans import batch, bridge
 from threadloom.plans.bridge import NOW_MS, PROVIDER_VERSION
 from threadloom.session import materialize, scratch_dir
 from threadloom.sinks import writers
 from threadloom.sources import readers, streams
 from threadloom.streaming import comments as live
+from threadloom.streaming import tables
 
 QUERIES = {}
 
@@ -203,7 +207,7 @@ def decode_replies(spark, sf):
 @query
 def scan_state_tables(spark, sf):
     root = scratch_dir(spark, "tables")
-    tables = {
+    state_tables = {
         "users": (bridge.users(spark, sf), "userId", "username", "createdAt"),
         "posts": (_posts(spark, sf), "postId", "userId", "createdAt"),
         "comments": (bridge.comments_table(spark, sf), "commentId", "userId", "createdAt"),
@@ -211,7 +215,7 @@ def scan_state_tables(spark, sf):
         "batch_jobs": (_jobs(spark, sf), "jobId", "status", "uploadedAt"),
     }
     rows = None
-    for name, (frame, key, label, at) in tables.items():
+    for name, (frame, key, label, at) in state_tables.items():
         frame.write.parquet(f"{root}/{name}")
         part = readers.read_table(spark, f"{root}/{name}").select(
             F.lit(name).alias("tableName"),
@@ -846,11 +850,10 @@ def generate_replies(spark, sf):
 
 
 def _unreliable_provider(kind, prompt, ids, max_tokens):
-    import hashlib
-
+    """Fails for about a quarter of the calls, by the first id's hash."""
     if int(hashlib.md5(ids[0].encode()).hexdigest()[:10], 16) % 4 == 0:
         raise RuntimeError("service unavailable")
-    return inference.offline_provider(kind, prompt, ids, max_tokens)
+    return offline_provider(kind, prompt, ids, max_tokens)
 
 
 @query
@@ -928,11 +931,39 @@ def stream_foreach_batch(spark, sf):
         counts = part.groupBy("event_type").agg(F.count("*").alias("events"))
         writers.write_batch_json(counts, out, batch_id)
 
-    live.start(events, out, checkpoint, body).awaitTermination()
+    live.start(events, checkpoint, body).awaitTermination()
     counts = spark.read.schema("event_type string, events bigint").json(f"{out}/*")
     return counts.groupBy("event_type").agg(F.sum("events").alias("events"))
 
 
+def _ingest(spark, rows, key, order):
+    table, checkpoint = scratch_dir(spark, "table"), scratch_dir(spark, "checkpoint")
+    tables.start_table_ingest(rows, table, key, order, checkpoint).awaitTermination()
+    return spark.read.schema(rows.schema).parquet(table)
+
+
+@query
+def stream_reply_ingest(spark, sf):
+    """The reply topic, every message delivered twice, kept as a table."""
+    path = scratch_dir(spark, "reply-topic")
+    replies = bridge.replies(spark, sf)
+    messages = enrich.as_messages(replies, "replyId", replies.columns)
+    for _ in range(2):
+        _write_messages(messages, path)
+    rows = streams.reply_stream(spark, NOW_MS, source="text", path=path, maxFilesPerTrigger=4)
+    return _ingest(spark, rows, "replyId", ["timestamp"])
+
+
+@query
+def stream_post_ingest(spark, sf):
+    """The post topic kept as the post table that comments are joined with."""
+    path = scratch_dir(spark, "post-topic")
+    posts = _posts(spark, sf)
+    _write_messages(enrich.as_messages(posts, "postId", posts.columns), path)
+    rows = streams.post_stream(spark, source="text", path=path, maxFilesPerTrigger=4)
+    return _ingest(spark, rows, "postId", ["createdAt"])
+
+
 @query
 def stream_dedupe(spark, sf):
     path = scratch_dir(spark, "topic")

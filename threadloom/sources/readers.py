@@ -46,10 +46,13 @@ def decode_post_events(messages, value="value"):
     return decode(messages, schemas.POST_EVENT, value)
 
 
-def decode_replies(messages, now_ms, value="value"):
+def decode_replies(messages, now_ms=None, value="value"):
     """Reply messages with their defaults; a missing id becomes a hash of the row."""
-    filled = decode(messages, schemas.REPLY_EVENT, value).fillna(
-        {"commentId": "", "postId": "", "generatedReply": "", "timestamp": now_ms}
+    now = F.lit(now_ms) if now_ms is not None else F.unix_millis(F.current_timestamp())
+    filled = (
+        decode(messages, schemas.REPLY_EVENT, value)
+        .fillna("", subset=["commentId", "postId", "generatedReply"])
+        .withColumn("timestamp", F.coalesce("timestamp", now))
     )
     row = F.concat_ws(
         "|", "commentId", "postId", "generatedReply", F.col("timestamp").cast("string")

@@ -1,6 +1,6 @@
 """Stream sources. The format is a parameter: a topic in production, files in tests."""
 
-from threadloom.sources.readers import decode_comment_events, decode_post_events
+from threadloom.sources.readers import decode_comment_events, decode_post_events, decode_replies
 
 COMMENTS_TOPIC = "comments_topic"
 POSTS_TOPIC = "posts_topic"
@@ -40,3 +40,8 @@ def comment_stream(spark, **source):
 
 def post_stream(spark, **source):
     return decode_post_events(message_stream(spark, **source))
+
+
+def reply_stream(spark, now_ms=None, **source):
+    """Published replies; a live consumer starts at the latest offset (``starting``)."""
+    return decode_replies(message_stream(spark, **source), now_ms)

@@ -1,5 +1,7 @@
 """The live comment flow: prepare and dedupe in the stream, answer per micro-batch."""
 
+import time
+
 from pyspark.sql import functions as F
 
 from threadloom import schemas
@@ -78,7 +80,7 @@ def answer_batch(
         publish(messages, **topic)
 
 
-def start(events, out, checkpoint, body, trigger=None):
+def start(events, checkpoint, body, trigger=None):
     """Run ``body(batch, batch_id)`` per micro-batch with a checkpoint.
 
     The default trigger works off what is there and ends; pass
@@ -108,14 +110,12 @@ def start_comment_flow(
     """The whole live flow from decoded events to published replies."""
 
     def body(batch, batch_id):
-        import time
-
         stamp = now_ms if now_ms is not None else int(time.time() * 1000)
         answer_batch(
             batch, batch_id, out, provider, provider_version, stamp, topic, floor, **limits
         )
 
-    return start(prepare_stream(events, now_ms, dedupe_within), out, checkpoint, body, trigger)
+    return start(prepare_stream(events, now_ms, dedupe_within), checkpoint, body, trigger)
 
 
 def throughput(events, epoch_ms, width="1 minute", late="1 minute"):
