@@ -63,6 +63,22 @@ def test_left_join_many_equals_left_join(spark):
     assert sorted(got, key=key) == sorted(expected, key=key)
 
 
+def test_left_join_many_shuffles_the_left_side_once(spark, tmp_path):
+    spark.range(2000).select(F.col("id").alias("k"), F.lit("wide").alias("a")).write.parquet(f"{tmp_path}/l")
+    spark.range(2000).select((F.col("id") % 50).alias("k"), F.lit(1).alias("b")).write.parquet(f"{tmp_path}/r")
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        left, right = spark.read.parquet(f"{tmp_path}/l"), spark.read.parquet(f"{tmp_path}/r")
+        joined = skew.left_join_many(left, right, "k")
+        assert joined.count() == 2000 - 50 + 2000
+        joined.collect()
+        final = joined._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+        assert "ReusedExchange" in final
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+
+
 def test_rate_audit_equals_brute_force(spark):
     random.seed(5)
     # one slot holds a third of all calls inside a single second; ties and exact ends included

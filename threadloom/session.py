@@ -18,6 +18,10 @@ def get_session(app="threadloom", master=None, **conf):
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
+        # ids remembered by a stream live on disk, not on the heap
+        "spark.sql.streaming.stateStore.providerClass": (
+            "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+        ),
         **{key.replace("__", "."): value for key, value in conf.items()},
     }
     for key, value in settings.items():
