@@ -8,6 +8,7 @@ from threadloom.operators import inference
 from threadloom.plans import batch, bridge, registry
 from threadloom.sources import readers, streams
 from threadloom.streaming import comments as live
+from threadloom.streaming import tables
 
 NOW = bridge.NOW_MS
 
@@ -123,3 +124,20 @@ def test_throughput_windows(spark, tmp_path):
     events = spark.readStream.schema(frame.schema).parquet(path)
     counts = registry._stream_to_table(spark, live.throughput(events, F.col("t")), "windows").collect()
     assert sorted(tuple(r) for r in counts) == [(m * 60_000, 60) for m in range(8)]
+
+
+def test_table_ingest_keeps_the_row_stored_first(spark, tmp_path):
+    folder, log = tmp_path / "in", str(tmp_path / "log")
+    reply = lambda text, at: {
+        "replyId": "r1", "commentId": "c", "postId": "p", "generatedReply": text, "timestamp": at,
+    }
+
+    def run():
+        rows = streams.reply_stream(spark, NOW, source="text", path=str(folder))
+        tables.start_table_ingest(rows, log, "replyId", ["timestamp"], str(tmp_path / "cp")).awaitTermination()
+        return tables.stored_rows(spark, log, rows.schema, "replyId", ["timestamp"]).collect()
+
+    _deliver(folder, "a", reply("second", 9), reply("first", 5), reply("first", 5))
+    assert [r.generatedReply for r in run()] == ["first"]
+    _deliver(folder, "b", reply("earlier but stored later", 1), {**reply("other", 3), "replyId": "r2"})
+    assert sorted(r.generatedReply for r in run()) == ["first", "other"]

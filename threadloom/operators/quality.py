@@ -41,15 +41,6 @@ def quality_funnel(posts, required=REQUIRED_BATCH):
     ).withColumn("dropped", F.col("exploded") - F.col("valid"))
 
 
-def post_profile(posts):
-    image = F.coalesce(F.col("imageUrl"), F.lit("")) != ""
-    return posts.agg(
-        F.count("*").alias("posts"),
-        F.count_if(F.col("postText").isNull()).alias("nullPosts"),
-        F.count_if(image).alias("postsWithImage"),
-    )
-
-
 def comment_profile(comments):
     """Dirty, empty, duplicate and clean comments of all posts.
 
@@ -88,15 +79,20 @@ def comment_profile(comments):
 
 
 def quality_profile(posts, comments):
-    """One row with the post and the comment profile; each side is a single row."""
-    left = post_profile(posts).withColumn("_one", F.lit(1))
-    return (
-        left.join(comment_profile(comments).withColumn("_one", F.lit(1)), "_one")
-        .drop("_one")
-        .withColumn(
-            "imagePercent",
-            F.round(F.col("postsWithImage") / F.greatest("posts", F.lit(1)) * 100, 0),
-        )
+    """One row: the comment profile, and the counts of the posts as scalars beside it."""
+    image = F.coalesce(F.col("imageUrl"), F.lit("")) != ""
+
+    def count(condition):
+        return posts.agg(F.count_if(condition)).scalar()
+
+    return comment_profile(comments).withColumns(
+        {
+            "posts": count(F.lit(True)),
+            "nullPosts": count(F.col("postText").isNull()),
+            "postsWithImage": count(image),
+        }
+    ).withColumn(
+        "imagePercent", F.round(F.col("postsWithImage") / F.greatest("posts", F.lit(1)) * 100, 0)
     )
 
 

@@ -234,7 +234,7 @@ def scan_state_tables(spark, sf):
 def sink_json_overwrite(spark, sf):
     path = scratch_dir(spark, "cleaned")
     cleaned = bridge.cleaned(spark, sf)
-    writers.write_json(cleaned.limit(0), path)
+    writers.write_json(cleaned.withColumn("commentText", F.lit("replaced below")), path)
     writers.write_json(cleaned, path)
     return spark.read.schema(schemas.CLEANED_BATCH).json(path)
 
@@ -937,9 +937,9 @@ def stream_foreach_batch(spark, sf):
 
 
 def _ingest(spark, rows, key, order):
-    table, checkpoint = scratch_dir(spark, "table"), scratch_dir(spark, "checkpoint")
-    tables.start_table_ingest(rows, table, key, order, checkpoint).awaitTermination()
-    return spark.read.schema(rows.schema).parquet(table)
+    log, checkpoint = scratch_dir(spark, "log"), scratch_dir(spark, "checkpoint")
+    tables.start_table_ingest(rows, log, key, order, checkpoint).awaitTermination()
+    return tables.stored_rows(spark, log, rows.schema, key, order)
 
 
 @query

@@ -22,11 +22,6 @@ def land_raw_posts(posts, path, job_id):
     return target
 
 
-def ensure_table(spark, path, schema):
-    """Create an empty parquet table unless there is one."""
-    spark.createDataFrame([], schema).write.mode("ignore").parquet(path)
-
-
 def append_new_rows(spark, incoming, path, key, order):
     """Insert-or-ignore into a parquet table."""
     target = spark.read.parquet(path)

@@ -1,18 +1,24 @@
 """Keep key-unique tables up to date from a topic: posts and replies."""
 
-from threadloom.sinks.writers import append_new_rows, ensure_table
+from threadloom.operators.skew import first_per_key
 from threadloom.streaming.comments import start
 
 
-def start_table_ingest(rows, table, key, order, checkpoint, trigger=None):
-    """Insert-or-ignore every micro-batch of ``rows`` into the parquet table ``table``.
+def start_table_ingest(rows, log, key, order, checkpoint, trigger=None):
+    """Append every micro-batch of ``rows`` to ``log``, each key once per batch.
 
-    A repeated or redelivered batch adds nothing, so the table holds each key once.
+    The cost of a batch depends on the batch alone, however large the table has grown. A
+    repeated batch overwrites its own folder. ``stored_rows`` reads the table.
     """
-    spark = rows.sparkSession
-    ensure_table(spark, table, rows.schema)
 
     def body(part, batch_id):
-        append_new_rows(spark, part, table, key, order)
+        first = first_per_key(part, [key], order)
+        first.write.mode("overwrite").parquet(f"{log}/batch_id={batch_id}")
 
     return start(rows, checkpoint, body, trigger)
+
+
+def stored_rows(spark, log, schema, key, order):
+    """The table behind an ingest log: for each key the row stored first."""
+    logged = spark.read.schema(f"{schema.toDDL()}, batch_id bigint").parquet(log)
+    return first_per_key(logged, [key], ["batch_id", *order]).drop("batch_id")
