@@ -45,7 +45,7 @@ def relative_age(epoch_ms, now_ms):
 
 def progress_percent(status, processed, total):
     """100 only when completed; otherwise rounded half up and held at 99."""
-    share = F.floor(F.coalesce(processed, F.lit(0)) / total * 100 + 0.5)
+    share = F.floor(F.try_divide(F.coalesce(processed, F.lit(0)), total) * 100 + 0.5)
     return (
         F.when(status == "completed", 100)
         .when(total.isNull() | (total == 0), 0)

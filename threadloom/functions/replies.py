@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from threadloom import fixed_values as fixed
+from threadloom.functions.identity import hash_bucket
 from threadloom.functions.text import strip_blanks
 
 
@@ -40,7 +41,7 @@ def fallback_reply(raw, lines, pos, kind):
 def reply_at(raw, found, lines, pos, kind):
     """Reply of position ``pos``: the last piece with its number, else the fallback."""
     own = F.filter(found, lambda piece: piece["number"] == pos)
-    return F.when(F.size(own) > 0, F.element_at(own, -1)["reply"]).otherwise(
+    return F.when(F.size(own) > 0, F.try_element_at(own, F.lit(-1))["reply"]).otherwise(
         fallback_reply(raw, lines, pos, kind)
     )
 
@@ -53,8 +54,6 @@ def error_text(message):
 
 def offline_reply(comment_id):
     """Fixed reply picked by the comment's hash."""
-    from threadloom.functions.identity import hash_bucket
-
     replies = F.array(*[F.lit(text) for text in fixed.OFFLINE_REPLIES])
     return F.element_at(
         replies, (hash_bucket(comment_id, len(fixed.OFFLINE_REPLIES)) + 1).cast("int")

@@ -30,12 +30,17 @@ def with_reply_metadata(replies, comments):
     No size hint: adaptive execution broadcasts the comments only when they are small, and
     splits a hot comment id on the reply side.
     """
-    fields = list(fixed.UNKNOWN_POST)
-    return (
-        replies.select(*[c for c in replies.columns if c not in fields])
-        .join(comments.select("commentId", *fields), "commentId", "left")
-        .fillna(fixed.UNKNOWN_POST, subset=fields)
+    defaults = fixed.UNKNOWN_POST
+    known = comments.select("commentId", *defaults, F.lit(True).alias("_known"))
+    joined = replies.select(*[c for c in replies.columns if c not in defaults]).join(
+        known, "commentId", "left"
     )
+    return joined.withColumns(
+        {
+            name: F.when(F.col("_known"), F.col(name)).otherwise(default)
+            for name, default in defaults.items()
+        }
+    ).drop("_known")
 
 
 def as_stream_replies(item_replies, comments, provider_version, now_ms):

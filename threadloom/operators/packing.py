@@ -125,10 +125,14 @@ def build_calls(packed):
 
 
 def assign_slots(calls, slots, floor=LARGE_GROUP_FLOOR):
-    """Deal the calls of each bucket to the key slots in turn."""
+    """Deal the calls of each bucket to the key slots in turn.
+
+    Each bucket starts at another slot, so that many short buckets load all slots alike.
+    """
     keyed = calls.withColumn("_callKey", F.md5("callId"))
     numbered = with_group_positions(keyed, "bucket", "_callKey", "callId", floor)
-    return numbered.withColumn("slot", ((F.col("position") - 1) % slots).cast("int")).drop(
+    turn = F.col("position") - 1 + F.col("bucket")
+    return numbered.withColumn("slot", (turn % slots).cast("int")).drop(
         "_callKey", "position", "groupRows"
     )
 

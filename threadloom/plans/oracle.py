@@ -3,6 +3,7 @@
 from threadloom import fixed_values as fixed
 from threadloom.plans.bridge import NOW_MS, PROVIDER_VERSION, THREAD_CTES, TURNS_PER_DOCUMENT
 from threadloom.plans.registry import AUDIT_BUDGET, AUDIT_SECONDS, KEY_SLOTS
+from threadloom.schemas import COMMENT_EVENT
 
 
 def _quoted(text):
@@ -315,8 +316,8 @@ live_replies as (
 
 _RAW_COLUMNS = """commentId, postId, userId, username, postTitle, postText, commentText, imageUrl,
   imageCaption, subreddit, "timestamp", upvotes, parentCommentId"""
-_EVENT_COLUMNS = """commentId, postId, userId, username, postText, commentText, imageUrl,
-  imageCaption, subreddit, "timestamp", parentCommentId, upvotes"""
+_EVENT_FIELDS = [c for c in COMMENT_EVENT.fieldNames() if c != "metadata"]
+_EVENT_COLUMNS = ", ".join(f'"{c}"' for c in _EVENT_FIELDS)
 _NO_EVENT = ", ".join(["null"] * 13)
 
 
@@ -326,14 +327,6 @@ def _json(*fields):
     return "'{' || " + " || ',' || ".join(parts) + " || '}'"
 
 
-def _json_without_nulls(*fields):
-    parts = [
-        f"case when {value} is null then null else '\"{name}\":' || to_json({value})::varchar end"
-        for name, value in fields
-    ]
-    return "'{' || concat_ws(',', " + ", ".join(parts) + ") || '}'"
-
-
 _DECODED_EVENTS = f"""
   select {_EVENT_COLUMNS}, cast(turn as varchar) as turn from raw
   union all select {_NO_EVENT} from raw"""
@@ -400,11 +393,11 @@ _SELECTS = {
         ("timestamp", "generatedAt"),
     )
     + " as value from generated",
-    "encode_comment_events": "select commentId as key, substr("
-    + _json(*[(c, c) for c in (
-        "commentId postId userId username postText commentText imageUrl imageCaption subreddit "
-        "timestamp parentCommentId upvotes").split()])
-    + """, 1) || '' as body from comment_events""",
+    # the message ends with the metadata map, which is empty for new comments
+    "encode_comment_events": "select commentId as key, left(body, -1) || ',\"metadata\":{}}' as value "
+    "from (select commentId, "
+    + _json(*[(c, f'"{c}"') for c in _EVENT_FIELDS])
+    + " as body from comment_events)",
     "insert_or_ignore": "select * from replies",
     "stream_reply_ingest": "select * from replies",
     "stream_post_ingest": "select * from posts_table",
@@ -631,7 +624,7 @@ _SELECTS = {
     "pack_calls": "select * from packed",
     "assign_slots": f"""
       select callId, kind, bucket, (row_number() over (
-        partition by bucket order by md5(callId), callId) - 1) % {KEY_SLOTS} as slot
+        partition by bucket order by md5(callId), callId) - 1 + bucket) % {KEY_SLOTS} as slot
       from calls""",
     "prompt_same_post": f"""
       select callId, size, 'Post: ' || post_text
@@ -677,19 +670,4 @@ _SELECTS = {
       from posts_table""",
 }
 
-# the message body ends with the metadata map, which is empty for new comments
-_SELECTS["encode_comment_events"] = "select commentId as key, left(body, -1) || ',\"metadata\":{}}' as value from (" + (
-    "select commentId, "
-    + _json(
-        *[
-            (c, f'"{c}"')
-            for c in (
-                "commentId postId userId username postText commentText imageUrl imageCaption "
-                "subreddit timestamp parentCommentId upvotes"
-            ).split()
-        ]
-    )
-    + " as body from comment_events)"
-)
-
 ORACLE = {name: f"{_CTES}\n{select}" for name, select in _SELECTS.items()}
