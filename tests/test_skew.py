@@ -1,3 +1,4 @@
+import contextlib
 import random
 
 import pytest
@@ -63,20 +64,50 @@ def test_left_join_many_equals_left_join(spark):
     assert sorted(got, key=key) == sorted(expected, key=key)
 
 
+@contextlib.contextmanager
+def _settings(spark, **values):
+    before = {name: spark.conf.get(name, None) for name in values}
+    for name, value in values.items():
+        spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+
+
+def test_a_hot_right_key_is_split_over_tasks(spark, tmp_path):
+    """A third of all replies answer one comment: the join of their partition is split."""
+    left = spark.range(2000).select(F.col("id").alias("k"), F.lit("a").alias("a"))
+    right = spark.range(200_000).select(
+        F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id") % 2000).alias("k"),
+        F.sha2(F.col("id").cast("string"), 512).alias("b"),
+    )
+    right.repartition(16).write.parquet(f"{tmp_path}/r")
+    small = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "1MB",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1MB",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+    }
+    with _settings(spark, **small):
+        joined = skew.left_join_many(left, spark.read.parquet(f"{tmp_path}/r"), "k")
+        rows = joined.groupBy(F.spark_partition_id().alias("task")).agg(
+            F.count_if(F.col("k") == 7).alias("hot"), F.max("b")
+        ).collect()
+    hot = [row.hot for row in rows if row.hot]
+    assert sum(hot) == right.filter("k = 7").count() and len(hot) > 1
+
+
 def test_left_join_many_shuffles_the_left_side_once(spark, tmp_path):
     spark.range(2000).select(F.col("id").alias("k"), F.lit("wide").alias("a")).write.parquet(f"{tmp_path}/l")
     spark.range(2000).select((F.col("id") % 50).alias("k"), F.lit(1).alias("b")).write.parquet(f"{tmp_path}/r")
-    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    try:
+    with _settings(spark, **{"spark.sql.autoBroadcastJoinThreshold": "-1"}):
         left, right = spark.read.parquet(f"{tmp_path}/l"), spark.read.parquet(f"{tmp_path}/r")
         joined = skew.left_join_many(left, right, "k")
-        assert joined.count() == 2000 - 50 + 2000
-        joined.collect()
+        assert len(joined.collect()) == 2000 - 50 + 2000
         final = joined._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
         assert "ReusedExchange" in final
-    finally:
-        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
 
 
 def test_rate_audit_equals_brute_force(spark):

@@ -467,6 +467,11 @@ _SELECTS = {
         coalesce(m.imageCaption, '') as imageCaption, coalesce(m.subreddit, 'general') as subreddit
       from comments_table c left join clean m on m.commentId = c.commentId""",
     "enrich_comment_with_post": "select * from comment_events",
+    "stream_enrich_comments": "select * from comment_events",
+    "batch_end_to_end": f"""
+      select commentId, postId, userId, username, postTitle, postText, commentText, imageCaption,
+        subreddit, "timestamp", {_offline("commentId")} as generatedReply, processedAt
+      from clean""",
     "reject_orphan_comments": """
       select * from comments_table where postId not in (select postId from stored_posts)""",
     "feed_with_counts": f"""

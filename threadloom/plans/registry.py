@@ -868,9 +868,33 @@ def caption_missing(spark, sf):
     return inference.caption_missing(_posts(spark, sf))
 
 
+@query
+def batch_end_to_end(spark, sf):
+    """The whole job: nested JSON in, enriched JSON out."""
+    source = scratch_dir(spark, "upload")
+    writers.write_json(bridge.nested_posts(spark, sf), source)
+    out, work = scratch_dir(spark, "out"), scratch_dir(spark, "work")
+    return batch.run_job(spark, source, out, work, "job1", now_ms=NOW_MS).drop(
+        "inferenceLatencyMs"
+    )
+
+
 # --- streams -----------------------------------------------------------------
 
 
+@query
+def stream_enrich_comments(spark, sf):
+    """New comments as a stream, joined with the stored posts."""
+    path = scratch_dir(spark, "comments")
+    table = bridge.comments_table(spark, sf)
+    table.write.parquet(path)
+    arriving = spark.readStream.schema(table.schema).parquet(path)
+    posts = materialize(_stored_posts(spark, sf), "posts")
+    return _stream_to_table(
+        spark, enrich.comment_events(arriving, posts).drop("metadata"), "comment-events"
+    )
+
+
 def _half(messages, part):
     return messages.filter(identity.hash_bucket(F.col("key"), 2) == part)
 

@@ -17,6 +17,8 @@ def get_session(app="threadloom", master=None, **conf):
     settings = {
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
+        # split a hot key even where that costs one more shuffle
+        "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
         "spark.sql.session.timeZone": "UTC",
         # ids remembered by a stream live on disk, not on the heap
         "spark.sql.streaming.stateStore.providerClass": (
