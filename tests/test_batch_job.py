@@ -172,3 +172,23 @@ def test_changed_rows_treat_nulls_as_values(spark):
     old = spark.createDataFrame([("a", "x", 1), ("b", "x", None), ("c", None, None)], schema)
     new = spark.createDataFrame([("a", "x", 1), ("b", "x", 2), ("c", None, None)], schema)
     assert [r.k for r in state.changed_rows(new, old, "k", ["status", "n"]).collect()] == ["b"]
+
+
+def test_command_line(spark, tmp_path):
+    from threadloom import __main__ as command
+
+    source = _write(tmp_path, False)
+    command.main(
+        ["batch", "--input", source, "--output", f"{tmp_path}/out", "--work", f"{tmp_path}/work",
+         "--job-id", "j", "--rounds", "2"]
+    )
+    assert readers.read_results(spark, f"{tmp_path}/out").count() == 3
+    events = tmp_path / "events"
+    events.mkdir()
+    event = {"commentId": "c1", "postId": "p", "userId": "u", "postText": "post", "commentText": "text"}
+    (events / "a").write_text(json.dumps(event))
+    command.main(
+        ["stream", "--path", str(events), "--output", f"{tmp_path}/live", "--checkpoint",
+         f"{tmp_path}/checkpoint", "--every", "once"]
+    )
+    assert spark.read.json(f"{tmp_path}/live/replies/*").count() == 1

@@ -1,3 +1,4 @@
+import functools
 import re
 
 import pytest
@@ -152,7 +153,7 @@ def test_comment_lists_and_concurrency(spark):
 
 def test_calls_in_flight_are_bounded(spark):
     calls = packing.build_calls(packing.pack_calls(_items(spark)))
-    answers = inference.answer_calls(calls, inference.offline_provider, concurrency=2)
+    answers = inference.answer_calls(inference.ask(calls), inference.offline_provider, concurrency=2)
     assert answers.rdd.getNumPartitions() == 2
 
 
@@ -162,3 +163,26 @@ def test_item_json(spark):
     )
     got = sorted(tuple(r) for r in inference.decode_item_replies(bodies).collect())
     assert got == [("a", "x", 0), ("b", "y", 7)]
+
+
+def test_finished_rounds_are_kept_after_a_breakdown(spark, tmp_path):
+    calls = packing.build_calls(packing.pack_calls(_items(spark)))
+    log, out = tmp_path / "log", str(tmp_path / "calls")
+
+    def provider(kind, prompt, ids, max_tokens, log=str(log), broken=True):
+        if broken and "post 3" in prompt:
+            raise SystemExit("the worker dies")
+        with open(log, "a") as lines:
+            lines.write(ids[0] + "\n")
+        return "\n".join(f"[{n}] hi" for n in range(1, len(ids) + 1))
+
+    with pytest.raises(Exception, match="SystemExit|worker"):
+        inference.answer_stored(calls, provider, out, rounds=5)
+    before = log.read_text().split() if log.exists() else []
+    working = functools.partial(provider, broken=False)
+    answers = inference.answer_stored(calls, working, out, rounds=5, resume=True)
+    assert inference.collect_replies(answers).filter("generated_reply = 'hi'").count() == 40
+    asked = log.read_text().split()
+    finished = [n for n in range(5) if (tmp_path / "calls" / "answers" / f"round={n}" / "_SUCCESS").exists()]
+    assert finished == [0, 1, 2, 3, 4]
+    assert len(set(asked)) == 5 and len(asked) <= 5 + len(before)

@@ -13,10 +13,12 @@ from pyspark.sql import functions as F
 
 from threadloom import fixed_values as fixed
 from threadloom.functions import replies as parsing
-from threadloom.functions.identity import POINT_BITS
+from threadloom.functions.identity import POINT_BITS, hash_bucket
 from threadloom.operators import packing
 from threadloom.schemas import ITEM_REPLY
+from threadloom.session import is_written
 
+ASKED = "callId string, kind string, ids array<string>, prompt string, maxTokens int"
 RAW_ANSWER = (
     "callId string, kind string, ids array<string>, raw string, latencyMs bigint, "
     "status string, error string"
@@ -50,12 +52,16 @@ def call_concurrency(num_keys=1, max_concurrent=5):
     return max(num_keys, min(max_concurrent, 3))
 
 
-def answer_calls(calls, provider, concurrency=None, attempts=3, first_wait=1.0):
-    """One provider call per row of ``calls``; failures become rows with a status.
+def ask(calls):
+    """What a provider is given of each call. The ids travel along, so no join brings them back."""
+    return calls.select("callId", "kind", F.col("items.id").alias("ids"), "prompt", "maxTokens")
 
-    The ids travel along, so nothing has to be joined back. ``concurrency`` bounds the calls
-    in flight, see ``call_concurrency``; without it the cluster's tasks are the bound. Store
-    the result before using it twice, or the calls are made again.
+
+def answer_calls(asked, provider, concurrency=None, attempts=3, first_wait=1.0):
+    """One provider call per row of ``asked``; failures become rows with a status.
+
+    ``concurrency`` bounds the calls in flight, see ``call_concurrency``; without it the
+    cluster's tasks are the bound. Using the result twice makes the calls twice.
     """
     exhausted = f"Inference failed after {attempts} retries"
 
@@ -82,12 +88,33 @@ def answer_calls(calls, provider, concurrency=None, attempts=3, first_wait=1.0):
             results = pd.DataFrame(answers, columns=["raw", "latencyMs", "status", "error"])
             yield pd.concat([batch[["callId", "kind", "ids"]], results], axis=1)
 
-    asked = calls.select("callId", "kind", F.col("items.id").alias("ids"), "prompt", "maxTokens")
     if concurrency:
         asked = asked.repartition(concurrency, "callId")
     return asked.mapInPandas(run, RAW_ANSWER)
 
 
+def answer_stored(calls, provider, path, rounds=1, resume=False, **limits):
+    """Answer the calls round by round, writing each round under ``path``; read them back.
+
+    What a lost executor or a broken job can cost is one round, whatever the number of tasks
+    ``concurrency`` allows. With ``resume`` the rounds an earlier run finished are kept: use
+    it only to go on with the same input.
+    """
+    spark = calls.sparkSession
+    calls_path = f"{path}/calls"
+    if not (resume and is_written(spark, calls_path)):
+        dealt = ask(calls).withColumn("round", hash_bucket(F.col("callId"), rounds).cast("int"))
+        dealt.write.mode("overwrite").partitionBy("round").parquet(calls_path)
+    asked = spark.read.schema(f"{ASKED}, round int").parquet(calls_path)
+    for number in range(rounds):
+        folder = f"{path}/answers/round={number}"
+        if not (resume and is_written(spark, folder)):
+            part = asked.filter(F.col("round") == number).drop("round")
+            answer_calls(part, provider, **limits).write.mode("overwrite").parquet(folder)
+    folders = [f"{path}/answers/round={number}" for number in range(rounds)]
+    return spark.read.schema(RAW_ANSWER).parquet(*folders)
+
+
 def parse_answers(answers, *carried):
     """Reply of every item of every call that has a raw answer: (callId, pos, id, reply)."""
     read = answers.filter(F.col("raw").isNotNull()).withColumns(
@@ -146,15 +173,16 @@ def collect_replies(answers):
     return read.unionByName(error_replies(answers))
 
 
-def generate_replies(items, provider=offline_provider, store=None, floor=None, **limits):
+def generate_replies(items, provider=offline_provider, path=None, floor=None, **limits):
     """Pack, prompt, call, parse and re-attach: one reply row per item.
 
-    ``store`` writes a frame once and returns it read back, so that the calls are not made
-    twice; without it the caller must use the result only once.
+    With ``path`` the calls and their answers are stored there, and ``rounds`` and ``resume``
+    of ``answer_stored`` apply; without it the caller must use the result only once.
     """
-    packed = packing.pack_calls(items, **({"floor": floor} if floor else {}))
-    answers = answer_calls(packing.build_calls(packed), provider, **limits)
-    return collect_replies(store(answers, "answers") if store else answers)
+    calls = packing.build_calls(packing.pack_calls(items, **({"floor": floor} if floor else {})))
+    if path:
+        return collect_replies(answer_stored(calls, provider, path, **limits))
+    return collect_replies(answer_calls(ask(calls), provider, **limits))
 
 
 def mock_replies(items):

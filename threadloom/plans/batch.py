@@ -53,8 +53,10 @@ def run_job(
     """Run one job and keep its state as rows in ``work_path/status``.
 
     Each stage is written once under ``work_path`` and read back: the input is parsed once,
-    the provider is called once per call, and a lost executor repeats one stage only. Row
-    counts are observed while the stages are written. Returns the enriched output.
+    the provider is called once per call, and a lost executor repeats tasks of one stage. Row
+    counts are observed while the stages are written. A multi-line upload, which cannot be
+    split, is landed as parquet first. ``limits`` are those of ``answer_stored``: rounds,
+    resume, concurrency, attempts, first_wait. Returns the enriched output.
     """
     started = int(time.time() * 1000)
     now_ms = now_ms if now_ms is not None else started
@@ -77,10 +79,10 @@ def run_job(
 
     try:
         report("processing")
-        raw = writers.land_raw_posts(
-            readers.read_nested_posts(spark, input_path, multiline), f"{work_path}/raw", job_id
-        )
-        posts = spark.read.schema(schemas.NESTED_POST).parquet(raw)
+        posts = readers.read_nested_posts(spark, input_path, multiline)
+        if multiline:
+            raw = writers.land_raw_posts(posts, f"{work_path}/raw", job_id)
+            posts = spark.read.schema(schemas.NESTED_POST).parquet(raw)
         prepared = preprocess_batch(posts, now_ms).withColumn(
             "postKey", packing.post_key(F.col("postText"))
         )
@@ -88,7 +90,11 @@ def run_job(
         report("inferring", total)
         replies, processed = counted(
             inference.generate_replies(
-                packing.as_items(cleaned), provider, store=store, floor=floor, **limits
+                packing.as_items(cleaned),
+                provider,
+                f"{work_path}/calls/job_id={job_id}",
+                floor,
+                **limits,
             ).select(
                 F.col("id").alias("commentId"),
                 F.col("generated_reply").alias("generatedReply"),

@@ -846,7 +846,8 @@ def union_ok_and_error(spark, sf):
 
 @query
 def generate_replies(spark, sf):
-    return inference.generate_replies(_items(spark, sf), store=materialize).drop("latency_ms")
+    path = scratch_dir(spark, "answers")
+    return inference.generate_replies(_items(spark, sf), path=path, rounds=2).drop("latency_ms")
 
 
 def _unreliable_provider(kind, prompt, ids, max_tokens):
@@ -859,7 +860,7 @@ def _unreliable_provider(kind, prompt, ids, max_tokens):
 @query
 def retry_to_error_rows(spark, sf):
     return inference.generate_replies(
-        _items(spark, sf), _unreliable_provider, store=materialize, attempts=3, first_wait=0.0
+        _items(spark, sf), _unreliable_provider, scratch_dir(spark, "answers"), first_wait=0.0
     ).select("id", "generated_reply", "status")
 
 

@@ -56,19 +56,15 @@ def answer_batch(
     """
     spark = batch.sparkSession
 
-    def store(frame, label):
-        path = f"{out}/work/{label}/batch_id={batch_id}"
-        frame.write.mode("overwrite").parquet(path)
-        return spark.read.schema(frame.schema).parquet(path)
-
-    prepared = store(
-        batch.withColumn("postKey", packing.post_key(F.col("postText"))), "prepared"
-    )
+    work = f"{out}/work/batch_id={batch_id}"
+    keyed = batch.withColumn("postKey", packing.post_key(F.col("postText")))
+    keyed.write.mode("overwrite").parquet(f"{work}/prepared")
+    prepared = spark.read.schema(keyed.schema).parquet(f"{work}/prepared")
     if prepared.isEmpty():
         return
     write_batch_json(prepared.drop("postKey"), f"{out}/cleaned", batch_id)
     replies = inference.generate_replies(
-        packing.as_items(prepared), provider, store=store, floor=floor, **limits
+        packing.as_items(prepared), provider, path=work, floor=floor, **limits
     )
     shaped = enrich.as_stream_replies(replies, prepared, provider_version, now_ms)
     reply_path = write_batch_json(shaped, f"{out}/replies", batch_id)
