@@ -144,23 +144,23 @@ def items(spark, sf_dir):
 
 def comments_table(spark, sf_dir):
     """The comments table: comments with text, one row per id."""
-    return comments(spark, sf_dir).filter("commentText is not null").select(
-        "commentId", "postId", "userId", F.coalesce("username", F.lit("anonymous")).alias("username"),
-        "commentText", F.coalesce("parentCommentId", F.lit("")).alias("parentCommentId"),
+    with_text = comments(spark, sf_dir).filter("commentText is not null")
+    return with_text.select(
+        "commentId",
+        "postId",
+        "userId",
+        F.coalesce("username", F.lit("anonymous")).alias("username"),
+        "commentText",
+        F.coalesce("parentCommentId", F.lit("")).alias("parentCommentId"),
         F.coalesce("timestamp", F.lit(NOW_MS)).alias("createdAt"),
-    ).distinct()
+    ).distinct()
 
 
 def users(spark, sf_dir):
     """Users who wrote a comment; some authors of posts are missing."""
-    return (
-        comments(spark, sf_dir)
-        .groupBy("userId")
-        .agg(
-            F.min("timestamp").alias("createdAt"),
-        )
-        .select("userId", F.concat(F.lit(" "), F.substring("userId", 5, 9)).alias("username"), "createdAt")
-    )
+    authors = comments(spark, sf_dir).groupBy("userId").agg(F.min("timestamp").alias("createdAt"))
+    padded_name = F.concat(F.lit(" "), F.substring("userId", 5, 9))
+    return authors.select("userId", padded_name.alias("username"), "createdAt")
 
 
 def replies(spark, sf_dir):

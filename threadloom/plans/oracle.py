@@ -100,6 +100,7 @@ _FEATURES = f"""
   cast({NOW_MS} as bigint) as processedAt
 """
 
+_DIRTY = " or ".join(f"contains(coalesce(commentText, ''), '{m}')" for m in fixed.DIRTY_MARKERS)
 _SAME = fixed.TOKEN_BUDGETS["same_post"]
 _MIXED = fixed.TOKEN_BUDGETS["mixed_post"]
 
@@ -171,7 +172,8 @@ job_events as (
       when 'click' then 'inferring' when 'error' then 'failed' else 'completed' end as status,
     '/data/raw/bulk/job' || user_id as inputPath,
     case when user_id % 7 = 0 then '' else '/data/output/job' || user_id end as outputPath,
-    (epoch_us(ts) // 1000) as uploadedAt, cast(json_extract_string(props, '$.k') as bigint) as totalRecords,
+    epoch_us(ts) // 1000 as uploadedAt,
+    cast(json_extract_string(props, '$.k') as bigint) as totalRecords,
     cast(floor(cast(json_extract_string(props, '$.k') as bigint) * event_id % 100 / 2) as bigint)
       as processedRecords, event_id
   from events),
@@ -205,8 +207,8 @@ packed as (
     id, post_text, comment_text, image_caption
   from numbered where groupRows > 1
   union all
-  select 'mixed-' || bucket || '-' || (place // {fixed.COMMENTS_PER_CALL}), 'mixed_post', bucket, postKey,
-    place % {fixed.COMMENTS_PER_CALL} + 1, id, post_text, comment_text, image_caption
+  select 'mixed-' || bucket || '-' || (place // {fixed.COMMENTS_PER_CALL}), 'mixed_post',
+    bucket, postKey, place % {fixed.COMMENTS_PER_CALL} + 1, id, post_text, comment_text, image_caption
   from pooled),
 calls as (
   select callId, kind, bucket, count(*) as size, min_by(id, pos) as first_id,
@@ -290,8 +292,7 @@ comment_groups as (
   group by postId, commentId, userId, username, commentText, "timestamp", upvotes,
     parentCommentId),
 comment_flags as (
-  select n, {" or ".join(f"contains(coalesce(commentText, ''), '{m}')" for m in fixed.DIRTY_MARKERS)}
-      as isDirty, {_strip("coalesce(commentText, '')")} = '' as isEmpty
+  select n, {_DIRTY} as isDirty, {_strip("coalesce(commentText, '')")} = '' as isEmpty
   from comment_groups),
 comment_profile as (
   select count(*) as totalComments,
@@ -323,7 +324,9 @@ _NO_EVENT = ", ".join(["null"] * 13)
 
 def _json(*fields):
     """A compact JSON object with null fields kept."""
-    parts = [f"'\"{name}\":' || coalesce(to_json({value})::varchar, 'null')" for name, value in fields]
+    parts = [
+        f"'\"{name}\":' || coalesce(to_json({value})::varchar, 'null')" for name, value in fields
+    ]
     return "'{' || " + " || ',' || ".join(parts) + " || '}'"
 
 
@@ -368,7 +371,8 @@ _WIDTH = AUDIT_SECONDS * 1_000_000
 _SELECTS = {
     "scan_nested_posts": _DOCUMENTS,
     "land_raw_posts": _DOCUMENTS,
-    "decode_events": "select event_id, cast(json_extract_string(props, '$.k') as bigint) as k from events",
+    "decode_events": """
+      select event_id, cast(json_extract_string(props, '$.k') as bigint) as k from events""",
     "decode_comment_events": _DECODED_EVENTS,
     "stream_comment_source": _DECODED_EVENTS,
     "stream_post_source": "select * from posts_table",
@@ -394,8 +398,8 @@ _SELECTS = {
     )
     + " as value from generated",
     # the message ends with the metadata map, which is empty for new comments
-    "encode_comment_events": "select commentId as key, left(body, -1) || ',\"metadata\":{}}' as value "
-    "from (select commentId, "
+    "encode_comment_events": "select commentId as key, "
+    "left(body, -1) || ',\"metadata\":{}}' as value from (select commentId, "
     + _json(*[(c, f'"{c}"') for c in _EVENT_FIELDS])
     + " as body from comment_events)",
     "insert_or_ignore": "select * from replies",
@@ -583,9 +587,12 @@ _SELECTS = {
     "event_throughput": """
       select events, round(elapsed, 3) as elapsedSeconds,
         round(events / greatest(elapsed, 0.001), 6) as eventsPerSecond
-      from (select count(*) as events, (max((epoch_us(ts) // 1000)) - min((epoch_us(ts) // 1000))) / 1000 as elapsed
-            from events)""",
-    "throughput_per_minute": f"select {_MINUTE} as minuteMs, count(*) as events from events group by 1",
+      from (
+        select count(*) as events,
+          (max(epoch_us(ts) // 1000) - min(epoch_us(ts) // 1000)) / 1000 as elapsed
+        from events)""",
+    "throughput_per_minute": f"""
+      select {_MINUTE} as minuteMs, count(*) as events from events group by 1""",
     "rate_budget_audit": f"""
       select slot, atMicros, callsAt, callsInWindow, oldestMicros,
         callsInWindow > {AUDIT_BUDGET} as overBudget,
@@ -615,7 +622,8 @@ _SELECTS = {
         {_words("cleaned")} as wordCount
       from (select doc_id, lang, source, {_body("text")} as cleaned from documents)
       where length(cleaned) > 0""",
-    "reply_ids": f"select commentId, sha256(commentId || '|{PROVIDER_VERSION}') as replyId from clean",
+    "reply_ids": f"""
+      select commentId, sha256(commentId || '|{PROVIDER_VERSION}') as replyId from clean""",
     "event_time": """
       select commentId, strftime(make_timestamp(createdAt * 1000), '%Y-%m-%d %H:%M:%S') as at
       from comments_table""",
@@ -623,7 +631,8 @@ _SELECTS = {
       select event_id, case when s < 60 then s || 's ago' when s < 3600 then (s // 60) || 'm ago'
         when s < 86400 then (s // 3600) || 'h ago' else (s // 86400) || 'd ago' end as age
       from (select event_id,
-              cast(floor((1706745500000 - (epoch_us(ts) // 1000)) / 1000) as bigint) as s from events)""",
+              cast(floor((1706745500000 - epoch_us(ts) // 1000) / 1000) as bigint) as s
+            from events)""",
     "join_comment_list": _JOIN_LIST,
     "group_by_post_prefix": "select postKey, count(*) as items from keyed group by 1",
     "pack_calls": "select * from packed",
@@ -651,7 +660,8 @@ _SELECTS = {
         case when {_bucket("id", 500)} % 3 <> 0 then {_bucket("id", 500)} else 0 end as latency_ms
       from items""",
     "mock_replies": f"select id, {_offline('id')} as generated_reply from items",
-    "generate_replies": f"select id, {_offline('id')} as generated_reply, 'ok' as status from items",
+    "generate_replies": f"""
+      select id, {_offline("id")} as generated_reply, 'ok' as status from items""",
     "retry_to_error_rows": f"""
       select p.id, case when {_bucket("c.first_id", 4)} = 0
           then '[Error: Inference failed after 3 retries]'

@@ -369,18 +369,19 @@ def text_features(spark, sf):
     )
 
 
+def _featured(spark, sf):
+    with_text = _filled(spark, sf).filter("commentText is not null")
+    return prep.text_features(prep.image_features(with_text), NOW_MS)
+
+
 @query
 def project_batch(spark, sf):
-    return prep.project_batch(
-        prep.text_features(prep.image_features(_filled(spark, sf).filter("commentText is not null")), NOW_MS)
-    )
+    return prep.project_batch(_featured(spark, sf))
 
 
 @query
 def project_stream(spark, sf):
-    return prep.project_stream(
-        prep.text_features(prep.image_features(_filled(spark, sf).filter("commentText is not null")), NOW_MS)
-    )
+    return prep.project_stream(_featured(spark, sf))
 
 
 @query

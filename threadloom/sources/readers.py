@@ -12,9 +12,7 @@ def read_nested_posts(spark, path, multiline=False):
     Spark must give to a single task per file: use it for uploads only and land them with
     ``land_raw_posts``.
     """
-    return (
-        spark.read.schema(schemas.NESTED_POST).option("multiLine", str(multiline).lower()).json(path)
-    )
+    return spark.read.schema(schemas.NESTED_POST).json(path, multiLine=multiline)
 
 
 def read_results(spark, path, schema=schemas.ENRICHED, glob="*.json"):
