@@ -12,7 +12,7 @@ def new_rows(incoming, target, key, order):
     broadcasts those and only scans the target's key column, instead of shuffling all of it.
     """
     first = first_per_key(incoming, [key], order)
-    known = target.select(key).join(first.select(key), key, "left_semi")
+    known = target.select(key).join(incoming.select(key).distinct(), key, "left_semi")
     return first.join(known, key, "left_anti")
 
 

@@ -81,14 +81,19 @@ def _from_threads(spark, sf_dir, select):
 
 
 def comments(spark, sf_dir):
-    """Flat comments with post context, before any preparation."""
-    return _from_threads(
+    """Flat comments with post context, before any preparation.
+
+    The exact copies are made by repeating rows, so the threads are derived once.
+    """
+    once = _from_threads(
         spark,
         sf_dir,
         "select commentId, postId, userId, username, postTitle, postText, commentText, imageUrl, "
         "imageCaption, subreddit, ts as timestamp, upvotes, parentCommentId, conv_id, turn "
-        "from comments",
+        "from raw_comments",
     )
+    copies = F.when(F.col("conv_id") % 10 == 0, 2).otherwise(1)
+    return once.withColumn("copy", F.explode(F.sequence(F.lit(1), copies))).drop("copy")
 
 
 def posts(spark, sf_dir):
