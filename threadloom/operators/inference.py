@@ -60,8 +60,10 @@ def ask(calls):
 def answer_calls(asked, provider, concurrency=None, attempts=3, first_wait=1.0):
     """One provider call per row of ``asked``; failures become rows with a status.
 
-    ``concurrency`` bounds the calls in flight, see ``call_concurrency``; without it the
-    cluster's tasks are the bound. Using the result twice makes the calls twice.
+    ``concurrency`` bounds the calls in flight, see ``call_concurrency``. Without it there are
+    as many tasks as a shuffle of this session has: calls are slow but small, so sizing tasks
+    by bytes would leave most of the cluster idle. Using the result twice makes the calls
+    twice.
     """
     exhausted = f"Inference failed after {attempts} retries"
 
@@ -88,9 +90,8 @@ def answer_calls(asked, provider, concurrency=None, attempts=3, first_wait=1.0):
             results = pd.DataFrame(answers, columns=["raw", "latencyMs", "status", "error"])
             yield pd.concat([batch[["callId", "kind", "ids"]], results], axis=1)
 
-    if concurrency:
-        asked = asked.repartition(concurrency, "callId")
-    return asked.mapInPandas(run, RAW_ANSWER)
+    tasks = concurrency or int(asked.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return asked.repartition(tasks, "callId").mapInPandas(run, RAW_ANSWER)
 
 
 def answer_stored(calls, provider, path, rounds=1, resume=False, **limits):
