@@ -12,10 +12,11 @@ def quality_funnel(posts, required=REQUIRED_BATCH):
     """Rows left after each preparation step, in one pass over nested posts.
 
     Copies are found by counting per comment id, which Spark combines before the shuffle;
-    only ids and counts are shuffled.
+    only ids and counts are shuffled. Of the nested comments two fields are read.
     """
+    needed = F.arrays_zip("comments.commentId", "comments.commentText")
     flat = posts.select(
-        "postId", "postText", F.posexplode_outer("comments").alias("place", "comment")
+        "postId", "postText", F.posexplode_outer(needed).alias("place", "comment")
     ).select(
         F.coalesce(F.col("place") == 0, F.lit(True)).alias("firstOfPost"),
         F.col("comment.commentId").alias("commentId"),
