@@ -64,13 +64,32 @@ def test_retry_waits_double_and_give_up():
     def flaky():
         tries.append(1)
         if len(tries) < 3:
-            raise RuntimeError("no")
+            raise ConnectionError
         return "yes"
 
     assert inference.call_with_retry(flaky, sleep=waits.append) == "yes"
     assert waits == [1.0, 2.0]
     with pytest.raises(ZeroDivisionError):
         inference.call_with_retry(lambda: 1 / 0, sleep=waits.append)
+    assert waits == [1.0, 2.0]
+
+
+def test_keys_take_turns():
+    waits, used = [], []
+
+    def request(key):
+        used.append(key)
+        if len(used) == 1:
+            raise inference.RateLimited(9.0)
+        if len(used) == 2:
+            raise TimeoutError
+        return "yes"
+
+    assert inference.call_with_keys(request, ["a", "b"], sleep=waits.append) == "yes"
+    assert (used, waits) == (["a", "b", "a"], [3.0, 2])
+    with pytest.raises(RuntimeError, match="5 attempts"):
+        inference.call_with_keys(lambda key: (_ for _ in ()).throw(TimeoutError), ["a"], sleep=waits.append)
+    assert waits[2:] == [1, 2, 4, 8, 16]
 
 
 def _items(spark):
@@ -84,7 +103,9 @@ def _items(spark):
 
 def _broken_provider(kind, prompt, ids, max_tokens):
     if "post 0" in prompt:
-        raise RuntimeError("down")
+        raise ConnectionError("down")
+    if "post 2" in prompt:
+        raise ValueError("m" * 100)
     if "post 1" in prompt:
         raise TimeoutError
     return inference.offline_provider(kind, prompt, ids, max_tokens)
@@ -96,8 +117,10 @@ def test_every_item_gets_one_reply_even_if_calls_fail(spark):
     by_status = {}
     for reply in replies:
         by_status.setdefault(reply.status, []).append(reply)
-    assert {k: len(v) for k, v in by_status.items()} == {"ok": 24, "error": 8, "timeout": 8}
-    assert {r.generated_reply for r in by_status["error"]} == {"[Error: Inference failed after 3 retries]"}
+    assert {k: len(v) for k, v in by_status.items()} == {"ok": 16, "error": 16, "timeout": 8}
+    assert {r.generated_reply for r in by_status["error"]} == {
+        "[Error: Inference failed after 3 retries]", f"[Error: {'m' * 80}]",
+    }
     assert {r.latency_ms for r in by_status["error"]} == {-1}
     assert {r.generated_reply for r in by_status["timeout"]} == {fixed.TIMED_OUT}
     assert {r.generated_reply for r in by_status["ok"]} <= set(fixed.OFFLINE_REPLIES)

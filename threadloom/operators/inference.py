@@ -2,7 +2,8 @@
 
 A provider is a callable ``(kind, prompt, ids, max_tokens) -> str`` that returns the raw
 answer of one call. It is the only Python that runs per call; everything around it is
-DataFrame work.
+DataFrame work. An ``OSError`` (the service cannot be reached) is tried again, a
+``TimeoutError`` marks the call as timed out, any other error ends it with its message.
 """
 
 import hashlib
@@ -35,18 +36,42 @@ def offline_provider(kind, prompt, ids, max_tokens):
 
 
 def call_with_retry(call, attempts=3, first_wait=1.0, sleep=time.sleep):
-    """Result of ``call``, trying again after waits that double; the last error is raised."""
+    """Result of ``call``; an unreachable service is tried again after waits that double."""
     for attempt in range(attempts):
         try:
             return call()
         except TimeoutError:
             raise
-        except Exception:
+        except OSError:
             if attempt + 1 == attempts:
                 raise
             sleep(first_wait * 2**attempt)
 
 
+class RateLimited(Exception):
+    """Raised by a provider's request when a key is over its limit."""
+
+    def __init__(self, retry_after=5.0):
+        super().__init__(f"rate limited, retry after {retry_after}s")
+        self.retry_after = retry_after
+
+
+def call_with_keys(request, keys, attempts=5, sleep=time.sleep):
+    """Result of ``request(key)``, for use inside a provider with several keys.
+
+    A key over its limit is followed by the next one after at most 3 seconds; a timeout by
+    the next one after 1, 2, 4, ... seconds.
+    """
+    for attempt in range(attempts):
+        try:
+            return request(keys[attempt % len(keys)])
+        except RateLimited as limit:
+            sleep(min(limit.retry_after, 3.0))
+        except TimeoutError:
+            sleep(2**attempt)
+    raise RuntimeError(f"no answer in {attempts} attempts")
+
+
 def call_concurrency(num_keys=1, max_concurrent=5):
     """Calls allowed in flight for a pool of ``num_keys`` keys."""
     return max(num_keys, min(max_concurrent, 3))
@@ -78,8 +103,10 @@ def answer_calls(asked, provider, concurrency=None, attempts=3, first_wait=1.0):
             )
         except TimeoutError:
             status = "timeout"
-        except Exception:
+        except OSError:
             status, error = "error", exhausted
+        except Exception as failure:
+            status, error = "error", str(failure)
         return raw, int((time.monotonic() - start) * 1000), status, error
 
     def run(batches):

@@ -223,6 +223,14 @@ calls as (
     string_agg('[' || pos || '] ' || {_offline("id")}, chr(10) order by pos) as numbered_answer,
     string_agg({_offline("id")}, chr(10) || chr(10) order by pos) as bare_answer
   from packed group by callId, kind, bucket),
+prompts as (
+  select callId, kind, size, first_id, case when kind = 'same_post' then 'Post: ' || post_text
+      || case when image_caption <> '' then chr(10) || '(image: ' || image_caption || ')'
+           else '' end
+      || chr(10) || chr(10) || 'Comments to reply to:' || lines
+      || {_quoted(fixed.SAME_POST_TAIL)}
+    else {_quoted(fixed.MIXED_HEAD)} || pairs || {_quoted(fixed.MIXED_TAIL)} end as prompt
+  from calls),
 answers as (
   select *, case {_bucket("callId", 8)}
       when 4 then bare_answer
@@ -640,17 +648,8 @@ _SELECTS = {
       select callId, kind, bucket, (row_number() over (
         partition by bucket order by md5(callId), callId) - 1 + bucket) % {KEY_SLOTS} as slot
       from calls""",
-    "prompt_same_post": f"""
-      select callId, size, 'Post: ' || post_text
-        || case when image_caption <> '' then chr(10) || '(image: ' || image_caption || ')'
-             else '' end
-        || chr(10) || chr(10) || 'Comments to reply to:' || lines
-        || {_quoted(fixed.SAME_POST_TAIL)} as prompt
-      from calls where kind = 'same_post'""",
-    "prompt_mixed": f"""
-      select callId, size, {_quoted(fixed.MIXED_HEAD)} || pairs || {_quoted(fixed.MIXED_TAIL)}
-        as prompt
-      from calls where kind = 'mixed_post'""",
+    "prompt_same_post": "select callId, size, prompt from prompts where kind = 'same_post'",
+    "prompt_mixed": "select callId, size, prompt from prompts where kind = 'mixed_post'",
     "token_budget": f"select callId, kind, size, {_budget('kind', 'size')} as maxTokens from calls",
     "encode_items": "select id, "
     + _json(*[(c, c) for c in ("id", "post_text", "comment_text", "image_caption")])
@@ -663,11 +662,13 @@ _SELECTS = {
     "generate_replies": f"""
       select id, {_offline("id")} as generated_reply, 'ok' as status from items""",
     "retry_to_error_rows": f"""
-      select p.id, case when {_bucket("c.first_id", 4)} = 0
-          then '[Error: Inference failed after 3 retries]'
+      select p.id, case {_bucket("c.first_id", 4)}
+          when 0 then '[Error: Inference failed after 3 retries]'
+          when 1 then '[Error: '
+            || substr('refused: ' || c.prompt, 1, {fixed.ERROR_PREFIX_CHARS}) || ']'
           else {_offline("p.id")} end as generated_reply,
-        case when {_bucket("c.first_id", 4)} = 0 then 'error' else 'ok' end as status
-      from packed p join calls c on c.callId = p.callId""",
+        case when {_bucket("c.first_id", 4)} < 2 then 'error' else 'ok' end as status
+      from packed p join prompts c on c.callId = p.callId""",
     "parse_numbered_replies": "select callId, place, number, reply from read_pieces",
     "parse_fallback": "select callId, pos, reply from parsed",
     "attach_parsed_replies": f"""

@@ -852,9 +852,12 @@ def generate_replies(spark, sf):
 
 
 def _unreliable_provider(kind, prompt, ids, max_tokens):
-    """Fails for about a quarter of the calls, by the first id's hash."""
-    if int(hashlib.md5(ids[0].encode()).hexdigest()[:10], 16) % 4 == 0:
-        raise RuntimeError("service unavailable")
+    """Fails for about half of the calls in two ways, by the first id's hash."""
+    fate = int(hashlib.md5(ids[0].encode()).hexdigest()[:10], 16) % 4
+    if fate == 0:
+        raise ConnectionError("service unavailable")
+    if fate == 1:
+        raise ValueError("refused: " + prompt)
     return offline_provider(kind, prompt, ids, max_tokens)
 
 
