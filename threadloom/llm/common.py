@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from threadloom.operators.skew import first_per_key
+from threadloom.operators.skew import top_per_key
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SPACES = b" \t\n\v\f\r"
@@ -86,34 +86,24 @@ def encoded(texts):
     return [b"" if t is None else t.encode("utf-8", "surrogatepass") for t in texts.to_pylist()]
 
 
-def labelled_texts(documents, labels, label):
-    """Texts with a label of 0 or 1 that may be learned from: (doc_id, text, label).
+def bounded_labels(documents, labels, label, most):
+    """Ids that may be learned from, at most ``most`` of each label value: (sizes, ids).
 
-    A document is left out if the crc32 of its id, written as text, is divisible by 5, or if
-    its id or label is null. Repeated label rows count once; the smallest label wins.
+    ``sizes`` has the number of all such ids by label, ``ids`` is a frame (doc_id, label) of
+    bounded size. Left out are ids whose crc32, written as text, is divisible by 5, ids without
+    a document, and labels other than 0 and 1. Repeated label rows count once; the smallest
+    label wins. Ids are chosen by hash.
     """
     known = (
-        labels.select(F.col("doc_id").alias("_id"), F.col(label).cast("int").alias("label"))
-        .filter("_id is not null and label is not null")
-        .groupBy("_id")
+        labels.select("doc_id", F.col(label).cast("int").alias("label"))
+        .filter(F.col("label").isin(0, 1) & (crc_remainder(F.col("doc_id"), 5) != 0))
+        .groupBy("doc_id")
         .agg(F.min("label").alias("label"))
+        .join(documents.select("doc_id"), "doc_id", "left_semi")
     )
-    texts = documents.select("doc_id", "text").filter(crc_remainder(F.col("doc_id"), 5) != 0)
-    return texts.join(known, texts["doc_id"] == known["_id"]).select("doc_id", "text", "label")
-
-
-def bounded_labels(documents, labels, label, most):
-    """At most ``most`` ids of each label value, as in ``labelled_texts`` but without texts.
-
-    Ids are chosen by hash, so that the sample does not depend on their order.
-    """
-    from pyspark.sql import Window
-
-    ids = labelled_texts(documents.select("doc_id", F.lit("").alias("text")), labels, label)
-    ids = first_per_key(ids, ["doc_id"], [F.col("label")])
-    order = Window.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ranked = ids.withColumn("_rank", F.row_number().over(order))
-    return ranked.filter(F.col("_rank") <= most).select("doc_id", "label")
+    sizes = {row["label"]: row["count"] for row in known.groupBy("label").count().collect()}
+    ranked = top_per_key(known, ["label"], [F.xxhash64("doc_id"), F.col("doc_id")], most)
+    return sizes, ranked.select("doc_id", "label")
 
 
 def gathered(frame):
@@ -126,3 +116,11 @@ LETTER = re.compile(r"[^\W\d_]")
 
 def sigmoid(x):
     return 1.0 / (1.0 + np.exp(-np.clip(x, -30, 30)))
+
+
+def unused(frame, name):
+    """``name``, lengthened until no column of ``frame`` has it."""
+    taken = {column.lower() for column in frame.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

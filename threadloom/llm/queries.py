@@ -2,8 +2,9 @@
 
 from pyspark.sql import functions as F
 
-from threadloom.llm import decontaminate, url_filter
+from threadloom.llm import chunks, decontaminate, language, outliers, quality, toxicity, url_filter, warc
 from threadloom.llm.common import table
+from threadloom.session import scratch_dir
 
 QUERIES, ORACLE = {}, {}
 
@@ -117,3 +118,70 @@ select d.doc_id, cast(len(d.words) as bigint) as n_words,
 from doc_words d left join hit_words w on w.doc_id = d.doc_id
   left join hit_items i on i.doc_id = d.doc_id
 """
+
+
+# --- 3, 4: classifiers ---------------------------------------------------------
+
+
+@query
+def op3_toxicity(spark, sf):
+    return toxicity.classify(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
+@query
+def op4_quality_classifier(spark, sf):
+    return quality.classify(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
+# --- 10: language --------------------------------------------------------------
+
+
+@query
+def op10_language_id(spark, sf):
+    return language.identify(table(spark, sf, "documents"))
+
+
+# --- 7: WARC --------------------------------------------------------------------
+
+
+@query
+def op7_warc(spark, sf):
+    path = scratch_dir(spark, "warc")
+    warc.write_archive(table(spark, sf, "pages"), path)
+    return warc.read_archive(spark, path).select(
+        F.col("page_id").cast("bigint").alias("page_id"),
+        F.col("payload_length").alias("payload_bytes"),
+        "payload_digest",
+        "record_type",
+        F.col("refers_to").cast("bigint").alias("refers_to"),
+        "intact",
+    )
+
+
+ORACLE["op7_warc"] = """
+with hashed as (
+  select page_id, octet_length(encode(coalesce(html, ''))) as size,
+    sha256(coalesce(html, '')) as digest from pages),
+firsts as (select digest, min(page_id) as first from hashed where size >= 100 group by digest)
+select page_id, cast(size as bigint) as payload_bytes, hashed.digest as payload_digest,
+  case when first is null or first = page_id then 'response' else 'revisit' end as record_type,
+  case when first <> page_id then first end as refers_to, true as intact
+from hashed left join firsts on firsts.digest = hashed.digest and size >= 100
+"""
+
+
+# --- 8: quality rules -----------------------------------------------------------
+
+
+@query
+def op8_quality_rules(spark, sf):
+    return outliers.judge(table(spark, sf, "documents"))
+
+
+# --- 5: substring dedup ---------------------------------------------------------
+
+
+@query
+def op5_substring_dedup(spark, sf):
+    documents = table(spark, sf, "documents").select("doc_id", "text")
+    return chunks.dedupe_substrings(documents)
