@@ -6,8 +6,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from threadloom.operators.skew import top_per_key
-
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SPACES = b" \t\n\v\f\r"
 
@@ -102,8 +100,9 @@ def bounded_labels(documents, labels, label, most):
         .join(documents.select("doc_id"), "doc_id", "left_semi")
     )
     sizes = {row["label"]: row["count"] for row in known.groupBy("label").count().collect()}
-    ranked = top_per_key(known, ["label"], [F.xxhash64("doc_id"), F.col("doc_id")], most)
-    return sizes, ranked.select("doc_id", "label")
+    order = [F.xxhash64("doc_id"), F.col("doc_id")]
+    chosen = [known.filter(F.col("label") == value).orderBy(*order).limit(most) for value in (0, 1)]
+    return sizes, chosen[0].union(chosen[1]).select("doc_id", "label")
 
 
 def gathered(frame):

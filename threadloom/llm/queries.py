@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from threadloom.llm import chunks, decontaminate, language, outliers, quality, toxicity, url_filter, warc
+from threadloom.llm import chunks, decontaminate, language, mixing, near_dup, outliers, quality, toxicity, url_filter, warc
 from threadloom.llm.common import table
 from threadloom.session import scratch_dir
 
@@ -185,3 +185,47 @@ def op8_quality_rules(spark, sf):
 def op5_substring_dedup(spark, sf):
     documents = table(spark, sf, "documents").select("doc_id", "text")
     return chunks.dedupe_substrings(documents)
+
+
+# --- 9: near duplicates ---------------------------------------------------------
+
+
+@query
+def op9_near_dup(spark, sf):
+    return near_dup.group_documents(table(spark, sf, "documents"))
+
+
+# --- 6: mixing ------------------------------------------------------------------
+
+
+@query
+def op6_mixing(spark, sf):
+    labelled = mixing.quality_domains(table(spark, sf, "labels"))
+    return mixing.mix(table(spark, sf, "documents"), labelled, mixing.TARGETS)
+
+
+ORACLE["op9_near_dup"] = r"""
+with recursive words as (
+  select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w
+  from documents),
+shingles as (
+  select distinct doc_id, array_to_string(w[i:i + 2], ' ') as s
+  from (select doc_id, w, unnest(range(1, greatest(len(w) - 1, 2))) as i from words where len(w) > 0)),
+sizes as (select doc_id, count(*) as n from shingles group by doc_id),
+links as (
+  select a.doc_id as a, b.doc_id as b
+  from shingles a join shingles b on a.s = b.s and a.doc_id < b.doc_id
+  group by a.doc_id, b.doc_id
+  having 100 * count(*) >= 85 * ((select n from sizes where doc_id = a.doc_id)
+    + (select n from sizes where doc_id = b.doc_id) - count(*))),
+both_ways as (select a, b from links union select b, a from links),
+reach(doc, node) as (
+  select a, b from both_ways
+  union select reach.doc, both_ways.b from reach join both_ways on reach.node = both_ways.a),
+roots as (select doc, min(node) as low from reach group by doc)
+select w.doc_id, cast(coalesce(sizes.n, 0) as bigint) as n_shingles,
+  coalesce(least(roots.low, w.doc_id), w.doc_id) as component_id,
+  coalesce(least(roots.low, w.doc_id), w.doc_id) = w.doc_id as kept
+from words w left join sizes on sizes.doc_id = w.doc_id left join roots on roots.doc = w.doc_id
+"""

@@ -1,6 +1,6 @@
 """Toxicity: a factorization machine over hashed terms.
 
-Terms are the distinct words of a text and their first 4 and 5 bytes. The machine adds a weight
+Terms are the distinct words of a text and their first 4, 5 and 6 bytes. The machine adds a weight
 for each term and, for each pair of terms in a text, the product of their factor vectors, so a
 pair can weigh more than its parts. Fitted on a bounded sample of labels, MOST_LABELS of each
 value; its size is bounded by BUCKETS.
@@ -27,12 +27,16 @@ THRESHOLD = 0.5
 BUCKETS = 1 << 18
 LEAST_TEXTS = 5  # texts of the sample that a bucket must occur in
 FACTORS = 8
+PREFIXES = (4, 5, 6)  # bytes
 
 
 def terms_of(raw):
     """Sorted distinct buckets of a text."""
-    words = set(raw.translate(ALNUM).split())
-    terms = words | {w[:4] + b"*" for w in words if len(w) > 4} | {w[:5] + b"*" for w in words if len(w) > 5}
+    low = raw.decode("utf-8", "surrogatepass").lower().encode("utf-8", "surrogatepass")
+    words = set(low.translate(ALNUM).split())
+    terms = set(words)
+    for size in PREFIXES:
+        terms |= {word[:size] + b"*" for word in words if len(word) > size}
     return np.unique(np.fromiter(map(crc32, terms), np.int64, len(terms)) % BUCKETS)
 
 
@@ -53,21 +57,26 @@ class Machine:
         return float(sigmoid(self.base + self.weight[rows].sum(dtype=np.float64) + pairs))
 
 
-def fit_machine(texts, labels, weights, steps=80, rate=0.05, ridge=8.0, seed=7):
+def fit_machine(texts, labels, weights, steps=100, rate=0.01, ridge=4.0, least_spread=2.5, seed=7):
     """Full-batch descent with momentum; each term's step is scaled by how often it occurs.
 
-    ``texts`` are arrays of buckets. Terms in fewer than LEAST_TEXTS texts are left out.
+    ``texts`` are arrays of buckets. Left out are terms in fewer than LEAST_TEXTS texts and
+    those spread over both labels as chance would have it, up to ``least_spread`` deviations.
     """
     flat = np.concatenate(texts) if texts else np.zeros(0, np.int64)
     found = np.bincount(flat, minlength=BUCKETS)
-    used = np.flatnonzero(found >= LEAST_TEXTS)
+    mean = np.clip((weights * labels).sum() / max(weights.sum(), 1e-9), 1e-3, 1 - 1e-3)
+    owner = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
+    heavy = np.bincount(flat, weights[owner], BUCKETS)
+    surplus = np.bincount(flat, (weights * labels)[owner], BUCKETS) - mean * heavy
+    spread = np.sqrt(np.maximum(heavy * mean * (1 - mean), 1e-9))
+    used = np.flatnonzero((found >= LEAST_TEXTS) & (np.abs(surplus) >= least_spread * spread))
     rows = np.full(BUCKETS, -1, np.int32)
     rows[used] = np.arange(len(used))
     cells = rows[flat]
-    doc = np.repeat(np.arange(len(texts)), [len(t) for t in texts])[cells >= 0]
+    doc = owner[cells >= 0]
     cells = cells[cells >= 0]
     n, width = len(texts), len(used)
-    mean = np.clip((weights * labels).sum() / max(weights.sum(), 1e-9), 1e-3, 1 - 1e-3)
     base = float(np.log(mean / (1 - mean)))
     weight = np.zeros(width)
     factor = np.random.default_rng(seed).normal(0, 0.01, (width, FACTORS))
