@@ -75,7 +75,7 @@ def chunk_digests(raw):
     ends, words = chunk_ends(raw)
     blank = raw.translate(BLANKS)
     digests = [
-        xxhash.xxh3_64_intdigest(blank[a:b].rstrip()) for a, b in zip([0, *ends[:-1]], ends, strict=True)
+        xxhash.xxh3_64_intdigest(blank[a:b].rstrip()) for a, b in zip([0, *ends], ends, strict=False)
     ]
     return np.array(digests, np.uint64).view(np.int64), words
 

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from threadloom.llm.common import ALNUM, arrow_schema, encoded, rows_of
+from threadloom.llm.common import ALNUM, arrow_schema, encoded, map_rows, rows_of, unused
 from threadloom.session import materialize
 
 WINDOW = 10
@@ -155,6 +155,28 @@ def match_benchmark(documents, benchmark, size=WINDOW):
     return rows
 
 
+def mark_rows(documents, benchmark, name, size=WINDOW):
+    """Every row of ``documents`` with the number of words it shares with benchmark windows as
+    ``name``; summed over the blocks of a large benchmark. Other columns are handed through."""
+    rows = documents.withColumn(name, F.lit(0).cast("bigint"))
+    part = unused(rows, "_part")
+    for block, last in _blocks(benchmark):
+        shared = rows.sparkSession.sparkContext.broadcast(block)
+
+        built = []
+
+        def count(columns, shared=shared, built=built):
+            if not built:
+                built.append(Matcher(shared.value, size))
+            return [[len(built[0].match(raw)[1]) for raw in encoded(columns["text"])]]
+
+        rows = map_rows(rows, count, f"{part} bigint")
+        rows = rows.withColumn(name, F.col(name) + F.col(part)).drop(part)
+        if not last:
+            rows = materialize(rows, "decontaminate")
+    return rows
+
+
 def item_digest(items):
     """Lowercase hex SHA-256 of the sorted ids, comma-joined."""
     return F.sha2(F.concat_ws(",", items).cast("binary"), 256)

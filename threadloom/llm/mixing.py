@@ -1,97 +1,201 @@
 """Mixing to target weights by soft membership, in DataFrame functions only.
 
-A naive Bayes classifier over hashed tokens, counted on the labelled table, gives each document
-the chances of the domains. Nonnegative rates (how often to use a document) are then fitted by
-projected gradient least squares, so that the expected tokens of each domain, summed over all
-documents, match the target weights. Residuals are measured in the metric of the documents' own
-second moments, which makes 1 the step length. A document's rate follows from its chances and
-the gradients so far, so no state is kept between steps and each step is one aggregation of as
-many sums as there are domains.
+A classifier counted on the labelled table gives each document the chances of the domains: log
+odds of its hashed words and three statistics go through a linear discriminant. Nonnegative
+rates (how often to use a document) are then fitted by projected gradient least squares, so that
+the expected tokens of each domain, summed over all documents, match the target weights.
+Residuals are measured in the metric of the documents' own second moments, which makes 1 the
+step length. A document's rate follows from its chances and the gradients so far, so no state is
+kept between steps, and each step is one aggregation of as many sums as there are domains.
 """
 
 import numpy as np
 from pyspark.sql import functions as F
 
+from threadloom.llm.common import UPPER
 from threadloom.session import materialize
 
-BUCKETS = 1 << 13  # bounds the model: BUCKETS numbers for each domain
-PRIOR = 4.0  # documents' worth of the corpus mean that each count starts from
-MOST_STEPS = 60
+BUCKETS = 1 << 15  # of hashed words: bounds the model
+PREFIX = 4  # characters of a word that are a word of their own
+SYMBOLS = "#*$%&|<>"
+PRIOR = 4.0  # documents that each count starts from, at the corpus mean
+# A bucket counts if some domain's share is so many deviations and so large a factor off.
+LEAST_SPREAD, LEAST_LIFT = 6.0, 1.2
+MOST_ODDS = 8.0
+STATISTICS = 3
+MOST_STEPS = 100
 TOLERANCE = 1e-6  # of all tokens
+RIDGE = 1e-3  # of the mean second moment: domains that no document tells apart stay so
+
+TARGETS = {"good_clean": 0.86, "good_toxic": 0.03, "poor_clean": 0.10, "poor_toxic": 0.01}
+
+
+def bound(value, use):
+    """``use(value)`` with ``value`` computed once, however often it is used."""
+    return F.transform(F.array(value), use)[0]
 
 
 def tokens_of(text):
-    """Whitespace-separated tokens of a text column, none for null."""
-    return F.filter(F.split(F.coalesce(text, F.lit("")), r"\s+"), lambda word: word != "")
-
-
-def buckets_of(tokens):
-    """Distinct hashed tokens and two tokens that tell of length and repetition."""
-    distinct = F.array_distinct(tokens)
-    size = F.size(tokens)
-    octave = F.floor(F.log2(size + F.lit(1)))
-    fresh = F.floor(F.size(distinct) * 16 / F.greatest(size, F.lit(1)))
-    marks = F.array(
-        F.concat_ws(" ", F.lit("fresh"), octave, fresh), F.concat_ws(" ", F.lit("size"), octave)
+    """Whitespace-separated tokens of a text column."""
+    return F.filter(F.split(text, r"\s+"), lambda word: word != "")
+
+
+def buckets_of(text):
+    """Distinct hashed words and word prefixes, case ignored."""
+    words = F.array_distinct(F.split(F.lower(text), r"[^\p{L}\p{N}]+"))
+    return bound(
+        words,
+        lambda w: F.array_distinct(
+            F.transform(
+                F.concat(w, F.transform(w, lambda x: F.concat(F.substring(x, 1, PREFIX), F.lit("*")))),
+                lambda x: F.pmod(F.xxhash64(x), F.lit(BUCKETS)).cast("int"),
+            )
+        ),
     )
-    words = F.concat(distinct, marks)
-    return F.array_distinct(F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(BUCKETS)).cast("int")))
+
+
+def statistics_of(text, tokens):
+    """Shares of symbols and capitals, and how far repetition exceeds what length explains."""
+    size = F.size(tokens).cast("double")
+
+    def share(characters):
+        rest = F.length(F.translate(text, characters, ""))
+        return F.sqrt((F.length(text) - rest) / F.greatest(F.length(text), F.lit(1)))
+
+    fresh = F.greatest(F.size(F.array_distinct(tokens)).cast("double"), F.lit(0.5))
+    repetition = F.log(fresh / F.greatest(size, F.lit(0.5))) + 0.12 * F.log(size + 1)
+    return F.array(share(SYMBOLS), share(UPPER), repetition)
+
+
+def described(documents, *others):
+    """``others`` of ``documents`` with n_tokens, buckets and stats of the text; null as empty."""
+
+    def of_text(text):
+        return bound(
+            tokens_of(text),
+            lambda tokens: F.struct(
+                F.size(tokens).cast("bigint").alias("n_tokens"),
+                buckets_of(text).alias("buckets"),
+                statistics_of(text, tokens).alias("stats"),
+            ),
+        )
+
+    text = F.coalesce(F.col("text"), F.lit(""))
+    return documents.select(*others, F.inline(F.array(bound(text, of_text))))
+
+
+def inputs(odds):
+    """The discriminant's inputs: clipped log odds of the words against domain 0, statistics."""
+
+    def odd(table):
+        values = F.lit(np.round(table, 6))
+        total = F.aggregate("buckets", F.lit(0.0), lambda s, b: s + F.get(values, b))
+        return F.greatest(F.lit(-MOST_ODDS), F.least(F.lit(MOST_ODDS), total))
+
+    return F.concat(F.array(*[odd(table) for table in odds]), F.col("stats"))
 
 
 def fit_domains(documents, labelled, domains):
-    """Log ratios of each bucket by domain, and log priors, from whole labelled texts.
+    """(odds, slopes, offsets) of the classifier, from all labelled texts as a whole.
 
     ``labelled`` has (doc_id, domain); rows of other domains are ignored, a repeated doc_id
-    counts once for each of its domains. The result holds BUCKETS numbers for each domain.
+    counts once for each of its domains. The model's size depends on BUCKETS and domains only.
     """
     known = labelled.filter(F.col("domain").isin(domains) & F.col("doc_id").isNotNull())
     known = known.select("doc_id", "domain").distinct()
     texts = documents.select("doc_id", "text").join(known, "doc_id")
-    found = texts.select("domain", F.explode(buckets_of(tokens_of(F.col("text")))).alias("bucket"))
-    counts = np.zeros((len(domains), BUCKETS))
-    for row in found.groupBy("domain", "bucket").count().collect():  # at most domains x BUCKETS
-        counts[domains.index(row["domain"]), row["bucket"]] = row["count"]
+    texts = materialize(described(texts, "domain"), "labelled")
     sizes = np.zeros(len(domains))
     for row in texts.groupBy("domain").count().collect():
         sizes[domains.index(row["domain"])] = row["count"]
+    counts = np.zeros((len(domains), BUCKETS))
+    found = texts.select("domain", F.explode("buckets").alias("bucket")).groupBy("domain", "bucket")
+    for row in found.count().collect():  # at most domains x BUCKETS
+        counts[domains.index(row["domain"]), row["bucket"]] = row["count"]
     total = sizes.sum()
-    mean = (counts.sum(axis=0) + 0.5) / (total + 1)
-    expected = sizes[:, None] * mean
-    priors = np.log((sizes + 1) / (total + len(domains)))
-    return np.log((counts + PRIOR) / (expected + PRIOR)), priors
-
-
-def with_chances(documents, ratios, priors):
+    expected = sizes[:, None] * (counts.sum(axis=0) + 0.5) / (total + 1)
+    ratios = np.log((counts + PRIOR) / (expected + PRIOR))
+    telling = np.abs(counts - expected) >= LEAST_SPREAD * np.sqrt(expected + 1)
+    ratios[:, ~(telling & (np.abs(ratios) >= LEAST_LIFT)).any(axis=0)] = 0
+    odds = ratios[1:] - ratios[0]
+    width = len(odds) + STATISTICS
+    x = [F.col("x")[i] for i in range(width)]
+    rows = texts.select("domain", inputs(odds).alias("x"))
+    sums = rows.groupBy("domain").agg(
+        *[F.sum(x[i]) for i in range(width)],
+        *[F.sum(x[i] * x[j]) for i in range(width) for j in range(width)],
+    )
+    centre, spread = np.zeros((len(domains), width)), np.zeros((width, width))
+    for row in sums.collect():
+        at, values = domains.index(row["domain"]), np.array(row[1:], float)
+        centre[at] = values[:width] / sizes[at]
+        spread += values[width:].reshape(width, width) - sizes[at] * np.outer(centre[at], centre[at])
+    inverse = np.linalg.pinv(spread / max(total, 1) + 1e-6 * np.eye(width))
+    slopes = centre @ inverse
+    priors = np.log((sizes + 0.5) / (total + 0.5 * len(domains)))
+    return odds, slopes, priors - 0.5 * (slopes * centre).sum(axis=1)
+
+
+def with_chances(documents, model):
     """``n_tokens`` and ``chances`` (one for each domain, summing to 1) instead of ``text``."""
-    others = [F.col(c) for c in documents.columns if c not in ("text", "n_tokens", "chances")]
-    tokens = tokens_of(F.col("text"))
-    hashed = documents.select(
-        *others, F.size(tokens).cast("bigint").alias("n_tokens"), buckets_of(tokens).alias("chances")
+    odds, slopes, offsets = model
+    others = [c for c in documents.columns if c not in ("text", "n_tokens", "chances")]
+
+    def scores(x):
+        return F.array(
+            *[
+                F.lit(float(offset)) + sum(x[i] * float(s) for i, s in enumerate(slope))
+                for slope, offset in zip(slopes, offsets, strict=True)
+            ]
+        )
+
+    def shares(parts):
+        return bound(
+            F.aggregate(parts, F.lit(0.0), lambda s, c: s + c),
+            lambda total: F.transform(parts, lambda c: c / total),
+        )
+
+    def chances(values):
+        raised = bound(
+            F.array_max(values), lambda top: F.transform(values, lambda s: F.exp(s - top))
+        )
+        return bound(raised, shares)
+
+    texts = described(documents, *[F.col(c) for c in others])
+    return texts.select(
+        *others, "n_tokens", bound(bound(inputs(odds), scores), chances).alias("chances")
     )
 
-    def score(ratio, prior):
-        table = F.lit(np.round(ratio, 6))
-        return F.aggregate("chances", F.lit(float(prior)), lambda s, b: s + F.get(table, b))
 
-    scores = [score(ratio, prior) for ratio, prior in zip(ratios, priors, strict=True)]
-    scored = hashed.withColumn("chances", F.array(*scores))
-    top = F.array_max("chances")
-    raised = scored.withColumn("chances", F.transform("chances", lambda s: F.exp(s - top)))
-    total = F.aggregate("chances", F.lit(0.0), lambda s, c: s + c)
-    return raised.withColumn("chances", F.transform("chances", lambda c: c / total))
+def rate_column(steps, ahead=False):
+    """The rate after these steps: from 1, each moves it and cuts it off at 0.
 
+    A step is a gradient and a momentum, by which the next one starts further on; ``ahead``
+    gives the point where the next gradient is to be taken.
+    """
+    if not steps:
+        return F.lit(1.0)
+    values = F.array(*[F.lit(np.array([*gradient, push], float)) for gradient, push in steps])
+    size = len(steps[0][0])
+
+    def step(state, values):
+        move = sum(F.col("chances")[i] * values[i] for i in range(size))
+        return bound(
+            F.greatest(F.lit(0.0), state["ahead"] - move),
+            lambda r: F.struct(r.alias("rate"), (r + values[size] * (r - state["rate"])).alias("ahead")),
+        )
 
-def rate_column(gradients):
-    """The rate after these gradients: from 1, each step moves it and cuts it off at 0."""
-    rate = F.lit(1.0)
-    for gradient in gradients:
-        move = sum(F.col("chances")[i] * float(g) for i, g in enumerate(gradient))
-        rate = F.greatest(F.lit(0.0), rate - move)
-    return rate
+    start = F.struct(F.lit(1.0).alias("rate"), F.lit(1.0).alias("ahead"))
+    return F.aggregate(values, start, step)["ahead" if ahead else "rate"]
 
 
 def fit_rates(scored, weights, steps=MOST_STEPS, tolerance=TOLERANCE):
-    """Gradients that take the domains' expected tokens to ``weights`` shares of all tokens."""
+    """The steps that take the domains' expected tokens to ``weights`` shares of all tokens.
+
+    Projected gradient with momentum, started anew where the distance rises. Ends when every
+    domain is within ``tolerance`` of all tokens, or with the gradient, which targets out of
+    reach keep above 0, at rest.
+    """
     size = len(weights)
     tokens = F.col("n_tokens").cast("double")
     chance = [F.col("chances")[i] for i in range(size)]
@@ -99,19 +203,23 @@ def fit_rates(scored, weights, steps=MOST_STEPS, tolerance=TOLERANCE):
     *products, total = scored.agg(*sums, F.sum(tokens)).first()
     if not total:
         return []
-    metric = np.linalg.pinv(np.array(products, float).reshape(size, size) / total, rcond=1e-9)
+    moments = np.array(products, float).reshape(size, size) / total
+    metric = np.linalg.inv(moments + RIDGE * np.trace(moments) / size * np.eye(size))
     target = np.array(weights, float) / sum(weights)
-    gradients, best = [], np.inf
+    taken, last, pace = [], np.inf, 1.0
     for _ in range(steps):
-        rate = rate_column(gradients)
-        now = scored.agg(*[F.sum(tokens * rate * c) for c in chance]).first()
+        rated = scored.select(tokens.alias("t"), "chances", rate_column(taken, ahead=True).alias("r"))
+        now = rated.agg(*[F.sum(F.col("t") * F.col("r") * c) for c in chance]).first()
         left = np.array(now, float) / total - target
         away = float(left @ metric @ left)
-        if np.abs(left).max() <= tolerance or away > best * (1 - 1e-9):
+        if np.abs(left).max() <= tolerance or abs(away - last) <= 1e-9 * away:
             break
-        best = away
-        gradients.append(metric @ left)
-    return gradients
+        if away > last:
+            pace = 1.0
+        following = (1 + np.sqrt(1 + 4 * pace**2)) / 2
+        taken.append((metric @ left, (pace - 1) / following))
+        last, pace = away, following
+    return taken
 
 
 def mix(documents, labelled, targets):
@@ -122,25 +230,21 @@ def mix(documents, labelled, targets):
     nonnegative ones for which expected tokens come nearest to the targets. ``copies`` turns
     the rate into a whole number, rounded up or down by the hash of the doc_id. Null and empty
     texts have no tokens and the rate their chances give them. Without labels all chances are
-    equal. Repeated rows repeat. Further columns are handed through; those named like an added
-    one are replaced.
+    equal, without tokens all rates are 1. Repeated rows repeat. Further columns are handed
+    through; those named like an added one are replaced.
     """
     domains = list(targets)
     documents = documents.drop("rate", "copies")
-    ratios, priors = fit_domains(documents, labelled, domains)
-    scored = materialize(with_chances(documents, ratios, priors), "chances")
+    model = fit_domains(documents, labelled, domains)
+    scored = materialize(with_chances(documents, model), "chances")
     rate = rate_column(fit_rates(scored, [targets[d] for d in domains]))
     share = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / (1 << 20)
-    rated = scored.withColumn("rate", rate)
-    return rated.withColumn("copies", F.floor(F.col("rate") + share))
+    return scored.withColumn("rate", rate).withColumn("copies", F.floor(F.col("rate") + share))
 
 
 def quality_domains(labels):
     """(doc_id, domain) of the labels table: quality and toxicity together."""
     quality = F.when(F.col("quality") == 1, "good").when(F.col("quality") == 0, "poor")
     toxic = F.when(F.col("toxic") == 1, "toxic").when(F.col("toxic") == 0, "clean")
-    both = labels.select("doc_id", F.concat_ws("_", quality, toxic).alias("domain"), quality.alias("q"), toxic.alias("t"))
-    return both.filter("q is not null and t is not null").select("doc_id", "domain")
-
-
-TARGETS = {"good_clean": 0.86, "good_toxic": 0.03, "poor_clean": 0.10, "poor_toxic": 0.01}
+    named = labels.select("doc_id", quality.alias("q"), toxic.alias("t")).dropna(subset=["q", "t"])
+    return named.select("doc_id", F.concat_ws("_", "q", "t").alias("domain"))
