@@ -12,12 +12,11 @@ kept between steps, and each step is one aggregation of as many sums as there ar
 import numpy as np
 from pyspark.sql import functions as F
 
-from threadloom.llm.common import UPPER
 from threadloom.session import materialize
 
 BUCKETS = 1 << 15  # of hashed words: bounds the model
 PREFIX = 4  # characters of a word that are a word of their own
-SYMBOLS = "#*$%&|<>"
+SYMBOLS = "#*$%&|<>"  # as the inside of a regex class
 PRIOR = 4.0  # documents that each count starts from, at the corpus mean
 # A bucket counts if some domain's share is so many deviations and so large a factor off.
 LEAST_SPREAD, LEAST_LIFT = 6.0, 1.2
@@ -59,12 +58,12 @@ def statistics_of(text, tokens):
     size = F.size(tokens).cast("double")
 
     def share(characters):
-        rest = F.length(F.translate(text, characters, ""))
-        return F.sqrt((F.length(text) - rest) / F.greatest(F.length(text), F.lit(1)))
+        found = F.regexp_count(text, F.lit(f"[{characters}]"))
+        return F.sqrt(found / F.greatest(F.length(text), F.lit(1)))
 
     fresh = F.greatest(F.size(F.array_distinct(tokens)).cast("double"), F.lit(0.5))
     repetition = F.log(fresh / F.greatest(size, F.lit(0.5))) + 0.12 * F.log(size + 1)
-    return F.array(share(SYMBOLS), share(UPPER), repetition)
+    return F.array(share(SYMBOLS), share("A-Z"), repetition)
 
 
 def described(documents, *others):
@@ -84,15 +83,35 @@ def described(documents, *others):
     return documents.select(*others, F.inline(F.array(bound(text, of_text))))
 
 
+def constant(values, kind):
+    """An array of numbers as one literal; Spark parses it once, while it plans."""
+    return F.split(F.lit(",".join(f"{v:.9g}" for v in values)), ",").cast(f"array<{kind}>")
+
+
 def inputs(odds):
-    """The discriminant's inputs: clipped log odds of the words against domain 0, statistics."""
+    """The discriminant's inputs: clipped log odds of the words against domain 0, statistics.
+
+    Only buckets with odds are looked up; a text has few of them.
+    """
+    telling = np.flatnonzero((odds != 0).any(axis=0))
+    names = constant(telling, "int") if len(telling) else F.array().cast("array<int>")
 
-    def odd(table):
-        values = F.lit(np.round(table, 6))
-        total = F.aggregate("buckets", F.lit(0.0), lambda s, b: s + F.get(values, b))
+    def odd(found, table):
+        values = constant(table[telling], "double")
+
+        def add(total, bucket):
+            place = (F.array_position(names, bucket) - 1).cast("int")
+            return total + F.get(values, place)
+
+        total = F.aggregate(found, F.lit(0.0), add)
         return F.greatest(F.lit(-MOST_ODDS), F.least(F.lit(MOST_ODDS), total))
 
-    return F.concat(F.array(*[odd(table) for table in odds]), F.col("stats"))
+    if not len(telling):
+        return F.concat(F.array(*[F.lit(0.0) for _ in odds]), F.col("stats"))
+    return bound(
+        F.array_intersect("buckets", names),
+        lambda found: F.concat(F.array(*[odd(found, table) for table in odds]), F.col("stats")),
+    )
 
 
 def fit_domains(documents, labelled, domains):
