@@ -2,27 +2,28 @@
 
 A document's set of word shingles gets a MinHash signature of COORDINATES values. Documents are
 posted under each (coordinate, value) pair, and two are compared if they agree in at least
-AGREE coordinates. Prefix merging: of two such documents, the COORDINATES - AGREE + 1 rarest
+``agree`` coordinates. Prefix merging: of two such documents, the COORDINATES - agree + 1 rarest
 pairs of each share one, so only those are posted. Skip merging: equal sets are put together
-first; each list is then matched with its most central document, which links most members of
-a family of copies; afterwards only lists that still hold several components are looked at,
-and in them only documents of different components. Every link is confirmed on full sets.
+first; each list is matched with its most central document, its hub, which links most members
+of a family of copies. Members of different components that remain are compared only if their
+differences from the hub, as counted, leave room for a link: what one lacks of the hub and what
+it alone adds to it are in no other member. Every link is confirmed on full sets.
 """
 
+from math import comb
+
 import numpy as np
 import xxhash
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from threadloom.llm.common import ascii_lower, encoded, map_rows
+from threadloom.llm.common import ascii_lower, encoded, map_rows, unused
 from threadloom.session import materialize
 
 SHINGLE_WORDS = 3
 LEAST_PERCENT = 85
-COORDINATES = 32
-# Chance of a pair with similarity 0.85 to agree in fewer than 15 of 32 coordinates: 1e-7.
-AGREE = 15
-HUB_ROUNDS = 2
+COORDINATES = 64
+MISSED = 1e-6  # chance of a pair just similar enough to agree in too few coordinates
 
 _RANDOM = np.random.default_rng(9)
 FACTORS = _RANDOM.integers(1, 1 << 63, COORDINATES, dtype=np.uint64) | np.uint64(1)
@@ -30,6 +31,16 @@ OFFSETS = _RANDOM.integers(0, 1 << 63, COORDINATES, dtype=np.uint64)
 MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xFF51AFD7ED558CCD))
 
 
+def least_agreeing(percent=LEAST_PERCENT):
+    """The most coordinates that a pair of this similarity misses with chance MISSED at most."""
+    share, below = percent / 100, 0.0
+    for agree in range(COORDINATES + 1):
+        below += comb(COORDINATES, agree) * share**agree * (1 - share) ** (COORDINATES - agree)
+        if below > MISSED:
+            return agree
+    return COORDINATES
+
+
 def shingles_of(raw, size=SHINGLE_WORDS):
     """Sorted distinct 64-bit hashes of the word shingles of a text whose A-Z are lower case.
 
@@ -88,116 +99,128 @@ def linked_sizes(a, b, percent=LEAST_PERCENT):
 def postings(classes, percent=LEAST_PERCENT):
     """(token, doc, n, weight): the rarest tokens of each class that some other class shares.
 
-    Sets that can be similar to no other set are left out. Of a document's tokens those held by
-    no other come first in the order of rarity and need no list. ``weight`` is the number of
-    lists places of all its tokens: central members of a family have the most.
+    Sets that can be similar to no other set are left out, and so are classes without enough
+    tokens that others share. Of a document's tokens those held by no other come first in the
+    order of rarity and need no list. ``weight`` is the number of places of all its tokens:
+    central members of a family have the most.
     """
+    agree = least_agreeing(percent)
     able = classes.filter(f"100 * n >= {percent} * (n + 1)")
-    tokens = able.select(
-        "doc",
-        "n",
-        F.posexplode("signature").alias("coordinate", "value"),
-    ).select(
+    tokens = able.select("doc", "n", F.posexplode("signature").alias("coordinate", "value"))
+    tokens = tokens.select(
         (F.shiftleft(F.col("coordinate").cast("bigint"), 32) + F.col("value")).alias("token"), "doc", "n"
     )
     held = tokens.groupBy("token").agg(F.count("*").alias("held")).filter("held > 1")
-    shared = tokens.join(held, "token")
     own = Window.partitionBy("doc")  # COORDINATES rows at most
     ranked = (
-        shared.withColumn("rank", F.row_number().over(own.orderBy("held", "token")))
+        tokens.join(held, "token")
+        .withColumn("rank", F.row_number().over(own.orderBy("held", "token")))
         .withColumn("tokens", F.count("*").over(own))
         .withColumn("weight", F.sum("held").over(own))
     )
-    return ranked.filter(F.col("rank") <= F.col("tokens") - (AGREE - 1)).select(
+    return ranked.filter(F.col("rank") <= F.col("tokens") - (agree - 1)).select(
         "token", "doc", "n", "weight"
     )
 
 
-def hub_pairs(lists, turn):
-    """Pairs (a, b) of a hub of each list and the list's members of other components.
+def hubs_of(lists):
+    """(token, hub, hub_n) of each list with two members or more: the one with most weight."""
+    heaviest = F.max(F.struct("weight", "doc", "n")).alias("top")
+    tops = lists.groupBy("token").agg(heaviest, F.count("*").alias("members")).filter("members > 1")
+    return tops.select("token", F.col("top.doc").alias("hub"), F.col("top.n").alias("hub_n"))
 
-    The first hub is the member with the most weight. Later ones have the most weight among
-    the members that are not in the component of the first.
-    """
-    heaviest = F.max(F.struct("weight", "doc", "n", "component"))
-    if turn:
-        first = lists.groupBy("token").agg(heaviest.alias("first")).select("token", "first.component")
-        first = first.withColumnRenamed("component", "main")
-        outside = lists.join(first, "token").filter("component <> main").drop("main")
-    else:
-        outside = lists
-    hubs = outside.groupBy("token").agg(heaviest.alias("hub")).select(
-        "token",
-        F.col("hub.doc").alias("hub"),
-        F.col("hub.n").alias("hub_n"),
-        F.col("hub.component").alias("hub_component"),
-    )
+
+def hub_pairs(lists, hubs):
+    """Distinct (a, b): a hub and a member of its lists that may be similar by size."""
     return (
         lists.join(hubs, "token")
-        .filter("component <> hub_component")
+        .filter("doc <> hub")
         .filter(linked_sizes("n", "hub_n"))
-        .select(F.least("doc", "hub").alias("a"), F.greatest("doc", "hub").alias("b"))
+        .select(F.col("hub").alias("a"), F.col("doc").alias("b"))
         .distinct()
     )
 
 
-def rest_pairs(lists):
-    """Pairs (a, b) of members of different components of each list that still has several."""
-    spread = (
-        lists.groupBy("token")
-        .agg(F.min("component").alias("low"), F.max("component").alias("high"))
-        .filter("low < high")
-        .select("token")
+def differences(compared):
+    """(hub, doc, lacks, alone): shingles of the hub that a member lacks, and shingles that it
+    adds to the hub and no other member of the hub's lists does."""
+    added = compared.select("a", "b", F.explode("added").alias("shingle"))
+    single = added.groupBy("a", "shingle").agg(F.count("*").alias("n"), F.min("b").alias("b"))
+    alone = single.filter("n = 1").groupBy("a", "b").agg(F.count("*").alias("alone"))
+    members = compared.select("a", "b", "lacks").join(alone, ["a", "b"], "left")
+    return members.select(
+        F.col("a").alias("hub"), F.col("b").alias("doc"), "lacks", F.coalesce("alone", F.lit(0)).alias("alone")
     )
-    left = lists.join(spread, "token", "left_semi")
-    right = left.select(
-        "token", F.col("doc").alias("b"), F.col("n").alias("b_n"), F.col("component").alias("b_component")
+
+
+def rest_pairs(lists, hubs, known, percent=LEAST_PERCENT):
+    """Distinct (a, b) of a list's members in different components that may still be linked.
+
+    Two members differ at least by what each alone adds to the hub and by the difference of
+    what they lack of it. Members whose difference from the hub is not known are not left out.
+    """
+    spread = lists.groupBy("token").agg(
+        F.min("component").alias("low"), F.max("component").alias("high")
     )
+    mixed = lists.join(spread.filter("low < high").select("token"), "token", "left_semi")
+    left = mixed.join(hubs.select("token", "hub"), "token").filter("doc <> hub").join(known, ["hub", "doc"], "left")
+    left = left.select("token", "doc", "n", "component", "lacks", "alone")
+    right = left.select(*[F.col(c).alias(c if c == "token" else f"other_{c}") for c in left.columns])
+    apart = "alone + other_alone + abs(lacks - other_lacks)"
+    room = f"coalesce((100 + {percent}) * ({apart}) <= (100 - {percent}) * (n + other_n), true)"
     return (
         left.join(right, "token")
-        .filter("doc < b and component <> b_component")
-        .filter(linked_sizes("n", "b_n"))
-        .select(F.col("doc").alias("a"), "b")
+        .filter("doc < other_doc and component <> other_component")
+        .filter(linked_sizes("n", "other_n"))
+        .filter(room)
+        .select(F.col("doc").alias("a"), F.col("other_doc").alias("b"))
         .distinct()
     )
 
 
-def agreeing(pairs, classes):
-    """The pairs whose signatures agree in at least AGREE coordinates."""
+def agreeing(pairs, classes, percent=LEAST_PERCENT):
+    """The pairs whose signatures agree in as many coordinates as similar sets would."""
     signatures = classes.select("doc", "signature")
     both = pairs.join(signatures.select(F.col("doc").alias("a"), F.col("signature").alias("sa")), "a").join(
         signatures.select(F.col("doc").alias("b"), F.col("signature").alias("sb")), "b"
     )
     equal = F.size(F.filter(F.zip_with("sa", "sb", lambda x, y: x == y), lambda same: same))
-    return both.filter(equal >= AGREE).select("a", "b")
+    return both.filter(equal >= least_agreeing(percent)).select("a", "b")
 
 
-def confirmed(pairs, texts, percent=LEAST_PERCENT, size=SHINGLE_WORDS):
-    """The pairs whose full shingle sets are similar enough, with ``inter`` and ``total``."""
+def compare(pairs, texts, size=SHINGLE_WORDS):
+    """``pairs`` with ``inter`` and ``total`` of the full shingle sets, the number of shingles
+    that b ``lacks`` of a, and those that b has ``added`` to a."""
 
-    def compare(columns):
+    def sets(columns):
         held = {}
 
-        def sets(ids, raws):
+        def cached(ids, raws):
             for key, raw in zip(ids.to_pylist(), raws, strict=True):
                 if key not in held:
                     held[key] = shingles_of(raw, size)
                 yield held[key]
 
-        inter, total = [], []
-        for x, y in zip(
-            sets(columns["a"], encoded(columns["ta"])), sets(columns["b"], encoded(columns["tb"])), strict=True
-        ):
-            same = len(np.intersect1d(x, y, assume_unique=True))
-            inter.append(same)
-            total.append(len(x) + len(y) - same)
-        return inter, total
+        both = zip(
+            cached(columns["a"], encoded(columns["ta"])), cached(columns["b"], encoded(columns["tb"])), strict=True
+        )
+        inter, total, lacks, added = [], [], [], []
+        for x, y in both:
+            new = np.setdiff1d(y, x, assume_unique=True)
+            inter.append(len(y) - len(new))
+            total.append(len(x) + len(new))
+            lacks.append(len(x) - inter[-1])
+            added.append(new.view(np.int64))
+        return inter, total, lacks, added
 
     both = pairs.join(texts.select(F.col("doc").alias("a"), F.col("text").alias("ta")), "a").join(
         texts.select(F.col("doc").alias("b"), F.col("text").alias("tb")), "b"
     )
-    compared = map_rows(both, compare, "inter bigint, total bigint").drop("ta", "tb")
-    return compared.filter(f"100 * inter >= {percent} * total")
+    return map_rows(both, sets, "inter bigint, total bigint, lacks bigint, added array<bigint>").drop("ta", "tb")
+
+
+def linked(compared, percent=LEAST_PERCENT):
+    return compared.filter(f"100 * inter >= {percent} * total").select("a", "b")
 
 
 def components(edges):
@@ -228,51 +251,35 @@ def components(edges):
 
 def with_components(lists, links):
     """``lists`` with the ``component`` of each document under ``links``."""
-    roots = components(links)
-    return lists.drop("component").join(
-        roots.select(F.col("node").alias("doc"), "root"), "doc", "left"
-    ).withColumn("component", F.coalesce("root", "doc")).drop("root")
+    roots = components(links).select(F.col("node").alias("doc"), "root")
+    return lists.join(roots, "doc", "left").withColumn("component", F.coalesce("root", "doc")).drop("root")
 
 
-def link_classes(classes, documents, percent=LEAST_PERCENT, rounds=HUB_ROUNDS):
+def link_classes(classes, documents, percent=LEAST_PERCENT, size=SHINGLE_WORDS):
     """Confirmed links (a, b) between classes that keep all components whole.
 
     A pair of similar sets is either returned or inside a component of returned links.
     """
-    lists = materialize(
-        postings(classes, percent).withColumn("component", F.col("doc")), "postings"
-    )
+    lists = materialize(postings(classes, percent), "postings")
     wanted = classes.select("doc", "tag").join(lists.select("doc"), "doc", "left_semi")
     texts = documents.select(F.col("doc_id").alias("doc"), lowered(F.col("text")).alias("text"))
     texts = texts.withColumn("tag", F.xxhash64("text")).join(wanted, ["doc", "tag"], "left_semi")
     texts = materialize(texts.drop("tag"), "texts")
-    links, tried = None, None
-    for turn in range(rounds + 1):
-        pairs = hub_pairs(lists, turn) if turn < rounds else rest_pairs(lists)
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = materialize(agreeing(pairs, classes), "pairs")
-        tried = pairs if tried is None else tried.union(pairs)
-        found = materialize(confirmed(pairs, texts, percent).select("a", "b"), "links")
-        links = found if links is None else links.union(found)
-        if turn < rounds:
-            lists = materialize(with_components(lists, links), "postings")
-    return links
-
-
-def group_documents(documents, percent=LEAST_PERCENT, size=SHINGLE_WORDS):
-    """(doc_id, n_shingles, component_id, kept) for each document.
-
-    Documents whose shingle sets have 100 * intersection >= percent * union are linked;
-    ``component_id`` is the smallest doc_id of all that are linked over any number of steps,
-    and ``kept`` marks it. Null and empty texts are linked with nothing. Rows that repeat a
-    doc_id are one document; if their texts differ, the one with the smallest set hash counts.
-    Rows without an id come back once for each, linked with nothing, kept, component_id null.
-    Further columns are ignored, whatever their names.
-    """
+    hubs = materialize(hubs_of(lists), "hubs")
+    first = agreeing(hub_pairs(lists, hubs), classes, percent)
+    compared = materialize(compare(first, texts, size), "compared")
+    links = linked(compared, percent)
+    placed = materialize(with_components(lists, links), "placed")
+    rest = rest_pairs(placed, hubs, materialize(differences(compared), "differences"), percent)
+    rest = materialize(agreeing(rest, classes, percent), "pairs")
+    return links.union(materialize(linked(compare(rest, texts, size), percent), "links"))
+
+
+def group_rows(documents, percent=LEAST_PERCENT, size=SHINGLE_WORDS):
+    """As ``group_documents``, with ``tag``, a hash of the text that stands for the document."""
     signed = materialize(sign(documents, size), "signatures")
     known = signed.filter("doc_id is not null")
-    first = Window.partitionBy("doc_id").orderBy("set_hash")
+    first = Window.partitionBy("doc_id").orderBy("set_hash", "tag")
     known = known.withColumn("_rank", F.row_number().over(first)).filter("_rank = 1").drop("_rank")
     known = materialize(known, "documents")
     full = known.filter("n_shingles > 0")
@@ -281,12 +288,40 @@ def group_documents(documents, percent=LEAST_PERCENT, size=SHINGLE_WORDS):
         F.col("doc_id").alias("doc"), "tag", F.col("n_shingles").alias("n"), "signature"
     )
     classes = materialize(classes, "classes")
-    roots = components(link_classes(classes, documents, percent))
-    members = full.join(smallest, "set_hash").select("doc_id", "n_shingles", "class")
+    roots = components(link_classes(classes, documents, percent, size))
+    members = full.join(smallest, "set_hash").select("doc_id", "tag", "n_shingles", "class")
     placed = members.join(roots, members["class"] == roots["node"], "left").select(
-        "doc_id", "n_shingles", F.coalesce("root", "class").alias("component_id")
+        "doc_id", "tag", "n_shingles", F.coalesce("root", "class").alias("component_id")
     )
-    alone = known.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    nameless = signed.filter("doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    own = F.col("doc_id").alias("component_id")
+    alone = known.filter("n_shingles = 0").select("doc_id", "tag", "n_shingles", own)
+    nameless = signed.filter("doc_id is null").select("doc_id", "tag", "n_shingles", own)
     every = placed.unionByName(alone).unionByName(nameless)
     return every.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def group_documents(documents, percent=LEAST_PERCENT, size=SHINGLE_WORDS):
+    """(doc_id, n_shingles, component_id, kept) for each document.
+
+    Documents whose shingle sets have 100 * intersection >= percent * union are linked;
+    ``component_id`` is the smallest doc_id of all that are linked over any number of steps,
+    and ``kept`` marks it. Null and empty texts are linked with nothing. Rows that repeat a
+    doc_id are one document; if their texts differ, the one with the smallest set hash counts.
+    Rows without an id come back once for each, linked with nothing, kept, component_id null.
+    Further columns are ignored, whatever their names.
+    """
+    return group_rows(documents, percent, size).drop("tag")
+
+
+def keep_one(documents, percent=80, size=5):
+    """The rows of ``documents`` that stay when one of each group does, columns as they were.
+
+    Of rows that repeat a doc_id one stays; rows without an id all stay.
+    """
+    tag = unused(documents, "_tag")
+    kept = group_rows(documents, percent, size).filter("kept and doc_id is not null")
+    kept = kept.select("doc_id", F.col("tag").alias(tag))
+    tagged = documents.withColumn(tag, F.xxhash64(lowered(F.col("text"))))
+    chosen = tagged.join(kept, ["doc_id", tag], "left_semi").dropDuplicates(["doc_id", tag])
+    nameless = tagged.filter("doc_id is null")
+    return chosen.unionByName(nameless).drop(tag)
