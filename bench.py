@@ -33,10 +33,14 @@ HEADLINE = [
     "insert_or_ignore",
     "latest_status_by_key",
     "rate_budget_audit",
+    "recent_replies_topk",
+    "live_buffer",
+    "job_progress",
     "chunk_rows",
     "throughput_per_minute",
     "decode_events",
     "scan_nested_posts",
+    "stream_enrich_comments",
     "stream_dedupe",
     "stream_end_to_end",
 ]

@@ -1,5 +1,4 @@
 import functools
-import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -21,24 +20,20 @@ SHAPES = [
 ]
 
 
-def _expected(raw, n, kind):
-    """Plain reading of the reply rules, one item at a time."""
-    found = {}
-    for number, reply in re.findall(r"\[(\d+)\]\s*(.*?)(?=\[\d+\]|$)", raw, re.DOTALL):
-        found[int(number)] = reply.strip()
-    bare = [re.sub(r"^\[\d+\]\s*", "", line.strip()).strip() for line in raw.strip().split("\n")]
-    bare = [line for line in bare if line]
-    out = []
-    for place in range(1, n + 1):
-        if place in found:
-            out.append(found[place])
-        elif place <= len(bare):
-            out.append(bare[place - 1])
-        elif kind == "mixed_post" and not raw.strip():
-            out.append(fixed.NO_REPLY)
-        else:
-            out.append(raw.strip()[:150])
-    return out
+HUGE = "lead in [1] x [99] far [0] zero [99999999999999999999] huge"
+SHORT = "q" * 150
+# replies one, two and three of each shape; a blank answer differs by kind
+EXPECTED = [
+    ["foo\nbar", "again", "baz [x] q"],
+    ["", "b", "a"],
+    ["no markers at all", "second line", "no markers at all\n\nsecond line"],
+    None,
+    ["only two", "only two", "[2] only two"],
+    ["x", HUGE, HUGE],
+    ["", "b", "[1]\n[2] \u00a0b"],
+    ["q" * 400, SHORT, SHORT],
+]
+BLANK = {"same_post": [""] * 3, "mixed_post": [fixed.NO_REPLY] * 3}
 
 
 @pytest.mark.parametrize("kind", ["same_post", "mixed_post"])
@@ -49,7 +44,7 @@ def test_parsing_equals_plain_reading(spark, kind):
     for row in inference.parse_answers(answers).collect():
         got.setdefault(int(row.callId), {})[row.pos] = row.reply
     for i, raw in enumerate(SHAPES):
-        assert [got[i][p] for p in (1, 2, 3)] == _expected(raw, 3, kind), raw
+        assert [got[i][p] for p in (1, 2, 3)] == (EXPECTED[i] or BLANK[kind]), raw
 
 
 def test_numbered_pieces_keep_order_and_blanks(spark):
@@ -64,32 +59,20 @@ def test_retry_waits_double_and_give_up():
     def flaky():
         tries.append(1)
         if len(tries) < 3:
-            raise ConnectionError
+            raise RuntimeError("status 503")
         return "yes"
 
+    def refused():
+        raise inference.Refused("no")
+
     assert inference.call_with_retry(flaky, sleep=waits.append) == "yes"
     assert waits == [1.0, 2.0]
+    with pytest.raises(inference.Refused):
+        inference.call_with_retry(refused, sleep=waits.append)
+    assert waits == [1.0, 2.0]
     with pytest.raises(ZeroDivisionError):
         inference.call_with_retry(lambda: 1 / 0, sleep=waits.append)
-    assert waits == [1.0, 2.0]
-
-
-def test_keys_take_turns():
-    waits, used = [], []
-
-    def request(key):
-        used.append(key)
-        if len(used) == 1:
-            raise inference.RateLimited(9.0)
-        if len(used) == 2:
-            raise TimeoutError
-        return "yes"
-
-    assert inference.call_with_keys(request, ["a", "b"], sleep=waits.append) == "yes"
-    assert (used, waits) == (["a", "b", "a"], [3.0, 2])
-    with pytest.raises(RuntimeError, match="5 attempts"):
-        inference.call_with_keys(lambda key: (_ for _ in ()).throw(TimeoutError), ["a"], sleep=waits.append)
-    assert waits[2:] == [1, 2, 4, 8, 16]
+    assert waits == [1.0, 2.0, 1.0, 2.0]
 
 
 def _items(spark):
@@ -105,7 +88,7 @@ def _broken_provider(kind, prompt, ids, max_tokens):
     if "post 0" in prompt:
         raise ConnectionError("down")
     if "post 2" in prompt:
-        raise ValueError("m" * 100)
+        raise inference.Refused("m" * 100)
     if "post 1" in prompt:
         raise TimeoutError
     return inference.offline_provider(kind, prompt, ids, max_tokens)
@@ -119,7 +102,7 @@ def test_every_item_gets_one_reply_even_if_calls_fail(spark):
         by_status.setdefault(reply.status, []).append(reply)
     assert {k: len(v) for k, v in by_status.items()} == {"ok": 16, "error": 16, "timeout": 8}
     assert {r.generated_reply for r in by_status["error"]} == {
-        "[Error: Inference failed after 3 retries]", f"[Error: {'m' * 80}]",
+        "[Error: Inference failed after 3 retries: down]", f"[Error: {'m' * 80}]",
     }
     assert {r.latency_ms for r in by_status["error"]} == {-1}
     assert {r.generated_reply for r in by_status["timeout"]} == {fixed.TIMED_OUT}
@@ -129,7 +112,8 @@ def test_every_item_gets_one_reply_even_if_calls_fail(spark):
 def test_offline_provider_equals_its_column_form(spark):
     items = _items(spark)
     called = {r.id: r.generated_reply for r in inference.generate_replies(items).collect()}
-    assert called == {r.id: r.generated_reply for r in inference.mock_replies(items).collect()}
+    column = items.select("id", parsing.offline_reply(F.col("id")).alias("reply"))
+    assert called == {r.id: r.reply for r in column.collect()}
 
 
 def test_attach_names_missing_replies(spark):
@@ -167,19 +151,27 @@ def test_captions(spark):
     assert plain["1"] == plain["4"] == fixed.CAPTION_FALLBACK
 
 
-def test_comment_lists_and_concurrency(spark):
+def test_comment_lists(spark):
     frame = spark.createDataFrame([(["a", "b"],), ([],)], "c array<string>")
     got = [r[0] for r in frame.select(prompts.join_comments(F.col("c"))).collect()]
     assert got == ["a | b", "General comment"]
-    assert [inference.call_concurrency(k, m) for k, m in [(1, 5), (5, 5), (1, 2)]] == [3, 5, 2]
 
 
 def test_calls_in_flight_are_bounded(spark):
     calls = packing.build_calls(packing.pack_calls(_items(spark)))
-    answers = inference.answer_calls(inference.ask(calls), inference.offline_provider, concurrency=2)
+    answers = inference.answer_calls(inference.ask(calls), inference.offline_provider, tasks=2)
     assert answers.rdd.getNumPartitions() == 2
 
 
+def test_resume_keeps_the_rounds_that_were_stored(spark, tmp_path):
+    items = _items(spark)
+    first = inference.generate_replies(items, path=str(tmp_path), rounds=4).collect()
+    seen = []
+    again = inference.generate_replies(items, path=str(tmp_path), rounds=1, resume=True, report=seen.append)
+    assert sorted(again.collect()) == sorted(first) and len(first) == 40
+    assert len(seen) == 4 and seen[-1] == 40
+
+
 def test_item_json(spark):
     bodies = spark.createDataFrame(
         [('{"id":"a","generated_reply":"x"}',), ('{"id":"b","generated_reply":"y","latency_ms":7}',)], "body string"

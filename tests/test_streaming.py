@@ -81,18 +81,18 @@ def test_repeated_batch_overwrites_itself(spark, tmp_path):
         assert spark.read.json(f"{tmp_path}/out/{name}/*").count() == 1
 
 
-def test_late_events_beyond_the_watermark_are_dropped(spark, tmp_path):
+def test_no_comment_is_late_whatever_its_time(spark, tmp_path):
     hour = 3_600_000
-    _deliver(tmp_path / "in", "a", _event("c1", timestamp=NOW))
-    _deliver(tmp_path / "in", "b", _event("c2", timestamp=NOW - hour // 2))
-    _deliver(tmp_path / "in", "c", _event("c3", timestamp=NOW - 5 * hour))
+    _deliver(tmp_path / "in", "a", _event("c1", timestamp=NOW + 1000 * hour), _event("c4", timestamp=None))
+    _deliver(tmp_path / "in", "b", _event("c2", timestamp=NOW - hour // 2), _event("c1"))
+    _deliver(tmp_path / "in", "c", _event("c3", timestamp=NOW - 5 * hour), _event("c4"))
     for name, stamp in (("a", 1), ("b", 2), ("c", 3)):
         import os
 
         os.utime(tmp_path / "in" / name, (stamp, stamp))
-    _run(spark, tmp_path, dedupe_within="1 hour")
+    _run(spark, tmp_path)
     got = _read(spark, tmp_path, "cleaned", schemas.CLEANED_STREAM).collect()
-    assert sorted(r.commentId for r in got) == ["c1", "c2"]
+    assert sorted(r.commentId for r in got) == ["c1", "c2", "c3", "c4"]
 
 
 def test_stream_equals_batch(spark, data):
@@ -110,9 +110,13 @@ def test_topic_options():
 
 
 def test_reply_defaults(spark):
-    values = ['{"replyId":"r","commentId":"c"}', '{"commentId":"c"}', '{"commentId":"c"}']
+    values = ['{"replyId":"r","commentId":"c"}', '{"commentId":"c"}', '{"commentId":"c"}', "not json", None]
     messages = spark.createDataFrame([(v,) for v in values], "value string")
     got = readers.decode_replies(messages, NOW).collect()
+    later = readers.decode_replies(messages, NOW + 5).collect()
+    assert [r.replyId for r in got] == [r.replyId for r in later] and len(got) == 3
+    bad = readers.undecodable(messages, schemas.REPLY_EVENT).collect()
+    assert {r.value for r in bad} == {"not json", None}
     assert got[0].replyId == "r" and got[0].postId == "" and got[0].timestamp == NOW
     assert got[1].replyId == got[2].replyId and len(got[1].replyId) == 64
 
@@ -122,8 +126,13 @@ def test_throughput_windows(spark, tmp_path):
     path = str(tmp_path / "events")
     frame.write.parquet(path)
     events = spark.readStream.schema(frame.schema).parquet(path)
-    counts = registry._stream_to_table(spark, live.throughput(events, F.col("t")), "windows").collect()
-    assert sorted(tuple(r) for r in counts) == [(m * 60_000, 60) for m in range(8)]
+    log = str(tmp_path / "log")
+    for _ in range(2):
+        run = live.start_throughput(events, F.col("t"), log, str(tmp_path / "checkpoint"))
+        run.awaitTermination()
+        frame.limit(0).unionByName(spark.createDataFrame([(5,)], "t long")).write.mode("append").parquet(path)
+    counts = {r.minuteMs: r.events for r in live.window_counts(spark, log).collect()}
+    assert counts == {m * 60_000: 60 + (m == 0) for m in range(10)}
 
 
 def test_table_ingest_keeps_the_row_stored_first(spark, tmp_path):

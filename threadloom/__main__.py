@@ -30,7 +30,7 @@ def _arguments(argv):
     job.add_argument("--work", required=True, help="shared folder for stages and status rows")
     job.add_argument("--job-id", required=True)
     job.add_argument("--multiline", action="store_true", help="the input is one JSON array")
-    job.add_argument("--rounds", type=int, default=1)
+    job.add_argument("--rounds", type=int, default=1, help="kept as stored with --resume")
     job.add_argument("--resume", action="store_true")
     live = flows.add_parser("stream", help="comment events to cleaned rows and replies")
     live.add_argument("--output", required=True)

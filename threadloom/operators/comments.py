@@ -148,10 +148,10 @@ def project_stream(comments):
     return comments.select(*CLEANED_STREAM.fieldNames())
 
 
-def size_partitions(frame, rows, target_rows=500, max_partitions=20_000):
+def size_partitions(frame, rows, target_rows=500):
     """Spread ``rows`` rows evenly over ceil(rows / target_rows) partitions.
 
-    The ceiling keeps the task count sane when the row count is huge. Plain pipelines leave
-    sizing to adaptive execution; this is for handing rows to an external service.
+    Plain pipelines leave sizing to adaptive execution; this is for handing rows to an
+    external service.
     """
-    return frame.repartition(max(1, min(max_partitions, -(-rows // target_rows))))
+    return frame.repartition(max(1, -(-rows // target_rows)))

@@ -2,8 +2,8 @@
 
 A provider is a callable ``(kind, prompt, ids, max_tokens) -> str`` that returns the raw
 answer of one call. It is the only Python that runs per call; everything around it is
-DataFrame work. An ``OSError`` (the service cannot be reached) is tried again, a
-``TimeoutError`` marks the call as timed out, any other error ends it with its message.
+DataFrame work. Every failure is tried again but those with a true attribute ``final``, such as
+``Refused``, by which a provider says that asking again is of no use. What the last attempt failed of is kept in ``error``.
 """
 
 import hashlib
@@ -20,6 +20,8 @@ from threadloom.schemas import ITEM_REPLY
 from threadloom.session import is_written
 
 ASKED = "callId string, kind string, ids array<string>, prompt string, maxTokens int"
+# Calls one task makes: what a lost executor can cost, and what spreads a job over a cluster.
+CALLS_PER_TASK = 200
 RAW_ANSWER = (
     "callId string, kind string, ids array<string>, raw string, latencyMs bigint, "
     "status string, error string"
@@ -35,62 +37,34 @@ def offline_provider(kind, prompt, ids, max_tokens):
     return "\n".join(lines)
 
 
+class Refused(Exception):
+    """Raised by a provider for a call that would fail again."""
+
+    final = True
+
+
 def call_with_retry(call, attempts=3, first_wait=1.0, sleep=time.sleep):
-    """Result of ``call``; an unreachable service is tried again after waits that double."""
+    """Result of ``call``; a failure is followed by another attempt after waits that double."""
     for attempt in range(attempts):
         try:
             return call()
-        except TimeoutError:
-            raise
-        except OSError:
-            if attempt + 1 == attempts:
+        except Exception as failure:
+            if attempt + 1 == attempts or getattr(failure, "final", False):
                 raise
             sleep(first_wait * 2**attempt)
 
 
-class RateLimited(Exception):
-    """Raised by a provider's request when a key is over its limit."""
-
-    def __init__(self, retry_after=5.0):
-        super().__init__(f"rate limited, retry after {retry_after}s")
-        self.retry_after = retry_after
-
-
-def call_with_keys(request, keys, attempts=5, sleep=time.sleep):
-    """Result of ``request(key)``, for use inside a provider with several keys.
-
-    A key over its limit is followed by the next one after at most 3 seconds; a timeout by
-    the next one after 1, 2, 4, ... seconds.
-    """
-    for attempt in range(attempts):
-        try:
-            return request(keys[attempt % len(keys)])
-        except RateLimited as limit:
-            sleep(min(limit.retry_after, 3.0))
-        except TimeoutError:
-            sleep(2**attempt)
-    raise RuntimeError(f"no answer in {attempts} attempts")
-
-
-def call_concurrency(num_keys=1, max_concurrent=5):
-    """Calls allowed in flight for a pool of ``num_keys`` keys."""
-    return max(num_keys, min(max_concurrent, 3))
-
-
 def ask(calls):
     """What a provider is given of each call. The ids travel along, so no join brings them back."""
     return calls.select("callId", "kind", F.col("items.id").alias("ids"), "prompt", "maxTokens")
 
 
-def answer_calls(asked, provider, concurrency=None, attempts=3, first_wait=1.0):
+def answer_calls(asked, provider, tasks=None, attempts=3, first_wait=1.0):
     """One provider call per row of ``asked``; failures become rows with a status.
 
-    ``concurrency`` bounds the calls in flight, see ``call_concurrency``. Without it there are
-    as many tasks as a shuffle of this session has: calls are slow but small, so sizing tasks
-    by bytes would leave most of the cluster idle. Using the result twice makes the calls
-    twice.
+    ``tasks`` spreads the calls over that many tasks; without it adaptive execution sizes them
+    by bytes. Using the result twice makes the calls twice.
     """
-    exhausted = f"Inference failed after {attempts} retries"
 
     def answer(kind, prompt, ids, max_tokens):
         start = time.monotonic()
@@ -101,12 +75,10 @@ def answer_calls(asked, provider, concurrency=None, attempts=3, first_wait=1.0):
                 attempts,
                 first_wait,
             )
-        except TimeoutError:
-            status = "timeout"
-        except OSError:
-            status, error = "error", exhausted
         except Exception as failure:
-            status, error = "error", str(failure)
+            status = "timeout" if isinstance(failure, TimeoutError) else "error"
+            tried = "" if getattr(failure, "final", False) else f"Inference failed after {attempts} retries: "
+            error = f"{tried}{failure}"
         return raw, int((time.monotonic() - start) * 1000), status, error
 
     def run(batches):
@@ -117,29 +89,49 @@ def answer_calls(asked, provider, concurrency=None, attempts=3, first_wait=1.0):
             results = pd.DataFrame(answers, columns=["raw", "latencyMs", "status", "error"])
             yield pd.concat([batch[["callId", "kind", "ids"]], results], axis=1)
 
-    tasks = concurrency or int(asked.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return asked.repartition(tasks, "callId").mapInPandas(run, RAW_ANSWER)
+    spread = asked.repartition(tasks, "callId") if tasks else asked.repartition("callId")
+    return spread.mapInPandas(run, RAW_ANSWER)
 
 
-def answer_stored(calls, provider, path, rounds=1, resume=False, **limits):
+def answer_stored(
+    calls, provider, path, rounds=1, resume=False, concurrency=None, report=None, **limits
+):
     """Answer the calls round by round, writing each round under ``path``; read them back.
 
-    What a lost executor or a broken job can cost is one round, whatever the number of tasks
-    ``concurrency`` allows. With ``resume`` the rounds an earlier run finished are kept: use
-    it only to go on with the same input.
+    A round has a task for each CALLS_PER_TASK of its calls, at most ``concurrency`` if that
+    is given: so many calls are in flight. What a broken job can cost is one round. With
+    ``resume`` an earlier run over the same input is gone on with: its calls, its number of
+    rounds and the rounds it finished are kept. ``report(items)`` is told the number of items
+    answered so far after each round.
     """
     spark = calls.sparkSession
     calls_path = f"{path}/calls"
     if not (resume and is_written(spark, calls_path)):
-        dealt = ask(calls).withColumn("round", hash_bucket(F.col("callId"), rounds).cast("int"))
+        dealt = ask(calls).withColumns(
+            {
+                "rounds": F.lit(rounds),
+                "round": hash_bucket(F.col("callId"), rounds).cast("int"),
+            }
+        )
         dealt.write.mode("overwrite").partitionBy("round").parquet(calls_path)
-    asked = spark.read.schema(f"{ASKED}, round int").parquet(calls_path)
-    for number in range(rounds):
+    asked = spark.read.schema(f"{ASKED}, rounds int, round int").parquet(calls_path)
+    sizes = {r["round"]: r for r in asked.groupBy("round").agg(
+        F.count("*").alias("calls"), F.sum(F.size("ids")).alias("items"), F.max("rounds").alias("rounds")
+    ).collect()}  # a row for each round
+    stored = max((r["rounds"] for r in sizes.values()), default=rounds)
+    folders, done = [], 0
+    for number in range(stored):
         folder = f"{path}/answers/round={number}"
+        size = sizes.get(number)
         if not (resume and is_written(spark, folder)):
-            part = asked.filter(F.col("round") == number).drop("round")
-            answer_calls(part, provider, **limits).write.mode("overwrite").parquet(folder)
-    folders = [f"{path}/answers/round={number}" for number in range(rounds)]
+            tasks = max(1, -(-(size["calls"] if size else 0) // CALLS_PER_TASK))
+            tasks = min(tasks, concurrency) if concurrency else tasks
+            part = asked.filter(F.col("round") == number).drop("round", "rounds")
+            answer_calls(part, provider, tasks, **limits).write.mode("overwrite").parquet(folder)
+        folders.append(folder)
+        done += size["items"] if size else 0
+        if report:
+            report(done)
     return spark.read.schema(RAW_ANSWER).parquet(*folders)
 
 
@@ -213,15 +205,11 @@ def generate_replies(items, provider=offline_provider, path=None, floor=None, **
     return collect_replies(answer_calls(ask(calls), provider, **limits))
 
 
-def mock_replies(items):
-    """The offline provider's replies as plain columns, without any call."""
-    return items.select("id", parsing.offline_reply(F.col("id")).alias("generated_reply"))
-
-
-def caption_missing(posts, provider=None):
+def caption_missing(posts, provider=None, attempts=3, first_wait=1.0):
     """Caption posts that have an image and no caption; other posts pass unchanged.
 
-    ``provider`` is ``(image_url, context) -> str``; a failure gives the fixed fallback text.
+    ``provider`` is ``(image_url, context) -> str``; it is tried as often as a reply's, then the
+    fixed fallback text is taken. Using the result twice asks twice: store it first.
     """
     present = lambda name: F.coalesce(F.col(name), F.lit("")) != ""
     needs = present("imageUrl") & ~present("imageCaption")
@@ -233,7 +221,8 @@ def caption_missing(posts, provider=None):
 
     def caption(image_url, title, body):
         try:
-            return provider(image_url, f"{title or ''} - {body or ''}")
+            context = f"{title or ''} - {body or ''}"
+            return call_with_retry(lambda: provider(image_url, context), attempts, first_wait)
         except Exception:
             return fixed.CAPTION_FALLBACK
 

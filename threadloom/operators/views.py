@@ -6,9 +6,6 @@ from threadloom import fixed_values as fixed
 from threadloom.functions.text import strip_blanks
 from threadloom.operators.skew import left_join_many, top_per_key
 
-# Most keys sent to every executor without asking for their size.
-BROADCAST_KEYS = 100_000
-
 
 def counts_per_post(posts, comments, replies):
     """Comment and reply counts of every post, 0 where there are none."""
@@ -27,13 +24,11 @@ def feed_with_counts(posts, comments, replies, size=fixed.FEED_SIZE):
     """Newest posts with their counts.
 
     The feed is cut to ``size`` posts first. Comments and replies are then filtered by those
-    few keys as they are read, so only rows of the feed are ever counted. The keys of a feed
-    of ordinary size are broadcast; beyond that Spark decides by their measured size.
+    few keys as they are read, so only rows of the feed are ever counted. Spark broadcasts
+    the keys by their measured size.
     """
     newest = posts.orderBy(F.col("createdAt").desc(), "postId").limit(size)
     keys = newest.select("postId")
-    if size <= BROADCAST_KEYS:
-        keys = F.broadcast(keys)
     return counts_per_post(
         newest,
         comments.join(keys, "postId", "left_semi"),

@@ -94,6 +94,7 @@ def run_job(
                 provider,
                 f"{work_path}/calls/job_id={job_id}",
                 floor,
+                report=lambda done: report("inferring", total, done),
                 **limits,
             ).select(
                 F.col("id").alias("commentId"),
@@ -104,6 +105,8 @@ def run_job(
             ),
             "replies",
         )
+        if processed != total:
+            raise RuntimeError(f"{processed} replies for {total} comments")
         writers.write_json(
             enrich.enrich_with_replies(cleaned, replies, one_reply_each=True), output_path
         )

@@ -1,8 +1,9 @@
 """Comment-thread tables derived from the given `conversations` and `events` tables.
 
-A conversation is a thread: its first user turn is the post, later turns are the comments.
-Defects are planted on top (null and padded names, missing texts, emoji, URLs, blank texts,
-exact copies), so that every preparation step has work to do at any scale.
+A conversation is a thread: its first turn is the post, later turns are the comments, so each
+given text is in a row. Defects are planted in extra rows (missing texts, emoji, URLs, blank
+texts, exact copies) and in the other columns, so that every preparation step has work to do at
+any scale.
 
 ``THREAD_CTES`` is SQL both Spark and the check engine accept.
 """
@@ -19,16 +20,14 @@ NOW_MS = 1_704_672_000_000  # 2024-01-08, the clock of all registered queries
 PROVIDER_VERSION = "offline-1"
 
 THREAD_CTES = """
-fu as (
-  select conv_id, min(turn) as t0 from conversations where role = 'user' group by conv_id),
-posts as (
+fu as (select conv_id, min(turn) as t0 from conversations group by conv_id),
+given_posts as (
   select c.conv_id, fu.t0,
     'p' || cast(c.conv_id as string) as postId,
     'user_' || cast(c.conv_id % 50 as string) as userId,
     case when c.conv_id % 9 = 8 then null
          else 'poster_' || cast(c.conv_id % 50 as string) || '!' end as username,
-    substr(c.text, 1, 60) as title,
-    case when c.conv_id % 20 = 19 then null else c.text end as postText,
+    c.text as title, c.text as postText,
     case when c.conv_id % 11 = 10 then null when c.conv_id % 3 = 0 then ' DataScience '
          when c.conv_id % 3 = 1 then 'Space' else 'ask-science' end as subreddit,
     case when c.conv_id % 3 = 0 then 'https://img.example.com/' || cast(c.conv_id as string)
@@ -37,28 +36,39 @@ posts as (
          else null end as imageCaption,
     1704067200000 + c.conv_id * 60000 as ts
   from conversations c join fu on c.conv_id = fu.conv_id and c.turn = fu.t0),
-raw_comments as (
-  select 'c' || cast(c.conv_id as string) || '_' || cast(c.turn as string) as commentId,
+posts as (
+  select * from given_posts
+  union all
+  select conv_id, t0, postId || 'n' as postId, userId, username, title,
+    cast(null as string) as postText, subreddit, imageUrl, imageCaption, ts
+  from given_posts where conv_id % 20 = 19),
+given_comments as (
+  select replace(p.postId, 'p', 'c') || '_' || cast(c.turn as string) as commentId,
     p.postId, 'user_' || cast((c.conv_id * 7 + c.turn) % 40 as string) as userId,
     case when (c.conv_id + c.turn) % 7 = 0 then null
          else 'user ' || cast((c.conv_id * 7 + c.turn) % 40 as string) end as username,
-    p.title as postTitle, p.postText,
-    case (c.conv_id * 8 + c.turn) % 12
-      when 0 then c.text || ' 🔥🔥 #topic'
-      when 1 then 'Check   out https://spam.example.com/link ' || c.text
-      when 2 then '   '
-      when 3 then ''
-      when 4 then '🏆🏆🏆'
-      when 5 then null
-      else c.text end as commentText,
+    p.title as postTitle, p.postText, c.text as commentText,
     p.imageUrl, p.imageCaption, p.subreddit,
     case when (c.conv_id + c.turn) % 13 = 12 then null else p.ts + c.turn * 1000 end as ts,
     case when c.turn % 5 = 4 then null else cast(c.turn * 3 - 5 as int) end as upvotes,
     case when c.turn % 2 = 0
-         then 'c' || cast(c.conv_id as string) || '_' || cast(c.turn - 1 as string)
+         then replace(p.postId, 'p', 'c') || '_' || cast(c.turn - 1 as string)
          else null end as parentCommentId,
     c.conv_id, c.turn
   from conversations c join posts p on p.conv_id = c.conv_id and c.turn > p.t0),
+raw_comments as (
+  select * from given_comments
+  union all
+  select commentId || 'x' as commentId, postId, userId, username, postTitle, postText,
+    case (conv_id * 8 + turn) % 12
+      when 0 then commentText || ' 🔥🔥 ¶ so far'
+      when 1 then 'read   https://notes.example.org/a?b=1 first: ' || commentText
+      when 2 then '   '
+      when 3 then ''
+      when 4 then '🎈🎈'
+      else null end as commentText,
+    imageUrl, imageCaption, subreddit, ts, upvotes, parentCommentId, conv_id, turn
+  from given_comments where (conv_id * 8 + turn) % 12 < 6),
 comments as (
   select * from raw_comments
   union all
@@ -121,7 +131,7 @@ def nested_posts(spark, sf_dir):
     )
     groups = (
         comments(spark, sf_dir)
-        .groupBy("conv_id", F.floor(F.col("turn") / TURNS_PER_DOCUMENT).alias("document"))
+        .groupBy("postId", "conv_id", F.floor(F.col("turn") / TURNS_PER_DOCUMENT).alias("document"))
         .agg(F.collect_list(element).alias("comments"))
         .withColumn(
             "comments",
@@ -131,7 +141,7 @@ def nested_posts(spark, sf_dir):
             ).otherwise(F.col("comments")),
         )
     )
-    filled = head.join(groups, "conv_id").select(*schemas.NESTED_POST.fieldNames())
+    filled = head.join(groups.drop("conv_id"), "postId").select(*schemas.NESTED_POST.fieldNames())
     bare = head.filter("conv_id % 17 = 16").withColumn(
         "comments", F.lit(None).cast(schemas.NESTED_POST["comments"].dataType)
     )

@@ -157,7 +157,7 @@ replies as (
     {_offline("commentId")} as generatedReply, "timestamp" + 5000 as "timestamp"
   from clean where {_bucket("commentId", 9)} <> 0),
 documents_of_posts as (
-  select conv_id, turn // {TURNS_PER_DOCUMENT} as document, count(*) as n,
+  select postId, turn // {TURNS_PER_DOCUMENT} as document, count(*) as n,
     cast(sum(coalesce(length(commentText), 0)) as bigint) as chars
   from raw group by 1, 2),
 calls_log as (
@@ -347,19 +347,20 @@ _DOCUMENTS = f"""
     p.ts as "timestamp",
     d.n + case when p.conv_id % 13 = 0 and d.document = 0 then 1 else 0 end as comments,
     d.chars as commentChars
-  from posts p join documents_of_posts d on d.conv_id = p.conv_id
+  from posts p join documents_of_posts d on d.postId = p.postId
   union all
   select postId, username, title, postText, subreddit, imageUrl, imageCaption, ts, -1, 0
   from posts where conv_id % 17 = 16"""
 
 _DECODED_REPLIES = f"""
-  select coalesce(replyId, sha256(commentId || '|' || postId || '|' || generatedReply || '|'
-      || "timestamp")) as replyId, commentId, postId, generatedReply, "timestamp"
+  select coalesce(replyId, sha256(commentId || '|' || postId || '|' || generatedReply
+      || coalesce('|' || "timestamp", ''))) as replyId, commentId, postId, generatedReply,
+    coalesce("timestamp", {NOW_MS}) as "timestamp"
   from (
     select case when {_bucket("commentId", 5)} <> 0 then replyId end as replyId, commentId,
       case when {_bucket("commentId", 6)} <> 0 then postId else '' end as postId,
       case when {_bucket("commentId", 4)} <> 0 then generatedReply else '' end as generatedReply,
-      case when {_bucket("commentId", 7)} <> 0 then "timestamp" else {NOW_MS} end as "timestamp"
+      case when {_bucket("commentId", 7)} <> 0 then "timestamp" end as "timestamp"
     from replies)"""
 
 _PROJECTED = "from (select * from raw_filled where commentText is not null)"
@@ -367,9 +368,9 @@ _PROJECTED = "from (select * from raw_filled where commentText is not null)"
 _JOIN_LIST = f"""
   select p.postId, p.ts as "timestamp", coalesce(d.request, '') as request
   from posts p join (
-    select conv_id, turn // {TURNS_PER_DOCUMENT} as document,
+    select postId, turn // {TURNS_PER_DOCUMENT} as document,
       string_agg(commentText, ' | ' order by commentId) as request
-    from raw group by 1, 2) d on d.conv_id = p.conv_id
+    from raw group by 1, 2) d on d.postId = p.postId
   union all
   select postId, ts, '{fixed.NO_COMMENTS}' from posts where conv_id % 17 = 16"""
 
@@ -466,9 +467,19 @@ _SELECTS = {
       from generated""",
     "stream_foreach_batch": "select event_type, count(*) as events from events group by 1",
     "stream_throughput": f"""
-      select minuteMs, events from (
-        select {_MINUTE} as minuteMs, count(*) as events from events group by 1)
-      where minuteMs + 60000 <= (select max((epoch_us(ts) // 1000)) - 60000 from events)""",
+      select {_MINUTE} as minuteMs, count(*) as events from events group by 1""",
+    "stream_late_rows": "select * from clean_live",
+    "stream_orphans": """
+      select * from comments_table where postId not in (select postId from stored_posts)""",
+    "rejected_messages": """
+      select postId as key, '{"postId":"' || postId || '"' as value from posts_table""",
+    "live_buffer": f"""
+      select * from replies order by "timestamp" desc, replyId limit {fixed.LIVE_BUFFER_SIZE}""",
+    "resumed_replies": f"""
+      select id, {_offline("id")} as generated_reply, 'ok' as status from items""",
+    "caption_by_provider": """
+      select * replace (case when coalesce(imageUrl, '') <> '' and coalesce(imageCaption, '') = ''
+        then 'seen at ' || imageUrl else imageCaption end as imageCaption) from posts_table""",
     "size_partitions": """
       select count(*) as rows, cast(ceil(count(*) / 500.0) as bigint) as partitions
       from events""",
@@ -658,12 +669,11 @@ _SELECTS = {
       select id, {_offline("id")} as generated_reply,
         case when {_bucket("id", 500)} % 3 <> 0 then {_bucket("id", 500)} else 0 end as latency_ms
       from items""",
-    "mock_replies": f"select id, {_offline('id')} as generated_reply from items",
     "generate_replies": f"""
       select id, {_offline("id")} as generated_reply, 'ok' as status from items""",
     "retry_to_error_rows": f"""
       select p.id, case {_bucket("c.first_id", 4)}
-          when 0 then '[Error: Inference failed after 3 retries]'
+          when 0 then '[Error: Inference failed after 3 retries: service unavailable]'
           when 1 then '[Error: '
             || substr('refused: ' || c.prompt, 1, {fixed.ERROR_PREFIX_CHARS}) || ']'
           else {_offline("p.id")} end as generated_reply,

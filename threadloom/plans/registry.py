@@ -4,11 +4,13 @@ Each takes (spark, sf_dir) and returns a DataFrame. Frames that feed several pas
 written once with ``materialize``, as a job would do.
 """
 
+import collections
 import hashlib
 
 from pyspark.sql import functions as F
 
 from threadloom import schemas
+from threadloom.fixed_values import LIVE_BUFFER_SIZE
 from threadloom.functions import identity, prompts, text
 from threadloom.functions import replies as parsing
 from threadloom.operators import (
@@ -32,8 +34,6 @@ from threadloom.streaming import tables
 
 QUERIES = {}
 
-# Streams of the check data are replayed in file order, so ids are remembered for the whole span.
-REPLAY_SPAN = "30 days"
 AUDIT_SECONDS, AUDIT_BUDGET = 3600, 5
 KEY_SLOTS = 3
 
@@ -239,9 +239,13 @@ def sink_json_overwrite(spark, sf):
     return spark.read.schema(schemas.CLEANED_BATCH).json(path)
 
 
+def _offline_replies(items):
+    return items.select("id", parsing.offline_reply(F.col("id")).alias("generated_reply"))
+
+
 def _generated(spark, sf):
     cleaned = batch.preprocess_events(bridge.comments(spark, sf), NOW_MS)
-    replies = inference.mock_replies(packing.as_items(cleaned)).withColumns(
+    replies = _offline_replies(packing.as_items(cleaned)).withColumns(
         {"latency_ms": F.lit(0), "status": F.lit("ok")}
     )
     return enrich.as_stream_replies(replies, cleaned, PROVIDER_VERSION, NOW_MS)
@@ -521,6 +525,12 @@ def latest_replies(spark, sf):
     return views.latest_replies(bridge.replies(spark, sf))
 
 
+@query
+def live_buffer(spark, sf):
+    """The most recent replies over all posts that a page keeps."""
+    return views.latest_replies(bridge.replies(spark, sf), LIVE_BUFFER_SIZE)
+
+
 @query
 def recent_replies_topk(spark, sf):
     return views.recent_replies_per_post(bridge.replies(spark, sf), 3)
@@ -757,7 +767,7 @@ def encode_items(spark, sf):
 @query
 def decode_item_replies(spark, sf):
     latency = identity.hash_bucket(F.col("id"), 500)
-    bodies = inference.mock_replies(bridge.items(spark, sf)).select(
+    bodies = _offline_replies(bridge.items(spark, sf)).select(
         F.to_json(
             F.struct(
                 "id",
@@ -769,11 +779,6 @@ def decode_item_replies(spark, sf):
     return inference.decode_item_replies(bodies)
 
 
-@query
-def mock_replies(spark, sf):
-    return inference.mock_replies(bridge.items(spark, sf))
-
-
 def _model_answers(calls):
     """Raw answers with the shapes models really give: numbered, bare, repeated, blank."""
     shape = identity.hash_bucket(F.col("callId"), 8)
@@ -851,13 +856,19 @@ def generate_replies(spark, sf):
     return inference.generate_replies(_items(spark, sf), path=path, rounds=2).drop("latency_ms")
 
 
+_TRIES = collections.Counter()
+
+
 def _unreliable_provider(kind, prompt, ids, max_tokens):
-    """Fails for about half of the calls in two ways, by the first id's hash."""
+    """Fails in three ways, by the first id's hash: for good, by refusal, and twice only."""
     fate = int(hashlib.md5(ids[0].encode()).hexdigest()[:10], 16) % 4
     if fate == 0:
         raise ConnectionError("service unavailable")
     if fate == 1:
-        raise ValueError("refused: " + prompt)
+        raise inference.Refused("refused: " + prompt)
+    _TRIES[ids[0]] += 1
+    if fate == 2 and _TRIES[ids[0]] % 3:
+        raise RuntimeError("status 503")
     return offline_provider(kind, prompt, ids, max_tokens)
 
 
@@ -868,11 +879,40 @@ def retry_to_error_rows(spark, sf):
     ).select("id", "generated_reply", "status")
 
 
+@query
+def resumed_replies(spark, sf):
+    """Replies of a job that broke after its first round and was resumed with other rounds."""
+    path, items = scratch_dir(spark, "answers"), _items(spark, sf)
+
+    def breaks(done):
+        raise InterruptedError(f"the job ends after {done} items")
+
+    try:
+        inference.generate_replies(items, path=path, rounds=4, report=breaks)
+    except InterruptedError:
+        pass
+    again = inference.generate_replies(items, path=path, rounds=1, resume=True)
+    return again.drop("latency_ms")
+
+
 @query
 def caption_missing(spark, sf):
     return inference.caption_missing(_posts(spark, sf))
 
 
+def _caption_provider(image_url, context):
+    _TRIES[image_url] += 1
+    if _TRIES[image_url] % 2:
+        raise RuntimeError("status 503")
+    return f"seen at {image_url}"
+
+
+@query
+def caption_by_provider(spark, sf):
+    """Captions of a provider that fails once for each image."""
+    return inference.caption_missing(_posts(spark, sf), _caption_provider, first_wait=0.0)
+
+
 @query
 def batch_end_to_end(spark, sf):
     """The whole job: nested JSON in, enriched JSON out."""
@@ -887,17 +927,50 @@ def batch_end_to_end(spark, sf):
 # --- streams -----------------------------------------------------------------
 
 
-@query
-def stream_enrich_comments(spark, sf):
-    """New comments as a stream, joined with the stored posts."""
-    path = scratch_dir(spark, "comments")
+def _looked_up(spark, sf):
+    """Posts arrive through their topic, then comments look them up in the post log."""
+    topic, log = scratch_dir(spark, "post-topic"), scratch_dir(spark, "log")
+    posts = _stored_posts(spark, sf)
+    _write_messages(enrich.as_messages(posts, "postId", posts.columns), topic)
+    rows = streams.post_stream(spark, source="text", path=topic)
+    tables.start_table_ingest(
+        rows, log, "postId", ["createdAt"], scratch_dir(spark, "checkpoint")
+    ).awaitTermination()
+    path, out = scratch_dir(spark, "comments"), scratch_dir(spark, "looked-up")
     table = bridge.comments_table(spark, sf)
     table.write.parquet(path)
     arriving = spark.readStream.schema(table.schema).parquet(path)
-    posts = materialize(_stored_posts(spark, sf), "posts")
-    return _stream_to_table(
-        spark, enrich.comment_events(arriving, posts).drop("metadata"), "comment-events"
-    )
+    schema = schemas.POST_EVENT
+    live.start_lookup_flow(
+        arriving,
+        lambda session: tables.stored_rows(session, log, schema, "postId", ["createdAt"]),
+        out,
+        scratch_dir(spark, "checkpoint"),
+    ).awaitTermination()
+    return out, table.schema
+
+
+@query
+def stream_enrich_comments(spark, sf):
+    """New comments as a stream, joined with the posts ingested so far."""
+    out, _ = _looked_up(spark, sf)
+    return _live_rows(spark, out, "events", schemas.COMMENT_EVENT).drop("metadata")
+
+
+@query
+def stream_orphans(spark, sf):
+    """New comments without a stored post, kept apart."""
+    out, schema = _looked_up(spark, sf)
+    return _live_rows(spark, out, "orphans", schema)
+
+
+@query
+def rejected_messages(spark, sf):
+    """Messages of the post topic that cannot be decoded, next to as many that can."""
+    posts = _posts(spark, sf)
+    good = enrich.as_messages(posts, "postId", posts.columns)
+    bad = good.select("key", F.substring_index("value", ",", 1).alias("value"))
+    return readers.undecodable(good.unionByName(bad), schemas.POST_EVENT)
 
 
 def _half(messages, part):
@@ -914,9 +987,8 @@ def _run_live(spark, sf, restart=False):
         _write_messages(delivery, topic)
         events = streams.comment_stream(spark, source="text", path=topic, maxFilesPerTrigger=16)
         run = live.start_comment_flow(
-            events, out, checkpoint, provider_version=PROVIDER_VERSION, now_ms=NOW_MS,
-            dedupe_within=REPLAY_SPAN,
-        )
+            events, out, checkpoint, provider_version=PROVIDER_VERSION, now_ms=NOW_MS
+        )
         run.awaitTermination()
     return out
 
@@ -1000,11 +1072,28 @@ def stream_dedupe(spark, sf):
     _write_messages(messages, path)
     _write_messages(_half(messages, 1), path)
     events = streams.comment_stream(spark, source="text", path=path, maxFilesPerTrigger=16)
-    return _stream_to_table(spark, live.prepare_stream(events, NOW_MS, REPLAY_SPAN), "deduped")
+    return _stream_to_table(spark, live.prepare_stream(events, NOW_MS), "deduped")
 
 
 @query
 def stream_throughput(spark, sf):
     schema = bridge.load(spark, sf, "events").schema
     events = spark.readStream.schema(schema).parquet(f"{sf}/events.parquet*")
-    return _stream_to_table(spark, live.throughput(events, _event_ms()), "throughput")
+    log, checkpoint = scratch_dir(spark, "windows"), scratch_dir(spark, "checkpoint")
+    live.start_throughput(events, _event_ms(), log, checkpoint).awaitTermination()
+    return live.window_counts(spark, log)
+
+
+@query
+def stream_late_rows(spark, sf):
+    """All comment events, the newest threads delivered first, in several micro-batches."""
+    path = scratch_dir(spark, "topic")
+    # thread times rise with the number of the post
+    number = F.regexp_extract("postId", "[0-9]+", 0).cast("bigint")
+    rows = materialize(_event_rows(spark, sf).withColumn("number", number), "events")
+    top = rows.agg(F.coalesce(F.max("number"), F.lit(0))).first()[0]
+    for part in (3, 2, 1, 0):
+        share = F.floor(F.col("number") * 4 / (top + 1)) == part
+        _write_messages(enrich.encode_comment_events(rows.filter(share).drop("number")), path)
+    events = streams.comment_stream(spark, source="text", path=path, maxFilesPerTrigger=1)
+    return _stream_to_table(spark, live.prepare_stream(events, NOW_MS), "late")

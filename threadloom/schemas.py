@@ -1,59 +1,172 @@
-"""Declared schemas. Nothing is inferred at read time."""
-
-from pyspark.sql import types as T
-
-_TYPES = {"string": T.StringType(), "long": T.LongType(), "int": T.IntegerType()}
+"""Declared schemas. Nothing is inferred at read time.
 
+Fixed values: names, types and order are part of the data contract.
+"""
 
-def _columns(text):
-    """Nullable columns out of ``name`` (a string) or ``name:type`` words."""
-    words = [word.partition(":") for word in text.split()]
-    return T.StructType([T.StructField(name, _TYPES[kind or "string"]) for name, _, kind in words])
-
+from pyspark.sql import types as T
 
-NESTED_COMMENT = _columns(
-    "commentId userId username commentText timestamp:long upvotes:int parentCommentId"
+STRING, LONG, INT = T.StringType(), T.LongType(), T.IntegerType()
+
+NESTED_COMMENT = T.StructType(
+    [
+        T.StructField("commentId", STRING),
+        T.StructField("userId", STRING),
+        T.StructField("username", STRING),
+        T.StructField("commentText", STRING),
+        T.StructField("timestamp", LONG),
+        T.StructField("upvotes", INT),
+        T.StructField("parentCommentId", STRING),
+    ]
 )
 
-NESTED_POST = _columns(
-    "postId userId username title postText subreddit imageUrl imageCaption timestamp:long "
-    "upvotes:int"
-).add("comments", T.ArrayType(NESTED_COMMENT, containsNull=True))
+NESTED_POST = T.StructType(
+    [
+        T.StructField("postId", STRING),
+        T.StructField("userId", STRING),
+        T.StructField("username", STRING),
+        T.StructField("title", STRING),
+        T.StructField("postText", STRING),
+        T.StructField("subreddit", STRING),
+        T.StructField("imageUrl", STRING),
+        T.StructField("imageCaption", STRING),
+        T.StructField("timestamp", LONG),
+        T.StructField("upvotes", INT),
+        T.StructField("comments", T.ArrayType(NESTED_COMMENT, containsNull=True)),
+    ]
+)
 
-COMMENT_EVENT = _columns(
-    "commentId postId userId username postText commentText imageUrl imageCaption subreddit "
-    "timestamp:long parentCommentId upvotes:int"
-).add("metadata", T.MapType(T.StringType(), T.StringType()))
+COMMENT_EVENT = T.StructType(
+    [
+        T.StructField("commentId", STRING),
+        T.StructField("postId", STRING),
+        T.StructField("userId", STRING),
+        T.StructField("username", STRING),
+        T.StructField("postText", STRING),
+        T.StructField("commentText", STRING),
+        T.StructField("imageUrl", STRING),
+        T.StructField("imageCaption", STRING),
+        T.StructField("subreddit", STRING),
+        T.StructField("timestamp", LONG),
+        T.StructField("parentCommentId", STRING),
+        T.StructField("upvotes", INT),
+        T.StructField("metadata", T.MapType(T.StringType(), T.StringType())),
+    ]
+)
 
-POST_EVENT = _columns(
-    "postId userId username title postText subreddit imageUrl imageCaption createdAt:long"
+POST_EVENT = T.StructType(
+    [
+        T.StructField("postId", STRING),
+        T.StructField("userId", STRING),
+        T.StructField("username", STRING),
+        T.StructField("title", STRING),
+        T.StructField("postText", STRING),
+        T.StructField("subreddit", STRING),
+        T.StructField("imageUrl", STRING),
+        T.StructField("imageCaption", STRING),
+        T.StructField("createdAt", LONG),
+    ]
 )
 
-REPLY_EVENT = _columns("replyId commentId postId generatedReply timestamp:long")
+REPLY_EVENT = T.StructType(
+    [
+        T.StructField("replyId", STRING),
+        T.StructField("commentId", STRING),
+        T.StructField("postId", STRING),
+        T.StructField("generatedReply", STRING),
+        T.StructField("timestamp", LONG),
+    ]
+)
 
-CLEANED_BATCH = _columns(
-    "commentId postId userId username postTitle postText commentText imageCaption subreddit "
-    "timestamp:long upvotes:int wordCount:int charCount:int processedAt:long"
+CLEANED_BATCH = T.StructType(
+    [
+        T.StructField("commentId", STRING),
+        T.StructField("postId", STRING),
+        T.StructField("userId", STRING),
+        T.StructField("username", STRING),
+        T.StructField("postTitle", STRING),
+        T.StructField("postText", STRING),
+        T.StructField("commentText", STRING),
+        T.StructField("imageCaption", STRING),
+        T.StructField("subreddit", STRING),
+        T.StructField("timestamp", LONG),
+        T.StructField("upvotes", INT),
+        T.StructField("wordCount", INT),
+        T.StructField("charCount", INT),
+        T.StructField("processedAt", LONG),
+    ]
 )
 
-CLEANED_STREAM = _columns(
-    "commentId postId userId username postText commentText imageCaption subreddit "
-    "timestamp:long parentCommentId upvotes:int wordCount:int charCount:int processedAt:long"
+CLEANED_STREAM = T.StructType(
+    [
+        T.StructField("commentId", STRING),
+        T.StructField("postId", STRING),
+        T.StructField("userId", STRING),
+        T.StructField("username", STRING),
+        T.StructField("postText", STRING),
+        T.StructField("commentText", STRING),
+        T.StructField("imageCaption", STRING),
+        T.StructField("subreddit", STRING),
+        T.StructField("timestamp", LONG),
+        T.StructField("parentCommentId", STRING),
+        T.StructField("upvotes", INT),
+        T.StructField("wordCount", INT),
+        T.StructField("charCount", INT),
+        T.StructField("processedAt", LONG),
+    ]
 )
 
-ENRICHED = _columns(
-    "commentId postId userId username postTitle postText commentText imageCaption subreddit "
-    "timestamp:long generatedReply inferenceLatencyMs:long processedAt:long"
+ENRICHED = T.StructType(
+    [
+        T.StructField("commentId", STRING),
+        T.StructField("postId", STRING),
+        T.StructField("userId", STRING),
+        T.StructField("username", STRING),
+        T.StructField("postTitle", STRING),
+        T.StructField("postText", STRING),
+        T.StructField("commentText", STRING),
+        T.StructField("imageCaption", STRING),
+        T.StructField("subreddit", STRING),
+        T.StructField("timestamp", LONG),
+        T.StructField("generatedReply", STRING),
+        T.StructField("inferenceLatencyMs", LONG),
+        T.StructField("processedAt", LONG),
+    ]
 )
 
-STREAM_REPLY = _columns(
-    "replyId commentId postId userId postText commentText generatedReply subreddit "
-    "inferenceLatencyMs:long generatedAt:long status"
+STREAM_REPLY = T.StructType(
+    [
+        T.StructField("replyId", STRING),
+        T.StructField("commentId", STRING),
+        T.StructField("postId", STRING),
+        T.StructField("userId", STRING),
+        T.StructField("postText", STRING),
+        T.StructField("commentText", STRING),
+        T.StructField("generatedReply", STRING),
+        T.StructField("subreddit", STRING),
+        T.StructField("inferenceLatencyMs", LONG),
+        T.StructField("generatedAt", LONG),
+        T.StructField("status", STRING),
+    ]
 )
 
-ITEM_REPLY = _columns("id generated_reply latency_ms:long")
+ITEM_REPLY = T.StructType(
+    [
+        T.StructField("id", STRING),
+        T.StructField("generated_reply", STRING),
+        T.StructField("latency_ms", LONG),
+    ]
+)
 
-JOB_STATUS = _columns(
-    "jobId status inputPath outputPath totalRecords:long processedRecords:long startTime:long "
-    "endTime:long error"
+JOB_STATUS = T.StructType(
+    [
+        T.StructField("jobId", STRING),
+        T.StructField("status", STRING),
+        T.StructField("inputPath", STRING),
+        T.StructField("outputPath", STRING),
+        T.StructField("totalRecords", LONG),
+        T.StructField("processedRecords", LONG),
+        T.StructField("startTime", LONG),
+        T.StructField("endTime", LONG),
+        T.StructField("error", STRING),
+    ]
 )

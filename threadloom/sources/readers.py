@@ -36,23 +36,35 @@ def decode(messages, schema, value="value"):
     ).select("data.*")
 
 
+def undecodable(messages, schema, value="value"):
+    """Messages none of whose fields can be read, with their raw value."""
+    data = F.from_json(F.col(value).cast("string"), schema)
+    read = F.coalesce(*[data[f.name].cast("string") for f in schema if not hasattr(f.dataType, "keyType")])
+    return messages.filter(read.isNull())
+
+
 def decode_comment_events(messages, value="value"):
     return decode(messages, schemas.COMMENT_EVENT, value)
 
 
 def decode_post_events(messages, value="value"):
-    return decode(messages, schemas.POST_EVENT, value)
+    """Posts with a key; what has none cannot be stored. See ``undecodable``."""
+    return decode(messages, schemas.POST_EVENT, value).filter("postId is not null")
 
 
 def decode_replies(messages, now_ms=None, value="value"):
-    """Reply messages with their defaults; a missing id becomes a hash of the row."""
+    """Reply messages with their defaults; those of which nothing can be read are left out.
+
+    A missing id becomes a hash of what the message holds, before the clock fills a missing
+    time: delivered again, it has the same id.
+    """
     now = F.lit(now_ms) if now_ms is not None else F.unix_millis(F.current_timestamp())
-    filled = (
-        decode(messages, schemas.REPLY_EVENT, value)
-        .fillna("", subset=["commentId", "postId", "generatedReply"])
-        .withColumn("timestamp", F.coalesce("timestamp", now))
-    )
+    names = schemas.REPLY_EVENT.fieldNames()
+    read = decode(messages, schemas.REPLY_EVENT, value).dropna("all", subset=names)
+    filled = read.fillna("", subset=["commentId", "postId", "generatedReply"])
     row = F.concat_ws(
         "|", "commentId", "postId", "generatedReply", F.col("timestamp").cast("string")
     )
-    return filled.withColumn("replyId", F.coalesce("replyId", F.sha2(row, 256)))
+    return filled.withColumn("replyId", F.coalesce("replyId", F.sha2(row, 256))).withColumn(
+        "timestamp", F.coalesce("timestamp", now)
+    )

@@ -8,16 +8,19 @@ from threadloom import schemas
 from threadloom.functions.identity import event_time
 from threadloom.operators import comments as prep
 from threadloom.operators import enrich, inference, packing
+from threadloom.operators.state import latest_per_key
 from threadloom.sinks.writers import publish, write_batch_json
 
 
 def prepare_stream(events, now_ms=None, dedupe_within="1 hour"):
     """Validated, cleaned, deduplicated and projected comment events.
 
-    A missing time becomes the batch time, before the watermark sees it. An id is remembered
-    for ``dedupe_within``, so state stays bounded and copies are caught across micro-batches
-    too; the copy that arrives first stays. The source's cap per trigger bounds the rows one
-    hot id can bring into a task.
+    An id is remembered for ``dedupe_within`` of its arrival, so state stays bounded and copies
+    are caught across micro-batches too; the copy that arrives first stays. The watermark knows
+    arrival times only, so no comment is ever late, whatever time it bears: a backlog, a null
+    time or a client's wrong clock loses nothing. A copy that arrives after longer than
+    ``dedupe_within`` counts as new. The source's cap per trigger bounds the rows one hot id
+    can bring into a task.
     """
     now = (
         F.lit(now_ms).cast("bigint")
@@ -28,10 +31,10 @@ def prepare_stream(events, now_ms=None, dedupe_within="1 hour"):
         "timestamp", F.coalesce("timestamp", now)
     )
     unique = (
-        timed.withColumn("eventTime", event_time(F.col("timestamp")))
-        .withWatermark("eventTime", dedupe_within)
+        timed.withColumn("arrivedAt", F.current_timestamp())
+        .withWatermark("arrivedAt", dedupe_within)
         .dropDuplicatesWithinWatermark(["commentId"])
-        .drop("eventTime")
+        .drop("arrivedAt")
     )
     filled = prep.fill_defaults(unique, 0).withColumn("processedAt", now)
     return prep.project_stream(
@@ -51,8 +54,8 @@ def answer_batch(
 
     Cleaned rows and replies are written once and read back, so the provider is called once
     per batch and the file and the topic hold the same replies. Errors propagate: Spark
-    repeats the batch, and each write replaces its earlier attempt. A batch without survivors
-    writes nothing.
+    repeats the batch, and each write replaces its earlier attempt, but for answers that were
+    already stored. A batch without survivors writes nothing.
     """
     spark = batch.sparkSession
 
@@ -64,7 +67,7 @@ def answer_batch(
         return
     write_batch_json(prepared.drop("postKey"), f"{out}/cleaned", batch_id)
     replies = inference.generate_replies(
-        packing.as_items(prepared), provider, path=work, floor=floor, **limits
+        packing.as_items(prepared), provider, path=work, floor=floor, resume=True, **limits
     )
     shaped = enrich.as_stream_replies(replies, prepared, provider_version, now_ms)
     reply_path = write_batch_json(shaped, f"{out}/replies", batch_id)
@@ -76,7 +79,7 @@ def answer_batch(
         publish(messages, **topic)
 
 
-def start(events, checkpoint, body, trigger=None):
+def start(events, checkpoint, body, trigger=None, output_mode="append"):
     """Run ``body(batch, batch_id)`` per micro-batch with a checkpoint.
 
     The default trigger works off what is there and ends; pass
@@ -84,6 +87,7 @@ def start(events, checkpoint, body, trigger=None):
     """
     return (
         events.writeStream.foreachBatch(body)
+        .outputMode(output_mode)
         .option("checkpointLocation", checkpoint)
         .trigger(**(trigger or {"availableNow": True}))
         .start()
@@ -114,12 +118,49 @@ def start_comment_flow(
     return start(prepare_stream(events, now_ms, dedupe_within), checkpoint, body, trigger)
 
 
-def throughput(events, epoch_ms, width="1 minute", late="1 minute"):
-    """Events per tumbling window."""
+def throughput(events, epoch_ms, width="1 minute"):
+    """Events per tumbling window; to be run in update mode.
+
+    There is no watermark, so late events count: the state is one row for each window.
+    """
     return (
         events.withColumn("eventTime", event_time(epoch_ms))
-        .withWatermark("eventTime", late)
         .groupBy(F.window("eventTime", width).alias("window"))
         .agg(F.count("*").alias("events"))
         .select(F.unix_millis(F.col("window.start")).alias("minuteMs"), "events")
     )
+
+
+def start_throughput(events, epoch_ms, log, checkpoint, width="1 minute", trigger=None):
+    """Log every change of a window's count; ``window_counts`` reads the latest of each."""
+
+    def body(part, batch_id):
+        part.write.mode("overwrite").parquet(f"{log}/batch_id={batch_id}")
+
+    return start(throughput(events, epoch_ms, width), checkpoint, body, trigger, "update")
+
+
+def window_counts(spark, log):
+    """Events per window out of the log of ``start_throughput``, the last windows included."""
+    logged = spark.read.schema("minuteMs bigint, events bigint, batch_id bigint").parquet(log)
+    return latest_per_key(logged, "minuteMs", ["batch_id"]).drop("batch_id")
+
+
+def start_lookup_flow(comments, read_posts, out, checkpoint, trigger=None):
+    """Give arriving comments the context of their posts; comments without a post go apart.
+
+    Each micro-batch looks its posts up in the table as it is then, narrowed to the batch's
+    keys first, so the join is as large as the batch; adaptive execution splits a hot post.
+    """
+
+    def body(part, batch_id):
+        stored = f"{out}/work/batch_id={batch_id}"
+        part.write.mode("overwrite").parquet(stored)
+        spark = part.sparkSession
+        batch = spark.read.schema(part.schema).parquet(stored)
+        keys = batch.select("postId").distinct()
+        posts = read_posts(spark).join(keys, "postId", "left_semi")
+        write_batch_json(enrich.comment_events(batch, posts), f"{out}/events", batch_id)
+        write_batch_json(enrich.orphan_comments(batch, posts), f"{out}/orphans", batch_id)
+
+    return start(comments, checkpoint, body, trigger)
