@@ -5,9 +5,10 @@ posted under each (coordinate, value) pair, and two are compared if they agree i
 ``agree`` coordinates. Prefix merging: of two such documents, the COORDINATES - agree + 1 rarest
 pairs of each share one, so only those are posted. Skip merging: equal sets are put together
 first; each list is matched with its most central document, its hub, which links most members
-of a family of copies. Members of different components that remain are compared only if their
-differences from the hub, as counted, leave room for a link: what one lacks of the hub and what
-it alone adds to it are in no other member. Every link is confirmed on full sets.
+of a family of copies. Members of a list in different components that remain are compared only
+if their parity sketches leave room for a link: a bit of a sketch tells whether an odd number of
+a set's shingles fall on it, so two sketches differ in at most as many bits as the sets differ
+in shingles, and no link is lost. Every link is confirmed on full sets.
 """
 
 from math import comb
@@ -23,6 +24,7 @@ from threadloom.session import materialize
 SHINGLE_WORDS = 3
 LEAST_PERCENT = 85
 COORDINATES = 64
+SKETCH_BITS = 1024
 MISSED = 1e-6  # chance of a pair just similar enough to agree in too few coordinates
 
 _RANDOM = np.random.default_rng(9)
@@ -70,13 +72,19 @@ def signature_of(shingles):
     return (least >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
 
+def sketch_of(shingles):
+    """SKETCH_BITS parities as 64-bit numbers: which of them an odd number of shingles set."""
+    counts = np.bincount((shingles % np.uint64(SKETCH_BITS)).astype(np.int64), minlength=SKETCH_BITS)
+    return np.packbits((counts & 1).astype(np.uint8)).view(np.int64)
+
+
 def lowered(text):
     return F.coalesce(ascii_lower(text), F.lit(""))
 
 
 def sign(documents, size=SHINGLE_WORDS):
-    """(doc_id, tag, n_shingles, set_hash, signature) for each row; ``tag`` is a hash of the
-    text, a null text has no shingles."""
+    """(doc_id, tag, n_shingles, set_hash, signature, sketch) for each row; ``tag`` is a hash
+    of the text, a null text has no shingles."""
 
     def signed(columns):
         sets = [shingles_of(raw, size) for raw in encoded(columns["text"])]
@@ -84,11 +92,13 @@ def sign(documents, size=SHINGLE_WORDS):
             [len(s) for s in sets],
             [xxhash.xxh3_128_digest(s.tobytes()) for s in sets],
             [signature_of(s) for s in sets],
+            [sketch_of(s) for s in sets],
         )
 
     rows = documents.select("doc_id", lowered(F.col("text")).alias("text"))
     rows = rows.withColumn("tag", F.xxhash64("text"))
-    return map_rows(rows, signed, "n_shingles bigint, set_hash binary, signature array<int>").drop("text")
+    added = "n_shingles bigint, set_hash binary, signature array<int>, sketch array<bigint>"
+    return map_rows(rows, signed, added).drop("text")
 
 
 def linked_sizes(a, b, percent=LEAST_PERCENT):
@@ -141,56 +151,49 @@ def hub_pairs(lists, hubs):
     )
 
 
-def differences(compared):
-    """(hub, doc, lacks, alone): shingles of the hub that a member lacks, and shingles that it
-    adds to the hub and no other member of the hub's lists does."""
-    added = compared.select("a", "b", F.explode("added").alias("shingle"))
-    single = added.groupBy("a", "shingle").agg(F.count("*").alias("n"), F.min("b").alias("b"))
-    alone = single.filter("n = 1").groupBy("a", "b").agg(F.count("*").alias("alone"))
-    members = compared.select("a", "b", "lacks").join(alone, ["a", "b"], "left")
-    return members.select(
-        F.col("a").alias("hub"), F.col("b").alias("doc"), "lacks", F.coalesce("alone", F.lit(0)).alias("alone")
-    )
+def room_for_link(a_sketch, b_sketch, a_n, b_n, percent=LEAST_PERCENT):
+    """Whether sets of these sketches and sizes can be similar enough: similar sets differ in
+    (100 - percent) / (100 + percent) of their summed sizes at most."""
+    words = SKETCH_BITS // 64
+    apart = " + ".join(f"bit_count({a_sketch}[{i}] ^ {b_sketch}[{i}])" for i in range(words))
+    return f"(100 + {percent}) * ({apart}) <= (100 - {percent}) * ({a_n} + {b_n})"
 
 
-def rest_pairs(lists, hubs, known, percent=LEAST_PERCENT):
-    """Distinct (a, b) of a list's members in different components that may still be linked.
-
-    Two members differ at least by what each alone adds to the hub and by the difference of
-    what they lack of it. Members whose difference from the hub is not known are not left out.
-    """
+def rest_pairs(lists, classes, percent=LEAST_PERCENT):
+    """Distinct (a, b) of a list's members in different components that may still be linked."""
     spread = lists.groupBy("token").agg(
         F.min("component").alias("low"), F.max("component").alias("high")
     )
     mixed = lists.join(spread.filter("low < high").select("token"), "token", "left_semi")
-    left = mixed.join(hubs.select("token", "hub"), "token").filter("doc <> hub").join(known, ["hub", "doc"], "left")
-    left = left.select("token", "doc", "n", "component", "lacks", "alone")
+    left = mixed.join(classes.select("doc", "sketch"), "doc")
+    left = materialize(left.select("token", "doc", "n", "component", "sketch"), "mixed")
     right = left.select(*[F.col(c).alias(c if c == "token" else f"other_{c}") for c in left.columns])
-    apart = "alone + other_alone + abs(lacks - other_lacks)"
-    room = f"coalesce((100 + {percent}) * ({apart}) <= (100 - {percent}) * (n + other_n), true)"
     return (
         left.join(right, "token")
         .filter("doc < other_doc and component <> other_component")
         .filter(linked_sizes("n", "other_n"))
-        .filter(room)
+        .filter(room_for_link("sketch", "other_sketch", "n", "other_n", percent))
         .select(F.col("doc").alias("a"), F.col("other_doc").alias("b"))
         .distinct()
     )
 
 
 def agreeing(pairs, classes, percent=LEAST_PERCENT):
-    """The pairs whose signatures agree in as many coordinates as similar sets would."""
-    signatures = classes.select("doc", "signature")
-    both = pairs.join(signatures.select(F.col("doc").alias("a"), F.col("signature").alias("sa")), "a").join(
-        signatures.select(F.col("doc").alias("b"), F.col("signature").alias("sb")), "b"
+    """The pairs whose signatures agree in as many coordinates as similar sets would, and whose
+    sketches leave room for a link."""
+    held = classes.select("doc", "n", "signature", "sketch")
+    first = held.select(*[F.col(c).alias("a" if c == "doc" else f"a_{c}") for c in held.columns])
+    second = held.select(*[F.col(c).alias("b" if c == "doc" else f"b_{c}") for c in held.columns])
+    both = pairs.join(first, "a").join(second, "b")
+    equal = F.size(
+        F.filter(F.zip_with("a_signature", "b_signature", lambda x, y: x == y), lambda same: same)
     )
-    equal = F.size(F.filter(F.zip_with("sa", "sb", lambda x, y: x == y), lambda same: same))
-    return both.filter(equal >= least_agreeing(percent)).select("a", "b")
+    possible = both.filter(room_for_link("a_sketch", "b_sketch", "a_n", "b_n", percent))
+    return possible.filter(equal >= least_agreeing(percent)).select("a", "b")
 
 
 def compare(pairs, texts, size=SHINGLE_WORDS):
-    """``pairs`` with ``inter`` and ``total`` of the full shingle sets, the number of shingles
-    that b ``lacks`` of a, and those that b has ``added`` to a."""
+    """``pairs`` with ``inter`` and ``total`` of the full shingle sets."""
 
     def sets(columns):
         held = {}
@@ -204,19 +207,17 @@ def compare(pairs, texts, size=SHINGLE_WORDS):
         both = zip(
             cached(columns["a"], encoded(columns["ta"])), cached(columns["b"], encoded(columns["tb"])), strict=True
         )
-        inter, total, lacks, added = [], [], [], []
+        inter, total = [], []
         for x, y in both:
-            new = np.setdiff1d(y, x, assume_unique=True)
-            inter.append(len(y) - len(new))
-            total.append(len(x) + len(new))
-            lacks.append(len(x) - inter[-1])
-            added.append(new.view(np.int64))
-        return inter, total, lacks, added
+            same = len(np.intersect1d(x, y, assume_unique=True))
+            inter.append(same)
+            total.append(len(x) + len(y) - same)
+        return inter, total
 
     both = pairs.join(texts.select(F.col("doc").alias("a"), F.col("text").alias("ta")), "a").join(
         texts.select(F.col("doc").alias("b"), F.col("text").alias("tb")), "b"
     )
-    return map_rows(both, sets, "inter bigint, total bigint, lacks bigint, added array<bigint>").drop("ta", "tb")
+    return map_rows(both, sets, "inter bigint, total bigint").drop("ta", "tb")
 
 
 def linked(compared, percent=LEAST_PERCENT):
@@ -265,12 +266,9 @@ def link_classes(classes, documents, percent=LEAST_PERCENT, size=SHINGLE_WORDS):
     texts = documents.select(F.col("doc_id").alias("doc"), lowered(F.col("text")).alias("text"))
     texts = texts.withColumn("tag", F.xxhash64("text")).join(wanted, ["doc", "tag"], "left_semi")
     texts = materialize(texts.drop("tag"), "texts")
-    hubs = materialize(hubs_of(lists), "hubs")
-    first = agreeing(hub_pairs(lists, hubs), classes, percent)
-    compared = materialize(compare(first, texts, size), "compared")
-    links = linked(compared, percent)
-    placed = materialize(with_components(lists, links), "placed")
-    rest = rest_pairs(placed, hubs, materialize(differences(compared), "differences"), percent)
+    first = agreeing(hub_pairs(lists, hubs_of(lists)), classes, percent)
+    links = materialize(linked(compare(first, texts, size), percent), "links")
+    rest = rest_pairs(with_components(lists, links), classes, percent)
     rest = materialize(agreeing(rest, classes, percent), "pairs")
     return links.union(materialize(linked(compare(rest, texts, size), percent), "links"))
 
@@ -285,7 +283,7 @@ def group_rows(documents, percent=LEAST_PERCENT, size=SHINGLE_WORDS):
     full = known.filter("n_shingles > 0")
     smallest = full.groupBy("set_hash").agg(F.min("doc_id").alias("class"))
     classes = full.join(smallest.select(F.col("class").alias("doc_id")), "doc_id", "left_semi").select(
-        F.col("doc_id").alias("doc"), "tag", F.col("n_shingles").alias("n"), "signature"
+        F.col("doc_id").alias("doc"), "tag", F.col("n_shingles").alias("n"), "signature", "sketch"
     )
     classes = materialize(classes, "classes")
     roots = components(link_classes(classes, documents, percent, size))
