@@ -180,9 +180,9 @@ def with_chances(documents, model):
         )
         return bound(raised, shares)
 
-    texts = described(documents, *[F.col(c) for c in others])
+    texts = described(documents, F.struct(*others).alias("others"))
     return texts.select(
-        *others, "n_tokens", bound(bound(inputs(odds), scores), chances).alias("chances")
+        "others.*", "n_tokens", bound(bound(inputs(odds), scores), chances).alias("chances")
     )
 
 
