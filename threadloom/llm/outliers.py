@@ -26,9 +26,9 @@ LEAST_ROWS = 200
 CORE = 0.75
 STEPS = 4
 BINS_PER_OCTAVE = 32
-# A clean document has chance 1e-12 to be this far out under normal statistics. Real statistics
+# A clean document has chance 1e-14 to be this far out under normal statistics. Real statistics
 # have longer tails, so rejecting means being far from all that is usual.
-TAIL = 1e-12
+TAIL = 1e-14
 
 # (name, transformed statistic, least standard deviation that counts)
 STATISTICS = [
