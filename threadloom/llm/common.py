@@ -7,7 +7,6 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-SPACES = b" \t\n\v\f\r"
 
 # Rows handed to numpy at once; an Arrow batch holds up to 10,000.
 SLICE_ROWS = 256

@@ -180,12 +180,3 @@ def mark_rows(documents, benchmark, name, size=WINDOW):
 def item_digest(items):
     """Lowercase hex SHA-256 of the sorted ids, comma-joined."""
     return F.sha2(F.concat_ws(",", items).cast("binary"), 256)
-
-
-def cut_spans(text, spans):
-    """The text without the given character ranges, which are sorted and apart."""
-    out, at = [], 0
-    for start, end in spans:
-        out.append(text[at:start])
-        at = end
-    return "".join(out) + text[at:]
