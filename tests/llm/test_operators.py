@@ -257,14 +257,9 @@ def test_rates_solve_the_least_squares(spark):
         "doc_id long, n_tokens long, chances array<double>",
     )
     for target in ([0.2, 0.3, 0.5], [0.02, 0.03, 0.95]):
-        steps = mixing.fit_rates(scored, target)
-        rows = scored.withColumn("rate", mixing.rate_column(steps)).orderBy("doc_id").collect()
+        rows = mixing.fit_rates(scored, target).orderBy("doc_id").collect()
         rate = np.array([r.rate for r in rows])
-        slow = ahead = np.ones(400)
-        for gradient, push in steps:
-            before, slow = slow, np.maximum(0, ahead - chances @ gradient)
-            ahead = slow + push * (slow - before)
-        assert np.allclose(rate, slow) and (rate >= 0).all()
+        assert (rate >= 0).all()
         reached = (tokens * rate) @ chances / tokens.sum()
         # what plain numpy reaches after very many steps is no nearer
         moments = (chances * tokens[:, None]).T @ chances / tokens.sum()

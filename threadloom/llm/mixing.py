@@ -16,14 +16,15 @@ from threadloom.session import materialize
 
 BUCKETS = 1 << 15  # of hashed words: bounds the model
 PREFIX = 4  # characters of a word that are a word of their own
-SYMBOLS = "#*$%&|<>"  # as the inside of a regex class
+SYMBOL_RUN, CAPITAL_RUN = "[#*$%&|<>]+", "[A-Z]{3,}"
+MOST_LABELS = 10_000  # documents of each domain that are learned from
 PRIOR = 4.0  # documents that each count starts from, at the corpus mean
 # A bucket counts if some domain's share is so many deviations and so large a factor off.
 LEAST_SPREAD, LEAST_LIFT = 6.0, 1.2
 MOST_ODDS = 8.0
 STATISTICS = 3
-MOST_STEPS = 100
-TOLERANCE = 1e-6  # of all tokens
+MOST_STEPS, STORED_STEPS = 60, 6
+TOLERANCE = 1e-4  # of all tokens
 RIDGE = 1e-3  # of the mean second moment: domains that no document tells apart stay so
 
 TARGETS = {"good_clean": 0.86, "good_toxic": 0.03, "poor_clean": 0.10, "poor_toxic": 0.01}
@@ -34,51 +35,50 @@ def bound(value, use):
     return F.transform(F.array(value), use)[0]
 
 
-def tokens_of(text):
-    """Whitespace-separated tokens of a text column."""
-    return F.filter(F.split(text, r"\s+"), lambda word: word != "")
+def words_of(text):
+    """Lower-cased words: runs of ASCII letters and digits and of all beyond ASCII."""
+    words = F.split(F.lower(text), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    return F.filter(words, lambda word: word != "")
 
 
-def buckets_of(text):
-    """Distinct hashed words and word prefixes, case ignored."""
-    words = F.array_distinct(F.split(F.lower(text), r"[^\p{L}\p{N}]+"))
-    return bound(
-        words,
-        lambda w: F.array_distinct(
-            F.transform(
-                F.concat(w, F.transform(w, lambda x: F.concat(F.substring(x, 1, PREFIX), F.lit("*")))),
-                lambda x: F.pmod(F.xxhash64(x), F.lit(BUCKETS)).cast("int"),
-            )
-        ),
-    )
+def buckets_of(words, distinct):
+    """Buckets of the distinct words, given as hashes, and of their first characters."""
+    prefixes = F.transform(words, lambda w: F.xxhash64(F.lit(PREFIX), F.substring(w, 1, PREFIX)))
+    every = F.concat(distinct, F.array_distinct(prefixes))
+    return F.array_distinct(F.transform(every, lambda h: F.pmod(h, F.lit(BUCKETS)).cast("int")))
 
 
-def statistics_of(text, tokens):
-    """Shares of symbols and capitals, and how far repetition exceeds what length explains."""
-    size = F.size(tokens).cast("double")
+def statistics_of(text, words, distinct):
+    """Runs of symbols and of capitals for each word, and how far repetition exceeds what
+    length explains."""
+    size = F.greatest(F.size(words).cast("double"), F.lit(0.5))
+    fresh = F.greatest(F.size(distinct).cast("double"), F.lit(0.5))
 
-    def share(characters):
-        found = F.regexp_count(text, F.lit(f"[{characters}]"))
-        return F.sqrt(found / F.greatest(F.length(text), F.lit(1)))
+    def share(pattern):
+        return F.least(F.lit(1.0), F.sqrt(F.regexp_count(text, F.lit(pattern)) / size))
 
-    fresh = F.greatest(F.size(F.array_distinct(tokens)).cast("double"), F.lit(0.5))
-    repetition = F.log(fresh / F.greatest(size, F.lit(0.5))) + 0.12 * F.log(size + 1)
-    return F.array(share(SYMBOLS), share("A-Z"), repetition)
+    return F.array(
+        share(SYMBOL_RUN), share(CAPITAL_RUN), F.log(fresh / size) + 0.12 * F.log(size + 1)
+    )
 
 
 def described(documents, *others):
     """``others`` of ``documents`` with n_tokens, buckets and stats of the text; null as empty."""
 
-    def of_text(text):
+    def of_words(text, words):
+        hashes = F.array_distinct(F.transform(words, lambda word: F.xxhash64(word)))
         return bound(
-            tokens_of(text),
-            lambda tokens: F.struct(
-                F.size(tokens).cast("bigint").alias("n_tokens"),
-                buckets_of(text).alias("buckets"),
-                statistics_of(text, tokens).alias("stats"),
+            hashes,
+            lambda distinct: F.struct(
+                F.size(words).cast("bigint").alias("n_tokens"),
+                buckets_of(words, distinct).alias("buckets"),
+                statistics_of(text, words, distinct).alias("stats"),
             ),
         )
 
+    def of_text(text):
+        return bound(words_of(text), lambda words: of_words(text, words))
+
     text = F.coalesce(F.col("text"), F.lit(""))
     return documents.select(*others, F.inline(F.array(bound(text, of_text))))
 
@@ -114,19 +114,27 @@ def inputs(odds):
     )
 
 
-def fit_domains(documents, labelled, domains):
-    """(odds, slopes, offsets) of the classifier, from all labelled texts as a whole.
+def fit_domains(documents, labelled, domains, most=MOST_LABELS):
+    """(odds, slopes, offsets) of the classifier, from at most ``most`` texts of each domain.
 
     ``labelled`` has (doc_id, domain); rows of other domains are ignored, a repeated doc_id
-    counts once for each of its domains. The model's size depends on BUCKETS and domains only.
+    counts once for each of its domains. Texts are chosen by hash of the id and used as a
+    whole. The model's size depends on BUCKETS and domains only.
     """
     known = labelled.filter(F.col("domain").isin(domains) & F.col("doc_id").isNotNull())
     known = known.select("doc_id", "domain").distinct()
-    texts = documents.select("doc_id", "text").join(known, "doc_id")
+    known = materialize(known.join(documents.select("doc_id"), "doc_id", "left_semi"), "labelled")
+    found = {row["domain"]: row["count"] for row in known.groupBy("domain").count().collect()}
+    sizes = np.array([found.get(domain, 0) for domain in domains], float)
+    chosen = None
+    for domain in domains:
+        part = known.filter(F.col("domain") == domain).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+        chosen = part if chosen is None else chosen.unionByName(part)
+    # at most ``most`` rows of each domain
+    texts = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
     texts = materialize(described(texts, "domain"), "labelled")
-    sizes = np.zeros(len(domains))
-    for row in texts.groupBy("domain").count().collect():
-        sizes[domains.index(row["domain"])] = row["count"]
+    known_sizes, total_known = sizes, sizes.sum()
+    sizes = np.minimum(sizes, most)
     counts = np.zeros((len(domains), BUCKETS))
     found = texts.select("domain", F.explode("buckets").alias("bucket")).groupBy("domain", "bucket")
     for row in found.count().collect():  # at most domains x BUCKETS
@@ -141,17 +149,19 @@ def fit_domains(documents, labelled, domains):
     x = [F.col("x")[i] for i in range(width)]
     rows = texts.select("domain", inputs(odds).alias("x"))
     sums = rows.groupBy("domain").agg(
+        F.count("*").cast("double"),
         *[F.sum(x[i]) for i in range(width)],
         *[F.sum(x[i] * x[j]) for i in range(width) for j in range(width)],
     )
     centre, spread = np.zeros((len(domains), width)), np.zeros((width, width))
     for row in sums.collect():
         at, values = domains.index(row["domain"]), np.array(row[1:], float)
-        centre[at] = values[:width] / sizes[at]
-        spread += values[width:].reshape(width, width) - sizes[at] * np.outer(centre[at], centre[at])
+        n, values = values[0], values[1:]
+        centre[at] = values[:width] / n
+        spread += values[width:].reshape(width, width) - n * np.outer(centre[at], centre[at])
     inverse = np.linalg.pinv(spread / max(total, 1) + 1e-6 * np.eye(width))
     slopes = centre @ inverse
-    priors = np.log((sizes + 0.5) / (total + 0.5 * len(domains)))
+    priors = np.log((known_sizes + 0.5) / (total_known + 0.5 * len(domains)))
     return odds, slopes, priors - 0.5 * (slopes * centre).sum(axis=1)
 
 
@@ -186,14 +196,14 @@ def with_chances(documents, model):
     )
 
 
-def rate_column(steps, ahead=False):
-    """The rate after these steps: from 1, each moves it and cuts it off at 0.
+def moved(steps, rate, ahead):
+    """(rate, ahead) after these steps, as a struct: each moves ``ahead`` and cuts it off at 0.
 
-    A step is a gradient and a momentum, by which the next one starts further on; ``ahead``
-    gives the point where the next gradient is to be taken.
+    A step is a gradient and a momentum, by which the next one starts further on.
     """
+    start = F.struct(rate.alias("rate"), ahead.alias("ahead"))
     if not steps:
-        return F.lit(1.0)
+        return start
     values = F.array(*[F.lit(np.array([*gradient, push], float)) for gradient, push in steps])
     size = len(steps[0][0])
 
@@ -204,16 +214,15 @@ def rate_column(steps, ahead=False):
             lambda r: F.struct(r.alias("rate"), (r + values[size] * (r - state["rate"])).alias("ahead")),
         )
 
-    start = F.struct(F.lit(1.0).alias("rate"), F.lit(1.0).alias("ahead"))
-    return F.aggregate(values, start, step)["ahead" if ahead else "rate"]
+    return F.aggregate(values, start, step)
 
 
 def fit_rates(scored, weights, steps=MOST_STEPS, tolerance=TOLERANCE):
-    """The steps that take the domains' expected tokens to ``weights`` shares of all tokens.
+    """``scored`` with the ``rate`` that takes the domains' tokens to ``weights`` of all tokens.
 
     Projected gradient with momentum, started anew where the distance rises. Ends when every
     domain is within ``tolerance`` of all tokens, or with the gradient, which targets out of
-    reach keep above 0, at rest.
+    reach keep above 0, at rest. Rates are stored after each STORED_STEPS steps.
     """
     size = len(weights)
     tokens = F.col("n_tokens").cast("double")
@@ -221,24 +230,34 @@ def fit_rates(scored, weights, steps=MOST_STEPS, tolerance=TOLERANCE):
     sums = [F.sum(tokens * chance[i] * chance[j]) for i in range(size) for j in range(size)]
     *products, total = scored.agg(*sums, F.sum(tokens)).first()
     if not total:
-        return []
+        return scored.withColumn("rate", F.lit(1.0))
     moments = np.array(products, float).reshape(size, size) / total
     metric = np.linalg.inv(moments + RIDGE * np.trace(moments) / size * np.eye(size))
     target = np.array(weights, float) / sum(weights)
+    others = F.struct(*[c for c in scored.columns if c not in ("n_tokens", "chances")]).alias("others")
+    state = scored.select(others, "n_tokens", "chances", F.lit(1.0).alias("rate"), F.lit(1.0).alias("ahead"))
     taken, last, pace = [], np.inf, 1.0
     for _ in range(steps):
-        rated = scored.select(tokens.alias("t"), "chances", rate_column(taken, ahead=True).alias("r"))
-        now = rated.agg(*[F.sum(F.col("t") * F.col("r") * c) for c in chance]).first()
+        at = moved(taken, F.col("rate"), F.col("ahead"))["ahead"]
+        now = state.select(tokens.alias("t"), "chances", at.alias("r")).agg(
+            *[F.sum(F.col("t") * F.col("r") * c) for c in chance]
+        ).first()
         left = np.array(now, float) / total - target
         away = float(left @ metric @ left)
-        if np.abs(left).max() <= tolerance or abs(away - last) <= 1e-9 * away:
+        if np.abs(left).max() <= tolerance or abs(away - last) <= 1e-6 * away:
             break
         if away > last:
             pace = 1.0
         following = (1 + np.sqrt(1 + 4 * pace**2)) / 2
         taken.append((metric @ left, (pace - 1) / following))
         last, pace = away, following
-    return taken
+        if len(taken) == STORED_STEPS:
+            after = moved(taken, F.col("rate"), F.col("ahead")).alias("after")
+            state = state.select("others", "n_tokens", "chances", after)
+            state = materialize(state.select("others", "n_tokens", "chances", "after.*"), "rates")
+            taken = []
+    rate = moved(taken, F.col("rate"), F.col("ahead"))["rate"]
+    return state.select("others.*", "n_tokens", "chances", rate.alias("rate"))
 
 
 def mix(documents, labelled, targets):
@@ -256,9 +275,9 @@ def mix(documents, labelled, targets):
     documents = documents.drop("rate", "copies")
     model = fit_domains(documents, labelled, domains)
     scored = materialize(with_chances(documents, model), "chances")
-    rate = rate_column(fit_rates(scored, [targets[d] for d in domains]))
+    rated = fit_rates(scored, [targets[d] for d in domains])
     share = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / (1 << 20)
-    return scored.withColumn("rate", rate).withColumn("copies", F.floor(F.col("rate") + share))
+    return rated.withColumn("copies", F.floor(F.col("rate") + share))
 
 
 def quality_domains(labels):
