@@ -5,8 +5,8 @@ odds of its hashed words and three statistics go through a linear discriminant.
 rates (how often to use a document) are then fitted by projected gradient least squares, so that
 the expected tokens of each domain, summed over all documents, match the target weights.
 Residuals are measured in the metric of the documents' own second moments, which makes 1 the
-step length. A document's rate follows from its chances and the gradients so far, so no state is
-kept between steps, and each step is one aggregation of as many sums as there are domains.
+step length. A document's rate follows from its chances, its rate as stored last and the few
+gradients since, so each step is one aggregation of as many sums as there are domains.
 """
 
 import numpy as np
