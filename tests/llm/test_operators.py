@@ -443,6 +443,23 @@ def test_groups_equal_brute_force(spark, size, percent):
     assert stay == {k for k, (_, root) in found.items() if k == root}
 
 
+def test_truncated_copies_are_linked(spark):
+    """Copies whose sets are 80 to 85 % of the whole: the size filter has to follow the limit."""
+    rng = random.Random(13)
+    texts = {}
+    for i in range(20):
+        base = words(rng, 204, 100_000)  # 200 shingles of five words
+        texts[10 * i] = " ".join(base)
+        texts[10 * i + 1] = " ".join(base[: 4 + 162 + i % 8])
+    rows = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    found = {
+        r.doc_id: (r.n_shingles, r.component_id)
+        for r in near_dup.group_documents(rows, percent=80, size=5).collect()
+    }
+    assert found == brute_components(texts, 5, 80)
+    assert {r.doc_id for r in near_dup.keep_one(rows).collect()} == {10 * i for i in range(20)}
+
+
 def test_components_of_long_chains(spark):
     edges = [(i, i + 1) for i in range(0, 60)] + [(100, 101), (200, 100), (200, 300), (7, 7)]
     random.Random(1).shuffle(edges)

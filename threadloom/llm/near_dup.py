@@ -101,7 +101,7 @@ def sign(documents, size=SHINGLE_WORDS):
     return map_rows(rows, signed, added).drop("text")
 
 
-def linked_sizes(a, b, percent=LEAST_PERCENT):
+def linked_sizes(a, b, percent):
     """Whether sets of these sizes can be similar enough."""
     return f"100 * least({a}, {b}) >= {percent} * greatest({a}, {b})"
 
@@ -140,12 +140,12 @@ def hubs_of(lists):
     return tops.select("token", F.col("top.doc").alias("hub"), F.col("top.n").alias("hub_n"))
 
 
-def hub_pairs(lists, hubs):
+def hub_pairs(lists, hubs, percent=LEAST_PERCENT):
     """Distinct (a, b): a hub and a member of its lists that may be similar by size."""
     return (
         lists.join(hubs, "token")
         .filter("doc <> hub")
-        .filter(linked_sizes("n", "hub_n"))
+        .filter(linked_sizes("n", "hub_n", percent))
         .select(F.col("hub").alias("a"), F.col("doc").alias("b"))
         .distinct()
     )
@@ -171,7 +171,7 @@ def rest_pairs(lists, classes, percent=LEAST_PERCENT):
     return (
         left.join(right, "token")
         .filter("doc < other_doc and component <> other_component")
-        .filter(linked_sizes("n", "other_n"))
+        .filter(linked_sizes("n", "other_n", percent))
         .filter(room_for_link("sketch", "other_sketch", "n", "other_n", percent))
         .select(F.col("doc").alias("a"), F.col("other_doc").alias("b"))
         .distinct()
@@ -266,7 +266,7 @@ def link_classes(classes, documents, percent=LEAST_PERCENT, size=SHINGLE_WORDS):
     texts = documents.select(F.col("doc_id").alias("doc"), lowered(F.col("text")).alias("text"))
     texts = texts.withColumn("tag", F.xxhash64("text")).join(wanted, ["doc", "tag"], "left_semi")
     texts = materialize(texts.drop("tag"), "texts")
-    first = agreeing(hub_pairs(lists, hubs_of(lists)), classes, percent)
+    first = agreeing(hub_pairs(lists, hubs_of(lists), percent), classes, percent)
     links = materialize(linked(compare(first, texts, size), percent), "links")
     rest = rest_pairs(with_components(lists, links), classes, percent)
     rest = materialize(agreeing(rest, classes, percent), "pairs")
