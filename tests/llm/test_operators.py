@@ -144,6 +144,22 @@ def test_machine_learns_pairs():
     assert np.mean(right) > 0.95
 
 
+def test_production_machine_learns_pairs():
+    """As above with the production settings, and with many neutral words around."""
+    for fillers, vocabulary in ((3, 40), (30, 400)):
+        rng = np.random.default_rng(1)
+        texts, labels = [], []
+        for _ in range(3000):
+            insult, group = rng.random(2) < 0.5
+            own = rng.integers(1000, 1000 + vocabulary, fillers)
+            texts.append(np.array(sorted({100, *own} | ({1} if insult else {3}) | ({2} if group else {4}))))
+            labels.append(int(insult == group))
+        labels = np.array(labels)
+        machine = toxicity.fit_machine(texts[:2000], labels[:2000], np.ones(2000))
+        right = [(machine.score(t) >= 0.5) == bool(y) for t, y in zip(texts[2000:], labels[2000:], strict=True)]
+        assert np.mean(right) > 0.95
+
+
 def test_pair_score_is_the_sum_over_pairs():
     rng = np.random.default_rng(2)
     rows = np.full(toxicity.BUCKETS, -1, np.int32)

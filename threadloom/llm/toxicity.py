@@ -3,7 +3,7 @@
 Terms are the distinct words of a text and their first 4, 5 and 6 bytes. The machine adds a weight
 for each term and, for each pair of terms in a text, the product of their factor vectors, so a
 pair can weigh more than its parts. Fitted on a bounded sample of labels, MOST_LABELS of each
-value; its size is bounded by BUCKETS.
+value; its size is bounded by BUCKETS. Terms are selected by what they tell alone or in a pair.
 """
 
 from dataclasses import dataclass
@@ -26,6 +26,7 @@ MOST_LABELS = 6_000
 THRESHOLD = 0.5
 BUCKETS = 1 << 18
 LEAST_TEXTS = 5  # texts of the sample that a bucket must occur in
+CHANCE = 0.01  # of taking any pair for telling that is not
 FACTORS = 8
 PREFIXES = (4, 5, 6)  # bytes
 
@@ -57,11 +58,52 @@ class Machine:
         return float(sigmoid(self.base + self.weight[rows].sum(dtype=np.float64) + pairs))
 
 
-def fit_machine(texts, labels, weights, steps=100, rate=0.01, ridge=4.0, least_spread=2.5, seed=7):
+def paired_terms(texts, left, weights, mean, known, able):
+    """Terms among ``able`` but not ``known`` that tell in a pair, whatever they tell alone.
+
+    ``left`` is what the known terms leave unexplained of each label. A pair tells if the texts
+    that hold both its terms leave more than chance does among all pairs of ``able``, by the
+    Chernoff bound of a sum of labels.
+    """
+    least = np.log(max(len(able), 2) ** 2 / CHANCE)
+    needed = least / -np.log(min(mean, 1 - mean))  # texts that a telling pair has at least
+    flat = np.concatenate(texts) if texts else np.zeros(0, np.int64)
+    owner = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
+    able = able[np.bincount(flat, weights[owner], BUCKETS)[able] >= needed]
+    known = np.isin(able, known)
+    able, unknown = able[np.argsort(known, kind="stable")], int((~known).sum())  # known ones last
+    width = len(able)
+    place = np.full(BUCKETS, -1, np.int32)
+    place[able] = np.arange(width)
+    cells = place[flat]
+    owner, cells = owner[cells >= 0], cells[cells >= 0]
+    order = np.lexsort((cells, owner))
+    owner, cells = owner[order], cells[order]
+    ends = np.cumsum(np.bincount(owner, minlength=len(texts)))
+    spots = np.split(np.argsort(cells, kind="stable"), np.cumsum(np.bincount(cells, minlength=width))[:-1])
+    tells = np.zeros(width, bool)
+    for term in range(unknown):
+        # each pair once: the places after the term's own in every text that holds it
+        docs, start = owner[spots[term]], spots[term] + 1
+        sizes = ends[docs] - start
+        others = cells[np.repeat(start - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())]
+        heavy = np.bincount(others, np.repeat(weights[docs], sizes), width)
+        near = np.flatnonzero(heavy >= needed)
+        surplus = np.bincount(others, np.repeat((weights * left)[docs], sizes), width)[near]
+        share = np.clip(mean + surplus / heavy[near], 1e-9, 1 - 1e-9)
+        apart = share * np.log(share / mean) + (1 - share) * np.log((1 - share) / (1 - mean))
+        found = near[heavy[near] * apart >= least]
+        tells[found] = True
+        tells[term] |= len(found) > 0
+    return able[tells]
+
+
+def fit_machine(texts, labels, weights, steps=400, rate=0.03, ridge=4.0, least_spread=2.5, seed=7):
     """Full-batch descent with momentum; each term's step is scaled by how often it occurs.
 
     ``texts`` are arrays of buckets. Left out are terms in fewer than LEAST_TEXTS texts and
-    those spread over both labels as chance would have it, up to ``least_spread`` deviations.
+    those spread over both labels as chance would have it, up to ``least_spread`` deviations,
+    unless a pair that they are in tells what the other terms do not.
     """
     flat = np.concatenate(texts) if texts else np.zeros(0, np.int64)
     found = np.bincount(flat, minlength=BUCKETS)
@@ -70,7 +112,19 @@ def fit_machine(texts, labels, weights, steps=100, rate=0.01, ridge=4.0, least_s
     heavy = np.bincount(flat, weights[owner], BUCKETS)
     surplus = np.bincount(flat, (weights * labels)[owner], BUCKETS) - mean * heavy
     spread = np.sqrt(np.maximum(heavy * mean * (1 - mean), 1e-9))
-    used = np.flatnonzero((found >= LEAST_TEXTS) & (np.abs(surplus) >= least_spread * spread))
+    able = np.flatnonzero(found >= LEAST_TEXTS)
+    used = able[np.abs(surplus[able]) >= least_spread * spread[able]]
+    if len(used) < len(able):
+        alone = descend(texts, labels, weights, used, mean, steps, rate, ridge, seed)
+        left = labels - np.array([alone.score(t) for t in texts])
+        used = np.union1d(used, paired_terms(texts, left, weights, mean, used, able))
+    return descend(texts, labels, weights, used, mean, steps, rate, ridge, seed)
+
+
+def descend(texts, labels, weights, used, mean, steps, rate, ridge, seed):
+    """The machine over the terms ``used``, from weights of zero and small random factors."""
+    flat = np.concatenate(texts) if texts else np.zeros(0, np.int64)
+    owner = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
     rows = np.full(BUCKETS, -1, np.int32)
     rows[used] = np.arange(len(used))
     cells = rows[flat]
