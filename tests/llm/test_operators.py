@@ -261,6 +261,38 @@ def test_passages_stay_once(spark):
             assert row.removed_words <= 60 + 2 * 8
 
 
+def test_chains_cover_every_run():
+    rng = random.Random(14)
+    for _ in range(200):
+        sizes = [rng.choice([0, 1, 3, 6, 19, 25]) for _ in range(rng.randrange(12))]
+        first, last, _ = chunks.chains_of(sizes)
+        chains = list(zip(first.tolist(), last.tolist(), strict=True))
+        assert len(set(chains)) == len(chains)
+        assert all(sum(sizes[a : b + 1]) >= chunks.LEAST_WORDS for a, b in chains)
+        for a, b in combinations(range(len(sizes) + 1), 2):
+            inside = [set(range(i, j + 1)) for i, j in chains if a <= i and j < b]
+            covered = set().union(*inside)
+            # blank chunks at the ends of a run may stay
+            bare = {k for k in range(a, b) if not sum(sizes[a : k + 1]) or not sum(sizes[k:b])}
+            assert covered >= (set(range(a, b)) - bare if sum(sizes[a:b]) >= chunks.LEAST_WORDS else set())
+
+
+def test_frequent_phrases_stay(spark):
+    """Chunks that come from many earlier documents are no passage."""
+    rng = random.Random(15)
+    phrases = [" ".join(words(rng, 7, 100_000)) for _ in range(60)]
+    rows = [(i, " ".join(rng.sample(phrases, 30))) for i in range(150)]
+    passage = " ".join(words(rng, 60, 100_000))
+    rows += [(i, " ".join([*rng.sample(phrases, 8), passage, *rng.sample(phrases, 8)])) for i in (200, 201)]
+    found = {r.doc_id: r for r in chunks.dedupe_substrings(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, text in rows:
+        earlier = [f" {t} " for k, t in rows if k < i]
+        for s in found[i].removed_spans:
+            assert any(" " + text[s.start : s.end].strip() + " " in t for t in earlier), text[s.start : s.end]
+        assert i == 201 or found[i].removed_words < 80
+    assert passage in found[200].text and passage not in found[201].text
+
+
 # --- 6: mixing ------------------------------------------------------------------
 
 

@@ -2,9 +2,11 @@
 
 A gear hash rolls over the bytes of a text; where it has CUT_BITS zero bits at the start of a
 word, a chunk ends. A cut depends on the last WINDOW bytes only, so a shared passage is cut
-alike in every document soon after its start, whatever stands before it. Chunks are compared by
-digest. A chunk that also occurs in a document with a smaller id is a copy, and runs of copies
-of at least LEAST_WORDS words are removed; the smallest document keeps the passage.
+alike in every document soon after its start, whatever stands before it. Compared are chains of
+consecutive chunks, by digest: from each chunk on, and back from each chunk, the shortest chain of
+LEAST_WORDS words. A chain that also occurs in a document with a smaller id is a copy, and copies
+are removed; the smallest document keeps the passage. Any run of chunks with LEAST_WORDS words that
+one earlier document holds in the same order is covered by such chains.
 """
 
 import numpy as np
@@ -19,7 +21,9 @@ LEAST_BYTES, MOST_BYTES = 12, 256
 LEAST_WORDS = 20  # of a run that is removed; passages lose up to a chunk at either end
 
 NO_ID = -(1 << 63)
-WORD_BITS, TAG_BITS = 12, 16  # of a chunk's place: number, tag of the text, words
+TAG_BITS = 16  # of a chain's place: number of a chunk, tag of the text, whether it is the first
+CHAIN = np.uint64(0x9E3779B97F4A7C13)  # odd, 3 modulo 4
+BACK = np.uint64(pow(int(CHAIN), -1, 1 << 64))
 
 GEAR = np.random.default_rng(20).integers(0, 1 << 32, 256, dtype=np.uint32)
 BLANKS = bytes(32 if b in b" \t\n\v\f\r" else b for b in range(256))
@@ -84,17 +88,48 @@ def text_tag(raw):
     return xxhash.xxh32_intdigest(raw) & ((1 << TAG_BITS) - 1)
 
 
-def chunk_table(documents):
-    """(digest, doc, place) of each chunk; ``place`` holds its number, the text's tag, its words."""
+def chains_of(words, least=LEAST_WORDS):
+    """(first, last, forward) of the chains of chunks with these numbers of words.
+
+    Forward ones are the shortest with ``least`` words from a chunk on, the others the shortest
+    that end with a chunk, unless they are among the forward ones.
+    """
+    sums = np.concatenate(([0], np.cumsum(np.array(words, np.int64))))
+    number = np.arange(len(words))
+    last = np.searchsorted(sums, sums[:-1] + least, side="left") - 1
+    first = np.searchsorted(sums, sums[1:] - least, side="right") - 1
+    ahead = last < len(words)
+    back = first >= 0
+    back[back] = last[first[back]] != number[back]
+    forward = np.repeat([True, False], [ahead.sum(), back.sum()])
+    return (
+        np.concatenate((number[ahead], first[back])),
+        np.concatenate((last[ahead], number[back])),
+        forward,
+    )
+
+
+def chain_digests(digests, first, last):
+    """A digest of each chain: a polynomial over the digests of its chunks, modulo 2^64."""
+    own = digests.view(np.uint64)
+    powers = np.concatenate((np.ones(1, np.uint64), np.cumprod(np.full(len(own), CHAIN, np.uint64))))
+    inverse = np.concatenate((np.ones(1, np.uint64), np.cumprod(np.full(len(own), BACK, np.uint64))))
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(own * powers[:-1], dtype=np.uint64)))
+    return ((sums[last + 1] - sums[first]) * inverse[first]).view(np.int64)
+
+
+def chain_table(documents):
+    """(digest, doc, place) of each chain; ``place`` holds the number of its first chunk, or of
+    its last if it is not a forward one, and the text's tag."""
 
     def cut(columns):
         digests, places = [], []
         for raw in encoded(columns["text"]):
             own, words = chunk_digests(raw)
-            number = np.arange(len(own), dtype=np.int64)
-            place = ((number << TAG_BITS) | text_tag(raw)) << WORD_BITS
-            digests.append(own)
-            places.append(place | np.array(words, np.int64))
+            first, last, forward = chains_of(words)
+            digests.append(chain_digests(own, first, last))
+            number = np.where(forward, first, last).astype(np.int64)
+            places.append((((number << TAG_BITS) | text_tag(raw)) << 1) | forward)
         return digests, places
 
     rows = documents.select(
@@ -106,41 +141,45 @@ def chunk_table(documents):
     )
 
 
-def copied_chunks(chunks):
-    """The chunks that also occur in a document with a smaller id: (doc, place).
+def copied_chains(chains):
+    """The chains that also occur in a document with a smaller id: (doc, place).
 
     Digests are put together before the shuffle, so a hot one leaves a task as one row; the
     join is an inner one, whose hot digests adaptive execution splits.
     """
     shared = (
-        chunks.groupBy("digest")
-        .agg(F.min("doc").alias("first"), F.max("doc").alias("last"))
-        .filter("first < last")
+        chains.groupBy("digest")
+        .agg(F.min("doc").alias("first"), F.count("*").alias("held"))
+        .filter("held > 1")
         .select("digest", "first")
     )
-    return chunks.join(shared, "digest").filter("doc > first").select("doc", "place")
+    return chains.join(shared, "digest").filter("doc > first").select("doc", "place")
 
 
-def runs_of(places, tag, least=LEAST_WORDS):
-    """Runs (first chunk, last chunk) of consecutive copies with ``least`` words or more."""
+def runs_of(places, tag, words):
+    """Runs (first chunk, last chunk) that the copied chains of a text cover."""
     places = np.array(places, np.int64)
-    mine = np.sort(places[(places >> WORD_BITS) & ((1 << TAG_BITS) - 1) == tag])
-    number, words = mine >> (WORD_BITS + TAG_BITS), mine & ((1 << WORD_BITS) - 1)
-    out = []
-    for run in np.split(np.arange(len(mine)), np.flatnonzero(np.diff(number) > 1) + 1):
-        if len(run) and words[run].sum() >= least:
-            out.append((int(number[run[0]]), int(number[run[-1]])))
-    return out
+    mine = places[(places >> 1) & ((1 << TAG_BITS) - 1) == tag]
+    copied = set(zip((mine >> (TAG_BITS + 1)).tolist(), (mine & 1).tolist(), strict=True))
+    edges = np.zeros(len(words) + 1, np.int64)
+    for first, last, forward in zip(*map(np.ndarray.tolist, chains_of(words)), strict=True):
+        if (first if forward else last, int(forward)) in copied:
+            edges[first] += 1
+            edges[last + 1] -= 1
+    inside = np.concatenate(([0], (np.cumsum(edges) > 0).astype(np.int8)))
+    turns = np.flatnonzero(np.diff(inside))
+    return [(int(a), int(b) - 1) for a, b in zip(turns[::2], turns[1::2], strict=True)]
 
 
 def without_runs(raw, places):
     """(rest of the text, removed byte ranges)."""
     if not places:
         return raw, []
-    runs = runs_of(places, text_tag(raw))
+    ends, words = chunk_ends(raw)
+    runs = runs_of(places, text_tag(raw), words)
     if not runs:
         return raw, []
-    ends = [0, *chunk_ends(raw)[0]]
+    ends = [0, *ends]
     ranges = [(ends[a], ends[b + 1]) for a, b in runs]
     kept, at = [], 0
     for start, end in ranges:
@@ -160,7 +199,7 @@ def dedupe_substrings(documents):
     """
     documents = documents.drop("removed_spans", "removed_words")
     copies = (
-        copied_chunks(chunk_table(documents))
+        copied_chains(chain_table(documents))
         .groupBy("doc")
         .agg(F.collect_list("place").alias("places"))  # bounded by the length of the document
     )
