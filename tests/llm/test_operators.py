@@ -429,6 +429,24 @@ def test_estimate_is_the_one_of_numpy(spark):
     assert (far[:90] > limit).all() and (far[90:] > limit).mean() < 0.01
 
 
+@pytest.mark.parametrize("copies", [True, False])
+def test_much_junk_of_one_kind_is_rejected(spark, copies):
+    rng = np.random.default_rng(17)
+    cells, shares = [], {"c35": 0.35, "c40": 0.40, "c45": 0.45}
+    for name, share in shares.items():
+        rows = rng.normal(size=(1000, outliers.P)) * [1, 0.5, 0.05, 0.1, 0.1] + [6, 5, 0.1, 0.2, 0.1]
+        junk = int(1000 * share)
+        rows[:junk] = rows[0] if copies else rows[:junk]
+        rows[:junk, 2] += 2
+        cells += [(name, i < junk, *r.tolist()) for i, r in enumerate(rows)]
+    schema = "cell string, junk boolean, " + ", ".join(f"x{i} double" for i in range(outliers.P))
+    frame = spark.createDataFrame(cells, schema)
+    found = outliers.refined(frame, outliers.estimate(frame))
+    limit = outliers.chi_square_point(outliers.TAIL / len(cells), outliers.P)
+    judged = frame.join(found, "cell").withColumn("far", outliers._distance() > limit).toPandas()
+    assert judged[judged.junk].far.all() and judged[~judged.junk].far.mean() < 0.01
+
+
 def test_rules_keep_clean_and_reject_noise(spark, data):
     found = queries.QUERIES["op8_quality_rules"](spark, data).join(
         spark.read.parquet(f"{data}/documents.parquet"), "doc_id"

@@ -1,9 +1,10 @@
 """Quality rules: base limits, then robust multivariate outliers per language and source.
 
 Each document that passes the base limits becomes a vector of transformed statistics. The
-minimum-covariance-determinant estimate of a cell (language, source) starts at its medians and
-quartile ranges and is improved by concentration steps: keep the rows nearest to the centre, at
-least the share CORE of the cell, and estimate centre and covariance from them. Distances are
+minimum-covariance-determinant estimate of a cell (language, source) starts at the shortest halves
+of its statistics and is improved by concentration steps until no determinant shrinks: keep the
+rows nearest to the centre, (n + P + 1) / 2 of the cell, and estimate centre and covariance from
+them. They are estimated once more from all rows that are near by this. Distances are
 counted in fine bins of their logarithm and moments are summed by bin, so that one grouping of
 the whole table makes a step for all cells at once, however large a cell is.
 """
@@ -23,12 +24,12 @@ MOST_REPEATED = 50  # percent of words in repeated 3-word windows
 
 # Smaller cells of a language are put together: an estimate needs rows.
 LEAST_ROWS = 200
-CORE = 0.75
-STEPS = 4
+CORE = 0.5  # the most that junk may nearly reach without moving the estimates
+NEAR = 0.975  # share of normal rows that the last estimates are made of
+LEAST_GAIN = 1e-6  # of the determinant's logarithm
+QUANTILES = 101  # of a statistic; its shortest half is found among them
 BINS_PER_OCTAVE = 32
-# A clean document has chance 1e-14 to be this far out under normal statistics. Real statistics
-# have longer tails, so rejecting means being far from all that is usual.
-TAIL = 1e-14
+TAIL = 0.01  # chance that any clean document is rejected, under normal statistics
 
 # (name, transformed statistic, least standard deviation that counts)
 STATISTICS = [
@@ -86,19 +87,20 @@ def core_factor(core=CORE):
     return core / chi_square_share(point, P + 2)
 
 
-def _whitening(centre, covariance):
+def _whitening(covariance):
     """Lower-triangular W with |W (x - centre)| the Mahalanobis distance, least scales added."""
     least = np.diag([scale**2 for _, _, scale in STATISTICS])
     return np.linalg.inv(np.linalg.cholesky(covariance + least))
 
 
-def _estimates(columns):
-    """(centre, w) of each cell from its number of rows, sums and sums of products."""
+def _estimates(columns, core=CORE):
+    """(centre, w, spread) of each cell from its number of rows, sums and sums of products;
+    ``spread`` is the logarithm of the covariance's determinant."""
     n = np.maximum(np.array(columns["n"].to_pylist(), float), 1.0)
     sums = np.array([columns[f"s{i}"].to_pylist() for i in range(P)], float).T
     centre = sums / n[:, None]
-    factor = core_factor()
-    weights = []
+    factor = core_factor(core)
+    weights, spreads = [], []
     for row in range(len(n)):
         cov = np.zeros((P, P))
         for i in range(P):
@@ -108,19 +110,23 @@ def _estimates(columns):
         # rounding can leave a small negative eigenvalue
         values, vectors = np.linalg.eigh(cov * factor)
         cov = (vectors * np.maximum(values, 0)) @ vectors.T
-        weights.append(_whitening(centre[row], cov).ravel().tolist())
-    return centre.tolist(), weights
+        whitening = _whitening(cov)
+        weights.append(whitening.ravel().tolist())
+        spreads.append(float(-2 * np.log(np.diag(whitening)).sum()))
+    return centre.tolist(), weights, spreads
 
 
 def _starts(columns):
-    """(centre, w) of each cell from the quartiles of each statistic."""
-    centre, weights = [], []
+    """(centre, w, spread) of each cell from the shortest half of each statistic."""
+    centre, weights, half = [], [], QUANTILES // 2
     for row in range(len(columns["cell"])):
-        quartiles = np.array([columns[f"p{i}"][row].as_py() for i in range(P)])
-        scale = (quartiles[:, 2] - quartiles[:, 0]) / 1.349
-        centre.append(quartiles[:, 1].tolist())
-        weights.append(_whitening(quartiles[:, 1], np.diag(scale**2)).ravel().tolist())
-    return centre, weights
+        points = np.array([columns[f"p{i}"][row].as_py() for i in range(P)])
+        lengths = points[:, half:] - points[:, : QUANTILES - half]
+        first = lengths.argmin(axis=1)
+        low, high = points[range(P), first], points[range(P), first + half]
+        centre.append(((low + high) / 2).tolist())
+        weights.append(_whitening(np.diag(((high - low) / 1.349) ** 2)).ravel().tolist())
+    return centre, weights, [math.inf] * len(centre)
 
 
 def _distance():
@@ -146,35 +152,70 @@ def with_cells(rows):
     return joined.withColumn("cell", F.coalesce("_key", pooled)).drop("_own", "_key")
 
 
-def estimate(rows, steps=STEPS, core=CORE):
-    """(cell, centre, w) of the robust estimates; ``rows`` has cell and x0.. and is stored."""
-    quartiles = [
-        F.percentile_approx(name, [0.25, 0.5, 0.75], 1000).alias(f"p{i}")
-        for i, (name, _, _) in enumerate(STATISTICS)
-    ]
-    fit = "centre array<double>, w array<double>"
-    cells = map_rows(rows.groupBy("cell").agg(*quartiles), _starts, fit).select("cell", "centre", "w")
+FIT = "centre array<double>, w array<double>, spread double"
+
+
+def _moments(share):
+    """Sums by name of rows that count ``share`` each."""
+    moments = {"n": F.sum(share)}
+    moments |= {f"s{i}": F.sum(share * F.col(f"x{i}")) for i in range(P)}
+    products = {f"q{i}{j}": F.col(f"x{i}") * F.col(f"x{j}") for i in range(P) for j in range(i + 1)}
+    return moments | {name: F.sum(share * product) for name, product in products.items()}
+
+
+def concentrated(rows, cells, core=CORE):
+    """(cell, centre, w, spread) of the ``core`` of each of ``cells`` that is nearest by them."""
+    octave = F.log2(F.greatest(F.col("d"), F.lit(1e-9)))
+    moments = _moments(F.lit(1.0))
+    by_bin = (
+        rows.join(cells, "cell")
+        .withColumn("d", _distance())
+        .withColumn("bin", F.floor(octave * BINS_PER_OCTAVE))
+        .groupBy("cell", "bin")
+        .agg(*[moment.alias(name) for name, moment in moments.items()])
+    )
+    # a few hundred bins a cell: keep the nearest, and of the last one the part that is needed
+    whole = Window.partitionBy("cell")
+    before = whole.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
+    nearest = by_bin.withColumn("nearer", F.coalesce(F.sum("n").over(before), F.lit(0.0)))
+    nearest = nearest.withColumn("wanted", core * (F.sum("n").over(whole) + P + 1) - F.col("nearer"))
+    part = F.least(F.lit(1.0), F.col("wanted") / F.col("n"))
+    summed = nearest.filter("wanted > 0").groupBy("cell").agg(
+        *[F.sum(part * F.col(name)).alias(name) for name in moments]
+    )
+    return map_rows(summed, _estimates, FIT).select("cell", "centre", "w", "spread")
+
+
+def estimate(rows, core=CORE):
+    """(cell, centre, w) of the robust estimates; ``rows`` has cell and x0.. and is stored.
+
+    A cell is done when a step shrinks its determinant no more, which must happen: it falls by
+    LEAST_GAIN in each other step and has a lower bound.
+    """
+    points = [i / (QUANTILES - 1) for i in range(QUANTILES)]
+    points = [F.percentile_approx(name, points, 1000).alias(f"p{i}") for i, (name, _, _) in enumerate(STATISTICS)]
+    starts = map_rows(rows.groupBy("cell").agg(*points), _starts, FIT)
+    cells = starts.select("cell", "centre", "w", "spread", F.lit(True).alias("moved"))
     cells = materialize(cells, "cells")
-    moments = {"n": F.count("*")}
-    moments |= {f"s{i}": F.sum(f"x{i}") for i in range(P)}
-    moments |= {f"q{i}{j}": F.sum(F.col(f"x{i}") * F.col(f"x{j}")) for i in range(P) for j in range(i + 1)}
-    before = Window.partitionBy("cell").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
-    for _ in range(steps):
-        scored = rows.join(cells, "cell").withColumn("d", _distance())
-        octave = F.log2(F.greatest(F.col("d"), F.lit(1e-9)))
-        by_bin = (
-            scored.withColumn("bin", F.floor(octave * BINS_PER_OCTAVE))
-            .groupBy("cell", "bin")
-            .agg(*[moment.alias(name) for name, moment in moments.items()])
-        )
-        # a few hundred bins a cell: keep the nearest until the share is reached
-        total = F.sum("n").over(Window.partitionBy("cell"))
-        nearest = by_bin.withColumn("nearer", F.coalesce(F.sum("n").over(before), F.lit(0)))
-        nearest = nearest.withColumn("all", total).filter(F.col("nearer") < core * F.col("all"))
-        summed = nearest.groupBy("cell").agg(*[F.sum(name).cast("double").alias(name) for name in moments])
-        cells = map_rows(summed, _estimates, fit).select("cell", "centre", "w")
-        cells = materialize(cells, "cells")
-    return cells
+    while not cells.filter("moved").isEmpty():
+        moved = cells.filter("moved").select("cell", "centre", "w")
+        new = concentrated(rows, moved, core)
+        new = new.select("cell", *[F.col(c).alias(f"new_{c}") for c in ("centre", "w", "spread")])
+        shrunk = F.coalesce(F.col("new_spread") < F.col("spread") - LEAST_GAIN, F.lit(False))
+        both = cells.drop("moved").join(new, "cell", "left").withColumn("moved", shrunk)
+        latest = [F.when(F.col("moved"), F.col(f"new_{c}")).otherwise(F.col(c)).alias(c) for c in ("centre", "w", "spread")]
+        cells = materialize(both.select("cell", *latest, "moved"), "cells")
+    return cells.select("cell", "centre", "w")
+
+
+def refined(rows, cells, near=NEAR):
+    """(cell, centre, w) from all rows that are as near by ``cells`` as the share ``near`` of
+    normal rows."""
+    limit = chi_square_point(1 - near, P)
+    within = rows.join(cells, "cell").withColumn("d", _distance()).filter(F.col("d") <= limit)
+    summed = within.groupBy("cell").agg(*[m.alias(name) for name, m in _moments(F.lit(1.0)).items()])
+    found = map_rows(summed, lambda columns: _estimates(columns, near), FIT)
+    return materialize(found.select("cell", "centre", "w"), "cells")
 
 
 def judge(documents, tail=TAIL):
@@ -184,7 +225,8 @@ def judge(documents, tail=TAIL):
     and fails. ``distance`` is the squared robust distance from the row's cell, null for rows
     that fail the base limits; they take no part in the estimates. Rows with a null lang or
     source have cells of their own. Repeated rows repeat and count each time. Further columns
-    are ignored, whatever their names.
+    are ignored, whatever their names. ``tail`` is the chance that any of the rows is rejected
+    if all are normal.
     """
     counted = count_statistics(documents)
     counted = counted.withColumn(
@@ -196,9 +238,9 @@ def judge(documents, tail=TAIL):
     passed = stored.filter(~F.col("base_failed"))
     vectors = with_cells(passed).withColumns({name: F.expr(text) for name, text, _ in STATISTICS})
     vectors = materialize(vectors, "vectors")
-    cells = estimate(vectors)
+    cells = refined(vectors, estimate(vectors))
     judged = vectors.join(cells, "cell").withColumn("distance", _distance())
-    limit = chi_square_point(tail, P)
+    limit = chi_square_point(tail / max(1, vectors.count()), P)
     columns = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
     return judged.select(*columns, "distance", (F.col("distance") <= limit).alias("kept")).unionByName(
         stored.filter("base_failed").select(
