@@ -2,7 +2,21 @@
 
 from pyspark.sql import functions as F
 
-from threadloom.llm import chunks, decontaminate, language, mixing, near_dup, outliers, quality, toxicity, url_filter, warc
+from threadloom.llm import (
+    chunks,
+    decontaminate,
+    fim,
+    language,
+    mixing,
+    near_dup,
+    nearest,
+    outliers,
+    quality,
+    repair,
+    toxicity,
+    url_filter,
+    warc,
+)
 from threadloom.llm.common import table
 from threadloom.session import scratch_dir
 
@@ -229,3 +243,61 @@ select w.doc_id, cast(coalesce(sizes.n, 0) as bigint) as n_shingles,
   coalesce(least(roots.low, w.doc_id), w.doc_id) = w.doc_id as kept
 from words w left join sizes on sizes.doc_id = w.doc_id left join roots on roots.doc = w.doc_id
 """
+
+
+# --- 11: conversation structure repair --------------------------------------------
+
+
+@query
+def op11_repair(spark, sf):
+    return repair.repair(table(spark, sf, "conversations"))
+
+
+# --- 12: nearest neighbours --------------------------------------------------------
+
+
+@query
+def op12_nearest(spark, sf):
+    vectors = table(spark, sf, "embeddings")
+    return nearest.search(vectors, vectors.filter("vec_id % 20 = 0"), 20)
+
+
+# --- 13: fill-in-middle ------------------------------------------------------------
+
+
+@query
+def op13_fill_in_middle(spark, sf):
+    formed = fim.transform(table(spark, sf, "documents").select("doc_id", "text"))
+    return formed.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars",
+        F.sha2("output", 256).alias("output_sha256"),
+        F.sha2(fim.restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"),
+    )
+
+
+ORACLE["op13_fill_in_middle"] = r"""
+with units as (
+  select doc_id, coalesce(text, '') as text,
+    regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') as u,
+    sha256('1:' || coalesce(cast(doc_id as varchar), '')) as h from documents),
+drawn as (
+  select *, len(u) as n,
+    cast(cast('0x' || h[1:8] as bigint) % (len(u) + 1) as bigint) as a,
+    cast(cast('0x' || h[9:16] as bigint) % (len(u) + 1) as bigint) as b,
+    case when text = '' or contains(text, '<P>') or contains(text, '<S>') or contains(text, '<M>')
+        or cast('0x' || h[17:24] as bigint) % 100 >= 90 then 'plain'
+      when cast('0x' || h[25:32] as bigint) % 100 < 20 then 'spm' else 'psm' end as form
+  from units),
+parts as (
+  select doc_id, text, n, form, array_to_string(u[1:least(a, b)], '') as p,
+    array_to_string(u[least(a, b) + 1:greatest(a, b)], '') as m,
+    array_to_string(u[greatest(a, b) + 1:], '') as s
+  from drawn)
+select doc_id, cast(n as bigint) as n, form,
+  case when form <> 'plain' then cast(length(p) as bigint) end as prefix_chars,
+  case when form <> 'plain' then cast(length(m) as bigint) end as middle_chars,
+  sha256(case form when 'plain' then text when 'psm' then '<P>' || p || '<S>' || s || '<M>' || m
+    else '<S>' || s || '<P>' || p || '<M>' || m end) as output_sha256,
+  sha256(text) as restored_sha256
+from parts
+"""
