@@ -34,8 +34,10 @@ def usable(vectors):
     item = F.col("embedding")
     finite = F.forall(item, lambda x: x.isNotNull() & (F.abs(x) < float("inf")))
     some = F.exists(item, lambda x: x != 0)
+    single = vectors.schema["embedding"].dataType.simpleString() == "array<float>"
+    kind = "array<float>" if single else "array<double>"  # half the bytes to shuffle
     return vectors.select(
-        F.col("vec_id").cast("bigint").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")
+        F.col("vec_id").cast("bigint").alias("vec_id"), F.col("embedding").cast(kind).alias("embedding")
     ).filter(F.coalesce(F.col("vec_id").isNotNull() & finite & some, F.lit(False)))
 
 
@@ -179,7 +181,8 @@ def fit(vectors):
     and the longest vector; a second one gathers a sample chosen by hash of the id, of
     SAMPLE_LIST_ROWS rows a list, SAMPLE_VALUES components at most.
     """
-    length = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda total, x: total + x * x))
+    square = lambda x: x.cast("double") * x.cast("double")
+    length = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda total, x: total + square(x)))
     sizes = vectors.groupBy(F.size("embedding").alias("dim")).agg(
         F.count("*").alias("rows"), F.max(length).alias("longest")
     )
@@ -205,8 +208,6 @@ def _matrix(column, dim):
 
 # --- lists ----------------------------------------------------------------------
 
-PLACED = "grp int, block int, id bigint, embedding array<double>, lists array<int>"
-
 
 def placed(rows, index, k=None):
     """``rows`` (id, embedding), one for each group they have a list in, with these lists.
@@ -254,7 +255,8 @@ def placed(rows, index, k=None):
                     names=["grp", "block", "id", "embedding", "lists"],
                 )
 
-    return rows.mapInArrow(place, PLACED)
+    kind = rows.schema["embedding"].dataType.simpleString()
+    return rows.mapInArrow(place, f"grp int, block int, id bigint, embedding {kind}, lists array<int>")
 
 
 def _by_list(column):
