@@ -318,6 +318,35 @@ def test_rates_solve_the_least_squares(spark):
             best = np.maximum(0, best - chances @ (metric @ left))
         left, mine = (tokens * best) @ chances / tokens.sum() - target, reached - target
         assert mine @ metric @ mine <= left @ metric @ left + 1e-4
+        gradients, passes, told = mixing.fit_gradients(scored, target)
+        assert np.allclose(told, mine, atol=1e-9) and passes < 30
+        assert np.abs(mine).max() <= 1e-4  # both can be reached
+        # at rest: a step along the gradient moves no rate
+        slope = mixing.PULLS[-1] * metric_of(moments) @ gradients - mine
+        assert np.abs(slope).max() <= 1e-6
+
+
+def metric_of(moments):
+    return moments + mixing.RIDGE * np.trace(moments) / len(moments) * np.eye(len(moments))
+
+
+def test_rates_of_targets_out_of_reach(spark):
+    """Ends at the nearest point, which plain steps approach from above, and says so."""
+    rng = np.random.default_rng(3)
+    chances, tokens = rng.dirichlet([8, 0.3, 0.6, 0.05], 500), rng.integers(0, 900, 500)
+    scored = spark.createDataFrame(
+        [(i, int(t), c.tolist()) for i, (t, c) in enumerate(zip(tokens, chances, strict=True))],
+        "doc_id long, n_tokens long, chances array<double>",
+    )
+    target = np.array([0.05, 0.05, 0.05, 0.85])
+    _, passes, left = mixing.fit_gradients(scored, target)
+    moments = (chances * tokens[:, None]).T @ chances / tokens.sum()
+    metric, best = np.linalg.inv(metric_of(moments)), np.ones(500)
+    for _ in range(20000):
+        plain = (tokens * best) @ chances / tokens.sum() - target
+        best = np.maximum(0, best - chances @ (metric @ plain))
+    assert passes < 60 and np.abs(left).max() > 0.01
+    assert left @ metric @ left <= plain @ metric @ plain * (1 + 1e-6)
 
 
 def test_mixing_reaches_targets(spark):

@@ -4,16 +4,18 @@ A classifier counted on the labelled table gives each document the chances of th
 odds of its hashed words and three statistics go through a linear discriminant. Nonnegative
 rates (how often to use a document) are then fitted by projected gradient least squares, so that
 the expected tokens of each domain, summed over all documents, match the target weights.
-Residuals are measured in the metric of the documents' own second moments, which makes 1 the
-step length. A document's rate follows from its chances, its rate as stored last and the few
-gradients since, so each step is one aggregation of as many sums as there are domains.
+Gradients are summed up and the sum is projected, so a document's rate follows from its chances
+and one number a domain, and each step is one aggregation of a few sums over stored rows.
 """
 
+import logging
+
 import numpy as np
 from pyspark.sql import functions as F
 
 from threadloom.session import materialize
 
+LOG = logging.getLogger(__name__)
 BUCKETS = 1 << 15  # of hashed words: bounds the model
 PREFIX = 4  # characters of a word that are a word of their own
 SYMBOL_RUN, CAPITAL_RUN = "[#*$%&|<>]+", "[A-Z]{3,}"
@@ -23,8 +25,8 @@ PRIOR = 4.0  # documents that each count starts from, at the corpus mean
 LEAST_SPREAD, LEAST_LIFT = 6.0, 1.2
 MOST_ODDS = 8.0
 STATISTICS = 3
-MOST_STEPS, STORED_STEPS = 60, 6
-TOLERANCE = 1e-4  # of all tokens
+TOLERANCE = 1e-6  # of all tokens
+PULLS, LEAST_LENGTH = [10.0**-i for i in range(1, 8)], 1e-10
 RIDGE = 1e-3  # of the mean second moment: domains that no document tells apart stay so
 
 TARGETS = {"good_clean": 0.86, "good_toxic": 0.03, "poor_clean": 0.10, "poor_toxic": 0.01}
@@ -41,10 +43,10 @@ def words_of(text):
     return F.filter(words, lambda word: word != "")
 
 
-def buckets_of(words, distinct):
-    """Buckets of the distinct words, given as hashes, and of their first characters."""
-    prefixes = F.transform(words, lambda w: F.xxhash64(F.lit(PREFIX), F.substring(w, 1, PREFIX)))
-    every = F.concat(distinct, F.array_distinct(prefixes))
+def buckets_of(distinct):
+    """Buckets of the distinct words and of their first characters."""
+    prefixes = F.transform(distinct, lambda w: F.xxhash64(F.lit(PREFIX), F.substring(w, 1, PREFIX)))
+    every = F.concat(F.transform(distinct, lambda w: F.xxhash64(w)), prefixes)
     return F.array_distinct(F.transform(every, lambda h: F.pmod(h, F.lit(BUCKETS)).cast("int")))
 
 
@@ -66,12 +68,11 @@ def described(documents, *others):
     """``others`` of ``documents`` with n_tokens, buckets and stats of the text; null as empty."""
 
     def of_words(text, words):
-        hashes = F.array_distinct(F.transform(words, lambda word: F.xxhash64(word)))
         return bound(
-            hashes,
+            F.array_distinct(words),
             lambda distinct: F.struct(
                 F.size(words).cast("bigint").alias("n_tokens"),
-                buckets_of(words, distinct).alias("buckets"),
+                buckets_of(distinct).alias("buckets"),
                 statistics_of(text, words, distinct).alias("stats"),
             ),
         )
@@ -196,68 +197,95 @@ def with_chances(documents, model):
     )
 
 
-def moved(steps, rate, ahead):
-    """(rate, ahead) after these steps, as a struct: each moves ``ahead`` and cuts it off at 0.
-
-    A step is a gradient and a momentum, by which the next one starts further on.
-    """
-    start = F.struct(rate.alias("rate"), ahead.alias("ahead"))
-    if not steps:
-        return start
-    values = F.array(*[F.lit(np.array([*gradient, push], float)) for gradient, push in steps])
-    size = len(steps[0][0])
-
-    def step(state, values):
-        move = sum(F.col("chances")[i] * values[i] for i in range(size))
-        return bound(
-            F.greatest(F.lit(0.0), state["ahead"] - move),
-            lambda r: F.struct(r.alias("rate"), (r + values[size] * (r - state["rate"])).alias("ahead")),
-        )
+def projected(chances, gradients):
+    """The rate after gradients that sum up to ``gradients``: 1 less their share, cut off at 0."""
+    moved = sum(chances[i] * float(g) for i, g in enumerate(gradients))
+    return F.greatest(F.lit(0.0), 1.0 - moved)
 
-    return F.aggregate(values, start, step)
 
+def fit_gradients(scored, weights, tolerance=TOLERANCE):
+    """(gradients, passes, left): summed gradients, passes over the rows, distance by domain.
 
-def fit_rates(scored, weights, steps=MOST_STEPS, tolerance=TOLERANCE):
-    """``scored`` with the ``rate`` that takes the domains' tokens to ``weights`` of all tokens.
-
-    Projected gradient with momentum, started anew where the distance rises. Ends when every
-    domain is within ``tolerance`` of all tokens, or with the gradient, which targets out of
-    reach keep above 0, at rest. Rates are stored after each STORED_STEPS steps.
+    Minimises the squared distance of the domains' tokens from ``weights``, in the metric of the
+    documents' second moments, plus a pull times the squared distance of the rates from 1, which
+    makes the rates unique; the last of PULLS counts, the stronger ones lead to it. Gradients are
+    summed up first and projected then, so a rate is known from a document's chances and one
+    number a domain, and a step is one aggregation. A step is the gradient in the metric of the
+    documents whose rate is above 0, shortened until the summed objective falls. This ends,
+    whatever the targets, with the gradient at 0.
     """
     size = len(weights)
-    tokens = F.col("n_tokens").cast("double")
-    chance = [F.col("chances")[i] for i in range(size)]
-    sums = [F.sum(tokens * chance[i] * chance[j]) for i in range(size) for j in range(size)]
-    *products, total = scored.agg(*sums, F.sum(tokens)).first()
+    every = range(size)
+    pairs = [(i, j) for i in every for j in every if i <= j]
+    tokens, chances = F.col("n_tokens").cast("double"), [F.col("chances")[i] for i in every]
+
+    def moments(values):
+        out = np.zeros((size, size))
+        for (i, j), value in zip(pairs, values, strict=True):
+            out[i, j] = out[j, i] = value or 0.0
+        return out
+
+    first = [F.sum(tokens * chances[i] * chances[j]) for i, j in pairs]
+    *products, total = scored.agg(*first, F.sum(tokens)).first()
     if not total:
-        return scored.withColumn("rate", F.lit(1.0))
-    moments = np.array(products, float).reshape(size, size) / total
-    metric = np.linalg.inv(moments + RIDGE * np.trace(moments) / size * np.eye(size))
+        return np.zeros(size), 1, np.zeros(size)
     target = np.array(weights, float) / sum(weights)
-    others = F.struct(*[c for c in scored.columns if c not in ("n_tokens", "chances")]).alias("others")
-    state = scored.select(others, "n_tokens", "chances", F.lit(1.0).alias("rate"), F.lit(1.0).alias("ahead"))
-    taken, last, pace = [], np.inf, 1.0
-    for _ in range(steps):
-        at = moved(taken, F.col("rate"), F.col("ahead"))["ahead"]
-        now = state.select(tokens.alias("t"), "chances", at.alias("r")).agg(
-            *[F.sum(F.col("t") * F.col("r") * c) for c in chance]
-        ).first()
-        left = np.array(now, float) / total - target
-        away = float(left @ metric @ left)
-        if np.abs(left).max() <= tolerance or abs(away - last) <= 1e-6 * away:
-            break
-        if away > last:
-            pace = 1.0
-        following = (1 + np.sqrt(1 + 4 * pace**2)) / 2
-        taken.append((metric @ left, (pace - 1) / following))
-        last, pace = away, following
-        if len(taken) == STORED_STEPS:
-            after = moved(taken, F.col("rate"), F.col("ahead")).alias("after")
-            state = state.select("others", "n_tokens", "chances", after)
-            state = materialize(state.select("others", "n_tokens", "chances", "after.*"), "rates")
-            taken = []
-    rate = moved(taken, F.col("rate"), F.col("ahead"))["rate"]
-    return state.select("others.*", "n_tokens", "chances", rate.alias("rate"))
+    whole = moments(products) / total
+    metric = whole + RIDGE * np.trace(whole) / size * np.eye(size)
+    passes = 1
+
+    def at(gradients):
+        nonlocal passes
+        passes += 1
+        rate = projected(chances, gradients)
+        rows = scored.select(
+            tokens.alias("t"), rate.alias("r"), *[c.alias(f"c{i}") for i, c in enumerate(chances)]
+        )
+        weight, free = F.col("t") * F.col("r"), F.when(F.col("r") > 0, F.col("t"))
+        sums = [F.sum(weight * F.col(f"c{i}")) for i in every] + [F.sum(weight * F.col("r"))]
+        sums += [F.sum(free * F.col(f"c{i}") * F.col(f"c{j}")) for i, j in pairs]
+        values = rows.agg(*sums).first()
+        left = np.array(values[:size], float) / total - target
+        value = values[size] / total / 2 + target @ gradients
+        return left, value, moments(values[size + 1 :]) / total
+
+    def objective(found, gradients, pull):
+        return found[1] + pull / 2 * gradients @ metric @ gradients
+
+    def shortened(gradients, found, slope, step, pull):
+        value, length = objective(found, gradients, pull), 1.0
+        while True:
+            moved = gradients - length * step
+            found = at(moved)
+            # sums are exact to a few parts in 1e15 only
+            least = value - 1e-4 * length * (slope @ step) + 1e-13 * abs(value)
+            if objective(found, moved, pull) <= least or length < LEAST_LENGTH:
+                return moved, found, length
+            length /= 4
+
+    gradients = np.zeros(size)
+    found = at(gradients)
+    for pull in PULLS:
+        length = 1.0
+        while length >= LEAST_LENGTH:
+            slope = pull * metric @ gradients - found[0]
+            if np.abs(slope).max() <= (tolerance if pull == PULLS[-1] else 10 * tolerance):
+                break
+            step = np.linalg.solve(found[2] + pull * metric, slope)
+            gradients, found, length = shortened(gradients, found, slope, step, pull)
+    return gradients, passes, found[0]
+
+
+def fit_rates(scored, weights, tolerance=TOLERANCE):
+    """``scored`` with the ``rate`` that takes the domains' tokens to ``weights`` of all tokens.
+
+    Targets out of reach are said in the log, with the distance that is left.
+    """
+    gradients, passes, left = fit_gradients(scored, weights, tolerance)
+    if np.abs(left).max() > 100 * tolerance:
+        LOG.warning("targets out of reach: %d passes, distance left %s", passes, np.round(left, 6).tolist())
+    chances = [F.col("chances")[i] for i in range(len(weights))]
+    return scored.withColumn("rate", projected(chances, gradients))
 
 
 def mix(documents, labelled, targets):
