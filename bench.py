@@ -11,6 +11,7 @@ import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
+from threadloom.operators.inference import offline_provider  # noqa: E402
 from threadloom.plans import batch, bridge  # noqa: E402
 from threadloom.plans.registry import QUERIES  # noqa: E402
 from threadloom.session import get_session, scratch_dir  # noqa: E402
@@ -62,7 +63,7 @@ def run_job(spark, sf_dir):
     write_json(bridge.nested_posts(spark, sf_dir), source)
     comments = bridge.comments(spark, sf_dir).count()
     out, work = scratch_dir(spark, "out"), scratch_dir(spark, "work")
-    seconds, _ = timed(lambda: batch.run_job(spark, source, out, work, "bench"))
+    seconds, _ = timed(lambda: batch.run_job(spark, source, out, work, "bench", offline_provider))
     return seconds, round(comments / seconds, 1)
 
 

@@ -6,9 +6,11 @@ from pyspark.sql import functions as F
 from threadloom import schemas
 from threadloom.operators import comments as prep
 from threadloom.operators import enrich, state
+from threadloom.operators.inference import offline_provider
 from threadloom.plans import batch
 from threadloom.sinks import writers
 from threadloom.sources import readers
+from threadloom.streaming import commits
 
 NOW = 1_704_672_000_000
 
@@ -54,7 +56,7 @@ def _write(tmp_path, multiline):
 @pytest.mark.parametrize("multiline", [True, False])
 def test_job_end_to_end(spark, tmp_path, multiline):
     source, out, work = _write(tmp_path, multiline), str(tmp_path / "out"), str(tmp_path / "work")
-    rows = batch.run_job(spark, source, out, work, "j1", multiline=multiline, now_ms=NOW).collect()
+    rows = batch.run_job(spark, source, out, work, "j1", offline_provider, multiline=multiline, now_ms=NOW).collect()
     got = {r.commentId: r for r in rows}
     assert set(got) == {"c1", "c2", "c5"} and len(rows) == 3
     assert got["c2"].commentText == "early copy"
@@ -72,7 +74,7 @@ def test_job_end_to_end(spark, tmp_path, multiline):
 def test_failed_job_leaves_a_record_and_raises(spark, tmp_path):
     work = str(tmp_path / "work")
     with pytest.raises(Exception, match="PATH_NOT_FOUND"):
-        batch.run_job(spark, str(tmp_path / "none.json"), str(tmp_path / "out"), work, "j2")
+        batch.run_job(spark, str(tmp_path / "none.json"), str(tmp_path / "out"), work, "j2", offline_provider)
     failed = spark.read.parquet(f"{work}/status").filter("status = 'failed'").first()
     assert (failed.totalRecords, failed.processedRecords) == (0, 0)
     assert "PATH_NOT_FOUND" in failed.error
@@ -80,8 +82,8 @@ def test_failed_job_leaves_a_record_and_raises(spark, tmp_path):
 
 def test_job_can_be_repeated(spark, tmp_path):
     source, out, work = _write(tmp_path, False), str(tmp_path / "out"), str(tmp_path / "work")
-    first = batch.run_job(spark, source, out, work, "j1", now_ms=NOW).drop("inferenceLatencyMs").collect()
-    again = batch.run_job(spark, source, out, work, "j1", now_ms=NOW).drop("inferenceLatencyMs").collect()
+    first = batch.run_job(spark, source, out, work, "j1", offline_provider, now_ms=NOW).drop("inferenceLatencyMs").collect()
+    again = batch.run_job(spark, source, out, work, "j1", offline_provider, now_ms=NOW).drop("inferenceLatencyMs").collect()
     assert sorted(first, key=str) == sorted(again, key=str)
 
 
@@ -179,8 +181,8 @@ def test_command_line(spark, tmp_path):
 
     source = _write(tmp_path, False)
     command.main(
-        ["batch", "--input", source, "--output", f"{tmp_path}/out", "--work", f"{tmp_path}/work",
-         "--job-id", "j", "--rounds", "2"]
+        ["batch", "--provider", "threadloom.operators.inference:offline_provider", "--input", source, "--output", f"{tmp_path}/out", "--work", f"{tmp_path}/work",
+         "--job-id", "j", "--rounds", "2", "--provider", "threadloom.operators.inference:offline_provider"]
     )
     assert readers.read_results(spark, f"{tmp_path}/out").count() == 3
     events = tmp_path / "events"
@@ -188,7 +190,8 @@ def test_command_line(spark, tmp_path):
     event = {"commentId": "c1", "postId": "p", "userId": "u", "postText": "post", "commentText": "text"}
     (events / "a").write_text(json.dumps(event))
     command.main(
-        ["stream", "--path", str(events), "--output", f"{tmp_path}/live", "--checkpoint",
-         f"{tmp_path}/checkpoint", "--every", "once"]
+        ["stream", "--provider", "threadloom.operators.inference:offline_provider", "--path", str(events), "--output", f"{tmp_path}/live", "--checkpoint",
+         f"{tmp_path}/checkpoint", "--every", "once", "--provider",
+         "threadloom.operators.inference:offline_provider"]
     )
-    assert spark.read.json(f"{tmp_path}/live/replies/*").count() == 1
+    assert commits.committed_rows(spark, f"{tmp_path}/live", "replies", schemas.STREAM_REPLY).count() == 1

@@ -111,7 +111,7 @@ def test_every_item_gets_one_reply_even_if_calls_fail(spark):
 
 def test_offline_provider_equals_its_column_form(spark):
     items = _items(spark)
-    called = {r.id: r.generated_reply for r in inference.generate_replies(items).collect()}
+    called = {r.id: r.generated_reply for r in inference.generate_replies(items, inference.offline_provider).collect()}
     column = items.select("id", parsing.offline_reply(F.col("id")).alias("reply"))
     assert called == {r.id: r.reply for r in column.collect()}
 
@@ -165,9 +165,9 @@ def test_calls_in_flight_are_bounded(spark):
 
 def test_resume_keeps_the_rounds_that_were_stored(spark, tmp_path):
     items = _items(spark)
-    first = inference.generate_replies(items, path=str(tmp_path), rounds=4).collect()
+    first = inference.generate_replies(items, inference.offline_provider, path=str(tmp_path), rounds=4).collect()
     seen = []
-    again = inference.generate_replies(items, path=str(tmp_path), rounds=1, resume=True, report=seen.append)
+    again = inference.generate_replies(items, inference.offline_provider, path=str(tmp_path), rounds=1, resume=True, report=seen.append)
     assert sorted(again.collect()) == sorted(first) and len(first) == 40
     assert len(seen) == 4 and seen[-1] == 40
 

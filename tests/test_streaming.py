@@ -8,7 +8,7 @@ from threadloom.operators import inference
 from threadloom.plans import batch, bridge, registry
 from threadloom.sources import readers, streams
 from threadloom.streaming import comments as live
-from threadloom.streaming import tables
+from threadloom.streaming import commits
 
 NOW = bridge.NOW_MS
 
@@ -27,14 +27,14 @@ def _deliver(folder, name, *events):
 
 def _run(spark, tmp_path, **more):
     events = streams.comment_stream(spark, source="text", path=str(tmp_path / "in"), maxFilesPerTrigger=1)
-    query = live.start_comment_flow(
-        events, str(tmp_path / "out"), str(tmp_path / "checkpoint"), now_ms=NOW, **more
-    )
+    checkpoint = str(tmp_path / more.pop("checkpoint", "checkpoint"))
+    provider = more.pop("provider", inference.offline_provider)
+    query = live.start_comment_flow(events, str(tmp_path / "out"), checkpoint, provider, "v", now_ms=NOW, **more)
     query.awaitTermination()
 
 
 def _read(spark, tmp_path, name, schema):
-    return spark.read.schema(schema).json(f"{tmp_path}/out/{name}/*")
+    return commits.committed_rows(spark, f"{tmp_path}/out", name, schema)
 
 
 def test_restart_and_redelivery_give_each_comment_once(spark, tmp_path):
@@ -52,7 +52,7 @@ def test_restart_and_redelivery_give_each_comment_once(spark, tmp_path):
         json.loads(m.value)["generatedReply"] for m in messages
     }
     # the third file held nothing new: its batch wrote nothing
-    assert len(list((tmp_path / "out" / "cleaned").glob("batch_id=*"))) == 2
+    assert len(list((tmp_path / "out" / "cleaned").rglob("batch_id=*"))) == 2
 
 
 def test_errors_stop_the_stream_and_the_batch_is_repeated(spark, tmp_path):
@@ -135,18 +135,56 @@ def test_throughput_windows(spark, tmp_path):
     assert counts == {m * 60_000: 60 + (m == 0) for m in range(10)}
 
 
-def test_table_ingest_keeps_the_row_stored_first(spark, tmp_path):
-    folder, log = tmp_path / "in", str(tmp_path / "log")
-    reply = lambda text, at: {
-        "replyId": "r1", "commentId": "c", "postId": "p", "generatedReply": text, "timestamp": at,
-    }
+def test_new_checkpoint_goes_on_in_the_same_folder(spark, tmp_path):
+    """Its first batch is no repeat of the old stream's first batch."""
+    _deliver(tmp_path / "in", "a", _event("c0"), _event("c1"), _event("c2"))
+    _run(spark, tmp_path)
+    (tmp_path / "in" / "a").rename(tmp_path / "delivered")
+    _deliver(tmp_path / "in", "b", _event("c10"), _event("c11"), _event("c12"))
+    _run(spark, tmp_path, checkpoint="another")
+    for name, schema in (("cleaned", schemas.CLEANED_STREAM), ("replies", schemas.STREAM_REPLY)):
+        got = _read(spark, tmp_path, name, schema).collect()
+        assert sorted(r.commentId for r in got) == ["c0", "c1", "c10", "c11", "c12", "c2"]
+    assert commits.committed(spark, f"{tmp_path}/out").count() == 2
+
+
+def test_batch_that_broke_is_read_only_when_repeated_and_asks_once(spark, tmp_path, monkeypatch):
+    _deliver(tmp_path / "in", "a", _event("c1"), _event("c2"))
+    log = tmp_path / "asked"
+    log.write_text("")
+
+    def provider(kind, prompt, ids, max_tokens, log=str(log)):
+        with open(log, "a") as out:
+            out.write("call\n")
+        return "\n".join(f"[{n}] hi" for n in range(1, len(ids) + 1))
+
+    def broken(messages, *more, **options):
+        raise RuntimeError("topic is down")
+
+    with monkeypatch.context() as patch:
+        patch.setattr(live, "publish", broken)
+        with pytest.raises(Exception, match="topic is down"):
+            _run(spark, tmp_path, provider=provider)
+    assert _read(spark, tmp_path, "replies", schemas.STREAM_REPLY).count() == 0
+    assert list((tmp_path / "out" / "replies").rglob("*.json"))  # there, but not committed
+    _run(spark, tmp_path, provider=provider)
+    assert _read(spark, tmp_path, "replies", schemas.STREAM_REPLY).count() == 2
+    assert _read(spark, tmp_path, "messages", "key string, value string").count() == 2
+    assert log.read_text() == "call\n"
+
+
+def test_another_input_under_the_same_number_is_another_batch(spark, tmp_path):
+    columns = schemas.CLEANED_STREAM
+    rows = [(f"c{i}", "p", "u", "n", "post", "text", "", "general", 1, "", 0, 1, 4, 1) for i in range(2)]
+    for row in rows:
+        part = spark.createDataFrame([row], columns)
+        live.answer_batch(part, 0, str(tmp_path / "out"), inference.offline_provider, "v", NOW)
+    got = _read(spark, tmp_path, "replies", schemas.STREAM_REPLY).collect()
+    assert sorted(r.commentId for r in got) == ["c0", "c1"]
 
-    def run():
-        rows = streams.reply_stream(spark, NOW, source="text", path=str(folder))
-        tables.start_table_ingest(rows, log, "replyId", ["timestamp"], str(tmp_path / "cp")).awaitTermination()
-        return tables.stored_rows(spark, log, rows.schema, "replyId", ["timestamp"]).collect()
 
-    _deliver(folder, "a", reply("second", 9), reply("first", 5), reply("first", 5))
-    assert [r.generatedReply for r in run()] == ["first"]
-    _deliver(folder, "b", reply("earlier but stored later", 1), {**reply("other", 3), "replyId": "r2"})
-    assert sorted(r.generatedReply for r in run()) == ["first", "other"]
+def test_fingerprint_tells_rows_not_their_order(spark):
+    rows = [("a", 1), ("b", 2), ("b", 2), (None, None)]
+    mark = lambda r: commits.fingerprint(spark.createDataFrame(r, "k string, v int"), ["k", "v"])
+    assert mark(rows) == mark(rows[::-1]) and mark(rows)[0] == 4
+    assert len({mark(rows)[1], mark(rows[1:])[1], mark([*rows[:-1], ("c", 3)])[1], mark(rows[:1] * 4)[1], mark([])[1]}) == 5

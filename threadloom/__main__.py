@@ -6,7 +6,6 @@ With spark-submit the session settings come from the cluster's configuration.
 import argparse
 import importlib
 
-from threadloom.operators import inference
 from threadloom.plans import batch
 from threadloom.session import get_session
 from threadloom.sources import streams
@@ -14,9 +13,7 @@ from threadloom.streaming import comments
 
 
 def _provider(name):
-    """A provider named ``module:function``; the offline one by default."""
-    if not name:
-        return inference.offline_provider
+    """A provider named ``module:function``."""
     module, _, function = name.partition(":")
     return getattr(importlib.import_module(module), function)
 
@@ -39,9 +36,10 @@ def _arguments(argv):
     live.add_argument("--path", help="folder of JSON lines to read instead of a topic")
     live.add_argument("--every", default="5 seconds", help="trigger, or 'once' to stop when done")
     live.add_argument("--dedupe-within", default="1 hour")
+    live.add_argument("--provider-version", default="1", help="part of the reply ids")
     live.add_argument("--max-per-trigger", type=int, default=10_000)
     for flow in (job, live):
-        flow.add_argument("--provider", help="module:function of the reply provider")
+        flow.add_argument("--provider", required=True, help="module:function of the reply provider")
         flow.add_argument("--concurrency", type=int, help="calls in flight")
         flow.add_argument("--master")
     return parser.parse_args(argv)
@@ -61,6 +59,7 @@ def _run_stream(spark, args):
         args.output,
         args.checkpoint,
         provider=_provider(args.provider),
+        provider_version=args.provider_version,
         dedupe_within=args.dedupe_within,
         trigger=trigger,
         topic=topic,

@@ -193,7 +193,7 @@ def collect_replies(answers):
     return read.unionByName(error_replies(answers))
 
 
-def generate_replies(items, provider=offline_provider, path=None, floor=None, **limits):
+def generate_replies(items, provider, path=None, floor=None, **limits):
     """Pack, prompt, call, parse and re-attach: one reply row per item.
 
     With ``path`` the calls and their answers are stored there, and ``rounds`` and ``resume``

@@ -44,7 +44,7 @@ def run_job(
     output_path,
     work_path,
     job_id,
-    provider=inference.offline_provider,
+    provider,
     multiline=False,
     now_ms=None,
     floor=None,

@@ -414,6 +414,15 @@ _SELECTS = {
     "insert_or_ignore": "select * from replies",
     "stream_reply_ingest": "select * from replies",
     "stream_post_ingest": "select * from posts_table",
+    "stream_post_compacted": "select * from posts_table",
+    "stream_rejects": """
+      select 'posts' as topic, 3 * count(*) as messages, count(*) as stored,
+        2 * count(*) as rejected, 2 * count(*) as kept from posts_table
+      union all
+      select 'replies', 2 * count(*), count(*), count(*), count(*) from replies""",
+    "stream_new_checkpoint": """
+      select c.commentId, c.postId, c.commentText, cast(1 as bigint) as replies, g.generatedReply as reply
+      from clean_live c join generated g on g.commentId = c.commentId""",
     "latest_status_by_key": "select * from jobs",
     "job_failure_event": """
       select jobId, 'failed' as status, inputPath, outputPath, 0 as totalRecords,

@@ -30,7 +30,8 @@ from threadloom.session import materialize, scratch_dir
 from threadloom.sinks import writers
 from threadloom.sources import readers, streams
 from threadloom.streaming import comments as live
-from threadloom.streaming import tables
+from threadloom.streaming import commits, tables
+from threadloom.streaming.keyed import KeyedTable
 
 QUERIES = {}
 
@@ -853,7 +854,7 @@ def union_ok_and_error(spark, sf):
 @query
 def generate_replies(spark, sf):
     path = scratch_dir(spark, "answers")
-    return inference.generate_replies(_items(spark, sf), path=path, rounds=2).drop("latency_ms")
+    return inference.generate_replies(_items(spark, sf), offline_provider, path=path, rounds=2).drop("latency_ms")
 
 
 _TRIES = collections.Counter()
@@ -888,10 +889,10 @@ def resumed_replies(spark, sf):
         raise InterruptedError(f"the job ends after {done} items")
 
     try:
-        inference.generate_replies(items, path=path, rounds=4, report=breaks)
+        inference.generate_replies(items, offline_provider, path=path, rounds=4, report=breaks)
     except InterruptedError:
         pass
-    again = inference.generate_replies(items, path=path, rounds=1, resume=True)
+    again = inference.generate_replies(items, offline_provider, path=path, rounds=1, resume=True)
     return again.drop("latency_ms")
 
 
@@ -919,7 +920,7 @@ def batch_end_to_end(spark, sf):
     source = scratch_dir(spark, "upload")
     writers.write_json(bridge.nested_posts(spark, sf), source)
     out, work = scratch_dir(spark, "out"), scratch_dir(spark, "work")
-    return batch.run_job(spark, source, out, work, "job1", now_ms=NOW_MS).drop(
+    return batch.run_job(spark, source, out, work, "job1", offline_provider, now_ms=NOW_MS).drop(
         "inferenceLatencyMs"
     )
 
@@ -927,26 +928,31 @@ def batch_end_to_end(spark, sf):
 # --- streams -----------------------------------------------------------------
 
 
+POST_MESSAGES = (readers.decode_post_events, readers.rejected_posts)
+
+
+def _post_table(spark):
+    return KeyedTable(scratch_dir(spark, "posts"), schemas.POST_EVENT, "postId", ["createdAt"], buckets=8)
+
+
+def _ingest(spark, path, table, readers_of, merge_every=None, checkpoint=None):
+    """Feed ``table`` from the messages in ``path``, a file a batch."""
+    messages = streams.message_stream(spark, source="text", path=path, maxFilesPerTrigger=4)
+    checkpoint = checkpoint or scratch_dir(spark, "checkpoint")
+    tables.start_table_ingest(messages, table, *readers_of, checkpoint, None, merge_every).awaitTermination()
+    return table
+
+
 def _looked_up(spark, sf):
-    """Posts arrive through their topic, then comments look them up in the post log."""
-    topic, log = scratch_dir(spark, "post-topic"), scratch_dir(spark, "log")
-    posts = _stored_posts(spark, sf)
+    """Posts arrive through their topic, then comments look them up in the post table."""
+    topic, posts = scratch_dir(spark, "post-topic"), _stored_posts(spark, sf)
     _write_messages(enrich.as_messages(posts, "postId", posts.columns), topic)
-    rows = streams.post_stream(spark, source="text", path=topic)
-    tables.start_table_ingest(
-        rows, log, "postId", ["createdAt"], scratch_dir(spark, "checkpoint")
-    ).awaitTermination()
+    stored = _ingest(spark, topic, _post_table(spark), POST_MESSAGES)
     path, out = scratch_dir(spark, "comments"), scratch_dir(spark, "looked-up")
     table = bridge.comments_table(spark, sf)
     table.write.parquet(path)
     arriving = spark.readStream.schema(table.schema).parquet(path)
-    schema = schemas.POST_EVENT
-    live.start_lookup_flow(
-        arriving,
-        lambda session: tables.stored_rows(session, log, schema, "postId", ["createdAt"]),
-        out,
-        scratch_dir(spark, "checkpoint"),
-    ).awaitTermination()
+    live.start_lookup_flow(arriving, stored, out, scratch_dir(spark, "checkpoint")).awaitTermination()
     return out, table.schema
 
 
@@ -954,14 +960,14 @@ def _looked_up(spark, sf):
 def stream_enrich_comments(spark, sf):
     """New comments as a stream, joined with the posts ingested so far."""
     out, _ = _looked_up(spark, sf)
-    return _live_rows(spark, out, "events", schemas.COMMENT_EVENT).drop("metadata")
+    return commits.committed_rows(spark, out, "events", schemas.COMMENT_EVENT).drop("metadata")
 
 
 @query
 def stream_orphans(spark, sf):
     """New comments without a stored post, kept apart."""
     out, schema = _looked_up(spark, sf)
-    return _live_rows(spark, out, "orphans", schema)
+    return commits.committed_rows(spark, out, "orphans", schema)
 
 
 @query
@@ -977,48 +983,61 @@ def _half(messages, part):
     return messages.filter(identity.hash_bucket(F.col("key"), 2) == part)
 
 
-def _run_live(spark, sf, restart=False):
-    """The live flow over all comment events; with ``restart`` in two runs, with redelivery."""
-    topic, out = scratch_dir(spark, "topic"), scratch_dir(spark, "live")
-    checkpoint = scratch_dir(spark, "checkpoint")
+def _run_live(spark, sf, deliveries=None, checkpoints=1):
+    """The live flow over all comment events, delivered in one or more runs.
+
+    The runs take turns with so many checkpoints, and all write to the same folder.
+    """
+    out = scratch_dir(spark, "live")
+    places = [(scratch_dir(spark, "topic"), scratch_dir(spark, "checkpoint")) for _ in range(checkpoints)]
     messages = enrich.encode_comment_events(_event_rows(spark, sf))
-    deliveries = [_half(messages, 0), messages] if restart else [messages]
-    for delivery in deliveries:
+    for number, delivery in enumerate(deliveries(messages) if deliveries else [messages]):
+        topic, checkpoint = places[number % checkpoints]
         _write_messages(delivery, topic)
         events = streams.comment_stream(spark, source="text", path=topic, maxFilesPerTrigger=16)
         run = live.start_comment_flow(
-            events, out, checkpoint, provider_version=PROVIDER_VERSION, now_ms=NOW_MS
+            events, out, checkpoint, offline_provider, PROVIDER_VERSION, now_ms=NOW_MS
         )
         run.awaitTermination()
     return out
 
 
-def _live_rows(spark, out, name, schema):
-    return spark.read.schema(schema).json(f"{out}/{name}/*")
-
-
 @query
 def stream_sink_cleaned(spark, sf):
-    return _live_rows(spark, _run_live(spark, sf), "cleaned", schemas.CLEANED_STREAM)
+    return commits.committed_rows(spark, _run_live(spark, sf), "cleaned", schemas.CLEANED_STREAM)
 
 
 @query
 def stream_sink_replies(spark, sf):
-    replies = _live_rows(spark, _run_live(spark, sf), "replies", schemas.STREAM_REPLY)
+    replies = commits.committed_rows(spark, _run_live(spark, sf), "replies", schemas.STREAM_REPLY)
     return replies.drop("inferenceLatencyMs")
 
 
 @query
 def stream_end_to_end(spark, sf):
     out = _run_live(spark, sf)
-    messages = spark.read.schema("key string, value string").json(f"{out}/messages/*")
+    messages = commits.committed_rows(spark, out, "messages", "key string, value string")
     return readers.decode_replies(messages, NOW_MS)
 
 
 @query
 def stream_restart(spark, sf):
-    out = _run_live(spark, sf, restart=True)
-    return _live_rows(spark, out, "cleaned", schemas.CLEANED_STREAM)
+    """Half of the events, then a restart with all of them delivered."""
+    out = _run_live(spark, sf, lambda messages: [_half(messages, 0), messages])
+    return commits.committed_rows(spark, out, "cleaned", schemas.CLEANED_STREAM)
+
+
+@query
+def stream_new_checkpoint(spark, sf):
+    """Two streams in turn, each with a checkpoint of its own, in one output folder.
+
+    Their batches have the same numbers; each comment keeps its cleaned row and gets one reply.
+    """
+    out = _run_live(spark, sf, lambda messages: [_half(messages, 0), _half(messages, 1)], checkpoints=2)
+    cleaned = commits.committed_rows(spark, out, "cleaned", schemas.CLEANED_STREAM)
+    replies = commits.committed_rows(spark, out, "replies", schemas.STREAM_REPLY)
+    counts = replies.groupBy("commentId").agg(F.count("*").alias("replies"), F.max("generatedReply").alias("reply"))
+    return cleaned.select("commentId", "postId", "commentText").join(counts, "commentId", "left")
 
 
 @query
@@ -1037,10 +1056,11 @@ def stream_foreach_batch(spark, sf):
     return counts.groupBy("event_type").agg(F.sum("events").alias("events"))
 
 
-def _ingest(spark, rows, key, order):
-    log, checkpoint = scratch_dir(spark, "log"), scratch_dir(spark, "checkpoint")
-    tables.start_table_ingest(rows, log, key, order, checkpoint).awaitTermination()
-    return tables.stored_rows(spark, log, rows.schema, key, order)
+REPLY_MESSAGES = (lambda messages: readers.decode_replies(messages, NOW_MS), readers.rejected_replies)
+
+
+def _reply_table(spark):
+    return KeyedTable(scratch_dir(spark, "replies"), schemas.REPLY_EVENT, "replyId", ["timestamp"], buckets=8)
 
 
 @query
@@ -1051,8 +1071,7 @@ def stream_reply_ingest(spark, sf):
     messages = enrich.as_messages(replies, "replyId", replies.columns)
     for _ in range(2):
         _write_messages(messages, path)
-    rows = streams.reply_stream(spark, NOW_MS, source="text", path=path, maxFilesPerTrigger=4)
-    return _ingest(spark, rows, "replyId", ["timestamp"])
+    return _ingest(spark, path, _reply_table(spark), REPLY_MESSAGES).rows(spark)
 
 
 @query
@@ -1061,8 +1080,53 @@ def stream_post_ingest(spark, sf):
     path = scratch_dir(spark, "post-topic")
     posts = _posts(spark, sf)
     _write_messages(enrich.as_messages(posts, "postId", posts.columns), path)
-    rows = streams.post_stream(spark, source="text", path=path, maxFilesPerTrigger=4)
-    return _ingest(spark, rows, "postId", ["createdAt"])
+    return _ingest(spark, path, _post_table(spark), POST_MESSAGES).rows(spark)
+
+
+@query
+def stream_post_compacted(spark, sf):
+    """The post topic in three runs, the table merged after the first two of them.
+
+    The last run brings all posts anew with another title: the rows stored first stay.
+    """
+    path, checkpoint, table = scratch_dir(spark, "post-topic"), scratch_dir(spark, "checkpoint"), _post_table(spark)
+    posts = _posts(spark, sf)
+    messages = enrich.as_messages(posts, "postId", posts.columns)
+    again = posts.withColumn("title", F.lit("later"))
+    for delivery in (_half(messages, 0), _half(messages, 1), enrich.as_messages(again, "postId", again.columns)):
+        table.merge(spark)
+        table.drop_folded(spark)
+        _write_messages(delivery, path)
+        _ingest(spark, path, table, POST_MESSAGES, checkpoint=checkpoint)
+    return table.rows(spark)
+
+
+@query
+def stream_rejects(spark, sf):
+    """Messages, stored and rejected rows of the post and reply topics, each with bad messages.
+
+    Next to each message comes one cut short; next to each post one without its key.
+    """
+    posts, replies = _posts(spark, sf), bridge.replies(spark, sf)
+    topics = [
+        ("posts", _post_table(spark), POST_MESSAGES, enrich.as_messages(posts, "postId", posts.columns)),
+        ("replies", _reply_table(spark), REPLY_MESSAGES, enrich.as_messages(replies, "replyId", replies.columns)),
+    ]
+    counts = None
+    for name, table, readers_of, good in topics:
+        cut = good.select("key", F.substring_index("value", ",", 1).alias("value"))
+        nameless = good.select("key", F.regexp_replace("value", '"postId"', '"id"').alias("value"))
+        sent = good.unionByName(cut) if name == "replies" else good.unionByName(cut).unionByName(nameless)
+        path = scratch_dir(spark, f"{name}-topic")
+        _write_messages(sent, path)
+        _ingest(spark, path, table, readers_of, merge_every=2)
+        found = commits.committed(spark, table.path).agg(
+            F.lit(name).alias("topic"),
+            *[F.sum(c).alias(c) for c in ("messages", "stored", "rejected")],
+            F.lit(table.rejected(spark).count()).cast("bigint").alias("kept"),
+        )
+        counts = found if counts is None else counts.unionByName(found)
+    return counts
 
 
 @query

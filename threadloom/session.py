@@ -55,7 +55,22 @@ def materialize(frame, label):
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
 
 
+def _path(spark, path):
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return found.getFileSystem(spark._jsc.hadoopConfiguration()), found
+
+
+def path_exists(spark, path):
+    store, found = _path(spark, path)
+    return store.exists(found)
+
+
 def is_written(spark, path):
     """Whether a write to ``path`` ran to its end."""
-    mark = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-    return mark.getFileSystem(spark._jsc.hadoopConfiguration()).exists(mark)
+    return path_exists(spark, f"{path}/_SUCCESS")
+
+
+def remove_path(spark, path):
+    """Remove a folder with all it holds, if it is there."""
+    store, found = _path(spark, path)
+    store.delete(found, True)

@@ -48,10 +48,21 @@ def decode_comment_events(messages, value="value"):
 
 
 def decode_post_events(messages, value="value"):
-    """Posts with a key; what has none cannot be stored. See ``undecodable``."""
+    """Posts with a key; what has none cannot be stored. See ``rejected_posts``."""
     return decode(messages, schemas.POST_EVENT, value).filter("postId is not null")
 
 
+def rejected_posts(messages, value="value"):
+    """The messages that ``decode_post_events`` leaves out, as they are."""
+    read = F.from_json(F.col(value).cast("string"), schemas.POST_EVENT)
+    return messages.filter(read["postId"].isNull())
+
+
+def rejected_replies(messages, value="value"):
+    """The messages that ``decode_replies`` leaves out, as they are."""
+    return undecodable(messages, schemas.REPLY_EVENT, value)
+
+
 def decode_replies(messages, now_ms=None, value="value"):
     """Reply messages with their defaults; those of which nothing can be read are left out.
 

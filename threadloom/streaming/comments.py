@@ -9,7 +9,11 @@ from threadloom.functions.identity import event_time
 from threadloom.operators import comments as prep
 from threadloom.operators import enrich, inference, packing
 from threadloom.operators.state import latest_per_key
-from threadloom.sinks.writers import publish, write_batch_json
+from threadloom.sinks.writers import publish, write_json
+from threadloom.streaming import commits
+
+# what a batch's input is known by; times may be filled in anew
+FINGERPRINT = ["commentId", "postId", "userId", "commentText", "postText"]
 
 
 def prepare_stream(events, now_ms=None, dedupe_within="1 hour"):
@@ -48,35 +52,39 @@ def prepare_stream(events, now_ms=None, dedupe_within="1 hour"):
 
 
 def answer_batch(
-    batch, batch_id, out, provider, provider_version, now_ms, topic=None, floor=None, **limits
+    batch, batch_id, out, provider, provider_version, now_ms, topic=None, floor=None, query="none", **limits
 ):
     """Body of one micro-batch: store cleaned rows, answer them, store and publish replies.
 
-    Cleaned rows and replies are written once and read back, so the provider is called once
-    per batch and the file and the topic hold the same replies. Errors propagate: Spark
-    repeats the batch, and each write replaces its earlier attempt, but for answers that were
-    already stored. A batch without survivors writes nothing.
+    ``query`` is the identity of the stream. Cleaned rows and replies are written once and read
+    back, so the provider is called once per batch and the file and the topic hold the same
+    replies. Errors propagate: Spark repeats the batch, and each write replaces its earlier
+    attempt, but for answers already stored of the same input. The commit record comes last; a
+    batch that has one is left alone. A batch without survivors writes nothing.
     """
     spark = batch.sparkSession
 
-    work = f"{out}/work/batch_id={batch_id}"
+    landed = f"{out}/work/query={query}/batch_id={batch_id}/prepared"
     keyed = batch.withColumn("postKey", packing.post_key(F.col("postText")))
-    keyed.write.mode("overwrite").parquet(f"{work}/prepared")
-    prepared = spark.read.schema(keyed.schema).parquet(f"{work}/prepared")
-    if prepared.isEmpty():
+    keyed.write.mode("overwrite").parquet(landed)
+    prepared = spark.read.schema(keyed.schema).parquet(landed)
+    count, mark = commits.fingerprint(prepared, FINGERPRINT)
+    done = commits.Batch(spark, out, query, batch_id, mark)
+    if not count or done.is_committed():
         return
-    write_batch_json(prepared.drop("postKey"), f"{out}/cleaned", batch_id)
+    write_json(prepared.drop("postKey"), done.folder("cleaned"))
     replies = inference.generate_replies(
-        packing.as_items(prepared), provider, path=work, floor=floor, resume=True, **limits
+        packing.as_items(prepared), provider, path=done.folder("work"), floor=floor, resume=True, **limits
     )
     shaped = enrich.as_stream_replies(replies, prepared, provider_version, now_ms)
-    reply_path = write_batch_json(shaped, f"{out}/replies", batch_id)
-    stored = spark.read.schema(schemas.STREAM_REPLY).json(reply_path)
+    write_json(shaped, done.folder("replies"))
+    stored = spark.read.schema(schemas.STREAM_REPLY).json(done.folder("replies"))
     messages = enrich.encode_reply_messages(stored)
     if topic is None:
-        publish(messages, "json", f"{out}/messages/batch_id={batch_id}")
+        publish(messages, "json", done.folder("messages"))
     else:
         publish(messages, **topic)
+    done.commit(count, 0, count)
 
 
 def start(events, checkpoint, body, trigger=None, output_mode="append"):
@@ -98,8 +106,8 @@ def start_comment_flow(
     events,
     out,
     checkpoint,
-    provider=inference.offline_provider,
-    provider_version="offline-1",
+    provider,
+    provider_version,
     now_ms=None,
     dedupe_within="1 hour",
     trigger=None,
@@ -107,12 +115,18 @@ def start_comment_flow(
     floor=None,
     **limits,
 ):
-    """The whole live flow from decoded events to published replies."""
+    """The whole live flow from decoded events to published replies.
+
+    ``commits.committed_rows(spark, out, name, schema)`` reads what it wrote: cleaned, replies
+    and, without a topic, messages. A new checkpoint may go on in the same ``out``: its batches
+    are told from those of the old one.
+    """
 
     def body(batch, batch_id):
         stamp = now_ms if now_ms is not None else int(time.time() * 1000)
+        query = commits.query_id(batch.sparkSession, checkpoint)
         answer_batch(
-            batch, batch_id, out, provider, provider_version, stamp, topic, floor, **limits
+            batch, batch_id, out, provider, provider_version, stamp, topic, floor, query, **limits
         )
 
     return start(prepare_stream(events, now_ms, dedupe_within), checkpoint, body, trigger)
@@ -146,21 +160,28 @@ def window_counts(spark, log):
     return latest_per_key(logged, "minuteMs", ["batch_id"]).drop("batch_id")
 
 
-def start_lookup_flow(comments, read_posts, out, checkpoint, trigger=None):
+def start_lookup_flow(comments, table, out, checkpoint, trigger=None):
     """Give arriving comments the context of their posts; comments without a post go apart.
 
-    Each micro-batch looks its posts up in the table as it is then, narrowed to the batch's
-    keys first, so the join is as large as the batch; adaptive execution splits a hot post.
+    Each micro-batch looks its posts up in ``table`` (a KeyedTable) as it is then and opens only
+    the folders of their keys, so a batch costs what it holds, however large the table is.
+    Adaptive execution splits a hot post.
     """
 
     def body(part, batch_id):
-        stored = f"{out}/work/batch_id={batch_id}"
-        part.write.mode("overwrite").parquet(stored)
         spark = part.sparkSession
-        batch = spark.read.schema(part.schema).parquet(stored)
-        keys = batch.select("postId").distinct()
-        posts = read_posts(spark).join(keys, "postId", "left_semi")
-        write_batch_json(enrich.comment_events(batch, posts), f"{out}/events", batch_id)
-        write_batch_json(enrich.orphan_comments(batch, posts), f"{out}/orphans", batch_id)
+        query = commits.query_id(spark, checkpoint)
+        landed = f"{out}/work/query={query}/batch_id={batch_id}/comments"
+        part.write.mode("overwrite").parquet(landed)
+        batch = spark.read.schema(part.schema).parquet(landed)
+        count, mark = commits.fingerprint(batch, batch.columns)
+        done = commits.Batch(spark, out, query, batch_id, mark)
+        if not count or done.is_committed():
+            return
+        posts = table.lookup(spark, batch)
+        write_json(enrich.comment_events(batch, posts), done.folder("events"))
+        write_json(enrich.orphan_comments(batch, posts), done.folder("orphans"))
+        orphans = spark.read.schema(part.schema).json(done.folder("orphans")).count()
+        done.commit(count, orphans, count - orphans)
 
     return start(comments, checkpoint, body, trigger)

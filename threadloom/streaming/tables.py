@@ -1,24 +1,55 @@
 """Keep key-unique tables up to date from a topic: posts and replies."""
 
-from threadloom.operators.skew import first_per_key
+from pyspark.sql import Observation
+from pyspark.sql import functions as F
+
+from threadloom.streaming import commits
 from threadloom.streaming.comments import start
+from threadloom.streaming.keyed import REJECT
 
 
-def start_table_ingest(rows, log, key, order, checkpoint, trigger=None):
-    """Append every micro-batch of ``rows`` to ``log``, each key once per batch.
+def ingest_batch(messages, batch_id, table, decode, rejects, query, now_ms=None):
+    """Body of one micro-batch: good rows to the table's tail, the others apart, a record last.
 
-    The cost of a batch depends on the batch alone, however large the table has grown. A
-    repeated batch overwrites its own folder. ``stored_rows`` reads the table.
+    ``decode`` and ``rejects`` share the messages between them: each message is either decoded
+    into one row or rejected. Returns the batch's (messages, rejected, stored), or None if an
+    earlier attempt has committed it.
+    """
+    spark = messages.sparkSession
+    key = F.col("key").cast("string") if "key" in messages.columns else F.lit(None).cast("string")
+    raw = messages.select(key.alias("key"), F.col("value").cast("string").alias("value"))
+    landed = f"{table.path}/work/query={query}/batch_id={batch_id}"
+    raw.write.mode("overwrite").parquet(f"{landed}/messages")
+    stored = spark.read.schema(REJECT).parquet(f"{landed}/messages")
+    count, mark = commits.fingerprint(stored, ["key", "value"])
+    batch = commits.Batch(spark, table.path, query, batch_id, mark)
+    if not count or batch.is_committed():
+        return None
+    good = decode(stored)
+    table.append(good, batch, now_ms)
+    bad = Observation()
+    apart = rejects(stored).select("key", "value").observe(bad, F.count(F.lit(1)).alias("rows"))
+    apart.write.mode("overwrite").json(batch.folder("rejects"))
+    counts = count, bad.get["rows"], good.count()
+    batch.commit(*counts)
+    return counts
+
+
+def start_table_ingest(messages, table, decode, rejects, checkpoint, trigger=None, merge_every=None):
+    """Feed ``table`` (a KeyedTable) from messages with a ``value``, and a ``key`` if they have one.
+
+    The cost of a batch depends on the batch alone, however large the table has grown. Each
+    ``merge_every`` batches the tail is merged into the base and what was folded is removed.
+    ``commits.committed`` of the table's path has messages, rejected and stored rows of each
+    batch, ``table.rejected`` the raw values of what could not be stored.
     """
 
     def body(part, batch_id):
-        first = first_per_key(part, [key], order)
-        first.write.mode("overwrite").parquet(f"{log}/batch_id={batch_id}")
-
-    return start(rows, checkpoint, body, trigger)
+        spark = part.sparkSession
+        ingest_batch(part, batch_id, table, decode, rejects, commits.query_id(spark, checkpoint))
+        if merge_every and batch_id % merge_every == merge_every - 1:
+            table.merge(spark)
+            table.drop_folded(spark)
 
+    return start(messages, checkpoint, body, trigger)
 
-def stored_rows(spark, log, schema, key, order):
-    """The table behind an ingest log: for each key the row stored first."""
-    logged = spark.read.schema(f"{schema.toDDL()}, batch_id bigint").parquet(log)
-    return first_per_key(logged, [key], ["batch_id", *order]).drop("batch_id")
