@@ -53,28 +53,6 @@ def test_numbered_pieces_keep_order_and_blanks(spark):
     assert [tuple(p) for p in pieces] == [(3, "a"), (1, ""), (2, "b")]
 
 
-def test_retry_waits_double_and_give_up():
-    waits, tries = [], []
-
-    def flaky():
-        tries.append(1)
-        if len(tries) < 3:
-            raise RuntimeError("status 503")
-        return "yes"
-
-    def refused():
-        raise inference.Refused("no")
-
-    assert inference.call_with_retry(flaky, sleep=waits.append) == "yes"
-    assert waits == [1.0, 2.0]
-    with pytest.raises(inference.Refused):
-        inference.call_with_retry(refused, sleep=waits.append)
-    assert waits == [1.0, 2.0]
-    with pytest.raises(ZeroDivisionError):
-        inference.call_with_retry(lambda: 1 / 0, sleep=waits.append)
-    assert waits == [1.0, 2.0, 1.0, 2.0]
-
-
 def _items(spark):
     return spark.range(40).select(
         F.concat(F.lit("c"), "id").alias("id"),
@@ -145,8 +123,9 @@ def test_captions(spark):
             raise RuntimeError
         return f"{url}: {context}"
 
-    got = {r.postId: r.imageCaption for r in inference.caption_missing(posts, describe).collect()}
+    got = {r.postId: r.imageCaption for r in inference.caption_missing(posts, describe, first_wait=0.0).collect()}
     assert got == {"1": "u: t - b", "2": "own", "3": "", "4": fixed.CAPTION_FALLBACK}
+    assert inference.caption_missing(posts, describe, first_wait=0.0).columns == posts.columns
     plain = {r.postId: r.imageCaption for r in inference.caption_missing(posts).collect()}
     assert plain["1"] == plain["4"] == fixed.CAPTION_FALLBACK
 

@@ -125,3 +125,26 @@ def test_rate_audit_equals_brute_force(spark):
         assert (row.callsInWindow, row.oldestMicros, row.waitMicros, row.overBudget) == (
             len(inside), min(inside), wait, len(inside) > 6,
         )
+
+
+def test_rate_audit_spreads_a_slot_over_pieces(spark):
+    """One slot, a window as long as all calls: no piece is much above its size, rows as before."""
+    random.seed(6)
+    calls = sorted({random.randrange(3_600_000_000) for _ in range(6000)})
+    frame = spark.createDataFrame([("hot", t) for t in calls], "slot string, atMicros bigint")
+    got = quality.rate_budget_audit(frame, budget=100, window_seconds=3600, size=500).collect()
+    assert {r.atMicros: (r.callsInWindow, r.oldestMicros) for r in got} == {
+        t: (n + 1, calls[0]) for n, t in enumerate(calls)
+    }
+    pieces = skew.in_pieces(frame, ["slot"], ["atMicros"], 500)
+    sizes = [r["count"] for r in pieces.groupBy("piece").count().collect()]
+    assert sum(sizes) == 6000 and len(sizes) >= 10 and max(sizes) <= 1000
+    short = quality.rate_budget_audit(frame, budget=100, window_seconds=60, size=500).collect()
+    for row in random.sample(short, 200):
+        inside = [t for t in calls if row.atMicros - 60_000_000 < t <= row.atMicros]
+        assert (row.callsInWindow, row.oldestMicros) == (len(inside), inside[0])
+
+
+def test_rate_audit_of_nothing(spark):
+    frame = spark.createDataFrame([], "slot string, atMicros bigint")
+    assert quality.rate_budget_audit(frame).collect() == []

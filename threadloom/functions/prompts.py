@@ -66,3 +66,8 @@ def join_comments(comments):
     return F.when(F.size(comments) > 0, F.array_join(comments, " | ")).otherwise(
         fixed.NO_COMMENTS
     )
+
+
+def instruction(kind):
+    """What a model is told before the prompt of a call: to answer in the form that is read back."""
+    return fixed.INSTRUCTIONS[kind]

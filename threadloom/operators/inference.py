@@ -1,13 +1,15 @@
 """Reply generation: the provider hook, retries, parsing and re-attachment.
 
 A provider is a callable ``(kind, prompt, ids, max_tokens) -> str`` that returns the raw
-answer of one call. It is the only Python that runs per call; everything around it is
+answer of one call; ``prompts.instruction(kind)`` is what it tells its model beforehand. It is the only Python that runs per call; everything around it is
 DataFrame work. Every failure is tried again but those with a true attribute ``final``, such as
-``Refused``, by which a provider says that asking again is of no use. What the last attempt failed of is kept in ``error``.
+``Refused``, by which a provider says that asking again is of no use, and wait as long as a
+``retry_after`` (seconds) on the exception says. What the last attempt failed of is kept in
+``error``, all attempts with their times in ``attempts``.
 """
 
 import hashlib
-import time
+from functools import partial
 
 import pandas as pd
 from pyspark.sql import functions as F
@@ -16,15 +18,20 @@ from threadloom import fixed_values as fixed
 from threadloom.functions import replies as parsing
 from threadloom.functions.identity import POINT_BITS, hash_bucket
 from threadloom.operators import packing
+from threadloom.operators.calls import run_calls
+from threadloom.operators.skew import first_per_key
 from threadloom.schemas import ITEM_REPLY
 from threadloom.session import is_written
+from threadloom.streaming.keyed import KeyedTable
 
+ANSWER = "request string, answer string, calls int"
 ASKED = "callId string, kind string, ids array<string>, prompt string, maxTokens int"
 # Calls one task makes: what a lost executor can cost, and what spreads a job over a cluster.
 CALLS_PER_TASK = 200
 RAW_ANSWER = (
     "callId string, kind string, ids array<string>, raw string, latencyMs bigint, "
-    "status string, error string"
+    "status string, error string, "
+    "attempts array<struct<startMs: double, endMs: double, cause: string>>"
 )
 
 
@@ -43,50 +50,41 @@ class Refused(Exception):
     final = True
 
 
-def call_with_retry(call, attempts=3, first_wait=1.0, sleep=time.sleep):
-    """Result of ``call``; a failure is followed by another attempt after waits that double."""
-    for attempt in range(attempts):
-        try:
-            return call()
-        except Exception as failure:
-            if attempt + 1 == attempts or getattr(failure, "final", False):
-                raise
-            sleep(first_wait * 2**attempt)
-
-
 def ask(calls):
     """What a provider is given of each call. The ids travel along, so no join brings them back."""
     return calls.select("callId", "kind", F.col("items.id").alias("ids"), "prompt", "maxTokens")
 
 
-def answer_calls(asked, provider, tasks=None, attempts=3, first_wait=1.0):
+def outcome(call, attempts):
+    """(raw, latencyMs, status, error, attempts) of a call that is over; waits are in the latency."""
+    failure, log = call.failure, call.attempts
+    status, error = "ok", None
+    if failure is not None:
+        status = "timeout" if isinstance(failure, TimeoutError) else "error"
+        tried = "" if getattr(failure, "final", False) else f"Inference failed after {attempts} retries: "
+        error = f"{tried}{failure}"
+    latency = int((log[-1][1] - log[0][0]) * 1000)
+    raw = None if failure is not None else call.answer or ""
+    return raw, latency, status, error, [(1000 * start, 1000 * end, cause) for start, end, cause in log]
+
+
+def answer_calls(asked, provider, tasks=None, attempts=3, first_wait=1.0, at_once=1):
     """One provider call per row of ``asked``; failures become rows with a status.
 
     ``tasks`` spreads the calls over that many tasks; without it adaptive execution sizes them
-    by bytes. Using the result twice makes the calls twice.
+    by bytes. A task has at most ``at_once`` calls in flight; a provider must allow threads if
+    that is more than one. Waits follow the cause of a failure, see ``calls.wait_after``, and
+    other calls run meanwhile. Using the result twice makes the calls twice.
     """
 
-    def answer(kind, prompt, ids, max_tokens):
-        start = time.monotonic()
-        raw, status, error = None, "ok", None
-        try:
-            raw = call_with_retry(
-                lambda: provider(kind, prompt, list(ids), int(max_tokens)) or "",
-                attempts,
-                first_wait,
-            )
-        except Exception as failure:
-            status = "timeout" if isinstance(failure, TimeoutError) else "error"
-            tried = "" if getattr(failure, "final", False) else f"Inference failed after {attempts} retries: "
-            error = f"{tried}{failure}"
-        return raw, int((time.monotonic() - start) * 1000), status, error
-
     def run(batches):
         for batch in batches:
-            answers = [
-                answer(*call) for call in zip(batch.kind, batch.prompt, batch.ids, batch.maxTokens)
+            asks = [
+                partial(provider, kind, prompt, list(ids), int(most))
+                for kind, prompt, ids, most in zip(batch.kind, batch.prompt, batch.ids, batch.maxTokens)
             ]
-            results = pd.DataFrame(answers, columns=["raw", "latencyMs", "status", "error"])
+            answers = [outcome(call, attempts) for call in run_calls(asks, at_once, attempts, first_wait)]
+            results = pd.DataFrame(answers, columns=["raw", "latencyMs", "status", "error", "attempts"])
             yield pd.concat([batch[["callId", "kind", "ids"]], results], axis=1)
 
     spread = asked.repartition(tasks, "callId") if tasks else asked.repartition("callId")
@@ -98,8 +96,8 @@ def answer_stored(
 ):
     """Answer the calls round by round, writing each round under ``path``; read them back.
 
-    A round has a task for each CALLS_PER_TASK of its calls, at most ``concurrency`` if that
-    is given: so many calls are in flight. What a broken job can cost is one round. With
+    A round has a task for each CALLS_PER_TASK of its calls. ``concurrency`` bounds the calls in
+    flight: there are at most so many tasks, and they share what is more. What a broken job can cost is one round. With
     ``resume`` an earlier run over the same input is gone on with: its calls, its number of
     rounds and the rounds it finished are kept. ``report(items)`` is told the number of items
     answered so far after each round.
@@ -126,8 +124,9 @@ def answer_stored(
         if not (resume and is_written(spark, folder)):
             tasks = max(1, -(-(size["calls"] if size else 0) // CALLS_PER_TASK))
             tasks = min(tasks, concurrency) if concurrency else tasks
+            shared = {"at_once": max(1, concurrency // tasks)} if concurrency else {}
             part = asked.filter(F.col("round") == number).drop("round", "rounds")
-            answer_calls(part, provider, tasks, **limits).write.mode("overwrite").parquet(folder)
+            answer_calls(part, provider, tasks, **{**shared, **limits}).write.mode("overwrite").parquet(folder)
         folders.append(folder)
         done += size["items"] if size else 0
         if report:
@@ -205,36 +204,76 @@ def generate_replies(items, provider, path=None, floor=None, **limits):
     return collect_replies(answer_calls(ask(calls), provider, **limits))
 
 
-def caption_missing(posts, provider=None, attempts=3, first_wait=1.0):
-    """Caption posts that have an image and no caption; other posts pass unchanged.
-
-    ``provider`` is ``(image_url, context) -> str``; it is tried as often as a reply's, then the
-    fixed fallback text is taken. Using the result twice asks twice: store it first.
-    """
+def caption_requests(posts):
+    """``posts`` with ``request``: hash of image and context where a caption is to be made."""
     present = lambda name: F.coalesce(F.col(name), F.lit("")) != ""
     needs = present("imageUrl") & ~present("imageCaption")
-    if provider is None:
-        return posts.withColumn(
-            "imageCaption", F.when(needs, fixed.CAPTION_FALLBACK).otherwise(F.col("imageCaption"))
-        )
-    schema = posts.schema
+    named = F.sha2(F.to_json(F.struct(F.lit("caption"), "imageUrl", caption_context())), 256)
+    return posts.withColumn("request", F.when(needs, named))
 
-    def caption(image_url, title, body):
-        try:
-            context = f"{title or ''} - {body or ''}"
-            return call_with_retry(lambda: provider(image_url, context), attempts, first_wait)
-        except Exception:
-            return fixed.CAPTION_FALLBACK
+
+def caption_context():
+    filled = [F.coalesce(F.col(c), F.lit("")) for c in ("title", "postText")]
+    return F.concat(filled[0], F.lit(" - "), filled[1]).alias("context")
+
+
+def answer_captions(requests, provider, attempts=3, first_wait=1.0, at_once=1, tasks=None):
+    """(request, answer, calls) of each row (request, imageUrl, context); failed ones have a null
+    answer. ``calls`` counts the attempts."""
 
     def run(batches):
         for batch in batches:
-            batch["imageCaption"] = [
-                caption(*row) for row in zip(batch.imageUrl, batch.title, batch.postText)
-            ]
-            yield batch
+            asks = [partial(provider, *pair) for pair in zip(batch.imageUrl, batch.context)]
+            made = run_calls(asks, at_once, attempts, first_wait)
+            answers = [None if call.failure is not None else call.answer for call in made]
+            tries = [len(call.attempts) for call in made]
+            yield pd.DataFrame({"request": batch.request, "answer": answers, "calls": tries})
+
+    spread = requests.repartition(tasks, "request") if tasks else requests.repartition("request")
+    return spread.mapInPandas(run, ANSWER)
 
-    captioned = posts.filter(needs).mapInPandas(run, schema)
-    return posts.filter(~needs).unionByName(captioned)
+
+def caption_missing(posts, provider=None, store=None, batch=None, now_ms=None, **limits):
+    """Caption posts that have an image and no caption; other posts pass unchanged.
+
+    ``provider`` is ``(image_url, context) -> str``; posts with the same image and context ask
+    it once. It is tried as often as a reply's, then the fixed fallback text is taken. With
+    ``store`` (a KeyedTable of ANSWER, see ``answer_store``) and ``batch`` (its
+    ``commits.Batch``) answers known from earlier jobs are looked up, and new ones are kept;
+    failures are not, so a later job tries them again. Without a store the result must be used
+    only once, as each use asks anew.
+    """
+    named = caption_requests(posts)
+    if provider is None:
+        caption = F.when(F.col("request").isNotNull(), fixed.CAPTION_FALLBACK).otherwise(F.col("imageCaption"))
+        return named.withColumn("imageCaption", caption).select(*posts.columns)
+    open_ones = named.filter("request is not null").select("request", "imageUrl", caption_context())
+    asked = first_per_key(open_ones, ["request"], ["imageUrl"])
+    if store is None:
+        answers = answer_captions(asked, provider, **limits).select("request", "answer")
+    else:
+        answers = _stored_answers(asked, provider, store, batch, now_ms, limits)
+    # posts without a request stay out of the join: as nulls they would meet in one task
+    captioned = named.filter("request is not null").join(answers, "request", "left")
+    captioned = captioned.withColumn("imageCaption", F.coalesce("answer", F.lit(fixed.CAPTION_FALLBACK)))
+    others = named.filter("request is null")
+    return others.select(*posts.columns).unionByName(captioned.select(*posts.columns))
+
+
+def answer_store(path, buckets=64):
+    """Answers by the hash of what was asked, kept over jobs."""
+    return KeyedTable(path, ANSWER, "request", ["answer"], buckets)
+
+
+def _stored_answers(asked, provider, store, batch, now_ms, limits):
+    """Answers out of the store; what it lacks is asked for and stored, once for each batch."""
+    spark = asked.sparkSession
+    if not batch.is_committed():
+        known = store.lookup(spark, asked).select("request")
+        fresh = answer_captions(asked.join(known, "request", "left_anti"), provider, **limits)
+        store.append(fresh.filter("answer is not null"), batch, now_ms)
+        batch.commit(0, 0, 0)
+    return store.lookup(spark, asked).select("request", "answer")
 
 
 def encode_items(items):

@@ -1,11 +1,11 @@
 """Data quality and operations reports."""
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from threadloom import fixed_values as fixed
 from threadloom.functions.text import strip_blanks
 from threadloom.operators.comments import REQUIRED_BATCH, has_text, is_valid
+from threadloom.operators.skew import PIECE_ROWS, in_pieces, scan_pieces
 
 
 def quality_funnel(posts, required=REQUIRED_BATCH):
@@ -161,54 +161,38 @@ def event_throughput(events, epoch_ms):
     )
 
 
-def rate_budget_audit(calls, budget=fixed.CALLS_PER_MINUTE, window_seconds=60):
+def rate_budget_audit(calls, budget=fixed.CALLS_PER_MINUTE, window_seconds=60, size=PIECE_ROWS):
     """Calls of each slot in the trailing window at every instant, and the wait they imply.
 
     The window is open at its far end: a call exactly ``window_seconds`` old no longer
-    counts. Calls are first counted per instant. Time is then cut into cells as long as the
-    window; a cell needs its own instants and those of the cell before it, which enter as a
-    starting count and leave one by one. So a slot's calls are spread over its cells, and a
-    running sum replaces a sliding frame.
+    counts. Calls are first counted per instant; each count enters at its instant and leaves
+    ``window_seconds`` later, so the calls in the window are a running sum, and the oldest of
+    them is the next one to leave. Both are scanned in pieces of about ``size`` rows: a sum
+    and a first leaving time for each piece, carried to the others. A slot of any size, with a
+    window of any length, is spread over its pieces.
     """
     width = int(window_seconds * 1_000_000)
     instants = calls.groupBy("slot", "atMicros").agg(F.count("*").alias("callsAt"))
-    instants = instants.withColumn("cell", F.floor(F.col("atMicros") / width))
-    # step 0: count carried in, 1: a call leaves the window, 2: calls of this instant
-    own = instants.select("slot", "cell", "atMicros", F.lit(2).alias("step"), "callsAt")
+    # step 0: calls leave the window, 1: calls of this instant
+    own = instants.select("slot", "atMicros", F.lit(1).alias("step"), "callsAt")
     leaving = instants.select(
         "slot",
-        (F.col("cell") + 1).alias("cell"),
         (F.col("atMicros") + width).alias("atMicros"),
-        F.lit(1).alias("step"),
+        F.lit(0).alias("step"),
         (-F.col("callsAt")).alias("callsAt"),
     )
-    carried = instants.groupBy("slot", (F.col("cell") + 1).alias("cell")).agg(
-        F.sum("callsAt").alias("callsAt")
-    )
-    carried = carried.select(
-        "slot", "cell", (F.col("cell") * width).alias("atMicros"), F.lit(0).alias("step"), "callsAt"
-    )
-    cell = Window.partitionBy("slot", "cell")
-    forward = cell.orderBy("atMicros", "step").rowsBetween(
-        Window.unboundedPreceding, Window.currentRow
-    )
-    backward = cell.orderBy(F.col("atMicros").desc(), F.col("step").desc()).rowsBetween(
-        Window.unboundedPreceding, Window.currentRow
-    )
-    next_to_leave = F.last(
-        F.when(F.col("step") == 1, F.col("atMicros") - width), ignorenulls=True
-    ).over(backward)
-    first_own = F.min(F.when(F.col("step") == 2, F.col("atMicros"))).over(forward)
-    audited = (
-        own.unionByName(leaving)
-        .unionByName(carried)
-        .withColumns(
-            {
-                "callsInWindow": F.sum("callsAt").over(forward),
-                "oldestMicros": F.coalesce(next_to_leave, first_own),
-            }
-        )
-        .filter("step = 2")
+    key, order = ["slot"], ["atMicros", "step"]
+    pieces = in_pieces(own.unionByName(leaving), key, order, size)
+    left = F.when(F.col("step") == 0, F.col("atMicros") - width)
+    summed = scan_pieces(
+        pieces, key, order, {"inPiece": (F.col("callsAt"), F.sum)}, {"before": (F.col("callsAt"), F.sum)}
+    )
+    audited = scan_pieces(
+        summed, key, order, {"next": (left, F.min)}, {"nextLater": (left, F.min)}, backward=True
+    ).filter("step = 1")
+    in_window = F.col("inPiece") + F.coalesce("before", F.lit(0))
+    audited = audited.withColumns(
+        {"callsInWindow": in_window, "oldestMicros": F.coalesce("next", "nextLater")}
     )
     over = F.col("callsInWindow") > budget
     return audited.select(
@@ -222,3 +206,17 @@ def rate_budget_audit(calls, budget=fixed.CALLS_PER_MINUTE, window_seconds=60):
         .otherwise(0)
         .alias("waitMicros"),
     )
+
+
+def open_calls(attempts, size=PIECE_ROWS):
+    """How many attempts are under way from each moment on: (atMs, open).
+
+    ``attempts`` has (startMs, endMs). One that ends at the moment another starts is over.
+    """
+    starts = attempts.select(F.lit("all").alias("of"), F.col("startMs").alias("atMs"), F.lit(1).alias("change"))
+    ends = attempts.select(F.lit("all").alias("of"), F.col("endMs").alias("atMs"), F.lit(-1).alias("change"))
+    moments = starts.unionByName(ends).groupBy("of", "atMs", "change").agg(F.sum("change").alias("more"))
+    order = ["atMs", "change"]
+    more = (F.col("more"), F.sum)
+    swept = scan_pieces(in_pieces(moments, ["of"], order, size), ["of"], order, {"here": more}, {"before": more})
+    return swept.select("atMs", (F.col("here") + F.coalesce("before", F.lit(0))).alias("open"))

@@ -4,11 +4,13 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from threadloom.functions.identity import POINT_BITS, hash_point
+from threadloom.session import materialize
 
 # A group counts as large above 1/100,000 of all rows, so there are at most 100,000 large
 # groups and 200,000 slices of them: the two tables broadcast below never outgrow that.
 MAX_LARGE_GROUPS = 100_000
 LARGE_GROUP_FLOOR = 100_000
+PIECE_ROWS = 200_000  # rows of a key that one task scans
 
 
 def first_per_key(rows, keys, order):
@@ -94,3 +96,35 @@ def chunk_rows(rows, key, order_hash, tie, size, floor=LARGE_GROUP_FLOOR):
     return numbered.withColumn("chunk", F.floor((F.col("position") - 1) / size)).withColumn(
         "pos", ((F.col("position") - 1) % size + 1).cast("int")
     )
+
+
+def in_pieces(rows, keys, order, size=PIECE_ROWS):
+    """``rows`` stored in pieces of about ``size`` rows: adds ``piece``.
+
+    Pieces are ranges of (keys, order), so a key of any size is spread over as many pieces as
+    it needs, and within a key a later piece holds later rows. Their limits come from a sample
+    that Spark takes; a piece is off by a small share of its size.
+    """
+    stored = materialize(rows, "scan")
+    count = max(1, -(-stored.count() // size))
+    ranged = stored.repartitionByRange(count, *[F.col(c) for c in (*keys, *order)])
+    return materialize(ranged.withColumn("piece", F.spark_partition_id()), "pieces")
+
+
+def scan_pieces(pieces, keys, order, inside, across, backward=False):
+    """A running value over each key's rows in ``order``, carried from piece to piece.
+
+    ``inside`` and ``across`` map names to (column, aggregate): the aggregate runs over a
+    piece's rows up to the current one, and over the results of the pieces before it (after it
+    with ``backward``), which are one row a piece. Both are added, null where there is nothing.
+    """
+    turn = (lambda c: F.col(c).desc()) if backward else F.col
+    within = Window.partitionBy(*keys, "piece").orderBy(*[turn(c) for c in order])
+    so_far = within.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    before = Window.partitionBy(*keys).orderBy(turn("piece")).rowsBetween(Window.unboundedPreceding, -1)
+    whole = pieces.groupBy(*keys, "piece").agg(*[function(column).alias(name) for name, (column, function) in across.items()])
+    carried = whole.select(
+        *keys, "piece", *[function(F.col(name)).over(before).alias(name) for name, (_, function) in across.items()]
+    )
+    local = pieces.withColumns({name: function(column).over(so_far) for name, (column, function) in inside.items()})
+    return local.join(carried, [*keys, "piece"])

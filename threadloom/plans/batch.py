@@ -10,6 +10,7 @@ from threadloom.operators import comments as prep
 from threadloom.operators import enrich, inference, packing, state
 from threadloom.sinks import writers
 from threadloom.sources import readers
+from threadloom.streaming import commits
 
 
 def _finish(cleaned, now_ms):
@@ -48,6 +49,8 @@ def run_job(
     multiline=False,
     now_ms=None,
     floor=None,
+    captions=None,
+    answers=None,
     **limits,
 ):
     """Run one job and keep its state as rows in ``work_path/status``.
@@ -55,7 +58,10 @@ def run_job(
     Each stage is written once under ``work_path`` and read back: the input is parsed once,
     the provider is called once per call, and a lost executor repeats tasks of one stage. Row
     counts are observed while the stages are written. A multi-line upload, which cannot be
-    split, is landed as parquet first. ``limits`` are those of ``answer_stored``: rounds,
+    split, is landed as parquet first. With ``captions``, a provider ``(image_url, context) ->
+    str``, posts without a caption for their image get one before they are prepared; ``answers``
+    (``inference.answer_store``) keeps captions over jobs, in the job's folder if none is given.
+    ``limits`` are those of ``answer_stored``: rounds,
     resume, concurrency, attempts, first_wait. Returns the enriched output.
     """
     started = int(time.time() * 1000)
@@ -83,6 +89,10 @@ def run_job(
         if multiline:
             raw = writers.land_raw_posts(posts, f"{work_path}/raw", job_id)
             posts = spark.read.schema(schemas.NESTED_POST).parquet(raw)
+        if captions:
+            kept = answers or inference.answer_store(f"{work_path}/captions")
+            named = commits.Batch(spark, kept.path, f"job-{job_id}-{started}", 0, "captions")
+            posts = inference.caption_missing(posts, captions, kept, named, started)
         prepared = preprocess_batch(posts, now_ms).withColumn(
             "postKey", packing.post_key(F.col("postText"))
         )
@@ -105,8 +115,10 @@ def run_job(
             ),
             "replies",
         )
-        if processed != total:
-            raise RuntimeError(f"{processed} replies for {total} comments")
+        # a resumed job with other input may have as many replies, but not to these comments
+        unanswered = cleaned.select("commentId").join(replies, "commentId", "left_anti").count()
+        if processed != total or unanswered:
+            raise RuntimeError(f"{processed} replies for {total} comments, {unanswered} of them without one")
         writers.write_json(
             enrich.enrich_with_replies(cleaned, replies, one_reply_each=True), output_path
         )

@@ -486,6 +486,12 @@ _SELECTS = {
       select * from replies order by "timestamp" desc, replyId limit {fixed.LIVE_BUFFER_SIZE}""",
     "resumed_replies": f"""
       select id, {_offline("id")} as generated_reply, 'ok' as status from items""",
+    "captions_once": """
+      select imageUrl, count(distinct coalesce(title, '') || ' - ' || coalesce(postText, '')) as requests,
+        cast(count(distinct coalesce(title, '') || ' - ' || coalesce(postText, '')) as bigint) as calls,
+        'seen at ' || imageUrl as imageCaption
+      from posts_table where coalesce(imageUrl, '') <> '' and coalesce(imageCaption, '') = ''
+      group by imageUrl""",
     "caption_by_provider": """
       select * replace (case when coalesce(imageUrl, '') <> '' and coalesce(imageCaption, '') = ''
         then 'seen at ' || imageUrl else imageCaption end as imageCaption) from posts_table""",
@@ -678,6 +684,12 @@ _SELECTS = {
       select id, {_offline("id")} as generated_reply,
         case when {_bucket("id", 500)} % 3 <> 0 then {_bucket("id", 500)} else 0 end as latency_ms
       from items""",
+    "bounded_calls": f"""
+      select cause, count(*) as calls, cast(sum(attempts) as bigint) as attempts, true as waited, true as bounded
+      from (select case {_bucket("first_id", 4)} when 0 then 'asked' when 1 then 'timeout'
+              when 2 then 'refused' else 'ok' end as cause,
+            case {_bucket("first_id", 4)} when 0 then 2 when 1 then 3 else 1 end as attempts from calls)
+      group by 1""",
     "generate_replies": f"""
       select id, {_offline("id")} as generated_reply, 'ok' as status from items""",
     "retry_to_error_rows": f"""

@@ -6,6 +6,7 @@ written once with ``materialize``, as a job would do.
 
 import collections
 import hashlib
+import time
 
 from pyspark.sql import functions as F
 
@@ -880,6 +881,54 @@ def retry_to_error_rows(spark, sf):
     ).select("id", "generated_reply", "status")
 
 
+CALLS_AT_ONCE, FIRST_WAIT = 4, 0.01
+CAUSES = ["asked", "timeout", "refused", "ok"]
+
+
+class _Throttled(Exception):
+    retry_after = 0.02
+
+
+def _slow_provider(kind, prompt, ids, max_tokens):
+    """Takes a while; fails by the first id's hash: told to wait, out of time twice, refused."""
+    time.sleep(0.002)
+    cause = CAUSES[int(hashlib.md5(ids[0].encode()).hexdigest()[:10], 16) % 4]
+    _TRIES["slow", ids[0]] += 1
+    if cause == "asked" and _TRIES["slow", ids[0]] % 2:
+        raise _Throttled("too many calls")
+    if cause == "timeout" and _TRIES["slow", ids[0]] % 3:
+        raise TimeoutError("no answer")
+    if cause == "refused":
+        raise inference.Refused("refused")
+    return offline_provider(kind, prompt, ids, max_tokens)
+
+
+@query
+def bounded_calls(spark, sf):
+    """Calls and attempts by the cause of failures, whether each waited for its cause's time, and
+    whether no more than CALLS_AT_ONCE were ever under way together."""
+    answers = inference.answer_stored(
+        _calls(spark, sf), _slow_provider, scratch_dir(spark, "answers"), concurrency=CALLS_AT_ONCE,
+        first_wait=FIRST_WAIT,
+    )
+    tries = answers.select(F.col("ids")[0].alias("first"), "attempts")
+    most = quality.open_calls(tries.select(F.inline("attempts"))).agg(F.max("open")).first()[0]
+    cause = F.element_at(F.array(*map(F.lit, CAUSES)), (identity.hash_bucket(F.col("first"), 4) + 1).cast("int"))
+    doubled = F.transform(F.sequence(F.lit(1), F.size("attempts")), lambda k: 1000 * FIRST_WAIT * F.pow(F.lit(2.0), k - 1))
+    gaps = F.transform(
+        F.slice("attempts", 2, F.size("attempts")), lambda a, k: a["startMs"] - F.get("attempts", k)["endMs"]
+    )
+    least = F.when(F.col("cause") == "asked", F.transform(doubled, lambda _: F.lit(1000 * _Throttled.retry_after)))
+    waits = F.zip_with(gaps, F.slice(F.coalesce(least, doubled), 1, F.size(gaps)), lambda gap, wait: gap >= wait - 1)
+    judged = tries.withColumn("cause", cause).withColumn("waited", F.forall(waits, lambda ok: ok))
+    return judged.groupBy("cause").agg(
+        F.count("*").alias("calls"),
+        F.sum(F.size("attempts")).alias("attempts"),
+        F.every("waited").alias("waited"),
+        F.lit(most is None or most <= CALLS_AT_ONCE).alias("bounded"),
+    )
+
+
 @query
 def resumed_replies(spark, sf):
     """Replies of a job that broke after its first round and was resumed with other rounds."""
@@ -914,6 +963,30 @@ def caption_by_provider(spark, sf):
     return inference.caption_missing(_posts(spark, sf), _caption_provider, first_wait=0.0)
 
 
+def _counted_captions(image_url, context):
+    return f"seen at {image_url}"
+
+
+@query
+def captions_once(spark, sf):
+    """Calls for each image and context over two jobs: half of the posts, then all, each twice.
+
+    Equal requests are put together in a job, and the second job finds the first one's answers.
+    """
+    posts, store = _posts(spark, sf), inference.answer_store(scratch_dir(spark, "captions"), buckets=8)
+    twice = posts.unionByName(posts.withColumn("postId", F.concat("postId", F.lit("again"))))
+    for job, part in enumerate((twice.filter(identity.hash_bucket(F.col("postId"), 2) == 0), twice)):
+        batch_of = commits.Batch(spark, store.path, f"job-{job}", 0, "captions")
+        captioned = inference.caption_missing(part, _counted_captions, store, batch_of, NOW_MS + job)
+        captions = captioned.groupBy("imageUrl").agg(F.max("imageCaption").alias("imageCaption"))
+    asked = inference.caption_requests(twice).filter("request is not null").select("request", "imageUrl").distinct()
+    made = store.tail_rows(spark).groupBy("request").agg(F.sum("calls").alias("calls"))
+    per_image = asked.join(made, "request").groupBy("imageUrl").agg(
+        F.count("*").alias("requests"), F.sum("calls").alias("calls")
+    )
+    return per_image.join(captions, "imageUrl")
+
+
 @query
 def batch_end_to_end(spark, sf):
     """The whole job: nested JSON in, enriched JSON out."""

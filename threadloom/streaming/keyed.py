@@ -103,6 +103,11 @@ class KeyedTable:
         found = self._read(spark, wanted).join(asked, self.key, "left_semi")
         return self._first(found).drop("storedAt", "storedBy")
 
+    def tail_rows(self, spark):
+        """What committed batches have brought since the last merge, copies included."""
+        _, _, folded = self._manifest(spark)
+        return self._tail(spark, self._waiting(spark, folded)).drop("bucket", "storedAt", "storedBy")
+
     # --- merging ----------------------------------------------------------------
 
     def merge(self, spark):
