@@ -18,6 +18,7 @@ from threadloom.llm.common import LETTER, crc_remainder, gathered, map_rows, row
 from threadloom.operators.skew import top_per_key
 
 ORDER = 3
+MOST_IDS = 1_000_000  # ids of sampled texts that are broadcast
 MOST_TEXTS = 500  # texts learned from, for each language
 PIECE = 1 << 20  # bytes coded at once
 LETTERS = np.frombuffer(word_table(lambda b: b >= 128 or 97 <= b <= 122), np.uint8)
@@ -47,14 +48,18 @@ def sample_texts(documents, modulus=4, left_out=2, most=MOST_TEXTS):
         & F.col("lang").isNotNull()
         & F.col("text").isNotNull()
     )
-    ids = top_per_key(
-        usable.select("doc_id", "lang").distinct(),
-        ["lang"],
-        [F.xxhash64("doc_id"), F.col("doc_id")],
-        most,
-    ).select("doc_id", F.col("lang").alias("_lang"))
-    # ``most`` ids of each language at most; Spark broadcasts them if they are few
-    joined = usable.join(ids, "doc_id").filter(F.col("lang") == F.col("_lang"))
+    # ids are taken by least hash: of a language of n rows some 2 * most lie below this share
+    hashed = F.shiftrightunsigned(F.xxhash64("doc_id"), 11)  # 53 bits, exact as a double
+    counts = usable.groupBy("lang").agg(F.count("*").alias("_n"))
+    languages = counts.count()
+    few = languages * most <= MOST_IDS
+    counts = F.broadcast(counts) if few else counts
+    share = (2 * most + 64) / F.col("_n")
+    near = usable.select("doc_id", "lang").join(counts, "lang").filter(hashed < share * 2.0**53)
+    ids = top_per_key(near.select("doc_id", "lang").distinct(), ["lang"], [hashed, F.col("doc_id")], most)
+    ids = ids.select("doc_id", F.col("lang").alias("_lang"))
+    # ``most`` ids of each language: broadcast, the texts of all others need not be shuffled
+    joined = usable.join(F.broadcast(ids) if few else ids, "doc_id").filter(F.col("lang") == F.col("_lang"))
     return joined.select("lang", "text")
 
 
