@@ -160,6 +160,26 @@ def test_production_machine_learns_pairs():
         assert np.mean(right) > 0.95
 
 
+def test_pairs_counted_in_tasks_are_the_same(spark):
+    rng = np.random.default_rng(4)
+    texts = [np.unique(rng.integers(0, 300, 40)) for _ in range(600)]
+    labels = np.array([int(5 in t and 9 in t) for t in texts])
+    able = np.arange(300)
+    known = np.array([100, 101])
+    left, weights = labels - labels.mean(), rng.random(600) + 0.5
+    alone = toxicity.paired_terms(texts, left, weights, labels.mean(), known, able)
+    dealt = toxicity.paired_terms(texts, left, weights, labels.mean(), known, able, spark)
+    assert alone.tolist() and sorted(alone.tolist()) == sorted(dealt.tolist()) and {5, 9} <= set(alone.tolist())
+
+
+def test_toxic_texts_are_found_and_clean_ones_left_alone(spark):
+    sf = "/root/testdata/sf0.1"
+    found = queries.QUERIES["op3_toxicity"](spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id")
+    test = found.filter("held_out").toPandas()
+    assert test.predicted[test.toxic == 1].mean() >= 0.85
+    assert test.predicted[test.toxic == 0].mean() <= 0.01
+
+
 def test_pair_score_is_the_sum_over_pairs():
     rng = np.random.default_rng(2)
     rows = np.full(toxicity.BUCKETS, -1, np.int32)

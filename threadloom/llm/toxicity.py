@@ -10,6 +10,7 @@ from dataclasses import dataclass
 from zlib import crc32
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from threadloom.llm.common import (
@@ -29,6 +30,7 @@ LEAST_TEXTS = 5  # texts of the sample that a bucket must occur in
 CHANCE = 0.01  # of taking any pair for telling that is not
 FACTORS = 8
 PREFIXES = (4, 5, 6)  # bytes
+PAIR_TASKS = 96
 
 
 def terms_of(raw):
@@ -58,52 +60,84 @@ class Machine:
         return float(sigmoid(self.base + self.weight[rows].sum(dtype=np.float64) + pairs))
 
 
-def paired_terms(texts, left, weights, mean, known, able):
+class Pairs:
+    """The sample's terms by text and by term, to count the pairs that a term is in."""
+
+    def __init__(self, texts, left, weights, mean, known, able):
+        self.mean, self.least = mean, np.log(max(len(able), 2) ** 2 / CHANCE)
+        self.needed = self.least / -np.log(min(mean, 1 - mean))  # texts that a telling pair has at least
+        flat = np.concatenate(texts).astype(np.int32) if texts else np.zeros(0, np.int32)
+        owner = np.repeat(np.arange(len(texts), dtype=np.int32), [len(t) for t in texts])
+        able = able[np.bincount(flat, weights[owner], BUCKETS)[able] >= self.needed]
+        known = np.isin(able, known)
+        self.able = able[np.argsort(known, kind="stable")]  # known ones last
+        self.unknown = int((~known).sum())
+        place = np.full(BUCKETS, -1, np.int32)
+        place[self.able] = np.arange(len(self.able))
+        cells = place[flat]
+        owner, cells = owner[cells >= 0], cells[cells >= 0]
+        order = np.lexsort((cells, owner))
+        self.owner, self.cells = owner[order], cells[order]
+        self.ends = np.cumsum(np.bincount(self.owner, minlength=len(texts)))
+        self.weights, self.left = weights, weights * left
+
+    def telling(self, start, step):
+        """Rows of ``able`` in a telling pair with one of the unknown terms start, start + step, ...
+
+        A pair tells if the texts that hold both its terms leave more unexplained than chance
+        does among all pairs, by the Chernoff bound of a sum of labels.
+        """
+        width, mean = len(self.able), self.mean
+        tells = np.zeros(width, bool)
+        by_term = np.argsort(self.cells, kind="stable").astype(np.int32)
+        first = np.searchsorted(self.cells[by_term], np.arange(width + 1))
+        for term in range(start, self.unknown, step):
+            # each pair once: the places after the term's own in every text that holds it
+            spots = by_term[first[term] : first[term + 1]]
+            docs, begin = self.owner[spots], spots + 1
+            sizes = self.ends[docs] - begin
+            others = self.cells[np.repeat(begin - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())]
+            heavy = np.bincount(others, np.repeat(self.weights[docs], sizes), width)
+            near = np.flatnonzero(heavy >= self.needed)
+            surplus = np.bincount(others, np.repeat(self.left[docs], sizes), width)[near]
+            share = np.clip(mean + surplus / heavy[near], 1e-9, 1 - 1e-9)
+            apart = share * np.log(share / mean) + (1 - share) * np.log((1 - share) / (1 - mean))
+            found = near[heavy[near] * apart >= self.least]
+            tells[found] = True
+            tells[term] |= len(found) > 0
+        return np.flatnonzero(tells)
+
+
+def paired_terms(texts, left, weights, mean, known, able, spark=None):
     """Terms among ``able`` but not ``known`` that tell in a pair, whatever they tell alone.
 
-    ``left`` is what the known terms leave unexplained of each label. A pair tells if the texts
-    that hold both its terms leave more than chance does among all pairs of ``able``, by the
-    Chernoff bound of a sum of labels.
+    ``left`` is what the known terms leave unexplained of each label. With ``spark`` the terms
+    are dealt to PAIR_TASKS tasks, which count the pairs over the sample, a broadcast of
+    bounded rows; only telling terms come back.
     """
-    least = np.log(max(len(able), 2) ** 2 / CHANCE)
-    needed = least / -np.log(min(mean, 1 - mean))  # texts that a telling pair has at least
-    flat = np.concatenate(texts) if texts else np.zeros(0, np.int64)
-    owner = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
-    able = able[np.bincount(flat, weights[owner], BUCKETS)[able] >= needed]
-    known = np.isin(able, known)
-    able, unknown = able[np.argsort(known, kind="stable")], int((~known).sum())  # known ones last
-    width = len(able)
-    place = np.full(BUCKETS, -1, np.int32)
-    place[able] = np.arange(width)
-    cells = place[flat]
-    owner, cells = owner[cells >= 0], cells[cells >= 0]
-    order = np.lexsort((cells, owner))
-    owner, cells = owner[order], cells[order]
-    ends = np.cumsum(np.bincount(owner, minlength=len(texts)))
-    spots = np.split(np.argsort(cells, kind="stable"), np.cumsum(np.bincount(cells, minlength=width))[:-1])
-    tells = np.zeros(width, bool)
-    for term in range(unknown):
-        # each pair once: the places after the term's own in every text that holds it
-        docs, start = owner[spots[term]], spots[term] + 1
-        sizes = ends[docs] - start
-        others = cells[np.repeat(start - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())]
-        heavy = np.bincount(others, np.repeat(weights[docs], sizes), width)
-        near = np.flatnonzero(heavy >= needed)
-        surplus = np.bincount(others, np.repeat((weights * left)[docs], sizes), width)[near]
-        share = np.clip(mean + surplus / heavy[near], 1e-9, 1 - 1e-9)
-        apart = share * np.log(share / mean) + (1 - share) * np.log((1 - share) / (1 - mean))
-        found = near[heavy[near] * apart >= least]
-        tells[found] = True
-        tells[term] |= len(found) > 0
-    return able[tells]
-
-
-def fit_machine(texts, labels, weights, steps=400, rate=0.03, ridge=4.0, least_spread=2.5, seed=7):
+    pairs = Pairs(texts, left, weights, mean, known, able)
+    if spark is None:
+        return pairs.able[pairs.telling(0, 1)]
+    shared = spark.sparkContext.broadcast(pairs)
+
+    def count(batches):
+        for batch in batches:
+            for start in batch.column("id").to_pylist():
+                found = pa.array(shared.value.telling(start, PAIR_TASKS), pa.int32())
+                yield pa.RecordBatch.from_arrays([found], names=["place"])
+
+    places = spark.range(0, PAIR_TASKS, 1, PAIR_TASKS).mapInArrow(count, "place int").distinct()
+    rows = np.sort(gathered(places)["place"].to_numpy())  # at most BUCKETS
+    shared.destroy()
+    return pairs.able[rows]
+
+
+def fit_machine(texts, labels, weights, steps=400, rate=0.03, ridge=4.0, least_spread=2.5, seed=7, spark=None):
     """Full-batch descent with momentum; each term's step is scaled by how often it occurs.
 
     ``texts`` are arrays of buckets. Left out are terms in fewer than LEAST_TEXTS texts and
     those spread over both labels as chance would have it, up to ``least_spread`` deviations,
-    unless a pair that they are in tells what the other terms do not.
+    unless a pair that they are in tells what the other terms do not. ``spark`` counts pairs.
     """
     flat = np.concatenate(texts) if texts else np.zeros(0, np.int64)
     found = np.bincount(flat, minlength=BUCKETS)
@@ -112,12 +146,13 @@ def fit_machine(texts, labels, weights, steps=400, rate=0.03, ridge=4.0, least_s
     heavy = np.bincount(flat, weights[owner], BUCKETS)
     surplus = np.bincount(flat, (weights * labels)[owner], BUCKETS) - mean * heavy
     spread = np.sqrt(np.maximum(heavy * mean * (1 - mean), 1e-9))
+    del flat, owner
     able = np.flatnonzero(found >= LEAST_TEXTS)
     used = able[np.abs(surplus[able]) >= least_spread * spread[able]]
     if len(used) < len(able):
         alone = descend(texts, labels, weights, used, mean, steps, rate, ridge, seed)
         left = labels - np.array([alone.score(t) for t in texts])
-        used = np.union1d(used, paired_terms(texts, left, weights, mean, used, able))
+        used = np.union1d(used, paired_terms(texts, left, weights, mean, used, able, spark))
     return descend(texts, labels, weights, used, mean, steps, rate, ridge, seed)
 
 
@@ -130,6 +165,7 @@ def descend(texts, labels, weights, used, mean, steps, rate, ridge, seed):
     cells = rows[flat]
     doc = owner[cells >= 0]
     cells = cells[cells >= 0]
+    del flat, owner
     n, width = len(texts), len(used)
     base = float(np.log(mean / (1 - mean)))
     weight = np.zeros(width)
@@ -174,10 +210,10 @@ def fit_toxicity(documents, labels, label="toxic", most=MOST_LABELS):
     marks = found["label"].to_numpy()
     terms = found["terms"].combine_chunks()
     ends = terms.offsets.to_numpy()
-    flat = terms.values.to_numpy().astype(np.int64)
+    flat = terms.values.to_numpy()
     weights = np.array([sizes.get(int(m), 1) / max(1, (marks == m).sum()) for m in marks])
     texts = [flat[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
-    return fit_machine(texts, marks, weights * len(marks) / weights.sum())
+    return fit_machine(texts, marks, weights * len(marks) / weights.sum(), spark=documents.sparkSession)
 
 
 def score_toxicity(documents, machine):
