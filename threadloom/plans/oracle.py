@@ -379,6 +379,7 @@ _WIDTH = AUDIT_SECONDS * 1_000_000
 
 _SELECTS = {
     "scan_nested_posts": _DOCUMENTS,
+    "scan_array_posts": _DOCUMENTS,
     "land_raw_posts": _DOCUMENTS,
     "decode_events": """
       select event_id, cast(json_extract_string(props, '$.k') as bigint) as k from events""",
@@ -471,6 +472,7 @@ _SELECTS = {
     "stream_restart": "select * from clean_live",
     "stream_dedupe": "select * from clean_live",
     "stream_sink_replies": "select * from generated",
+    "stream_late_copies": "select * from generated",
     "stream_end_to_end": """
       select replyId, commentId, postId, generatedReply, generatedAt as "timestamp"
       from generated""",
@@ -517,6 +519,16 @@ _SELECTS = {
         (select count(*) from comments_table c where c.postId = p.postId) as commentCount,
         (select count(*) from replies r where r.postId = p.postId) as replyCount
       from posts_table p order by p.createdAt desc, p.postId limit {fixed.FEED_SIZE}""",
+    "feed_pruned": f"""
+      select p.*,
+        (select count(*) from comments_table c where c.postId = p.postId) as commentCount,
+        (select count(*) from replies r where r.postId = p.postId) as replyCount
+      from posts_table p order by p.createdAt desc, p.postId limit {fixed.FEED_SIZE}""",
+    "feed_from_state": f"""
+      select p.*,
+        (select count(*) from comments_table c where c.postId = p.postId) as commentCount,
+        (select count(*) from replies r where r.postId = p.postId) as replyCount
+      from posts_table p order by p.createdAt desc, p.postId limit {fixed.FEED_SIZE}""",
     "counts_per_post": """
       select p.postId,
         (select count(*) from comments_table c where c.postId = p.postId) as commentCount,

@@ -11,7 +11,7 @@ import time
 from pyspark.sql import functions as F
 
 from threadloom import schemas
-from threadloom.fixed_values import LIVE_BUFFER_SIZE
+from threadloom.fixed_values import FEED_SIZE, LIVE_BUFFER_SIZE
 from threadloom.functions import identity, prompts, text
 from threadloom.functions import replies as parsing
 from threadloom.operators import (
@@ -20,6 +20,7 @@ from threadloom.operators import (
     inference,
     packing,
     quality,
+    recent,
     skew,
     state,
     views,
@@ -29,10 +30,10 @@ from threadloom.plans import batch, bridge
 from threadloom.plans.bridge import NOW_MS, PROVIDER_VERSION
 from threadloom.session import materialize, scratch_dir
 from threadloom.sinks import writers
-from threadloom.sources import readers, streams
+from threadloom.sources import json_array, readers, streams
 from threadloom.streaming import comments as live
 from threadloom.streaming import commits, tables
-from threadloom.streaming.keyed import KeyedTable
+from threadloom.streaming.keyed import CountedTable, KeyedTable
 
 QUERIES = {}
 
@@ -89,6 +90,17 @@ def scan_nested_posts(spark, sf):
     return _document_summary(readers.read_nested_posts(spark, path))
 
 
+@query
+def scan_array_posts(spark, sf):
+    """Nested posts out of files that each hold JSON arrays on one line, cut at any brace."""
+    path = scratch_dir(spark, "arrays")
+    posts = bridge.nested_posts(spark, sf).select("postId", F.to_json(F.struct("*")).alias("value"))
+    # an upload is one array; arrays of a few hundred posts stand for a larger one
+    arrays = posts.groupBy(F.ceil(F.xxhash64("postId") / 2**56)).agg(F.array_join(F.collect_list("value"), " , ").alias("v"))
+    arrays.select(F.concat(F.lit("["), "v", F.lit("]"))).write.text(path)
+    return _document_summary(json_array.read_array(spark, path, schemas.NESTED_POST))
+
+
 @query
 def decode_events(spark, sf):
     events = bridge.load(spark, sf, "events")
@@ -445,6 +457,45 @@ def feed_with_counts(spark, sf):
     )
 
 
+@query
+def feed_pruned(spark, sf):
+    """The feed out of posts kept in slices of time: only the newest slices are opened."""
+    posts, path = _posts(spark, sf), scratch_dir(spark, "posts-by-time")
+    recent.write_by_time(posts, path, "createdAt", size=FEED_SIZE)
+    newest = recent.newest(spark, path, posts.schema, "createdAt", "postId", FEED_SIZE)
+    return views.feed_with_counts(newest, bridge.comments_table(spark, sf), bridge.replies(spark, sf))
+
+
+@query
+def feed_from_state(spark, sf):
+    """The feed with counts kept up to date by the comment and reply streams.
+
+    Both topics come in two runs, the second one with all messages again; tables are merged in
+    between.
+    """
+    state_of = {}
+    for name, rows, key, time in (
+        ("commentCount", bridge.comments_table(spark, sf), "commentId", "createdAt"),
+        ("replyCount", bridge.replies(spark, sf), "replyId", "timestamp"),
+    ):
+        table = CountedTable(scratch_dir(spark, name), rows.schema, key, [time], "postId", buckets=8)
+        path, checkpoint = scratch_dir(spark, f"{name}-topic"), scratch_dir(spark, "checkpoint")
+        messages = enrich.as_messages(rows, key, rows.columns)
+        found = lambda m, of=rows.schema, key=key: readers.decode(m, of).filter(F.col(key).isNotNull())
+        bad = lambda m, of=rows.schema, key=key: m.filter(F.from_json("value", of)[key].isNull())
+        for delivery in (_half(messages, 0), messages):
+            _write_messages(delivery, path)
+            _ingest(spark, path, table, (found, bad), checkpoint=checkpoint)
+            if not state_of.get(name):
+                table.merge(spark)
+                table.drop_folded(spark)
+            state_of[name] = table
+    posts = _posts(spark, sf).orderBy(F.col("createdAt").desc(), "postId").limit(FEED_SIZE)
+    for name, table in state_of.items():
+        posts = posts.join(table.counts(spark).withColumnRenamed("rows", name), "postId", "left").fillna(0, [name])
+    return posts
+
+
 @query
 def counts_per_post(spark, sf):
     return views.counts_per_post(
@@ -1056,7 +1107,7 @@ def _half(messages, part):
     return messages.filter(identity.hash_bucket(F.col("key"), 2) == part)
 
 
-def _run_live(spark, sf, deliveries=None, checkpoints=1):
+def _run_live(spark, sf, deliveries=None, checkpoints=1, **more):
     """The live flow over all comment events, delivered in one or more runs.
 
     The runs take turns with so many checkpoints, and all write to the same folder.
@@ -1069,7 +1120,7 @@ def _run_live(spark, sf, deliveries=None, checkpoints=1):
         _write_messages(delivery, topic)
         events = streams.comment_stream(spark, source="text", path=topic, maxFilesPerTrigger=16)
         run = live.start_comment_flow(
-            events, out, checkpoint, offline_provider, PROVIDER_VERSION, now_ms=NOW_MS
+            events, out, checkpoint, offline_provider, PROVIDER_VERSION, now_ms=NOW_MS, **more
         )
         run.awaitTermination()
     return out
@@ -1113,6 +1164,14 @@ def stream_new_checkpoint(spark, sf):
     return cleaned.select("commentId", "postId", "commentText").join(counts, "commentId", "left")
 
 
+@query
+def stream_late_copies(spark, sf):
+    """Replies after all events came again to a stream whose state was lost."""
+    seen = live.seen_comments(scratch_dir(spark, "seen"), buckets=8)
+    out = _run_live(spark, sf, lambda messages: [messages, messages], checkpoints=2, seen=seen)
+    return commits.committed_rows(spark, out, "replies", schemas.STREAM_REPLY).drop("inferenceLatencyMs")
+
+
 @query
 def stream_foreach_batch(spark, sf):
     """Rows per event type, counted per micro-batch and summed over the batches."""

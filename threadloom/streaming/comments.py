@@ -11,6 +11,7 @@ from threadloom.operators import enrich, inference, packing
 from threadloom.operators.state import latest_per_key
 from threadloom.sinks.writers import publish, write_json
 from threadloom.streaming import commits
+from threadloom.streaming.keyed import KeyedTable
 
 # what a batch's input is known by; times may be filled in anew
 FINGERPRINT = ["commentId", "postId", "userId", "commentText", "postText"]
@@ -52,7 +53,8 @@ def prepare_stream(events, now_ms=None, dedupe_within="1 hour"):
 
 
 def answer_batch(
-    batch, batch_id, out, provider, provider_version, now_ms, topic=None, floor=None, query="none", **limits
+    batch, batch_id, out, provider, provider_version, now_ms, topic=None, floor=None, query="none", seen=None,
+    **limits
 ):
     """Body of one micro-batch: store cleaned rows, answer them, store and publish replies.
 
@@ -60,7 +62,8 @@ def answer_batch(
     back, so the provider is called once per batch and the file and the topic hold the same
     replies. Errors propagate: Spark repeats the batch, and each write replaces its earlier
     attempt, but for answers already stored of the same input. The commit record comes last; a
-    batch that has one is left alone. A batch without survivors writes nothing.
+    batch that has one is left alone. A batch without survivors writes nothing. Comments that
+    ``seen`` (see ``seen_comments``) knows of other batches are left out.
     """
     spark = batch.sparkSession
 
@@ -70,9 +73,16 @@ def answer_batch(
     prepared = spark.read.schema(keyed.schema).parquet(landed)
     count, mark = commits.fingerprint(prepared, FINGERPRINT)
     done = commits.Batch(spark, out, query, batch_id, mark)
-    if not count or done.is_committed():
+    if seen:
+        known = commits.Batch(spark, seen.path, query, batch_id, mark)
+        if not known.is_committed():
+            # before the record of what is answered, and again if that was all that was done
+            prepared = prepared.join(seen.lookup(spark, prepared).select("commentId"), "commentId", "left_anti")
+    if not count:
         return
-    write_json(prepared.drop("postKey"), done.folder("cleaned"))
+    if done.is_committed():
+        return _remember(seen, known, prepared) if seen else None
+    write_json(prepared.drop("postKey").select(*batch.columns), done.folder("cleaned"))
     replies = inference.generate_replies(
         packing.as_items(prepared), provider, path=done.folder("work"), floor=floor, resume=True, **limits
     )
@@ -85,6 +95,24 @@ def answer_batch(
     else:
         publish(messages, **topic)
     done.commit(count, 0, count)
+    if seen:
+        _remember(seen, known, prepared)
+
+
+def seen_comments(path, buckets=64):
+    """Ids of answered comments, kept for ever: a copy costs a look-up in the bucket of its id.
+
+    Copies within ``dedupe_within`` are caught by the stream's own state; this catches those
+    that come later, or after the state was lost with its checkpoint.
+    """
+    return KeyedTable(path, "commentId string", "commentId", ["commentId"], buckets)
+
+
+def _remember(seen, known, prepared):
+    """Keep the batch's ids, after its answers: a batch repeated in between is not its own copy."""
+    if not known.is_committed():
+        seen.append(prepared.select("commentId"), known)
+        known.commit(0, 0, 0)
 
 
 def start(events, checkpoint, body, trigger=None, output_mode="append"):
@@ -113,6 +141,7 @@ def start_comment_flow(
     trigger=None,
     topic=None,
     floor=None,
+    seen=None,
     **limits,
 ):
     """The whole live flow from decoded events to published replies.
@@ -126,7 +155,7 @@ def start_comment_flow(
         stamp = now_ms if now_ms is not None else int(time.time() * 1000)
         query = commits.query_id(batch.sparkSession, checkpoint)
         answer_batch(
-            batch, batch_id, out, provider, provider_version, stamp, topic, floor, query, **limits
+            batch, batch_id, out, provider, provider_version, stamp, topic, floor, query, seen, **limits
         )
 
     return start(prepare_stream(events, now_ms, dedupe_within), checkpoint, body, trigger)

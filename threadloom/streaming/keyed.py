@@ -71,6 +71,9 @@ class KeyedTable:
     def _tail(self, spark, waiting):
         """Rows of the tail's folders, with their bucket."""
         places = [f"{self.path}/tail/{commits.place(record)}" for record in waiting]
+        return self._tail_of(spark, places)
+
+    def _tail_of(self, spark, places):
         # a batch without good rows has no folder of any bucket
         places = [place for place in places if path_exists(spark, place)]
         schema = f"{self.stored}, bucket int"
@@ -125,6 +128,7 @@ class KeyedTable:
             dealt = base.unionByName(tail).repartition(len(touched), "bucket")
             kept = self._first(dealt, "bucket").sortWithinPartitions("bucket", self.key)
             kept.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/base/{name}")
+        self._before_manifest(spark, version, waiting)
         folders |= dict.fromkeys(touched, name)
         for record in waiting:
             folded[record["query"]] = max(folded.get(record["query"], -1), record["batch_id"])
@@ -134,6 +138,9 @@ class KeyedTable:
         manifest.write.mode("overwrite").json(f"{self.path}/manifests/{name}")
         return touched
 
+    def _before_manifest(self, spark, version, waiting):
+        """What else a merge of the batches ``waiting`` writes before its manifest."""
+
     def drop_folded(self, spark):
         """Remove what the last manifest no longer needs: folded batches, old versions.
 
@@ -150,10 +157,11 @@ class KeyedTable:
         rejects.write.mode("overwrite").json(f"{self.path}/rejected/version={version}")
         named.coalesce(1).write.mode("overwrite").json(f"{self.path}/history/version={version}")
         for record in old:
-            for kind in ("commits", "tail", "rejects", "work"):
+            for kind in ("commits", "tail", "counts", "rejects", "work"):
                 remove_path(spark, f"{self.path}/{kind}/{commits.place(record)}")
         for number in range(1, version):
             remove_path(spark, f"{self.path}/manifests/version={number}")
+            remove_path(spark, f"{self.path}/counted/version={number}")
             if f"version={number}" not in folders.values():
                 remove_path(spark, f"{self.path}/base/version={number}")
 
@@ -163,3 +171,45 @@ class KeyedTable:
         if not path_exists(spark, f"{self.path}/rejected"):
             return fresh
         return fresh.unionByName(spark.read.schema(REJECT).json(f"{self.path}/rejected").select("key", "value"))
+
+
+class CountedTable(KeyedTable):
+    """A KeyedTable that also keeps the number of its keys for each value of ``group``.
+
+    A batch adds the counts of the keys the table does not have yet, so rows delivered again
+    are not counted again; a merge adds up what waiting batches brought. Rows of a key that
+    is stored never change their group.
+    """
+
+    def __init__(self, path, schema, key, order, group, buckets=BUCKETS):
+        super().__init__(path, schema, key, order, buckets)
+        self.group = group
+        self.counted = f"{self.schema.fields[self.schema.fieldNames().index(group)].name} string, rows bigint"
+
+    def append(self, rows, batch, now_ms=None):
+        super().append(rows, batch, now_ms)
+        spark = rows.sparkSession
+        own = self._tail_of(spark, [batch.folder("tail")]).select(self.key, self.group)
+        known = self.lookup(spark, own).select(self.key)
+        fresh = own.join(known, self.key, "left_anti")
+        counts = fresh.groupBy(F.col(self.group).cast("string").alias(self.group)).agg(F.count("*").alias("rows"))
+        counts.write.mode("overwrite").parquet(batch.folder("counts"))
+
+    def _counts(self, spark, version, waiting):
+        paths = [f"{self.path}/counted/version={version}"]
+        paths += [f"{self.path}/counts/{commits.place(record)}" for record in waiting]
+        found = [path for path in paths if path_exists(spark, path)]
+        if not found:
+            return spark.createDataFrame([], self.counted)
+        parts = spark.read.schema(self.counted).parquet(*found)
+        return parts.groupBy(self.group).agg(F.sum("rows").alias("rows"))
+
+    def counts(self, spark):
+        """(group, rows): stored keys for each group, of all committed batches."""
+        version, _, folded = self._manifest(spark)
+        return self._counts(spark, version, self._waiting(spark, folded))
+
+    def _before_manifest(self, spark, version, waiting):
+        self._counts(spark, version, waiting).write.mode("overwrite").parquet(
+            f"{self.path}/counted/version={version + 1}"
+        )
