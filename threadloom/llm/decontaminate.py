@@ -1,9 +1,12 @@
 """Benchmark decontamination with one Aho-Corasick automaton over word windows.
 
 Texts are normalised byte by byte (A-Z lower-cased, other ASCII but digits and letters
-blanked), so a byte offset means the same place in the normalised and the original text.
+blanked), so a byte offset means the same place in the normalised and the original text. The
+automaton reads numbers of words, so an edge is a word and words are whole by themselves.
 """
 
+import uuid
+
 import ahocorasick
 import numpy as np
 import pyarrow as pa
@@ -14,9 +17,9 @@ from threadloom.llm.common import ALNUM, arrow_schema, encoded, map_rows, rows_o
 from threadloom.session import materialize
 
 WINDOW = 10
-# Benchmark text of one automaton. A larger benchmark is cut into blocks by item, each
-# broadcast and matched on its own, so what a task holds never outgrows this.
-BLOCK_CHARS = 16_000_000
+# Benchmark text of one automaton, some 75 bytes a character. A larger benchmark is cut into
+# blocks by item, each broadcast and matched on its own, so what a worker holds never outgrows this.
+BLOCK_CHARS = 8_000_000
 
 FIELDS = "n_words bigint, spans array<struct<start:int,end:int>>, words array<int>, items array<string>"
 
@@ -30,48 +33,75 @@ def windows_of(words, size=WINDOW):
     if not words:
         return set()
     if len(words) < size:
-        return {b" ".join(words)}
-    return {b" ".join(words[i : i + size]) for i in range(len(words) - size + 1)}
+        return {tuple(words)}
+    return {tuple(words[i : i + size]) for i in range(len(words) - size + 1)}
 
 
 class Matcher:
-    """All windows of (item, text) pairs in one automaton."""
+    """All windows of (item, text) pairs in one automaton over numbers of words; 0 is a word
+    that no item has."""
 
     def __init__(self, items, size=WINDOW):
-        owners = {}
+        self.numbers = {}
+        self.owners = []  # (words of a window, its items): one for an item's own windows of a size
+        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
+        shared = set()  # places of windows that several items have, each its own
         for item, text in items:
-            for window in windows_of(words_of((text or "").encode()), size):
-                owners.setdefault(window, set()).add(item)
-        self.automaton = ahocorasick.Automaton()
-        for window, own in owners.items():
-            # latin-1 turns bytes into characters one by one; blanks keep words whole
-            key = f" {window.decode('latin-1')} "
-            self.automaton.add_word(key, (window.count(b" ") + 1, own))
-        self.empty = not owners
-        if owners:
+            words = words_of((text or "").encode())
+            numbered = [self.numbers.setdefault(word, len(self.numbers) + 1) for word in words]
+            mine = -1
+            for window in windows_of(numbered, size):
+                place = self.automaton.get(window, -1)
+                if place < 0:
+                    if mine < 0:
+                        mine = self._place(len(window), {item})
+                    self.automaton.add_word(window, mine)
+                elif place in shared:
+                    self.owners[place][1].add(item)
+                elif item not in self.owners[place][1]:
+                    both = self._place(len(window), self.owners[place][1] | {item})
+                    shared.add(both)
+                    self.automaton.add_word(window, both)
+        self.empty = not self.owners
+        if self.owners:
             self.automaton.make_automaton()
 
+    def _place(self, size, items):
+        self.owners.append((size, items))
+        return len(self.owners) - 1
+
     def match(self, raw):
         """(number of words, numbers of hit words, items) of a text."""
         words = words_of(raw)
         nothing = np.zeros(0, np.int64)
         if self.empty or not words:
             return len(words), nothing, set()
-        joined = f" {b' '.join(words).decode('latin-1')} "
-        found = list(self.automaton.iter(joined))
+        get = self.numbers.get
+        found = list(self.automaton.iter(tuple([get(word, 0) for word in words])))
         if not found:
             return len(words), nothing, set()
-        blanks = np.flatnonzero(np.frombuffer(joined.encode("latin-1"), np.uint8) == 32)
-        last = np.searchsorted(blanks, [end for end, _ in found])  # words before the end
         edge = np.zeros(len(words) + 1, np.int64)
         items = set()
-        for stop, (_, (size, own)) in zip(last, found, strict=True):
-            edge[stop - size] += 1
-            edge[stop] -= 1
+        for last, place in found:
+            size, own = self.owners[place]
+            edge[last + 1 - size] += 1
+            edge[last + 1] -= 1
             items |= own
         return len(words), np.flatnonzero(np.cumsum(edge[:-1]) > 0), items
 
 
+_HELD = {}
+
+
+def _matcher(name, block, size):
+    """The Matcher of the broadcast ``block``, built once in each Python worker. Only the latest
+    is held."""
+    if name not in _HELD:
+        _HELD.clear()
+        _HELD[name] = Matcher(block.value, size)
+    return _HELD[name]
+
+
 def word_spans(raw, numbers):
     """Character offsets in the original text of each run of the numbered words."""
     if not len(numbers):
@@ -101,10 +131,10 @@ def _matched(rows, block, size):
     """``rows`` (doc_id, text[, words, items of earlier blocks]) with FIELDS added or renewed."""
     shared = rows.sparkSession.sparkContext.broadcast(block)
     schema = StructType(rows.select("doc_id", "text").schema.fields + StructType.fromDDL(FIELDS).fields)
-    arrow = arrow_schema(schema)
+    arrow, name = arrow_schema(schema), uuid.uuid4().hex
 
     def run(batches):
-        matcher = Matcher(shared.value, size)
+        matcher = _matcher(name, shared, size)
         for batch in rows_of(batches):
             raws = encoded(batch.column("text"))
             found = [matcher.match(raw) for raw in raws]
@@ -157,18 +187,17 @@ def match_benchmark(documents, benchmark, size=WINDOW):
 
 def mark_rows(documents, benchmark, name, size=WINDOW):
     """Every row of ``documents`` with the number of words it shares with benchmark windows as
-    ``name``; summed over the blocks of a large benchmark. Other columns are handed through."""
+    ``name``; summed over the blocks of a large benchmark. A null or empty text shares none,
+    repeated rows repeat, very long texts are read whole. Other columns are handed through."""
     rows = documents.withColumn(name, F.lit(0).cast("bigint"))
     part = unused(rows, "_part")
     for block, last in _blocks(benchmark):
         shared = rows.sparkSession.sparkContext.broadcast(block)
-
-        built = []
+        built = uuid.uuid4().hex
 
         def count(columns, shared=shared, built=built):
-            if not built:
-                built.append(Matcher(shared.value, size))
-            return [[len(built[0].match(raw)[1]) for raw in encoded(columns["text"])]]
+            matcher = _matcher(built, shared, size)
+            return [[len(matcher.match(raw)[1]) for raw in encoded(columns["text"])]]
 
         rows = map_rows(rows, count, f"{part} bigint")
         rows = rows.withColumn(name, F.col(name) + F.col(part)).drop(part)
