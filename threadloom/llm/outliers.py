@@ -29,7 +29,7 @@ NEAR = 0.975  # share of normal rows that the last estimates are made of
 LEAST_GAIN = 1e-6  # of the determinant's logarithm
 QUANTILES = 101  # of a statistic; its shortest half is found among them
 BINS_PER_OCTAVE = 32
-TAIL = 0.01  # chance that any clean document is rejected, under normal statistics
+TAIL = 1e-8  # chance that a clean document is rejected, under normal statistics
 
 # (name, transformed statistic, least standard deviation that counts)
 STATISTICS = [
@@ -225,8 +225,11 @@ def judge(documents, tail=TAIL):
     and fails. ``distance`` is the squared robust distance from the row's cell, null for rows
     that fail the base limits; they take no part in the estimates. Rows with a null lang or
     source have cells of their own. Repeated rows repeat and count each time. Further columns
-    are ignored, whatever their names. ``tail`` is the chance that any of the rows is rejected
-    if all are normal.
+    are ignored, whatever their names. ``tail`` is the chance that a row is rejected if all are
+    normal; the limit is the same in tables of any size. ``cell`` names the language and source
+    whose estimates were used, or the language with ``pooled`` where the source is small; it is
+    null for rows that fail the base limits. Very long texts count whole; rows at the limit are
+    kept.
     """
     counted = count_statistics(documents)
     counted = counted.withColumn(
@@ -240,10 +243,13 @@ def judge(documents, tail=TAIL):
     vectors = materialize(vectors, "vectors")
     cells = refined(vectors, estimate(vectors))
     judged = vectors.join(cells, "cell").withColumn("distance", _distance())
-    limit = chi_square_point(tail / max(1, vectors.count()), P)
+    limit = chi_square_point(tail, P)
     columns = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
-    return judged.select(*columns, "distance", (F.col("distance") <= limit).alias("kept")).unionByName(
+    return judged.select(*columns, "cell", "distance", (F.col("distance") <= limit).alias("kept")).unionByName(
         stored.filter("base_failed").select(
-            *columns, F.lit(None).cast("double").alias("distance"), F.lit(False).alias("kept")
+            *columns,
+            F.lit(None).cast("string").alias("cell"),
+            F.lit(None).cast("double").alias("distance"),
+            F.lit(False).alias("kept"),
         )
     )
