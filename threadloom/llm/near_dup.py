@@ -11,7 +11,7 @@ a set's shingles fall on it, so two sketches differ in at most as many bits as t
 in shingles, and no link is lost. Every link is confirmed on full sets.
 """
 
-from math import comb
+from math import comb, log
 
 import numpy as np
 import xxhash
@@ -159,21 +159,37 @@ def room_for_link(a_sketch, b_sketch, a_n, b_n, percent=LEAST_PERCENT):
     return f"(100 + {percent}) * ({apart}) <= (100 - {percent}) * ({a_n} + {b_n})"
 
 
+def size_band(n, percent):
+    """Bands of set sizes: sets that can be similar enough are at most one band apart."""
+    width = 1.001 * max(log(100 / percent), 1e-6)
+    return F.floor(F.log(n) / F.lit(width))
+
+
 def rest_pairs(lists, classes, percent=LEAST_PERCENT):
-    """Distinct (a, b) of a list's members in different components that may still be linked."""
+    """Distinct (a, b) of a list's members in different components that may still be linked.
+
+    Of two such members one at least is a stray, outside the list's largest component. Strays
+    are joined with the members whose size is a band apart at most, so a list costs its strays
+    times its members, and no pair inside the largest component is formed.
+    """
     spread = lists.groupBy("token").agg(
         F.min("component").alias("low"), F.max("component").alias("high")
     )
     mixed = lists.join(spread.filter("low < high").select("token"), "token", "left_semi")
-    left = mixed.join(classes.select("doc", "sketch"), "doc")
-    left = materialize(left.select("token", "doc", "n", "component", "sketch"), "mixed")
-    right = left.select(*[F.col(c).alias(c if c == "token" else f"other_{c}") for c in left.columns])
+    mixed = mixed.join(classes.select("doc", "sketch"), "doc").withColumn("band", size_band(F.col("n"), percent))
+    mixed = materialize(mixed.select("token", "doc", "n", "component", "sketch", "band"), "mixed")
+    parts = mixed.groupBy("token", "component").agg(F.count("*").alias("members"))
+    largest = parts.groupBy("token").agg(F.max(F.struct("members", "component"))["component"].alias("main"))
+    strays = mixed.join(largest, "token").filter("component <> main").drop("main")
+    near = F.explode(F.array(*[F.col("band") + step for step in (-1, 0, 1)]))
+    strays = strays.withColumn("band", near)
+    other = mixed.select(*[F.col(c).alias(c if c in ("token", "band") else f"other_{c}") for c in mixed.columns])
     return (
-        left.join(right, "token")
-        .filter("doc < other_doc and component <> other_component")
+        strays.join(other, ["token", "band"])
+        .filter("component <> other_component")
         .filter(linked_sizes("n", "other_n", percent))
         .filter(room_for_link("sketch", "other_sketch", "n", "other_n", percent))
-        .select(F.col("doc").alias("a"), F.col("other_doc").alias("b"))
+        .select(F.least("doc", "other_doc").alias("a"), F.greatest("doc", "other_doc").alias("b"))
         .distinct()
     )
 
