@@ -1,7 +1,8 @@
 """Substring dedup by content-defined chunks.
 
 A gear hash rolls over the bytes of a text; where it has CUT_BITS zero bits at the start of a
-word, a chunk ends. A cut depends on the last WINDOW bytes only, so a shared passage is cut
+word, a chunk ends. Where no blank is near, as in scripts written without them, the starts of
+characters beyond ASCII take the place of word starts, and two such characters count as a word. A cut depends on the last WINDOW bytes only, so a shared passage is cut
 alike in every document soon after its start, whatever stands before it. Compared are chains of
 consecutive chunks, by digest: from each chunk on, and back from each chunk, the shortest chain of
 LEAST_WORDS words. A chain that also occurs in a document with a smaller id is a copy, and copies
@@ -18,6 +19,9 @@ from threadloom.llm.common import encoded, map_rows, unused
 WINDOW = 16  # bytes the gear hash reaches back
 CUT_SHIFT, CUT_MASK = 13, 3  # bits of the hash that must be zero: one word start in four
 LEAST_BYTES, MOST_BYTES = 12, 256
+NEAR_BYTES = 48  # the last blank is farther away: text without blanks
+DENSE_MASK = 7  # one character in eight there
+DENSE_WORD = 2  # characters there that count as a word
 LEAST_WORDS = 20  # of a run that is removed; passages lose up to a chunk at either end
 
 NO_ID = -(1 << 63)
@@ -50,6 +54,10 @@ def chunk_ends(raw):
     starts = np.flatnonzero(space[:-1] & ~space[1:]) + 1  # of words, but one at 0
     hashes = gear_hashes(data)
     cuts = starts[(hashes[starts - 1] >> np.uint32(CUT_SHIFT)) & np.uint32(CUT_MASK) == 0]
+    dense = dense_starts(data, space)
+    if len(dense):
+        more = dense[(hashes[dense - 1] >> np.uint32(CUT_SHIFT)) & np.uint32(DENSE_MASK) == 0]
+        cuts = np.union1d(cuts, more)
     ends, last = [], 0
     for cut in [*cuts.tolist(), len(raw)]:
         while cut - last > MOST_BYTES:
@@ -60,9 +68,22 @@ def chunk_ends(raw):
             last = cut
     heads = np.concatenate(([0], starts)) if not space[0] else starts
     words = np.diff(np.concatenate(([0], np.searchsorted(heads, ends, side="left"))))
+    if len(dense):
+        words += np.diff(np.concatenate(([0], np.searchsorted(dense, ends, side="left")))) // DENSE_WORD
     return ends, words.tolist()
 
 
+def dense_starts(data, space):
+    """Starts of characters beyond ASCII whose last blank is more than NEAR_BYTES before."""
+    blanks = np.flatnonzero(space)
+    gaps = np.diff(np.concatenate(([-1], blanks, [len(data)])))
+    if gaps.max() <= NEAR_BYTES:
+        return blanks[:0]
+    starts = np.flatnonzero(data >= 0xC0)
+    last = np.concatenate(([-1], blanks))[np.searchsorted(blanks, starts)]
+    return starts[starts - last > NEAR_BYTES]
+
+
 def _forced(raw, starts, last):
     """The last word start within MOST_BYTES, else the last start of a character."""
     place = int(np.searchsorted(starts, last + MOST_BYTES, side="right")) - 1
@@ -192,7 +213,7 @@ def dedupe_substrings(documents):
     """Every row of ``documents`` with shared passages cut out of ``text``.
 
     Added are ``removed_spans``, the removed character ranges of the given text in order, and
-    ``removed_words``. Rows with one doc_id count as one document, rows without an id as one
+    ``removed_words``, counted by blanks. Rows with one doc_id count as one document, rows without an id as one
     that comes first; repeats inside one document stay. A null text stays null, a text that is
     all copies becomes empty. Other columns are handed through; if ``removed_spans`` or
     ``removed_words`` is among them, it is replaced.
