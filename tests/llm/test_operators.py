@@ -1,8 +1,13 @@
 """Each operator against a brute-force version, a round trip or held-out accuracy."""
 
+import base64
+import gzip
 import hashlib
+import os
 import random
 import re
+import subprocess
+import sys
 import zlib
 from collections import Counter
 from itertools import combinations
@@ -124,6 +129,36 @@ def test_decontamination(spark, monkeypatch, block):
     }
 
 
+def test_windows_of_many_items_share_no_lists():
+    rng = random.Random(21)
+    common = " ".join(words(rng, 15, 10_000))
+    items = [(f"i{k}", f"{' '.join(words(rng, 12, 10_000))} {common}") for k in range(30)] + [("i3", common)]
+    matcher = decontaminate.Matcher(items)
+    assert matcher.match(common.upper().encode())[2] == {f"i{k}" for k in range(30)}
+    for item, text in items[:30]:
+        n, hit, found = matcher.match(text.encode())
+        assert (n, len(hit)) == (27, 27) and item in found
+        alone = text.rsplit(" ", 15)[0]
+        assert matcher.match(alone.encode())[2] == {item}
+    assert matcher.match(b"nothing known " * 20) == (40, pytest.approx([]), set())
+
+
+def test_automaton_is_small():
+    """Memory of a benchmark of 300,000 characters, carried on to a full block."""
+    code = (
+        "import random, resource, sys\n"
+        "from threadloom.llm import decontaminate\n"
+        "rng = random.Random(22)\n"
+        "text = lambda: ' '.join(f'{rng.randrange(10**6):06d}' for _ in range(100))\n"
+        "items = [(i, text()) for i in range(430)]\n"
+        "before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss\n"
+        "matcher = decontaminate.Matcher(items)\n"
+        "print(resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before)\n"
+    )
+    kilobytes = int(subprocess.run([sys.executable, "-c", code], capture_output=True, check=True).stdout)
+    assert kilobytes * 1024 / 300_000 * decontaminate.BLOCK_CHARS < 1e9
+
+
 # --- 3: toxicity ----------------------------------------------------------------
 
 
@@ -313,6 +348,64 @@ def test_frequent_phrases_stay(spark):
     assert passage in found[200].text and passage not in found[201].text
 
 
+def brute_cuts(texts):
+    """What is left of each text (id, text): chains of chunks that an earlier text holds go."""
+    held, left = {}, {}
+    for key, text in sorted(texts):
+        raw = text.encode()
+        own, sizes = chunks.chunk_digests(raw)
+        ends = [0, *chunks.chunk_ends(raw)[0]]
+        own, gone, mine = own.tolist(), set(), set()
+        for a in range(len(own)):
+            # the shortest chains from a on and up to a
+            for b in range(a, len(own)):
+                if sum(sizes[a : b + 1]) >= chunks.LEAST_WORDS:
+                    mine.add((a, b))
+                    break
+            for b in range(a, -1, -1):
+                if sum(sizes[b : a + 1]) >= chunks.LEAST_WORDS:
+                    mine.add((b, a))
+                    break
+        for a, b in mine:
+            if tuple(own[a : b + 1]) in held:
+                gone |= set(range(a, b + 1))
+        for a, b in mine:
+            held.setdefault(tuple(own[a : b + 1]), key)
+        left[key] = b"".join(raw[ends[i] : ends[i + 1]] for i in range(len(own)) if i not in gone).decode()
+    return left
+
+
+def chinese(rng, n):
+    return "".join(chr(rng.randrange(0x4E00, 0x9F00)) for _ in range(n))
+
+
+def test_cuts_equal_brute_force(spark):
+    rng = random.Random(18)
+    shared = [" ".join(words(rng, 70, 100_000)) for _ in range(4)] + [chinese(rng, 200) for _ in range(3)]
+    texts = []
+    for i in range(120):
+        parts = [" ".join(words(rng, 40, 100_000)) if rng.random() < 0.7 else chinese(rng, 90) for _ in range(3)]
+        parts.insert(rng.randrange(4), rng.choice(shared))
+        texts.append((i, rng.choice(["", " ", "\n"]).join(parts)))
+    found = chunks.dedupe_substrings(spark.createDataFrame(texts, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.text for r in found} == brute_cuts(texts)
+
+
+def test_text_without_blanks_is_deduplicated(spark):
+    rng = random.Random(19)
+    passage = chinese(rng, 400)
+    texts = [(i, chinese(rng, 300 + 7 * i) + passage + chinese(rng, 200)) for i in range(4)]
+    texts.append((9, chinese(rng, 3000)))
+    assert len(chunks.chains_of(chunks.chunk_digests(texts[-1][1].encode())[1])[0]) > 100
+    found = {r.doc_id: r for r in chunks.dedupe_substrings(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    for i, text in texts:
+        if i in (0, 9):
+            assert found[i].text == text
+        else:
+            assert sum(s.end - s.start for s in found[i].removed_spans) > 320
+            assert text[: 300 + 7 * i] in found[i].text and text[-190:] in found[i].text
+
+
 # --- 6: mixing ------------------------------------------------------------------
 
 
@@ -426,6 +519,62 @@ def test_lost_segments_are_found(spark):
     assert found["2"].intact and bytes(found["2"].payload) == b"y"
 
 
+def archive(spark, content):
+    path = f"{scratch_dir(spark, 'warc')}"
+    os.makedirs(path)
+    with open(f"{path}/part.warc", "wb") as file:
+        file.write(content)
+    return warc.read_archive(spark, path).collect()
+
+
+def foreign(kind, number, block, **fields):
+    lines = [f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:x:{number}>", *(f"{k.replace('_', '-')}: {v}" for k, v in fields.items())]
+    lines.append(f"Content-Length: {len(block)}")
+    return ("WARC/1.0\r\n" + "\r\n".join(lines) + "\r\n\r\n").encode() + block + b"\r\n\r\n"
+
+
+def answer(body):
+    return b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n" + body
+
+
+def test_archives_of_other_writers(spark):
+    digest = "sha1:" + base64.b32encode(hashlib.sha1(b"one").digest()).decode()
+    records = [
+        foreign("warcinfo", 0, b"software: x\r\n"),
+        foreign("request", 1, b"GET / HTTP/1.1\r\n\r\n", WARC_Target_URI="http://a/"),
+        foreign("response", 2, answer(b"one"), WARC_Target_URI="http://a/", WARC_Payload_Digest=digest),
+        foreign("response", 3, answer(b"two"), WARC_Target_URI="http://b/", WARC_Payload_Digest=digest),
+        foreign("revisit", 4, b"", WARC_Target_URI="http://c/", WARC_Refers_To_Target_URI="http://a/"),
+        foreign("metadata", 5, b"x" * 50),
+    ]
+    for content in (b"".join(records), b"".join(map(gzip.compress, records))):
+        found = {r.url: r for r in archive(spark, content)}
+        assert sorted(found) == ["http://a/", "http://b/", "http://c/"]
+        assert bytes(found["http://a/"].payload) == b"one" and found["http://a/"].intact
+        assert bytes(found["http://b/"].payload) == b"two" and not found["http://b/"].intact
+        assert (found["http://c/"].record_type, found["http://c/"].refers_to_uri) == ("revisit", "http://a/")
+
+
+def test_damaged_archives(spark):
+    good = [foreign("response", i, answer(b"body %d" % i), WARC_Target_URI=f"http://{i}/") for i in range(4)]
+    whole = b"".join(good)
+    damaged = {
+        "cut in a block": (whole[:-20], {"0", "1", "2"}, 1),
+        "cut in a head": (b"".join(good[:3]) + good[3][:40], {"0", "1", "2"}, 1),
+        "no length": (good[0] + good[1].replace(b"Content-Length", b"Content-Size") + good[2], {"0", "2"}, 1),
+        "wrong length": (good[0] + good[1].replace(b"Length: ", b"Length: 9") + good[2], {"0", "2"}, 1),
+        "no id": (good[0] + good[1].replace(b"Record-ID", b"Record") + good[2], {"0", "2"}, 1),
+        "rubbish": (b"\x00rubbish\r\n\r\n" + whole, {"0", "1", "2", "3"}, 1),
+        "empty": (b"", set(), 0),
+        "cut gzip": (b"".join(map(gzip.compress, good))[:-30], {"0", "1", "2"}, 1),
+    }
+    for name, (content, pages, broken) in damaged.items():
+        found = archive(spark, content)
+        assert {r.url[7:-1] for r in found if r.intact} == pages, name
+        rest = [r for r in found if not r.intact]
+        assert [(r.record_type, r.payload) for r in rest] == [("damaged", None)] * broken, name
+
+
 # --- 8: quality rules -------------------------------------------------------------
 
 
@@ -491,7 +640,7 @@ def test_much_junk_of_one_kind_is_rejected(spark, copies):
     schema = "cell string, junk boolean, " + ", ".join(f"x{i} double" for i in range(outliers.P))
     frame = spark.createDataFrame(cells, schema)
     found = outliers.refined(frame, outliers.estimate(frame))
-    limit = outliers.chi_square_point(outliers.TAIL / len(cells), outliers.P)
+    limit = outliers.chi_square_point(outliers.TAIL, outliers.P)
     judged = frame.join(found, "cell").withColumn("far", outliers._distance() > limit).toPandas()
     assert judged[judged.junk].far.all() and judged[~judged.junk].far.mean() < 0.01
 
@@ -575,6 +724,30 @@ def test_truncated_copies_are_linked(spark):
     assert {r.doc_id for r in near_dup.keep_one(rows).collect()} == {10 * i for i in range(20)}
 
 
+def test_strays_of_a_hot_list_meet_all_members(spark):
+    """A list of one component and an outsider forms pairs by strays, not by members squared."""
+    rng = np.random.default_rng(23)
+    rows = [(7, d, 100, 1 if d else 0) for d in range(3000)]
+    rows += [(8, d, 100 + d % 40, d % 3) for d in range(60)]
+    lists = spark.createDataFrame(rows, "token long, doc long, n long, component long")
+    sketch = [int(x) for x in rng.integers(0, 2**62, near_dup.SKETCH_BITS // 64)]
+    classes = spark.createDataFrame([(d, sketch) for d in range(3000)], "doc long, sketch array<long>")
+    found = near_dup.rest_pairs(lists, classes, 85)
+    expected = {(0, d) for d in range(1, 3000)}
+    for a, b in combinations(range(60), 2):
+        low, high = sorted((100 + a % 40, 100 + b % 40))
+        if a % 3 != b % 3 and 100 * low >= 85 * high:
+            expected.add((a, b))
+    assert {(r.a, r.b) for r in found.collect()} == expected and found.count() == len(expected)
+
+
+def test_size_bands_hold_all_similar_sizes(spark):
+    for percent in (80, 85, 100):
+        sizes = spark.range(1, 2500).select(F.col("id").alias("n"), near_dup.size_band(F.col("id"), percent).alias("band"))
+        band = {r.n: r.band for r in sizes.collect()}
+        assert all(band[-(-percent * n // 100)] >= band[n] - 1 for n in band)
+
+
 def test_components_of_long_chains(spark):
     edges = [(i, i + 1) for i in range(0, 60)] + [(100, 101), (200, 100), (200, 300), (7, 7)]
     random.Random(1).shuffle(edges)
