@@ -143,6 +143,18 @@ def test_windows_of_many_items_share_no_lists():
     assert matcher.match(b"nothing known " * 20) == (40, pytest.approx([]), set())
 
 
+def test_more_words_than_characters():
+    """Where numbers of words run out, another automaton takes the windows that follow."""
+    rng = random.Random(24)
+    items = [(f"i{k}", " ".join(words(rng, 25, 60))) for k in range(12)]
+    several = decontaminate.Matcher(items, size=4, most=20)
+    assert len(several.parts) > 2 and len(decontaminate.Matcher(items, size=4).parts) == 1
+    for _ in range(30):
+        text = " ".join([*words(rng, 30, 60), *rng.choice(items)[1].split()[5:15], *words(rng, 9, 60)])
+        n, hit, found = several.match(text.encode())
+        assert (n, hit.tolist(), sorted(found)) == brute_matches(text, items, 4)
+
+
 def test_automaton_is_small():
     """Memory of a benchmark of 300,000 characters, carried on to a full block."""
     code = (

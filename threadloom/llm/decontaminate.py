@@ -2,10 +2,13 @@
 
 Texts are normalised byte by byte (A-Z lower-cased, other ASCII but digits and letters
 blanked), so a byte offset means the same place in the normalised and the original text. The
-automaton reads numbers of words, so an edge is a word and words are whole by themselves.
+automaton reads numbers of words, written as DIGITS characters each: a node looks through its
+edges one by one, so a node for every word that may come next would be slow, and characters of
+the words themselves would make twice the nodes.
 """
 
 import uuid
+from itertools import repeat
 
 import ahocorasick
 import numpy as np
@@ -17,9 +20,12 @@ from threadloom.llm.common import ALNUM, arrow_schema, encoded, map_rows, rows_o
 from threadloom.session import materialize
 
 WINDOW = 10
-# Benchmark text of one automaton, some 75 bytes a character. A larger benchmark is cut into
+# Benchmark text of one automaton, about 200 bytes a character. A larger benchmark is cut into
 # blocks by item, each broadcast and matched on its own, so what a worker holds never outgrows this.
-BLOCK_CHARS = 8_000_000
+BLOCK_CHARS = 4_000_000
+DIGITS, BASE = 3, 128  # each digit has characters of its own, so words are found whole
+MOST_WORDS = BASE**DIGITS - 1  # one automaton more beyond these
+UNKNOWN = "\0" * DIGITS
 
 FIELDS = "n_words bigint, spans array<struct<start:int,end:int>>, words array<int>, items array<string>"
 
@@ -37,34 +43,41 @@ def windows_of(words, size=WINDOW):
     return {tuple(words[i : i + size]) for i in range(len(words) - size + 1)}
 
 
+def _digits(number):
+    return "".join([chr(1 + BASE * i + number // BASE**i % BASE) for i in range(DIGITS)])
+
+
 class Matcher:
-    """All windows of (item, text) pairs in one automaton over numbers of words; 0 is a word
-    that no item has."""
+    """All windows of (item, text) pairs in an automaton over words, each written as the digits
+    of its number; a word that no item has is UNKNOWN."""
 
-    def __init__(self, items, size=WINDOW):
-        self.numbers = {}
-        self.owners = []  # (words of a window, its items): one for an item's own windows of a size
-        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
+    def __init__(self, items, size=WINDOW, most=MOST_WORDS):
+        self.owners = []  # (words of a window, its items): one for an item's own windows
+        self.parts = []  # (digits of each word, automaton)
         shared = set()  # places of windows that several items have, each its own
         for item, text in items:
-            words = words_of((text or "").encode())
-            numbered = [self.numbers.setdefault(word, len(self.numbers) + 1) for word in words]
             mine = -1
-            for window in windows_of(numbered, size):
-                place = self.automaton.get(window, -1)
+            for window in windows_of(words_of((text or "").encode()), size):
+                if not self.parts or len(self.parts[-1][0]) + len(window) > most:
+                    self.parts.append(({}, ahocorasick.Automaton(ahocorasick.STORE_INTS)))
+                digits, automaton = self.parts[-1]
+                for word in window:
+                    if word not in digits:
+                        digits[word] = _digits(len(digits))
+                key = "".join([digits[word] for word in window])
+                place = automaton.get(key, -1)
                 if place < 0:
                     if mine < 0:
                         mine = self._place(len(window), {item})
-                    self.automaton.add_word(window, mine)
+                    automaton.add_word(key, mine)
                 elif place in shared:
                     self.owners[place][1].add(item)
                 elif item not in self.owners[place][1]:
                     both = self._place(len(window), self.owners[place][1] | {item})
                     shared.add(both)
-                    self.automaton.add_word(window, both)
-        self.empty = not self.owners
-        if self.owners:
-            self.automaton.make_automaton()
+                    automaton.add_word(key, both)
+        for _, automaton in self.parts:
+            automaton.make_automaton()
 
     def _place(self, size, items):
         self.owners.append((size, items))
@@ -73,19 +86,18 @@ class Matcher:
     def match(self, raw):
         """(number of words, numbers of hit words, items) of a text."""
         words = words_of(raw)
-        nothing = np.zeros(0, np.int64)
-        if self.empty or not words:
-            return len(words), nothing, set()
-        get = self.numbers.get
-        found = list(self.automaton.iter(tuple([get(word, 0) for word in words])))
+        found = []
+        for digits, automaton in self.parts:
+            found += automaton.iter("".join(map(digits.get, words, repeat(UNKNOWN))))
         if not found:
-            return len(words), nothing, set()
+            return len(words), np.zeros(0, np.int64), set()
         edge = np.zeros(len(words) + 1, np.int64)
         items = set()
         for last, place in found:
             size, own = self.owners[place]
-            edge[last + 1 - size] += 1
-            edge[last + 1] -= 1
+            stop = (last + 1) // DIGITS
+            edge[stop - size] += 1
+            edge[stop] -= 1
             items |= own
         return len(words), np.flatnonzero(np.cumsum(edge[:-1]) > 0), items
 
