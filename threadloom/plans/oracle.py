@@ -2,7 +2,7 @@
 
 from threadloom import fixed_values as fixed
 from threadloom.plans.bridge import NOW_MS, PROVIDER_VERSION, THREAD_CTES, TURNS_PER_DOCUMENT
-from threadloom.plans.registry import AUDIT_BUDGET, AUDIT_SECONDS, KEY_SLOTS
+from threadloom.plans.registry import AUDIT_BUDGET, AUDIT_SECONDS, KEY_SLOTS, NEWEST_USERS
 from threadloom.schemas import COMMENT_EVENT
 
 
@@ -566,6 +566,10 @@ _SELECTS = {
       union all select 'batch_jobs.jobId', jobId, count(*) from job_events
       group by 2 having count(*) > 1""",
     "lookup_by_key": "select * from posts_table where postId in (select postId from replies)",
+    "lookup_indexed": "select * from posts_table where postId in (select postId from replies)",
+    "comments_of_newest_users": f"""
+      select * from comments_table where userId in (
+        select userId from users order by createdAt desc nulls last, userId limit {NEWEST_USERS})""",
     "valid_usernames": f"""
       select * from (
         select userId, createdAt, {_strip("username")} as username from users)

@@ -30,7 +30,7 @@ from threadloom.plans import batch, bridge
 from threadloom.plans.bridge import NOW_MS, PROVIDER_VERSION
 from threadloom.session import materialize, scratch_dir
 from threadloom.sinks import writers
-from threadloom.sources import json_array, readers, streams
+from threadloom.sources import json_array, key_index, readers, streams
 from threadloom.streaming import comments as live
 from threadloom.streaming import commits, tables
 from threadloom.streaming.keyed import CountedTable, KeyedTable
@@ -39,6 +39,7 @@ QUERIES = {}
 
 AUDIT_SECONDS, AUDIT_BUDGET = 3600, 5
 KEY_SLOTS = 3
+NEWEST_USERS = 12
 
 
 def query(function):
@@ -548,6 +549,24 @@ def lookup_by_key(spark, sf):
     )
 
 
+@query
+def lookup_indexed(spark, sf):
+    """The posts that have replies, out of posts laid out by key."""
+    posts, path = _posts(spark, sf), scratch_dir(spark, "posts-by-key")
+    key_index.write_by_key(posts, path, "postId")
+    return key_index.lookup_keys(path, posts.schema, "postId", bridge.replies(spark, sf))
+
+
+@query
+def comments_of_newest_users(spark, sf):
+    """All comments of the newest users, out of comments laid out by post."""
+    comments, path = bridge.comments_table(spark, sf), scratch_dir(spark, "comments-by-post")
+    key_index.write_by_key(comments, path, "postId", ["userId"], then=["commentId"])
+    newest = bridge.users(spark, sf).orderBy(F.desc_nulls_last("createdAt"), "userId").limit(NEWEST_USERS)
+    values = [r[0] for r in newest.select("userId").collect()]
+    return key_index.lookup_other(spark, path, comments.schema, "userId", values)
+
+
 @query
 def valid_usernames(spark, sf):
     return views.valid_usernames(bridge.users(spark, sf))
