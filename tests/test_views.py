@@ -66,6 +66,19 @@ def test_thread_keeps_every_reply_of_a_hot_comment(spark):
     assert [r.replyId for r in got] == [f"r{i:04}" for i in range(500)] + [None]
 
 
+def test_lists_come_in_their_order(spark):
+    rows = [(f"r{i:02}", "c1", f"p{i % 3}", "x", (i * 7) % 10 // 2) for i in range(20)]
+    replies = _replies(spark, rows).repartition(4)
+    newest = sorted(rows, key=lambda r: (-r[4], r[0]))
+    assert [r.replyId for r in views.latest_replies(replies, 6).collect()] == [r[0] for r in newest[:6]]
+    assert [r.replyId for r in views.newest_first(replies, "timestamp", "replyId").collect()] == [r[0] for r in newest]
+    thread = sorted(rows, key=lambda r: (r[2], r[4], r[0]))
+    assert [r.replyId for r in views.in_thread_order(replies, "timestamp", "replyId").collect()] == [r[0] for r in thread]
+    ranked = views.recent_replies_per_post(replies, 2).collect()
+    best = {post: [r[0] for r in newest if r[2] == post][:2] for post in ("p0", "p1", "p2")}
+    assert sorted(r.replyId for r in ranked) == sorted(sum(best.values(), []))
+
+
 def test_lookups(spark):
     posts = spark.createDataFrame([("a",), ("b",)], "postId string")
     assert views.lookup(posts, "postId", "b").count() == 1
