@@ -8,7 +8,7 @@ from threadloom.operators import inference
 from threadloom.plans import batch, bridge, registry
 from threadloom.sources import readers, streams
 from threadloom.streaming import comments as live
-from threadloom.streaming import commits
+from threadloom.streaming import commits, tables
 
 NOW = bridge.NOW_MS
 
@@ -188,3 +188,48 @@ def test_fingerprint_tells_rows_not_their_order(spark):
     mark = lambda r: commits.fingerprint(spark.createDataFrame(r, "k string, v int"), ["k", "v"])
     assert mark(rows) == mark(rows[::-1]) and mark(rows)[0] == 4
     assert len({mark(rows)[1], mark(rows[1:])[1], mark([*rows[:-1], ("c", 3)])[1], mark(rows[:1] * 4)[1], mark([])[1]}) == 5
+
+
+def test_batches_run_adaptively_whatever_the_stream(spark, tmp_path, monkeypatch):
+    """A stateful stream's session has adaptive execution off: what follows the landing leaves it."""
+    _deliver(tmp_path / "in", "a", _event("c1"))
+    adaptive = []
+
+    def publish(messages, *more, **options):
+        adaptive.append(messages.sparkSession.conf.get("spark.sql.adaptive.enabled"))
+
+    with monkeypatch.context() as patch:
+        patch.setattr(live, "publish", publish)
+        _run(spark, tmp_path)
+    messages = streams.message_stream(spark, source="text", path=str(tmp_path / "in"))
+    unique = messages.dropDuplicates(["value"])
+
+    def decode(stored):
+        publish(stored)
+        return stored.select(F.col("value").alias("postId"))
+
+    table = registry.KeyedTable(str(tmp_path / "table"), "postId string", "postId", ["postId"], buckets=2)
+    rejects = lambda stored: stored.filter("false")
+    tables.start_table_ingest(unique, table, decode, rejects, str(tmp_path / "ingest")).awaitTermination()
+    assert adaptive == ["true", "true"]
+
+
+def test_state_partitions_are_the_flows_own(spark, tmp_path):
+    _deliver(tmp_path / "in", "a", _event("c1"), _event("c2"))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    _run(spark, tmp_path, state_partitions=3)
+    assert spark.conf.get("spark.sql.shuffle.partitions") == before != "3"
+    state = [f.name for f in (tmp_path / "checkpoint" / "state" / "0").iterdir() if f.name.isdigit()]
+    assert len(state) == 3
+    assert _read(spark, tmp_path, "replies", schemas.STREAM_REPLY).count() == 2
+
+
+def test_a_message_is_parsed_once_whatever_is_filtered(spark, capsys):
+    values = ['{"commentId":"c"}', "{}", "not json", "", None, '[{"commentId":"d"},{"commentId":"e"}]']
+    messages = spark.createDataFrame([(v,) for v in values], "value string")
+    decoded = readers.decode_comment_events(messages)
+    decoded.filter("commentId <> '' and postId <> '' and userId <> ''").explain()
+    assert capsys.readouterr().out.count("from_json") == 1
+    whole = messages.select(F.from_json("value", schemas.COMMENT_EVENT).alias("data")).select("data.*")
+    assert decoded.schema == whole.schema and decoded.count() == len(values)
+    assert [r.asDict() for r in decoded.collect()] == [r.asDict() for r in whole.collect()]

@@ -40,6 +40,7 @@ QUERIES = {}
 AUDIT_SECONDS, AUDIT_BUDGET = 3600, 5
 KEY_SLOTS = 3
 NEWEST_USERS = 12
+STATE_PARTITIONS = 24  # of the live flows, whose batches are at most 16 files of a topic
 
 
 def query(function):
@@ -1139,8 +1140,9 @@ def _run_live(spark, sf, deliveries=None, checkpoints=1, **more):
         _write_messages(delivery, topic)
         events = streams.comment_stream(spark, source="text", path=topic, maxFilesPerTrigger=16)
         run = live.start_comment_flow(
-            events, out, checkpoint, offline_provider, PROVIDER_VERSION, now_ms=NOW_MS, **more
-        )
+            events, out, checkpoint, offline_provider, PROVIDER_VERSION, now_ms=NOW_MS,
+            state_partitions=STATE_PARTITIONS, **more
+        )
         run.awaitTermination()
     return out
 

@@ -1,5 +1,6 @@
 """The live comment flow: prepare and dedupe in the stream, answer per micro-batch."""
 
+import contextlib
 import time
 
 from pyspark.sql import functions as F
@@ -52,9 +53,20 @@ def prepare_stream(events, now_ms=None, dedupe_within="1 hour"):
     )
 
 
+def land(part, path, spark=None):
+    """Rows of a micro-batch, written once and read back through ``spark``.
+
+    A stateful stream runs in a session of its own without adaptive execution, in which each
+    later shuffle of the batch would have all shuffle partitions, however few its rows, and no
+    skewed join would be split. Flows pass the session that they were started from.
+    """
+    part.write.mode("overwrite").parquet(path)
+    return (spark or part.sparkSession).read.schema(part.schema).parquet(path)
+
+
 def answer_batch(
     batch, batch_id, out, provider, provider_version, now_ms, topic=None, floor=None, query="none", seen=None,
-    **limits
+    spark=None, **limits
 ):
     """Body of one micro-batch: store cleaned rows, answer them, store and publish replies.
 
@@ -63,14 +75,13 @@ def answer_batch(
     replies. Errors propagate: Spark repeats the batch, and each write replaces its earlier
     attempt, but for answers already stored of the same input. The commit record comes last; a
     batch that has one is left alone. A batch without survivors writes nothing. Comments that
-    ``seen`` (see ``seen_comments``) knows of other batches are left out.
+    ``seen`` (see ``seen_comments``) knows of other batches are left out. ``spark`` is as in
+    ``land``.
     """
-    spark = batch.sparkSession
-
     landed = f"{out}/work/query={query}/batch_id={batch_id}/prepared"
     keyed = batch.withColumn("postKey", packing.post_key(F.col("postText")))
-    keyed.write.mode("overwrite").parquet(landed)
-    prepared = spark.read.schema(keyed.schema).parquet(landed)
+    prepared = land(keyed, landed, spark)
+    spark = prepared.sparkSession
     count, mark = commits.fingerprint(prepared, FINGERPRINT)
     done = commits.Batch(spark, out, query, batch_id, mark)
     if seen:
@@ -115,6 +126,22 @@ def _remember(seen, known, prepared):
         known.commit(0, 0, 0)
 
 
+@contextlib.contextmanager
+def shuffle_partitions(spark, partitions):
+    """Streams started inside get so many state partitions, which their checkpoint then keeps.
+
+    Every micro-batch opens all of them, so they should fit what the source's cap lets into a
+    batch and not what the stream brings in all. None leaves the session's setting.
+    """
+    name = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(name)
+    spark.conf.set(name, before if partitions is None else partitions)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def start(events, checkpoint, body, trigger=None, output_mode="append"):
     """Run ``body(batch, batch_id)`` per micro-batch with a checkpoint.
 
@@ -142,23 +169,26 @@ def start_comment_flow(
     topic=None,
     floor=None,
     seen=None,
+    state_partitions=None,
     **limits,
 ):
     """The whole live flow from decoded events to published replies.
 
     ``commits.committed_rows(spark, out, name, schema)`` reads what it wrote: cleaned, replies
     and, without a topic, messages. A new checkpoint may go on in the same ``out``: its batches
-    are told from those of the old one.
+    are told from those of the old one. ``state_partitions`` see ``shuffle_partitions``.
     """
+    spark = events.sparkSession
 
     def body(batch, batch_id):
         stamp = now_ms if now_ms is not None else int(time.time() * 1000)
-        query = commits.query_id(batch.sparkSession, checkpoint)
+        query = commits.query_id(spark, checkpoint)
         answer_batch(
-            batch, batch_id, out, provider, provider_version, stamp, topic, floor, query, seen, **limits
+            batch, batch_id, out, provider, provider_version, stamp, topic, floor, query, seen, spark, **limits
         )
 
-    return start(prepare_stream(events, now_ms, dedupe_within), checkpoint, body, trigger)
+    with shuffle_partitions(spark, state_partitions):
+        return start(prepare_stream(events, now_ms, dedupe_within), checkpoint, body, trigger)
 
 
 def throughput(events, epoch_ms, width="1 minute"):
@@ -197,12 +227,11 @@ def start_lookup_flow(comments, table, out, checkpoint, trigger=None):
     Adaptive execution splits a hot post.
     """
 
+    spark = comments.sparkSession
+
     def body(part, batch_id):
-        spark = part.sparkSession
         query = commits.query_id(spark, checkpoint)
-        landed = f"{out}/work/query={query}/batch_id={batch_id}/comments"
-        part.write.mode("overwrite").parquet(landed)
-        batch = spark.read.schema(part.schema).parquet(landed)
+        batch = land(part, f"{out}/work/query={query}/batch_id={batch_id}/comments", spark)
         count, mark = commits.fingerprint(batch, batch.columns)
         done = commits.Batch(spark, out, query, batch_id, mark)
         if not count or done.is_committed():

@@ -4,23 +4,21 @@ from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from threadloom.streaming import commits
-from threadloom.streaming.comments import start
-from threadloom.streaming.keyed import REJECT
+from threadloom.streaming.comments import land, start
 
 
-def ingest_batch(messages, batch_id, table, decode, rejects, query, now_ms=None):
+def ingest_batch(messages, batch_id, table, decode, rejects, query, now_ms=None, spark=None):
     """Body of one micro-batch: good rows to the table's tail, the others apart, a record last.
 
     ``decode`` and ``rejects`` share the messages between them: each message is either decoded
     into one row or rejected. Returns the batch's (messages, rejected, stored), or None if an
-    earlier attempt has committed it.
+    earlier attempt has committed it. ``spark`` is as in ``comments.land``.
     """
-    spark = messages.sparkSession
     key = F.col("key").cast("string") if "key" in messages.columns else F.lit(None).cast("string")
     raw = messages.select(key.alias("key"), F.col("value").cast("string").alias("value"))
     landed = f"{table.path}/work/query={query}/batch_id={batch_id}"
-    raw.write.mode("overwrite").parquet(f"{landed}/messages")
-    stored = spark.read.schema(REJECT).parquet(f"{landed}/messages")
+    stored = land(raw, f"{landed}/messages", spark)
+    spark = stored.sparkSession
     count, mark = commits.fingerprint(stored, ["key", "value"])
     batch = commits.Batch(spark, table.path, query, batch_id, mark)
     if not count or batch.is_committed():
@@ -44,9 +42,11 @@ def start_table_ingest(messages, table, decode, rejects, checkpoint, trigger=Non
     batch, ``table.rejected`` the raw values of what could not be stored.
     """
 
+    spark = messages.sparkSession
+
     def body(part, batch_id):
-        spark = part.sparkSession
-        ingest_batch(part, batch_id, table, decode, rejects, commits.query_id(spark, checkpoint))
+        query = commits.query_id(spark, checkpoint)
+        ingest_batch(part, batch_id, table, decode, rejects, query, spark=spark)
         if merge_every and batch_id % merge_every == merge_every - 1:
             table.merge(spark)
             table.drop_folded(spark)
