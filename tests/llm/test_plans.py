@@ -1,0 +1,86 @@
+"""What the stages of the corpus pipeline do once, natively or not at all."""
+
+import random
+import re
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from threadloom.llm import chunks, mixing, near_dup
+
+
+def plan_of(frame):
+    return frame._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.fixture
+def texts(spark):
+    rng = random.Random(31)
+    passage = " ".join(f"p{k}" for k in range(60))
+    own = [" ".join(f"w{rng.randrange(9999)}" for _ in range(80)) for _ in range(30)]
+    rows = [(i, f"{text}\n{passage}" if i % 3 else text) for i, text in enumerate(own)]
+    return spark.createDataFrame([*rows, (98, None), (99, ""), (None, own[0])], "doc_id long, text string")
+
+
+def test_texts_are_cut_into_chains_once(texts):
+    chains = chunks.chain_table(texts)
+    assert "MapInArrow" not in plan_of(chunks.copied_chains(chains))
+    expected = set()
+    for row in texts.collect():
+        raw = (row.text or "").encode()
+        digests, words = chunks.chunk_digests(raw)
+        first, last, forward = chunks.chains_of(words)
+        doc = chunks.NO_ID if row.doc_id is None else row.doc_id
+        for digest, a, b, ahead in zip(chunks.chain_digests(digests, first, last), first, last, forward, strict=True):
+            number = int(a if ahead else b)
+            place = (((number << chunks.TAG_BITS) | chunks.text_tag(raw)) << 1) | int(ahead)
+            expected.add((int(digest), doc, place))
+    found = chains.collect()
+    assert len(found) == len(expected) > 100 and {tuple(row) for row in found} == expected
+
+
+def test_texts_do_not_come_back_from_signing(texts):
+    signed = near_dup.sign(texts)
+    given = re.search(r"MapInArrow \w+\(.*?\)#\d+, \[(.*?)\]", plan_of(signed))
+    assert given and "set_hash" in given[1] and "text#" not in given[1]
+    assert "translate" not in plan_of(signed)
+    assert signed.columns == ["doc_id", "tag", "n_shingles", "set_hash", "signature", "sketch"]
+
+
+@pytest.mark.parametrize("turned", [False, True])
+def test_which_text_of_an_id_stays_does_not_depend_on_order(spark, turned):
+    rows = [(i, text) for i in range(20) for text in (f"A b c d e f {i}", f"a b c D e F {i}")]
+    frame = spark.createDataFrame(rows[::-1] if turned else rows, "doc_id long, text string").coalesce(1)
+    least = {r.doc_id: r.text for r in frame.groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text")).collect()}
+    kept = near_dup.keep_one(frame).collect()
+    assert len(kept) == 20 and {r.doc_id: r.text for r in kept} == least
+
+
+@pytest.mark.parametrize("share", [0.8, 0.85])
+def test_signatures_agree_as_sets_do(share):
+    rng = np.random.default_rng(6)
+    agreed = []
+    for _ in range(400):
+        every = rng.integers(0, 1 << 64, int(rng.integers(40, 900)), dtype=np.uint64)
+        same = round(share * len(every))
+        own = (len(every) - same) // 2
+        a, b = every[: same + own], np.concatenate((every[:same], every[same + own :]))
+        agreed.append((near_dup.signature_of(a) == near_dup.signature_of(b)).sum() / near_dup.COORDINATES)
+    spread = (share * (1 - share) / near_dup.COORDINATES) ** 0.5
+    assert np.mean(agreed) == pytest.approx(share, abs=0.01)
+    assert np.std(agreed) == pytest.approx(spread, rel=0.15)
+    assert min(agreed) * near_dup.COORDINATES >= near_dup.least_agreeing(round(100 * share))
+
+
+def test_words_are_found_in_compiled_code(spark):
+    odd = "é É ### AAAA a1 A1 \x00~x`y{z 日本 語\tß [\\]^_@/:;-'\"\x7f İx"
+    frame = spark.createDataFrame([(odd,), (None,), (" \n",), ("a  a b",)], "text string")
+    found = mixing.described(frame, "text")
+    compiled = [line for line in plan_of(found).splitlines() if re.match(r"\W*\*\(\d+\) Project", line)]
+    assert any("array_distinct" in line for line in compiled) and any("split" in line for line in compiled)
+    for row in frame.select("text", mixing.words_of("text").alias("words")).collect():
+        lowered = frame.sparkSession.createDataFrame([(row.text,)], "t string").select(F.lower("t")).first()[0]
+        assert (row.words or []) == [w for w in re.split(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", lowered or "") if w]
+    sizes = {row.text: (row.n_tokens, len(set(row.buckets))) for row in found.collect()}
+    assert sizes[None] == sizes[" \n"] == (0, 0) and sizes["a  a b"] == (3, 4)

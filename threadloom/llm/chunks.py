@@ -15,6 +15,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from threadloom.llm.common import encoded, map_rows, unused
+from threadloom.session import materialize
 
 WINDOW = 16  # bytes the gear hash reaches back
 CUT_SHIFT, CUT_MASK = 13, 3  # bits of the hash that must be zero: one word start in four
@@ -141,25 +142,30 @@ def chain_digests(digests, first, last):
 
 def chain_table(documents):
     """(digest, doc, place) of each chain; ``place`` holds the number of its first chunk, or of
-    its last if it is not a forward one, and the text's tag."""
+    its last if it is not a forward one, and the text's tag.
+
+    Texts are cut once: their chains are stored, a row for each text, and read from there.
+    """
 
     def cut(columns):
-        digests, places = [], []
+        tags, digests, numbers = [], [], []
         for raw in encoded(columns["text"]):
             own, words = chunk_digests(raw)
             first, last, forward = chains_of(words)
+            tags.append(text_tag(raw))
             digests.append(chain_digests(own, first, last))
-            number = np.where(forward, first, last).astype(np.int64)
-            places.append((((number << TAG_BITS) | text_tag(raw)) << 1) | forward)
-        return digests, places
+            numbers.append((np.where(forward, first, last).astype(np.int32) << 1) | forward)
+        return tags, digests, numbers
 
     rows = documents.select(
         F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)).alias("doc"), "text"
     )
-    cut_rows = map_rows(rows, cut, "digests array<bigint>, places array<bigint>")
-    return cut_rows.select("doc", F.explode(F.arrays_zip("digests", "places")).alias("c")).select(
-        F.col("c.digests").alias("digest"), "doc", F.col("c.places").alias("place")
-    )
+    added = "tag int, digests array<bigint>, numbers array<int>"
+    stored = materialize(map_rows(rows, cut, added, without=["text"]), "chains")
+    chains = stored.select("doc", "tag", F.explode(F.arrays_zip("digests", "numbers")).alias("c"))
+    number = F.col("c.numbers").cast("bigint")
+    place = F.shiftleft(F.shiftright(number, 1), TAG_BITS + 1) + F.shiftleft("tag", 1) + number % 2
+    return chains.select(F.col("c.digests").alias("digest"), "doc", place.alias("place"))
 
 
 def copied_chains(chains):

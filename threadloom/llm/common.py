@@ -16,11 +16,6 @@ def table(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def ascii_lower(column):
-    """A-Z lower-cased and nothing else."""
-    return F.translate(column, UPPER, LOWER)
-
-
 def crc_remainder(key, modulus):
     """crc32 of the key written as text, modulo ``modulus``; null for a null key."""
     return F.crc32(key.cast("string").cast("binary")) % modulus
@@ -52,16 +47,18 @@ def arrow_schema(frame_schema):
     return to_arrow_schema(frame_schema)
 
 
-def map_rows(frame, function, added):
+def map_rows(frame, function, added, without=()):
     """``frame`` with the columns ``added`` (DDL), given by ``function(columns) -> arrays``.
 
     ``function`` gets a dictionary of Arrow arrays of at most SLICE_ROWS rows and returns the
-    added columns in order. Columns of ``frame`` are returned as they are.
+    added columns in order. Columns of ``frame`` are returned as they are; those named in
+    ``without`` are read only and do not travel back.
     """
     from pyspark.sql.types import StructType
 
     extra = StructType.fromDDL(added)
-    schema = StructType(frame.schema.fields + extra.fields)
+    own = [i for i, name in enumerate(frame.columns) if name not in without]
+    schema = StructType([frame.schema.fields[i] for i in own] + extra.fields)
     arrow = arrow_schema(extra)
 
     def run(batches):
@@ -71,16 +68,14 @@ def map_rows(frame, function, added):
                 pa.array(values, type=field.type)
                 for values, field in zip(function(columns), arrow, strict=True)
             ]
-            yield pa.RecordBatch.from_arrays(
-                batch.columns + new, names=batch.schema.names + arrow.names
-            )
+            yield pa.RecordBatch.from_arrays([batch.column(i) for i in own] + new, names=schema.names)
 
     return frame.mapInArrow(run, schema)
 
 
 def encoded(texts):
     """Texts of an Arrow array as bytes, null as empty."""
-    return [b"" if t is None else t.encode("utf-8", "surrogatepass") for t in texts.to_pylist()]
+    return [raw or b"" for raw in texts.cast(pa.binary()).to_pylist()]
 
 
 def bounded_labels(documents, labels, label, most):

@@ -16,8 +16,10 @@ from pyspark.sql import functions as F
 from threadloom.session import materialize
 
 LOG = logging.getLogger(__name__)
-BUCKETS = 1 << 15  # of hashed words: bounds the model
+BUCKETS = 1 << 15  # of hashed words, a power of 2: bounds the model
 PREFIX = 4  # characters of a word that are a word of their own
+# All ASCII but digits and a-z, one by one: Java looks up single characters in a table, ranges in turn.
+BREAK = "[" + "".join(f"\\x{i:02X}" for i in range(128) if not chr(i).isdigit() and not chr(i).islower()) + "]+"
 SYMBOL_RUN, CAPITAL_RUN = "[#*$%&|<>]+", "[A-Z]{3,}"
 MOST_LABELS = 10_000  # documents of each domain that are learned from
 PRIOR = 4.0  # documents that each count starts from, at the corpus mean
@@ -39,15 +41,17 @@ def bound(value, use):
 
 def words_of(text):
     """Lower-cased words: runs of ASCII letters and digits and of all beyond ASCII."""
-    words = F.split(F.lower(text), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+")
-    return F.filter(words, lambda word: word != "")
+    return F.array_remove(F.split(F.lower(text), BREAK), "")
 
 
 def buckets_of(distinct):
-    """Buckets of the distinct words and of their first characters."""
-    prefixes = F.transform(distinct, lambda w: F.xxhash64(F.lit(PREFIX), F.substring(w, 1, PREFIX)))
-    every = F.concat(F.transform(distinct, lambda w: F.xxhash64(w)), prefixes)
-    return F.array_distinct(F.transform(every, lambda h: F.pmod(h, F.lit(BUCKETS)).cast("int")))
+    """Buckets of the distinct words and of their first characters; some may repeat."""
+
+    def bucket(*parts):
+        return F.xxhash64(*parts).bitwiseAND(F.lit(BUCKETS - 1))
+
+    prefixes = F.transform(distinct, lambda w: bucket(F.lit(PREFIX), F.substring(w, 1, PREFIX)))
+    return F.concat(F.transform(distinct, lambda w: bucket(w)), prefixes)
 
 
 def statistics_of(text, words, distinct):
@@ -65,23 +69,19 @@ def statistics_of(text, words, distinct):
 
 
 def described(documents, *others):
-    """``others`` of ``documents`` with n_tokens, buckets and stats of the text; null as empty."""
-
-    def of_words(text, words):
-        return bound(
-            F.array_distinct(words),
-            lambda distinct: F.struct(
-                F.size(words).cast("bigint").alias("n_tokens"),
-                buckets_of(distinct).alias("buckets"),
-                statistics_of(text, words, distinct).alias("stats"),
-            ),
-        )
-
-    def of_text(text):
-        return bound(words_of(text), lambda words: of_words(text, words))
+    """``others`` of ``documents`` with n_tokens, buckets and stats of the text; null as empty.
 
+    Columns in steps: compiled code makes each once, a lambda around them would be interpreted.
+    """
     text = F.coalesce(F.col("text"), F.lit(""))
-    return documents.select(*others, F.inline(F.array(bound(text, of_text))))
+    words = documents.select(*others, text.alias("_text"), words_of(text).alias("_words"))
+    own = [c for c in words.columns if c not in ("_text", "_words")]
+    return words.withColumn("_distinct", F.array_distinct("_words")).select(
+        *own,
+        F.size("_words").cast("bigint").alias("n_tokens"),
+        buckets_of(F.col("_distinct")).alias("buckets"),
+        statistics_of(F.col("_text"), F.col("_words"), F.col("_distinct")).alias("stats"),
+    )
 
 
 def constant(values, kind):
@@ -89,30 +89,30 @@ def constant(values, kind):
     return F.split(F.lit(",".join(f"{v:.9g}" for v in values)), ",").cast(f"array<{kind}>")
 
 
-def inputs(odds):
-    """The discriminant's inputs: clipped log odds of the words against domain 0, statistics.
+def with_inputs(texts, odds):
+    """``texts`` with the discriminant's inputs ``x`` instead of buckets and stats: clipped log
+    odds of the words against domain 0, statistics.
 
     Only buckets with odds are looked up; a text has few of them.
     """
+    others = [c for c in texts.columns if c not in ("buckets", "stats")]
     telling = np.flatnonzero((odds != 0).any(axis=0))
-    names = constant(telling, "int") if len(telling) else F.array().cast("array<int>")
+    if not len(telling):
+        return texts.select(*others, F.concat(F.array(*[F.lit(0.0) for _ in odds]), "stats").alias("x"))
+    names = constant(telling, "bigint")
+    found = texts.select(*others, "stats", F.array_intersect("buckets", names).alias("_found"))
 
-    def odd(found, table):
+    def odd(table):
         values = constant(table[telling], "double")
 
         def add(total, bucket):
             place = (F.array_position(names, bucket) - 1).cast("int")
             return total + F.get(values, place)
 
-        total = F.aggregate(found, F.lit(0.0), add)
+        total = F.aggregate("_found", F.lit(0.0), add)
         return F.greatest(F.lit(-MOST_ODDS), F.least(F.lit(MOST_ODDS), total))
 
-    if not len(telling):
-        return F.concat(F.array(*[F.lit(0.0) for _ in odds]), F.col("stats"))
-    return bound(
-        F.array_intersect("buckets", names),
-        lambda found: F.concat(F.array(*[odd(found, table) for table in odds]), F.col("stats")),
-    )
+    return found.select(*others, F.concat(F.array(*[odd(table) for table in odds]), "stats").alias("x"))
 
 
 def fit_domains(documents, labelled, domains, most=MOST_LABELS):
@@ -137,7 +137,7 @@ def fit_domains(documents, labelled, domains, most=MOST_LABELS):
     known_sizes, total_known = sizes, sizes.sum()
     sizes = np.minimum(sizes, most)
     counts = np.zeros((len(domains), BUCKETS))
-    found = texts.select("domain", F.explode("buckets").alias("bucket")).groupBy("domain", "bucket")
+    found = texts.select("domain", F.explode(F.array_distinct("buckets")).alias("bucket")).groupBy("domain", "bucket")
     for row in found.count().collect():  # at most domains x BUCKETS
         counts[domains.index(row["domain"]), row["bucket"]] = row["count"]
     total = sizes.sum()
@@ -148,7 +148,7 @@ def fit_domains(documents, labelled, domains, most=MOST_LABELS):
     odds = ratios[1:] - ratios[0]
     width = len(odds) + STATISTICS
     x = [F.col("x")[i] for i in range(width)]
-    rows = texts.select("domain", inputs(odds).alias("x"))
+    rows = with_inputs(texts.drop("n_tokens"), odds)
     sums = rows.groupBy("domain").agg(
         F.count("*").cast("double"),
         *[F.sum(x[i]) for i in range(width)],
@@ -191,10 +191,8 @@ def with_chances(documents, model):
         )
         return bound(raised, shares)
 
-    texts = described(documents, F.struct(*others).alias("others"))
-    return texts.select(
-        "others.*", "n_tokens", bound(bound(inputs(odds), scores), chances).alias("chances")
-    )
+    texts = with_inputs(described(documents, F.struct(*others).alias("others")), odds)
+    return texts.select("others.*", "n_tokens", bound(scores(F.col("x")), chances).alias("chances"))
 
 
 def projected(chances, gradients):

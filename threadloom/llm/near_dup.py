@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from threadloom.llm.common import ascii_lower, encoded, map_rows, unused
+from threadloom.llm.common import LOWER, UPPER, encoded, map_rows, unused
 from threadloom.session import materialize
 
 SHINGLE_WORDS = 3
@@ -28,9 +28,11 @@ SKETCH_BITS = 1024
 MISSED = 1e-6  # chance of a pair just similar enough to agree in too few coordinates
 
 _RANDOM = np.random.default_rng(9)
-FACTORS = _RANDOM.integers(1, 1 << 63, COORDINATES, dtype=np.uint64) | np.uint64(1)
-OFFSETS = _RANDOM.integers(0, 1 << 63, COORDINATES, dtype=np.uint64)
-MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xFF51AFD7ED558CCD))
+FACTORS = _RANDOM.integers(0, 1 << 32, COORDINATES, dtype=np.uint32) | np.uint32(1)
+OFFSETS = _RANDOM.integers(0, 1 << 32, COORDINATES, dtype=np.uint32)
+MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
+SPREAD = np.uint32(0x9E3779B1)
+LOWERED = bytes.maketrans(UPPER.encode(), LOWER.encode())
 
 
 def least_agreeing(percent=LEAST_PERCENT):
@@ -60,16 +62,21 @@ def shingles_of(raw, size=SHINGLE_WORDS):
     for i in range(size):
         mixed = (mixed ^ hashes[i : i + last]) * MIX[0]
         mixed ^= mixed >> np.uint64(29)
-    return np.unique(mixed * MIX[1])
+    mixed = np.sort(mixed * MIX[1])
+    return mixed[np.concatenate(([True], mixed[1:] != mixed[:-1]))]
 
 
 def signature_of(shingles):
-    """The least value of each of COORDINATES random functions over the shingles, as 32 bits."""
-    least = np.full(COORDINATES, np.iinfo(np.uint64).max, np.uint64)
-    for start in range(0, len(shingles), 4096):
-        part = shingles[start : start + 4096, None] * FACTORS + OFFSETS
-        least = np.minimum(least, ((part ^ (part >> np.uint64(32))) * MIX[2]).min(axis=0))
-    return (least >> np.uint64(32)).astype(np.uint32).view(np.int32)
+    """The least value of each of COORDINATES random functions over the shingles, in 32 bits."""
+    least = np.full(COORDINATES, np.iinfo(np.uint32).max, np.uint32)
+    folded = (shingles ^ (shingles >> np.uint64(32))).astype(np.uint32)
+    for start in range(0, len(folded), 1024):
+        part = FACTORS[:, None] * folded[start : start + 1024]
+        part += OFFSETS[:, None]
+        part ^= part >> np.uint32(16)
+        part *= SPREAD
+        np.minimum(least, part.min(axis=1), out=least)
+    return least.view(np.int32)
 
 
 def sketch_of(shingles):
@@ -78,8 +85,13 @@ def sketch_of(shingles):
     return np.packbits((counts & 1).astype(np.uint8)).view(np.int64)
 
 
-def lowered(text):
-    return F.coalesce(ascii_lower(text), F.lit(""))
+def lowered(texts):
+    """Texts of an Arrow array as bytes, A-Z as lower case, null as empty."""
+    return [raw.translate(LOWERED) for raw in encoded(texts)]
+
+
+def tag_of(text):
+    return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
 def sign(documents, size=SHINGLE_WORDS):
@@ -87,7 +99,7 @@ def sign(documents, size=SHINGLE_WORDS):
     of the text, a null text has no shingles."""
 
     def signed(columns):
-        sets = [shingles_of(raw, size) for raw in encoded(columns["text"])]
+        sets = [shingles_of(raw, size) for raw in lowered(columns["text"])]
         return (
             [len(s) for s in sets],
             [xxhash.xxh3_128_digest(s.tobytes()) for s in sets],
@@ -95,10 +107,9 @@ def sign(documents, size=SHINGLE_WORDS):
             [sketch_of(s) for s in sets],
         )
 
-    rows = documents.select("doc_id", lowered(F.col("text")).alias("text"))
-    rows = rows.withColumn("tag", F.xxhash64("text"))
+    rows = documents.select("doc_id", "text", tag_of(F.col("text")).alias("tag"))
     added = "n_shingles bigint, set_hash binary, signature array<int>, sketch array<bigint>"
-    return map_rows(rows, signed, added).drop("text")
+    return map_rows(rows, signed, added, without=["text"])
 
 
 def linked_sizes(a, b, percent):
@@ -221,7 +232,7 @@ def compare(pairs, texts, size=SHINGLE_WORDS):
                 yield held[key]
 
         both = zip(
-            cached(columns["a"], encoded(columns["ta"])), cached(columns["b"], encoded(columns["tb"])), strict=True
+            cached(columns["a"], lowered(columns["ta"])), cached(columns["b"], lowered(columns["tb"])), strict=True
         )
         inter, total = [], []
         for x, y in both:
@@ -233,7 +244,7 @@ def compare(pairs, texts, size=SHINGLE_WORDS):
     both = pairs.join(texts.select(F.col("doc").alias("a"), F.col("text").alias("ta")), "a").join(
         texts.select(F.col("doc").alias("b"), F.col("text").alias("tb")), "b"
     )
-    return map_rows(both, sets, "inter bigint, total bigint").drop("ta", "tb")
+    return map_rows(both, sets, "inter bigint, total bigint", without=["ta", "tb"])
 
 
 def linked(compared, percent=LEAST_PERCENT):
@@ -279,8 +290,8 @@ def link_classes(classes, documents, percent=LEAST_PERCENT, size=SHINGLE_WORDS):
     """
     lists = materialize(postings(classes, percent), "postings")
     wanted = classes.select("doc", "tag").join(lists.select("doc"), "doc", "left_semi")
-    texts = documents.select(F.col("doc_id").alias("doc"), lowered(F.col("text")).alias("text"))
-    texts = texts.withColumn("tag", F.xxhash64("text")).join(wanted, ["doc", "tag"], "left_semi")
+    texts = documents.select(F.col("doc_id").alias("doc"), "text", tag_of(F.col("text")).alias("tag"))
+    texts = texts.join(wanted, ["doc", "tag"], "left_semi")
     texts = materialize(texts.drop("tag"), "texts")
     first = agreeing(hub_pairs(lists, hubs_of(lists), percent), classes, percent)
     links = materialize(linked(compare(first, texts, size), percent), "links")
@@ -335,7 +346,7 @@ def keep_one(documents, percent=80, size=5):
     tag = unused(documents, "_tag")
     kept = group_rows(documents, percent, size).filter("kept and doc_id is not null")
     kept = kept.select("doc_id", F.col("tag").alias(tag))
-    tagged = documents.withColumn(tag, F.xxhash64(lowered(F.col("text"))))
+    tagged = documents.withColumn(tag, tag_of(F.col("text")))
     chosen = tagged.join(kept, ["doc_id", tag], "left_semi").dropDuplicates(["doc_id", tag])
     nameless = tagged.filter("doc_id is null")
     return chosen.unionByName(nameless).drop(tag)

@@ -57,7 +57,7 @@ def count_statistics(documents):
             [s.lines for s in found],
         )
 
-    return map_rows(documents.select("doc_id", "lang", "source", "text"), counts, COUNTS).drop("text")
+    return map_rows(documents.select("doc_id", "lang", "source", "text"), counts, COUNTS, ["text"])
 
 
 def chi_square_share(x, degrees):

@@ -139,8 +139,8 @@ def fit_quality(documents, labels, label="quality", most=MOST_LABELS):
     names = [f"f{i}" for i in range(FEATURES)]
     found = gathered(
         map_rows(
-            chosen, lambda c: list(feature_rows(c["text"]).T), ", ".join(f"{n} double" for n in names)
-        ).drop("text")
+            chosen, lambda c: list(feature_rows(c["text"]).T), ", ".join(f"{n} double" for n in names), ["text"]
+        )
     )
     if not found.num_rows:
         return Trees(np.zeros((1, 0), np.int64), np.zeros((1, 0)), np.zeros((1, 1)), 0.0)

@@ -1,5 +1,8 @@
 """Statistics of one text, from its bytes and whitespace-separated words."""
 
+from collections import defaultdict
+from itertools import count
+
 import numpy as np
 
 SYMBOLS = b"#*$%&|<>"
@@ -30,10 +33,11 @@ def repeated_words(ids):
     if kinds >= 2_000_000:  # the product of three would not fit 64 bits
         pairs = np.unique(pairs, return_inverse=True)[1]
     keys = pairs[:-1] * kinds + ids[2:]
-    order = np.argsort(keys, kind="stable")
-    same = np.diff(keys[order]) == 0
-    if not same.any():
+    ordered = np.sort(keys)
+    same = ordered[1:] == ordered[:-1]
+    if not same.any():  # of most texts
         return 0
+    order = np.argsort(keys, kind="stable")
     twin = np.zeros(n, bool)
     twin[1:] |= same
     twin[:-1] |= same
@@ -51,9 +55,8 @@ def duplicate_lines(raw):
 
 def word_ids(words):
     """Each word's number in order of first occurrence, and the number of distinct words."""
-    seen = {}
-    ids = [seen.setdefault(word, len(seen)) for word in words]
-    return np.array(ids, np.int64), len(seen)
+    seen = defaultdict(count().__next__)
+    return np.fromiter(map(seen.__getitem__, words), np.int64, len(words)), len(seen)
 
 
 class Summary:
@@ -62,7 +65,8 @@ class Summary:
     __slots__ = ("counts", "distinct", "doubled", "dup_lines", "lines", "repeats", "words")
 
     def __init__(self, raw):
-        self.counts = np.bincount(CLASSES[np.frombuffer(raw, np.uint8)], minlength=8)
+        bytes_of = np.bincount(np.frombuffer(raw, np.uint8), minlength=256)
+        self.counts = np.bincount(CLASSES, bytes_of, 8).astype(np.int64)
         words = raw.split()
         ids, self.distinct = word_ids(words)
         self.words = len(words)
